@@ -72,11 +72,12 @@ def ranked(df: DataFrame, order: list[Column], within: list[str], tag: str) -> D
     sizes = placed.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     before = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    on = placed["_pid"] == sizes["_pid"]
+    sizes = sizes.select(F.col("_pid").alias("_p"), "_first", "_before", *[F.col(k).alias(f"_of_{k}") for k in within])
+    on = F.col("_pid") == F.col("_p")
     for k in within:
-        on = on & placed[k].eqNullSafe(sizes[k])
-    out = placed.join(F.broadcast(sizes) if not within else sizes, on)
-    return out.select(*[placed[c] for c in df.columns], (F.col("_pos") - F.col("_first") + F.col("_before")).alias("rank"))
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = placed.join(sizes, on)
+    return out.select(*df.columns, (F.col("_pos") - F.col("_first") + F.col("_before")).alias("rank"))
 
 
 def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -110,3 +111,50 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).union(loops).distinct().join(stars.select("node"), "node", "left_anti")
     return stars.union(roots.select("node", F.col("node").alias("component")))
+
+
+def seeded(column: str, seed: int) -> Column:
+    """A fixed random order: 32 hexadecimal digits for each value (null counts as empty)."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit(""))).cast("binary"))
+
+
+def first_by_weight(rows: DataFrame, key: str, order: str, weight: str, quotas: dict) -> DataFrame:
+    """Add ``picked``: of each key, the rows whose weights come first and reach its quota most nearly.
+
+    Rows follow each other by ``order`` (hexadecimal digits as ``seeded`` makes them); a row is picked
+    if the weight before it plus half its own is at most the quota. No key is sorted as a whole: sums
+    by the first three digits find the group in which the quota ends, sums by the next three the group
+    in that, and only its rows (a 16-millionth of the key) are put through a window. ``quotas`` has one
+    number for each key, so its size is that of the key set, which callers bound.
+    """
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)[key]
+    if not quotas:
+        return rows.withColumn("picked", F.lit(False))
+    rows = rows.withColumns({"_d1": F.substring(order, 1, 3), "_d2": F.substring(order, 4, 3)})
+    plan = spark.createDataFrame([(k, int(q)) for k, q in quotas.items()], f"_k {kind}, _q long")
+
+    def edge(sums: DataFrame, digit: str, start: Column) -> DataFrame:
+        before = Window.partitionBy("_k").orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_b", start + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        return sums.where("_b <= _q and _b + _n > _q").select("_k", "_q", F.col(digit).alias(f"_e{digit[-1]}"), "_b")
+
+    at = F.broadcast(plan)
+    sums = rows.groupBy(key, "_d1").agg(F.sum(weight).alias("_n")).join(at, F.col(key).eqNullSafe(F.col("_k")))
+    one = edge(sums, "_d1", F.lit(0))
+    one = spark.createDataFrame(one.collect(), one.schema)  # a row for each key at most
+    inner = rows.join(F.broadcast(one), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_d1") == F.col("_e1")))
+    sums = inner.groupBy("_k", "_q", "_b", "_e1", "_d2").agg(F.sum(weight).alias("_n")).withColumnRenamed("_b", "_s")
+    two = edge(sums, "_d2", F.col("_s")).select("_k", "_e2", F.col("_b").alias("_b2"))
+    two = spark.createDataFrame(two.collect(), two.schema)
+    ends = plan.join(F.broadcast(one.drop("_q", "_b")), one["_k"].eqNullSafe(plan["_k"]), "left").select(plan["_k"], "_q", "_e1")
+    ends = ends.join(F.broadcast(two), two["_k"].eqNullSafe(ends["_k"]), "left").select(ends["_k"], "_q", "_e1", "_e2", "_b2")
+    ends = spark.createDataFrame(ends.collect(), ends.schema)
+    marked = rows.join(F.broadcast(ends), F.col(key).eqNullSafe(F.col("_k")), "left")
+    last = F.expr("_d1 = _e1 and _d2 = _e2")
+    clear = marked.where(~F.coalesce(last, F.lit(False)))
+    clear = clear.withColumn("picked", F.expr("coalesce(_e1 is null and _q > 0 or _d1 < _e1 or _d1 = _e1 and _d2 < _e2, false)"))
+    before = Window.partitionBy(key).orderBy(order, weight).rowsBetween(Window.unboundedPreceding, -1)
+    near = marked.where(last).withColumn("picked", (F.col("_b2") + F.coalesce(F.sum(weight).over(before), F.lit(0)) + F.col(weight) / 2) <= F.col("_q"))
+    keep = [c for c in rows.columns if c not in ("_d1", "_d2")]
+    return clear.select(*keep, "picked").union(near.select(*keep, "picked"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, simhash
+from . import minhash, mixing, sharding, simhash, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,52 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_edited(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_minhash": op7_minhash}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(pages(spark, sf_dir), least_bytes=0)
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-ORACLE: dict[str, str] = {}
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(p.h, CAST(10 * (i // 8) + 1 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31) AS INT), 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN p.page_id IS NOT DISTINCT FROM f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("sources")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3 * n AS cap, row_number() OVER (ORDER BY n / w, source NULLS LAST) - 1 AS k,
+    sum(n) OVER () AS total,
+    coalesce(sum(3 * n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(w) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
+c AS (SELECT coalesce(min(k) FILTER (WHERE (total - capped) * w / rest <= cap), count(*)) AS open FROM r),
+b AS (SELECT total - capped AS money, rest FROM r, c WHERE k = c.open),
+t AS (SELECT source, n, CASE WHEN k < c.open THEN CAST(cap AS DOUBLE) ELSE CAST((SELECT money FROM b) AS BIGINT) * w / (SELECT rest FROM b) END AS target FROM r, c),
+q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * n) AS flow FROM t),
+z AS (SELECT d.*, q.n, q.target, q.flow, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+  CAST(CASE WHEN n = 0 THEN 0 ELSE size * (flow // n + CASE WHEN before + size / 2 <= flow % n THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM z
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op7_minhash": op7_minhash, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+
+ORACLE: dict[str, str] = {"op8_warc": OP8_SQL, "op9_mixing": OP9_SQL}
