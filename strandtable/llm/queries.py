@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, sharding, simhash, warc
+from . import decontaminate, minhash, mixing, quality, sharding, simhash, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_minhash": op7_minhash, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score").withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_minhash": op7_minhash,
+    "op8_warc": op8_warc,
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
+}
 
 ORACLE: dict[str, str] = {"op8_warc": OP8_SQL, "op9_mixing": OP9_SQL}
