@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality, sharding, simhash, warc
+from . import decontaminate, html_text, minhash, mixing, pii, quality, sharding, simhash, tokens, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,34 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(documents(spark, sf_dir), secret="surrogates")
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert every document, revise those that are labelled toxic to an empty text, and repeat a commit."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    bad = docs.join(toxic, "doc_id", "left_semi")
+    totals = tokens.Totals(spark)
+    totals.commit("inserts", docs, ["byte_bpe_50k"])
+    revised = bad.withColumn("sign", F.lit(-1)).unionByName(bad.withColumns({"text": F.lit(""), "sign": F.lit(1)}))
+    totals.commit("revisions", revised, ["byte_bpe_50k"])
+    totals.commit("inserts", docs, ["byte_bpe_50k"])
+    return totals.totals()
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_tokens": op6_tokens,
     "op7_minhash": op7_minhash,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
