@@ -13,6 +13,13 @@ forest, fewer than the bucket has members. Buckets that may hold over ``BLOCK``
 blocks, and each pair of blocks is a task of its own, so no task gathers an unbounded bucket and no pair
 is lost. Components are found by joins (``common.components``); nothing is gathered on the driver.
 
+``similar_classes`` is the same search for texts whose five-word shingles have a Jaccard similarity of 0.8
+or more: such fingerprints differ in about 10 bits, too many for two segments. Four segments of 16 bits
+and radius ``WIDE`` = 11 leave a ball of radius 2 around one segment, met half-way: owners and askers both
+spread to the values one bit away. Fingerprints that far apart need not be near copies, so each bucket
+emits a minimum spanning forest by distance and its edges are verified (sketches, then exactly). Comparisons
+grow as the square of the fingerprints over 120; ``classes`` stays in proportion to its input.
+
 Nulls and odd rows: a null text counts as empty; an empty text has fingerprint zero and is linked like
 any other. Null doc_ids keep their row; a component of null ids alone is null. Repeated rows stay.
 Columns other than doc_id and text are ignored. An empty table gives an empty result.
@@ -25,13 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import components, shuffle_parts, small_batches, table
 
 RADIUS = 3
 SEED = 42
+WIDE = 11
+LIKE = 0.8
+#: Over three standard errors of a sketch's likeness.
+UNSURE = 0.11
 #: Fingerprints that a task compares with each other; a task holds two such blocks at most.
 BLOCK = 8192
 _SEGMENT = np.uint64(32)
@@ -190,13 +202,161 @@ def classes(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, sketch binary): fingerprint and MinHash sketch of each row's whole text."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.array([fingerprint(t, width) for t in b["text"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "sketch": [minhash.fingerprint(t).tobytes() for t in b["text"]]})
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long, sketch binary")
+
+
+def _tree(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest by distance, none longer than ``radius`` (Prim)."""
+    n = len(fps)
+    if n <= 512:
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+        active = near.sum(axis=1) > 1
+        fps = fps[active]
+        n = len(fps)
+    left, right = [], []
+    best, via = np.full(n, 65, dtype=np.uint8), np.zeros(n, dtype=np.int64)
+    open_ = np.ones(n, dtype=bool)
+    for _ in range(n):
+        k = int(np.argmin(np.where(open_, best, 255)))
+        if best[k] <= radius:
+            left.append(fps[via[k]])
+            right.append(fps[k])
+        open_[k] = False
+        d = np.bitwise_count(fps ^ fps[k])
+        closer = open_ & (d < best)
+        best[closer], via[closer] = d[closer], k
+    return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
+
+
+def _wide_links(nodes: DataFrame, radius: int, block: int) -> DataFrame:
+    """(a, b): minimum-spanning-forest edges of the buckets of four segments."""
+    spark = nodes.sparkSession
+    flips = np.concatenate(([0], 1 << np.arange(16))).astype(np.int64)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = b["fp"].to_numpy(np.int64)
+            for k in range(4):
+                own = (fp.view(np.uint64) >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
+                yield pd.DataFrame({"bucket": ((own[:, None] ^ flips[None, :]) + (k << 16)).ravel().astype(np.int32), "fp": np.repeat(fp, 17)})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def trees(rows: pd.DataFrame) -> pd.DataFrame:
+            keys = rows[["bucket", "i", "j"]].to_numpy()
+            fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(fp)]))
+            found = [_tree(fp[x:y], radius) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
+            a, b = (np.concatenate([f[k] for f in found] or [np.array([], dtype=np.uint64)]) for k in (0, 1))
+            return pd.DataFrame({"a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)}).drop_duplicates()
+
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys = batch[["bucket", "i", "j"]].to_numpy()
+            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = last[-1] + 1 if len(last) else 0
+            if held and not cut and (held[-1][["bucket", "i", "j"]].to_numpy()[-1] != keys[-1]).any():
+                yield trees(pd.concat(held))
+                held = []
+            elif cut:
+                yield trees(pd.concat([*held, batch[:cut]]))
+                held = []
+            held.append(batch[cut:])
+        if held:
+            yield trees(pd.concat(held))
+
+    seg = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v")) for k in range(4)])).alias("s")
+    counts = nodes.select(seg).groupBy("s.k", "s.v").count()
+    values = F.explode(F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("v").bitwiseXOR(F.pow(F.lit(2.0), i).cast("int"))))).alias("v2")
+    sizes = counts.select("k", "count", values).groupBy((F.col("k") * 65536 + F.col("v2")).alias("bucket")).agg(F.sum("count").alias("n"))
+    large = sizes.where(F.col("n") > 2 * block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = nodes.select("fp").mapInPandas(spread, "bucket int, fp long").join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("bucket", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.repartition(shuffle_parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    return rows.mapInPandas(solve, "a long, b long").distinct()
+
+
+def _likeness(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([minhash.likeness(np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return alike(a, b)
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles binary): distinct shingle hashes of the documents named in ``ids``."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(minhash.shingle_hashes(minhash.word_hashes((t or "").lower().split()), width)).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "shingles": sets})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.join(ids, "id", "left_semi").mapInPandas(run, "id long, shingles binary")
+
+
+def _jaccard(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both))
+        return pd.Series(out, dtype=float)
+
+    return exact(a, b)
+
+
+def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, radius: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id): classes of near copies, verified to be ``like`` or more alike.
+
+    Rows of one fingerprint and sketch are one node, named by its smallest doc_id. Each node is compared
+    with the first node of its fingerprint, and first nodes along the forests. Sketches decide where they
+    are more than ``UNSURE`` from ``like``; the rest is decided by the exact Jaccard similarity.
+    """
+    own = table(sketches(docs, width).withColumn("sk", F.xxhash64("sketch")), "simhash-sketches")
+    nodes = own.where("doc_id is not null").groupBy("fp", "sk").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    nodes = table(nodes, "simhash-nodes")
+    firsts = table(nodes.groupBy("fp").agg(F.min_by(F.struct("rep", "sketch"), "rep").alias("f")).select("fp", "f.*"), "simhash-firsts")
+    edges = table(_wide_links(firsts, radius, block), "simhash-wide")
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"), F.col("sketch").alias(f"s{c}"))
+    across = edges.join(side("a"), "a").join(side("b"), "b").select("ra", "rb", _likeness("sa", "sb").alias("near"))
+    inner = nodes.join(firsts.select("fp", F.col("rep").alias("rb"), F.col("sketch").alias("sb")), "fp").where("rep <> rb").select(F.col("rep").alias("ra"), "rb", _likeness("sketch", "sb").alias("near"))
+    pairs = table(across.union(inner), "simhash-pairs")
+    unsure = pairs.where(F.abs(F.col("near") - like) < UNSURE)
+    sets = table(_shingle_sets(docs, unsure.select(F.explode(F.array("ra", "rb")).alias("id")).distinct(), width), "simhash-sets")
+    part = lambda c: sets.select(F.col("id").alias(f"r{c}"), F.col("shingles").alias(f"x{c}"))
+    exact = unsure.join(part("a"), "ra").join(part("b"), "rb").where(_jaccard("xa", "xb") >= like)
+    true = pairs.where(F.col("near") >= like + UNSURE).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    groups = components(table(true.union(exact.select("ra", "rb")), "simhash-true"), "simhash-parts")
+    named = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("fp", "sk", F.coalesce("component", "rep").alias("component_id"))
+    return own.select("doc_id", "fp", "sk").join(named, ["fp", "sk"], "left").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class, the first row of its smallest doc_id.
 
     A doc_id stands for one document: if its rows hold several texts, one row of each text stays. Rows
     whose doc_id is null are kept if no row of their class has an id.
     """
-    found = classes(docs, width)
+    found = table(similar_classes(docs, width), "simhash-classes")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep"]), "left_semi")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
