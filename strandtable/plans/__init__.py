@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, by family."""
+
+from . import tables  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
