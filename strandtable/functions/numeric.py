@@ -19,23 +19,26 @@ def let(value: Column, use) -> Column:
 
 def lgamma(x: Column) -> Column:
     """Log-gamma of numbers of at least 0.5."""
-    y = x.cast("double") - 1
-    total = F.lit(LANCZOS[0])
-    for k, c in enumerate(LANCZOS[1:], 1):
-        total = total + F.lit(c) / (y + k)
-    t = y + 7.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(total)
+    def at(y: Column) -> Column:
+        total = F.lit(LANCZOS[0])
+        for k, c in enumerate(LANCZOS[1:], 1):
+            total = total + F.lit(c) / (y + k)
+        return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(y + 7.5) - (y + 7.5) + F.log(total)
+
+    return let(x.cast("double") - 1, at)
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function, accurate in the tails as well."""
+    def at(s: Column) -> Column:
+        poly = F.lit(ERFC[-1])
+        for c in ERFC[-2::-1]:
+            poly = poly * s["t"] + c
+        return s["t"] * F.exp(-s["z"] * s["z"] + poly)
+
     z = F.abs(x.cast("double"))
-    t = 1 / (1 + 0.5 * z)
-    poly = F.lit(ERFC[-1])
-    for c in ERFC[-2::-1]:
-        poly = poly * t + c
-    y = t * F.exp(-z * z + poly)
-    return F.when(x >= 0, y).otherwise(2 - y)
+    y = let(let(z, lambda v: F.struct(v.alias("z"), (1 / (1 + 0.5 * v)).alias("t"))), at)
+    return F.when(x >= 0, y).when(x < 0, 2 - y)
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -85,9 +88,9 @@ def beta_inc(x: Column, a: Column, b: Column, steps: int = 120) -> Column:
         def step(s: Column, m: Column) -> Column:
             even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            c1, d1 = guard(1 + even / s["c"]), 1 / guard(1 + even * s["d"])
-            c2, d2 = guard(1 + odd / c1), 1 / guard(1 + odd * d1)
-            return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * c1 * d1 * c2 * d2).alias("h"))
+            one = lambda e, t: F.struct(guard(1 + e / t["c"]).alias("c"), (1 / guard(1 + e * t["d"])).alias("d"), t["h"].alias("h"))
+            grown = lambda t: F.struct(t["c"], t["d"], (t["h"] * t["c"] * t["d"]).alias("h"))
+            return let(let(let(one(even, s), grown), lambda t: one(odd, t)), grown)
 
         first = 1 / guard(1 - (a + b) * x / (a + 1))
         start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
@@ -100,7 +103,8 @@ def beta_inc(x: Column, a: Column, b: Column, steps: int = 120) -> Column:
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
-    return beta_inc(df / (df + t * t), df / 2, F.lit(0.5))
+    x = let(F.struct(t.cast("double").alias("t"), df.cast("double").alias("n")), lambda s: F.struct((s["n"] / (s["n"] + s["t"] * s["t"])).alias("x"), (s["n"] / 2).alias("a")))
+    return let(x, lambda s: beta_inc(s["x"], s["a"], F.lit(0.5)))
 
 
 def log2(x: Column) -> Column:

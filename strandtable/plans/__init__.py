@@ -1,6 +1,6 @@
 """Registered queries over the given tables, by family."""
 
-from . import summaries, tables  # noqa: F401
+from . import domains, summaries, tables, tests_and_models  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
