@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TRAINING_PAGES = 600
-EPOCHS = 150
+TRAINING_PAGES = 1200
+EPOCHS = 200
 
 # Element names of HTML by their role.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -168,7 +168,7 @@ class Chain:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[list[str]], list[bool]]], epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-3) -> Chain:
+def fit(pages: list[tuple[list[list[str]], list[bool]]], epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-4) -> Chain:
     """Maximum likelihood with weight decay (Adam); ``pages`` holds feature names and labels of blocks."""
     pages = [p for p in pages if p[0]]
     vocabulary = {f: k for k, f in enumerate(sorted({f for named, _ in pages for x in named for f in x}))}
@@ -321,7 +321,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 3) -> list[tuple[str, li
             if p.chance(0.3):
                 p.block(p.pick(["h2", "h3"]), p.words(1, 5), True)
                 p.prose(True, 2)
-            if p.chance(0.35):
+            if p.chance(0.6):
                 p.other(p.pick(["advert", "side", "share", "form", "notice", "comments"]))
         p.html.append(end)
         for kind in draw.permutation(["side", "comments", "advert", "share", "form", "menu", "notice"])[: int(draw.integers(0, 5))]:

@@ -1,0 +1,343 @@
+"""The text operators against brute force, round trips and held-out accuracy, with odd rows."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandtable.llm import common, decontaminate, html_text, minhash, mixing, pii, quality, queries, sharding, simhash, tokens, warc
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i % 997}" for i in range(30_000))
+ODD = [(1, "a b c d", "s"), (1, "a b c d", "s"), (2, None, None), (3, "", "s"), (None, "x y", "t"), (4, LONG, "t"), (5, "  \t\n ", None), (6, "A b C d", "é")]
+DOCS = "doc_id long, text string, source string"
+
+
+@pytest.fixture
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns whose names the operators use inside."""
+    df = spark.createDataFrame(ODD, DOCS)
+    return df.withColumns({c: F.lit(7) for c in ("fp", "rank", "shard", "size", "key", "part", "component", "node", "lang", "picked", "_order", "pattern", "n", "digest")})
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], DOCS + ", lang string")
+
+
+def components_of(ids, linked):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def plain_fingerprint(text, width=3):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_classes_by_brute_force(spark):
+    got = {r.doc_id: r for r in queries.op1_simhash(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    fp = {r.doc_id: plain_fingerprint(r.text) for r in docs}
+    assert {k: v.fingerprint for k, v in got.items()} == {k: f"{v:016x}" for k, v in fp.items()}
+    ids = sorted(fp)
+    want = components_of(ids, [(a, b) for a in ids for b in ids if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert {k: v.component_id for k, v in got.items()} == want
+
+
+def test_simhash_links_of_random_fingerprints_and_blocks(spark):
+    draw = np.random.Generator(np.random.PCG64(4))
+    base = draw.integers(0, 2**63, 12, dtype=np.uint64)
+    fps = {int(x) ^ sum(1 << int(b) for b in draw.integers(0, 64, int(draw.integers(0, 5)))) for x in base for _ in range(40)} | {0, 1, 2**64 - 1}
+    want = components_of(sorted(fps), [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
+    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    for block in (8192, 4):
+        edges = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(nodes, block).collect()]
+        assert components_of(sorted(fps), edges) == want
+        assert all((a ^ b).bit_count() <= 3 for a, b in edges)
+
+
+def test_near_copies_at_four_fifths(spark):
+    words = [f"v{i}" for i in range(240)]
+    rows = [(1, " ".join(words))]
+    for k, step in ((2, 120), (3, 70)):
+        rows.append((k, " ".join("new" if i % step == 5 else w for i, w in enumerate(words))))
+    rows += [(10, " ".join(f"u{i}" for i in range(200))), (11, " ".join("x" if i % 9 == 0 else w for i, w in enumerate(words)))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 11}
+
+
+def test_simhash_odd_rows(spark, odd, empty):
+    got = [(r.doc_id, r.component_id) for r in simhash.classes(odd).collect()]
+    assert Counter(got) == Counter([(1, 1), (1, 1), (2, 2), (3, 2), (None, None), (4, 4), (5, 2), (6, 1)])
+    assert simhash.classes(empty).count() == 0 == simhash.keep_one(empty).count()
+    assert Counter(r.doc_id for r in simhash.keep_one(odd).collect()) == Counter([1, 2, None, 4])
+
+
+def test_minhash_edited(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    order = sorted(docs, reverse=True)
+    after = {d: docs[order[(i + 1) % len(order)]] for i, d in enumerate(order)}
+    sets = lambda t: set(minhash.shingle_hashes(minhash.word_hashes(t.lower().split())).tolist())
+    got = queries.op7_minhash(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    errors = []
+    for r in got:
+        t = docs[r.doc_id]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[r.doc_id][:cut]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == minhash.fingerprint(t).tobytes().hex() and r.edited_fingerprint == minhash.fingerprint(edited).tobytes().hex()
+        a, b = sets(t), sets(edited)
+        errors.append(abs(r.near_edited - len(a & b) / len(a | b)))
+    assert np.mean(errors) < 0.05 and max(errors) < 0.22
+
+
+def test_minhash_odd_rows(spark, odd, empty):
+    got = minhash.with_edited(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ODD)
+    assert len({r.fingerprint for r in got if r.doc_id == 1}) == 1
+    assert minhash.with_edited(empty).count() == 0
+    near = {r.doc_id: (r.class_id, r.n_links) for r in minhash.near_duplicates(odd.where("doc_id is not null")).collect()}
+    assert near[6][0] == near[1][0] == 1 and near[4] == (4, 0) and near[2][0] == near[3][0] == 2
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_minhash_near_duplicates_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: set(minhash.shingle_hashes(minhash.word_hashes(r.text.lower().split())).tolist()) for r in docs.collect()}
+    ids = sorted(texts)
+    want = components_of(ids, [(a, b) for a in ids for b in ids if a < b and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])])
+    for block in (minhash.BLOCK, 2):
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, block=block).collect()} == want
+
+
+def test_html_held_out_pages():
+    chain, wrong, n = html_text.trained(), 0, 0
+    for page, labels in html_text.labelled_pages(300, seed=99):
+        found = html_text.blocks(page)
+        assert len(found) == len(labels)
+        wrong += sum(a != b for a, b in zip(chain.decode(html_text.features(found)), labels, strict=True))
+        n += len(labels)
+    assert wrong / n < 0.015
+
+
+def test_html_viterbi_is_the_best_path():
+    chain = html_text.trained()
+    named = html_text.features(html_text.blocks(html_text.labelled_pages(1, seed=5)[0][0]))[:9]
+    x = [sum(chain.weights.get(f, 0.0) for f in names) for names in named]
+
+    def value(y):
+        return chain.start[y[0]] + sum(v for v, k in zip(x, y, strict=True) if k) + sum(chain.step[a, b] for a, b in zip(y, y[1:], strict=False))
+
+    best = max(([i >> k & 1 for k in range(len(named))] for i in range(2 ** len(named))), key=value)
+    assert [int(k) for k in chain.decode(named)] == best
+
+
+def test_html_pages(spark):
+    page = "<html><body><nav><ul><li><a href=x>Menu one</a></ul></nav><article><h1>A &amp; B</h1><p>First   part<br>goes on.<p>Second <b>part</b>, with more words to read here.<div class=ad>Buy now this thing.</div><p>Third part of the article is here.</article><div class='comments'><p>I like it very much indeed.</div><footer>&copy; x</footer>"
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p"), (1, "u", page)], "page_id long, url string, html string")
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.extract(rows).collect()}
+    want = "A & B\n\nFirst part goes on.\n\nSecond part, with more words to read here.\n\nThird part of the article is here."
+    assert got[1, "u"] == (want, len(want)) and got[2, None] == ("", 0) and got[3, "u"] == ("", 0)
+    assert html_text.extract(rows.where("false")).count() == 0
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op4_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(got) > 40 and np.mean([r.predicted == r.quality for r in got]) > 0.95
+
+
+def test_quality_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (4, 1), (None, 1), (3, None), (99, 0)], "doc_id long, quality int")
+    scores = quality.score(odd.drop("part"), quality.train(odd, labels)).collect()
+    assert len(scores) == len(ODD) and all(0 <= r.score <= 1 for r in scores)
+    assert quality.keep_good(empty, labels).count() == 0
+    assert quality.train(odd, labels.where("false")).prior == 0.5
+
+
+def test_decontaminate_finds_whole_items_alone(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = [(r.doc_id, " ".join(decontaminate.words(r.text))) for r in docs.collect()]
+    want = {(d, r.item_id) for r in items.collect() for d, t in texts if f" {' '.join(decontaminate.words(r.text))} " in f" {t} "}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == want
+
+
+def test_block_max_bounds_lose_nothing(spark):
+    """Opened blocks hold every item that scores above its threshold for a passage."""
+    sf = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    df = Counter(t for _, x in items for t in set(decontaminate.words(x)))
+    index = decontaminate.Index(items, df, len(items), float(np.mean([len(decontaminate.words(x)) for _, x in items])))
+    texts = [decontaminate.words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [[]]
+    want = set()
+    for d, w in enumerate(texts):
+        for s in range(0, max(1, len(w)), decontaminate.STRIDE):
+            score = np.zeros(len(items))
+            for t in {index.terms[x] for x in w[s : s + decontaminate.WINDOW] if x in index.terms}:
+                score[index.lists[t][0]] += index.lists[t][1]
+            if s == 0 or s + decontaminate.WINDOW - decontaminate.STRIDE < len(w):
+                want |= {(d, int(k)) for k in np.flatnonzero(score >= 1)}
+    assert index.retrieve(texts) == want
+
+
+def test_decontaminate_odd_rows(spark, odd, empty):
+    items = spark.createDataFrame([(1, "one two three four five six. seven eight"), (1, "one two three four five six. seven eight"), (2, None), (None, "x y"), (3, "?!")], "item_id long, text string")
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(50, "So One two, three four five six! Seven eight. End")], "doc_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()] == [(50, 1)]
+    assert decontaminate.matches(empty, items).count() == 0 == decontaminate.matches(docs, items.where("false")).count()
+    assert decontaminate.drop_leaks(docs, items).count() == len(ODD)
+
+
+def test_tokens_deltas_are_idempotent(spark, odd, empty):
+    docs = spark.createDataFrame([(1, "a b c", "s", "en"), (2, None, None, "en"), (3, LONG, "s", "en")], "doc_id long, text string, source string, lang string")
+    t = tokens.Totals(spark)
+    assert t.commit("b1", docs, ["byte_bpe_50k"]) and not t.commit("b1", docs, ["byte_bpe_50k"])
+    assert t.commit("b2", docs.where("doc_id = 3").withColumn("sign", F.lit(-1)), ["byte_bpe_50k"]) and t.commit("b3", empty, ["byte_bpe_50k"])
+    n = len(tokens.encoder("byte_bpe_50k").encode_ordinary("a b c"))
+    assert {(r.source, r.n_docs, r.n_tokens, r.n_chars) for r in t.totals().collect()} == {("s", 1, n, 5), (None, 1, 0, 0)}
+    assert sum(r.n_docs for r in tokens.rollup(tokens.counted(odd, ["byte_bpe_50k"])).collect()) == len(ODD)
+
+
+def test_warc_round_trip(spark):
+    rows = [(3, "u", "same"), (1, "u\r\nx", "same"), (2, None, None), (5, "v", ""), (None, "w", "same"), (7, "é", "WARC/1.1\r\n\r\nç"), (7, "é", "WARC/1.1\r\n\r\nç")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    got = warc.read(spark, warc.write(df)).collect()
+    kinds = Counter((r.page_id, r.record_type, r.refers_to, bytes(r.payload).decode()) for r in got)
+    assert kinds == Counter([(3, "revisit", 1, "same"), (1, "response", None, "same"), (2, "response", None, ""), (5, "revisit", 2, ""), (None, "revisit", 1, "same"), (7, "response", None, "WARC/1.1\r\n\r\nç"), (7, "response", None, "WARC/1.1\r\n\r\nç")])
+    import base64
+
+    for r in got:
+        assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() and r.payload_bytes == len(r.payload)
+        head, _, body = bytes(r.record).partition(b"\r\n\r\n")
+        assert body == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and f"Content-Length: {len(body) - 4}".encode() in head
+    small = warc.read(spark, warc.write(df, least_bytes=5)).where("payload_bytes < 5").collect()
+    assert {r.record_type for r in small} == {"response"}
+    assert warc.read(spark, warc.write(df.where("false"))).count() == 0
+
+
+def test_mixing_targets_and_flow():
+    assert mixing.targets({"a": 10, "b": 10, "c": 1000}, {"a": 1, "b": 2, "c": 1}) == {"a": 30.0, "b": 30.0, "c": 960.0}
+    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 25, "b": 5})
+    assert sum(flow["a",].values()) + flow["a", "b"]["a"] == 25 and flow["a", "b"]["b"] + flow["b",]["b"] == 5
+    assert max(sum(f.values()) for f in flow.values()) <= 15 and flow["a",]["a"] <= 15
+
+
+def test_mixing_rows(spark, odd, empty):
+    got = queries.op9_mixing(spark, SF).collect()
+    again = queries.op9_mixing(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    taken, most = defaultdict(int), defaultdict(int)
+    for r in got:
+        taken[r.source_size, r.target] += r.taken
+        most[r.source_size, r.target] = max(most[r.source_size, r.target], r.size)
+        assert r.taken <= 3 * r.size
+    assert all(abs(t - k[1]) <= most[k] for k, t in taken.items())
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
+
+
+def test_first_by_weight_matches_the_plain_rule(spark):
+    rows = [("a" if i % 3 else "b", f"{hashlib.md5(str(i).encode()).hexdigest()}", i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o string, w long")
+    got = {r.o for r in common.first_by_weight(df, "k", "o", "w", {"a": 400, "b": 33}).where("picked and w > 0").collect()}
+    want = set()
+    for k, q in (("a", 400), ("b", 33)):
+        before = 0
+        for _, o, w in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]):
+            want |= {o} if w and before + w / 2 <= q else set()
+            before += w
+    assert got == want
+
+
+def test_sharding_is_even_and_gapless(spark, odd, empty):
+    for df, shards in ((spark.read.parquet(f"{SF}/documents.parquet"), 40), (odd, 3)):
+        got = sharding.shard(df, shards).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        sizes = [len(by[s]) for s in range(shards)]
+        assert sum(sizes) == df.count() and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard(empty).count() == 0
+
+
+def test_label_propagation_moves_towards_neighbours(spark):
+    rows = [(i, i, f"h{i % 5}".encode() if i < 40 else f"single{i}".encode(), i % 4) for i in range(80)]
+    df = common.table(spark.createDataFrame(rows, "rank long, doc_id long, hub binary, shard int"), "t")
+    moved = sharding.propagate(df, 6).collect()
+    spread = lambda rs: sum(len({s for h, s in rs if h == g}) for g in {h for h, _ in rs})
+    linked = lambda rs: [(bytes(h), s) for i, h, s in rs if i < 40]
+    assert Counter(r.shard for r in moved) == Counter(r[3] for r in rows)
+    assert spread(linked([(r.rank, r.hub, r.shard) for r in moved])) < spread(linked([(r[0], r[2], r[3]) for r in rows]))
+
+
+def test_pii_surrogates(spark, odd, empty):
+    texts = ["mail ab.19@mail5.example.com, AB.19@MAIL5.EXAMPLE.COM and cd@mail5.example.com", "+1 (743) 555-3824 or 743-555-3824", "4111 1111 1111 1111", "ip 10.20.30.40.", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "Mr. Smith, John Smith and Mary Jones", None, "", "plain text of 2024"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sorted(pii.surrogates(df, "k").collect(), key=lambda r: r.doc_id)]
+    assert got[6:] == texts[6:]
+    for before, after in zip(texts[:6], got[:6], strict=True):
+        assert before != after
+    mails = got[0].replace(",", "").split()[1:]
+    assert mails[0] == mails[1].lower() and mails[0].split("@")[1] == mails[3].split("@")[1] and mails[0] != mails[3]
+    assert got[1][-12:] == got[1][4:7] + "-" + got[1][9:17] and got[1].startswith("+1 (")
+    digits = [int(c) for c in got[2] if c.isdigit()]
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    assert all(0 <= int(x) < 256 for x in got[3][3:-1].split(".")) and len(got[4]) == len(texts[4])
+    names = got[5].replace(",", "").split()
+    assert names[0] == "Mr." and names[1] == names[3] and "Smith" not in got[5] and names[5].lower().endswith("a") | names[5].lower().endswith("elle")
+    assert got != [r.text for r in sorted(pii.surrogates(df, "other").collect(), key=lambda r: r.doc_id)]
+    assert pii.surrogates(odd, "k").count() == len(ODD) and pii.surrogates(empty, "k").count() == 0
+
+
+def test_pii_numbers_stay_distinct(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("+1 (555) 555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"))
+    assert pii.surrogates(df, "k").select("text").distinct().count() == 3000
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1100)] + [(7000, 7000), (None, 3)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 1000 for i in range(1000, 1100)} | {7000: 7000}
+
+
+def test_ranked(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 1000).alias("o"))
+    got = defaultdict(list)
+    for r in common.ranked(df, [F.col("o")], ["g"], "t").collect():
+        got[r.g].append((r.rank, r.o))
+    for v in got.values():
+        v.sort()
+        assert [k for k, _ in v] == list(range(len(v))) and [o for _, o in v] == sorted(o for _, o in v)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, left = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.table(stage(spark, docs, sf), name)
+        assert docs.columns == columns and docs.count() <= left
+        left = docs.count()
+    assert decontaminate.matches(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).isEmpty()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert out.count() == left == corpus_pipeline.run(spark, sf).count()
