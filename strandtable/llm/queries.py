@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, minhash, mixing, pii, quality, sharding, simhash, tokens, warc
+from .common import table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +92,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert every document, revise those that are labelled toxic to an empty text, and repeat a commit."""
+    """Insert every document, revise those that are labelled toxic to an empty text, and repeat a commit.
+
+    Texts are counted once, into a ledger; what a revision takes out comes from the ledger's narrow rows.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
-    bad = docs.join(toxic, "doc_id", "left_semi")
+    names = ["byte_bpe_50k"]
+    ledger = table(tokens.counted(docs, names), "tokens-ledger")
     totals = tokens.Totals(spark)
-    totals.commit("inserts", docs, ["byte_bpe_50k"])
-    revised = bad.withColumn("sign", F.lit(-1)).unionByName(bad.withColumns({"text": F.lit(""), "sign": F.lit(1)}))
-    totals.commit("revisions", revised, ["byte_bpe_50k"])
-    totals.commit("inserts", docs, ["byte_bpe_50k"])
+    totals.commit_rollup("inserts", tokens.rollup(ledger))
+    out = ledger.join(toxic, "doc_id", "left_semi").withColumn("sign", F.lit(-1))
+    into = docs.drop("text").join(toxic, "doc_id", "left_semi").withColumn("text", F.lit(""))
+    totals.commit_rollup("revisions", tokens.rollup(out.unionByName(tokens.counted(into, names))))
+    totals.commit_rollup("inserts", tokens.rollup(ledger))
     return totals.totals()
 
 

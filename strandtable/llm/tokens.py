@@ -50,19 +50,23 @@ def encoder(name: str, folder: str = TOKENIZERS) -> tiktoken.Encoding:
 
 
 def counted(changes: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS) -> DataFrame:
-    """One row per change and tokenizer: source, lang, tokenizer, sign, n_tokens, n_chars."""
+    """One row per change and tokenizer: doc_id (null if there is none), source, lang, tokenizer, sign, n_tokens, n_chars.
+
+    Written as a table, it is a ledger of counts from which documents can be taken out again by narrow joins.
+    """
     small_batches(changes.sparkSession)
     sign = F.coalesce(F.col("sign").cast("int"), F.lit(1)) if "sign" in changes.columns else F.lit(1)
-    rows = changes.select(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), sign.alias("sign"))
+    doc_id = F.col("doc_id").cast("long") if "doc_id" in changes.columns else F.lit(None).cast("long")
+    rows = changes.select(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), sign.alias("sign"), doc_id.alias("doc_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [(t or "").encode("utf-8", "replace").decode() for t in b["text"]]
             for name in tokenizers:
                 n = [len(x) for x in map(encoder(name, folder).encode_ordinary, texts)]
-                yield pd.DataFrame({"source": b["source"], "lang": b["lang"], "tokenizer": name, "sign": b["sign"], "n_tokens": n, "n_chars": [len(t) for t in texts]})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": b["lang"], "tokenizer": name, "sign": b["sign"], "n_tokens": n, "n_chars": [len(t) for t in texts]})
 
-    return rows.mapInPandas(run, "source string, lang string, tokenizer string, sign int, n_tokens long, n_chars long")
+    return rows.mapInPandas(run, "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long, n_chars long")
 
 
 def rollup(rows: DataFrame) -> DataFrame:
