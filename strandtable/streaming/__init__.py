@@ -1,0 +1 @@
+"""Reserved: the covered jobs read finished tables only."""
