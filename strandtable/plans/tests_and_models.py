@@ -188,6 +188,6 @@ def _(v):
     return t.select("l_returnflag", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), "n")
 
 
-@query("n11_median_ratio_size_factors")
+@query("n2_size_factors")
 def _(v):
     return N.size_factors(v("counts"))
