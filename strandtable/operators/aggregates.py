@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import across_pieces, join_on_keys, sum_below, with_piece
+
 
 def count_by_chromosome(df: DataFrame, condition: Column | None = None, chromosomes: list[str] | None = None) -> DataFrame:
     """Filtered features per chromosome; no list of chromosomes means all."""
@@ -160,9 +162,10 @@ def running_average(df: DataFrame, keys: list[str], order: list[str], value: str
 
 def kneedle(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Knee of each key's values in falling order: first place where the line from max to min is highest above them."""
-    w = Window.partitionBy(*keys)
-    rows = df.select(*keys, F.col(value).alias("v")).withColumn("i", F.row_number().over(w.orderBy(F.desc("v"))) - 1)
-    rows = rows.withColumns({"hi": F.max("v").over(w), "lo": F.min("v").over(w), "n": F.count(F.lit(1)).over(w)})
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.groupBy(*keys).agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.sum("c").alias("n"))
+    # The line falls, so of equal values the first place has the greatest gap.
+    rows = join_on_keys(sum_below(counts, keys, "v", "c", "below"), ends, keys).withColumn("i", F.col("n") - F.col("below") - F.col("c"))
     gap = F.col("hi") + (F.col("lo") - F.col("hi")) * F.col("i") / F.col("n") - F.col("v")
     best = rows.withColumn("g", F.round(gap, 9)).groupBy(*keys).agg(F.max_by(F.struct("i", "v"), F.struct("g", -F.col("i"))).alias("k"))
     return best.select(*keys, F.col("k.i").alias("index"), F.col("k.v").alias("value"))
@@ -170,10 +173,13 @@ def kneedle(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def merge_intervals(df: DataFrame) -> DataFrame:
     """Unions of overlapping or touching intervals per chromosome."""
-    w = Window.partitionBy("chrom").orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.select("chrom", "start", "stop").distinct().withColumn("new", (F.coalesce(F.col("start") > reach + 1, F.lit(True))).cast("int"))
-    rows = rows.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_piece(df.select("chrom", "start", "stop").distinct(), "start")
+    w = Window.partitionBy("chrom", "_piece").orderBy("start", "stop")
+    rows = across_pieces(rows, ["chrom"], {"carried": ("max", F.max("stop"))})
+    reach = F.greatest("carried", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("new", (F.coalesce(F.col("start") > reach + 1, F.lit(True))).cast("int"))
+    rows = across_pieces(rows.select("chrom", "start", "stop", "_piece", "new"), ["chrom"], {"earlier": ("sum", F.sum("new"))})
+    rows = rows.withColumn("g", F.coalesce("earlier", F.lit(0)) + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("chrom", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("g")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.storage import settle
+from .matrix import complete
+from .statistics import kruskal_wallis
 
 #: Samples whose inner products the driver decomposes; features are never gathered.
 MOST_SAMPLES = 4000
@@ -70,6 +72,29 @@ def pca_scores(m: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
     return _decompose(m.sparkSession, {(r["a"], r["b"]): r["g"] for r in dots.collect()}, names, k)
 
 
+def remove_batch_components(m: DataFrame, sheet: DataFrame, p_limit: float = 0.05) -> DataFrame:
+    """Rebuild the matrix without the components whose sample scores differ between batches (rank test, p under ``p_limit``).
+
+    Only the samples-squared inner products are decomposed on the driver. What a component adds to a feature
+    is its loading, one sum over the feature's cells, times the sample's score; both are narrow aggregates.
+    Samples outside the sheet stay in the matrix and are not tested. Without such components cells stay as they are.
+    """
+    names = _names(m)
+    scores, explained = pca_scores(m, len(names))
+    real = explained.where("explained > 1e-9").select("component")
+    tested = scores.join(sheet.select("sample", "batch").distinct(), "sample").join(F.broadcast(real), "component")
+    bad = [r[0] for r in kruskal_wallis(tested, ["component"], "score", "batch").where(F.col("pvalue") < p_limit).select("component").orderBy("component").collect()]
+    full = complete(m)
+    if not bad:
+        return full.select("feature", "sample", F.col("value").cast("double").alias("value"))
+    lengths = scores.groupBy("component").agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("_l"))
+    unit = scores.where(F.col("component").isin(bad)).join(lengths, "component").select("sample", F.struct("component", (F.col("score") / F.col("_l")).alias("u")).alias("s"))
+    axes = settle(unit.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["u"]).alias("_u")))
+    loadings = m.join(axes, "sample").groupBy("feature").agg(F.array(*[F.sum(F.col("value") * F.col("_u")[k]) for k in range(len(bad))]).alias("_f"))
+    part = F.aggregate(F.zip_with("_f", "_u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return full.join(axes, "sample").join(loadings, "feature").select("feature", "sample", (F.col("value") - part).alias("value"))
+
+
 def pca_elbow(explained: DataFrame) -> DataFrame:
     """Components up to where the line from the first to the last share is highest above the shares."""
     s = explained.agg(F.max_by("explained", -F.col("component")).alias("hi"), F.max_by("explained", "component").alias("lo"), F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_sf, normal_two_sided
+from ..functions.ranking import average_ranks
 from .aggregates import frequent_values, kneedle, union_reports
 from .hierarchy import label_components
 from .statistics import mann_whitney
@@ -91,7 +92,7 @@ def missingness_report(df: DataFrame, columns: list[str], most: float = 0.8, tes
         for t in sorted(x for x in columns if x != c)[:tests]:
             both = df.select(F.explode(F.when(F.col(c).isNotNull(), F.array(F.lit("all"), F.lit("present"))).otherwise(F.array(F.lit("all")))).alias("g"), F.col(t).alias("v")).where("v is not null")
             if kinds[t] in NUMERIC:
-                p = mann_whitney(both.withColumn("k", F.lit(1)), ["k"], "v", "g", "all").select("pvalue")
+                p = mann_whitney(both.withColumn("k", F.lit(1)), ["k"], "v", "g", "all", few_keys=True).select("pvalue")
             else:
                 cells = both.groupBy("v").agg(F.count_if(F.col("g") == "all").alias("e"), F.count_if(F.col("g") == "present").alias("o"))
                 s = cells.join(F.broadcast(cells.agg(F.sum("e").alias("se"), F.sum("o").alias("so"))), F.lit(True))
@@ -155,12 +156,6 @@ def remove_outliers(df: DataFrame, key: str, columns: list[str], multihit: bool
     return df.join(bad, key, "left_anti")
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks with ties at their mean."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def kendall_tau(df: DataFrame, x: str, y: str, cells: int = 64) -> float | None:
     """tau-b over the contingency table; columns of over ``cells`` values are first cut at that many quantiles."""
     def coded(c: str, cuts: np.ndarray) -> Column:
@@ -195,7 +190,7 @@ def correlated_columns(df: DataFrame, columns: list[str], limit: float = 0.75) -
             p = rows.agg(F.corr("x", "y")).first()[0]
             if p is None or math.isnan(p) or p * p < limit:
                 continue
-            s = rows.select(average_rank("x", []).alias("x"), average_rank("y", []).alias("y")).agg(F.corr("x", "y")).first()[0]
+            s = average_ranks(average_ranks(rows, [], "x", "rx"), [], "y", "ry").agg(F.corr("rx", "ry")).first()[0]
             t = kendall_tau(rows, "x", "y")
             if s is not None and t is not None and s * s >= limit and t * t >= limit:
                 found.append((a, b, p, s, t))
@@ -301,7 +296,7 @@ class PipelineRegistry(RuleRegistry):
 
 def sample_correlation(m: DataFrame, spearman: bool = True) -> DataFrame:
     """(a, b, r) of all sample pairs over the features that both have."""
-    rows = m.withColumn("value", average_rank("value", ["sample"])) if spearman else m
+    rows = average_ranks(m, ["sample"], "value", "_rank").select("feature", "sample", F.col("_rank").alias("value")) if spearman else m
     left, right = rows.select("feature", F.col("sample").alias("a"), F.col("value").alias("x")), rows.select("feature", F.col("sample").alias("b"), F.col("value").alias("y"))
     return left.join(right, "feature").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
 

@@ -9,17 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_sf, erfc, fisher_two_sided, hypergeometric_sf, log2, normal_two_sided, t_two_sided
+from ..functions.ranking import across_pieces, average_ranks, join_on_keys, sum_below, with_piece
+from ..functions.storage import settle
 from . import filters, matrix
 
 
 def bh_fdr(df: DataFrame, p: str = "pvalue", by: list[str] = (), out: str = "padj") -> DataFrame:
-    """Benjamini-Hochberg. Only distinct p-values per group go through windows; null p-values stay null."""
+    """Benjamini-Hochberg; null p-values stay null.
+
+    Only distinct p-values go through windows, cut into pieces, so neither all of them nor a large group
+    of ``by`` is one task.
+    """
     keys = list(by)
     counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(p)
-    counts = counts.withColumns({"_r": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
-    step = counts.withColumn("_q", F.col(p) * F.col("_all") / F.col("_r"))
-    step = step.withColumn(out, F.least(F.lit(1.0), F.min("_q").over(w.rowsBetween(0, Window.unboundedFollowing)))).select(*keys, F.col(p).alias("_p"), out)
+    rows = with_piece(counts, p)
+    w = Window.partitionBy(*keys, "_piece").orderBy(p)
+    zero = F.lit(0)
+    rows = across_pieces(rows, keys, {"_b": ("sum", F.sum("_n"))}).withColumn("_r", F.coalesce("_b", zero) + F.sum("_n").over(w))
+    rows = rows.withColumn("_q", F.col(p) * (F.coalesce("_b", zero) + F.col("_b_own") + F.coalesce("_b_later", zero)) / F.col("_r"))
+    rows = across_pieces(rows.select(*keys, "_piece", p, "_q"), keys, {"_m": ("min", F.min("_q"))})
+    step = F.least(F.lit(1.0), F.min("_q").over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_m_later"))
+    step = rows.withColumn(out, step).select(*keys, F.col(p).alias("_p"), out)
     on = F.col(p) == F.col("_p")
     for k in keys:
         step = step.withColumnRenamed(k, f"_by_{k}")
@@ -27,15 +37,20 @@ def bh_fdr(df: DataFrame, p: str = "pvalue", by: list[str] = (), out: str = "pad
     return df.join(step, on, "left").drop("_p", *[f"_by_{k}" for k in keys])
 
 
-def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first: str) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first: str, few_keys: bool = False) -> DataFrame:
     """Rank-sum test per key: U of group ``first``, tie-corrected two-sided normal p with continuity.
 
-    Equal values are counted before ranking, so a window sees one row per key, value.
+    Equal values are counted before ranking, so a window sees one row per key, value. ``few_keys`` cuts
+    the values of a key into pieces, for keys that hold a large part of all rows.
     """
     v = df.groupBy(*keys, value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) != first).alias("b"))
     t = F.col("a") + F.col("b")
-    below = F.coalesce(F.sum(t).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    v = v.where(F.col(value).isNotNull()).withColumns({"t": t, "rank": below + (t + 1) / 2})
+    v = v.where(F.col(value).isNotNull()).withColumn("t", t)
+    if few_keys:
+        v = sum_below(v, keys, value, "t", "below")
+    else:
+        v = v.withColumn("below", F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    v = v.withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     s = v.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     n, n1, n2 = F.col("n1") + F.col("n2"), F.col("n1"), F.col("n2")
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
@@ -44,6 +59,18 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str, first:
     return s.withColumn("z", z).withColumn("pvalue", normal_two_sided(F.col("z"))).select(*keys, "n1", "n2", "u", "z", "pvalue")
 
 
+def kruskal_wallis(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
+    """Rank test of any number of groups per key: tie-corrected H and its chi-square p; null for one group or no spread."""
+    ranked = average_ranks(df.where(F.col(group).isNotNull()), keys, value, "_rank")
+    ties = ranked.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
+    s = ranked.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.sum("_rank").alias("r"))
+    s = s.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("r") ** 2 / F.col("n")).alias("q"), (F.count(F.lit(1)) - 1).alias("df"))
+    n = F.col("n").cast("double")
+    even = F.when(n > 1, 1 - F.try_divide(F.col("ties"), n**3 - n)).otherwise(0.0)
+    s = join_on_keys(s, ties, keys).withColumn("h", F.when((F.col("df") > 0) & (even > 0), (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / even))
+    return s.withColumn("pvalue", chi2_sf(F.col("h"), F.col("df"))).select(*keys, "n", "df", "h", "pvalue")
+
+
 def signed_rank(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
     """Wilcoxon signed-rank test per key; zero differences go, ties are corrected."""
     d = df.where(F.col(difference) != 0).groupBy(*keys, F.abs(difference).alias("m")).agg(F.count_if(F.col(difference) > 0).alias("a"), F.count(F.lit(1)).alias("t"))
@@ -87,21 +114,21 @@ def overrepresentation(genes: DataFrame, t2g: DataFrame, least: int = 10, most:
     rows = rows.withColumns({"expected": F.bround(expected), "log2ratio": F.when(F.col("hits") > 0, log2(F.col("hits") / expected)).otherwise(float("-inf"))})
     k = (F.col("hits"), F.col("population"), F.col("marked"), F.col("drawn"))
     rows = rows.withColumns({"behavior": F.when(F.col("hits") > expected, "over").when(F.col("hits") < expected, "under").otherwise("as expected"), "pvalue": (fisher_two_sided if two_sided else hypergeometric_sf)(*k)})
-    return bh_fdr(rows).orderBy("padj", "category")
+    return bh_fdr(settle(rows)).orderBy("padj", "category")
 
 
 def differential_utest(m: DataFrame, sheet: DataFrame, reference: str, other: str, least: float = 10, ratios: bool = False) -> DataFrame:
     """Low-count filter, normalisation, medians, log2 change, rank test and adjusted p per feature."""
     use = sheet.where(F.col("condition").isin(reference, other)).select("sample", "condition")
     m = matrix.complete(m.join(use.select("sample"), "sample", "left_semi"))
-    m = filters.low_count_filter(m, least, use.count(), "over_half")
+    m = settle(filters.low_count_filter(m, least, use.count(), "over_half"))
     normal = matrix.median_of_ratios(m) if ratios else matrix.pf_log1p_pf(m)
-    rows = normal.join(use, "sample")
+    rows = settle(normal.join(use, "sample").select("feature", "condition", "value"))
     mid = lambda c: F.median(F.when(F.col("condition") == c, F.col("value")))
     s = rows.groupBy("feature").agg(mid(reference).alias("median_ref"), mid(other).alias("median_other"))
     change = log2((F.col("median_other") + 1) / (F.col("median_ref") + 1)) if ratios else F.col("median_other") - F.col("median_ref")
     t = mann_whitney(rows, ["feature"], "value", "condition", other).select("feature", "u", "pvalue")
-    return bh_fdr(s.withColumn("log2FoldChange", change).join(t, "feature"))
+    return bh_fdr(settle(s.withColumn("log2FoldChange", change).join(t, "feature")))
 
 
 def nb_two_group_wald(m1: Column, n1: Column, m2: Column, n2: Column) -> tuple[Column, Column]:
@@ -190,6 +217,7 @@ def genotype_effect(df: DataFrame, reference: str, p_limit: float = 0.05) -> Dat
     """Per cell type, each genotype against the reference: difference, t-test p, enriched or depleted, medians."""
     v = F.col("value")
     s = df.groupBy("cell_type", "genotype").agg(F.avg(v).alias("mean"), F.var_samp(v).alias("var"), F.count(v).alias("n"), F.median(v).alias("median"))
+    s = settle(s)
     ref = s.where(F.col("genotype") == reference).select("cell_type", *[F.col(c).alias(f"ref_{c}") for c in ("mean", "var", "n", "median")])
     rows = s.where(F.col("genotype") != reference).join(ref, "cell_type")
     n = F.col("n") + F.col("ref_n")
@@ -205,7 +233,7 @@ def gene_linear_model(m: DataFrame, sheet: DataFrame, reference: str, other: str
     rows = matrix.complete(m).join(sheet.where(F.col("condition").isin(reference, other)), "sample")
     named = rows.select(F.col("feature").alias("cell_type"), F.col("condition").alias("genotype"), "value")
     out = genotype_effect(named, reference).select(F.col("cell_type").alias("feature"), F.col("effect").alias("change"), "pvalue")
-    return bh_fdr(out)
+    return bh_fdr(settle(out))
 
 
 def nb_differential(m: DataFrame, sheet: DataFrame, reference: str, other: str) -> DataFrame:
@@ -213,7 +241,7 @@ def nb_differential(m: DataFrame, sheet: DataFrame, reference: str, other: str)
 
     Size factors by median of ratios, Wald test with the pooled moment dispersion, and BH.
     """
-    full = matrix.complete(m.join(sheet.where(F.col("condition").isin(reference, other)).select("sample"), "sample", "left_semi"))
+    full = settle(matrix.complete(m.join(sheet.where(F.col("condition").isin(reference, other)).select("sample"), "sample", "left_semi")))
     rows = matrix.median_of_ratios(full).join(sheet.select("sample", "condition"), "sample")
     at = lambda f, c: f(F.when(F.col("condition") == c, F.col("value")))
     s = rows.groupBy("feature").agg(*[at(f, c).alias(f"{n}{k}") for k, c in enumerate((reference, other)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
@@ -224,7 +252,7 @@ def nb_differential(m: DataFrame, sheet: DataFrame, reference: str, other: str)
     m0, m1 = F.greatest("m0", F.lit(0.5)), F.greatest("m1", F.lit(0.5))
     se = F.sqrt((1 / m0 + alpha) / F.col("n0") + (1 / m1 + alpha) / F.col("n1"))
     out = s.where(mean > 0).select("feature", mean.alias("base_mean"), log2(m1 / m0).alias("log2FoldChange"), alpha.alias("dispersion"), (F.log(m1 / m0) / se).alias("z"))
-    return bh_fdr(out.withColumn("pvalue", normal_two_sided(F.col("z"))))
+    return bh_fdr(settle(out.withColumn("pvalue", normal_two_sided(F.col("z")))))
 
 
 def diff_methylation(calls: DataFrame, groups: DataFrame, one: str, two: str) -> DataFrame:
@@ -261,7 +289,7 @@ def pairwise_condition_tests(df: DataFrame) -> DataFrame:
     pairs = names.select(F.col("condition").alias("one")).join(names.select(F.col("condition").alias("two")), F.col("one") < F.col("two"))
     rows = df.join(F.broadcast(pairs), (F.col("condition") == F.col("one")) | (F.col("condition") == F.col("two")))
     marked = rows.withColumn("side", F.when(F.col("condition") == F.col("one"), "one").otherwise("two"))
-    return bh_fdr(mann_whitney(marked, ["one", "two"], "value", "side", "one"))
+    return bh_fdr(mann_whitney(marked, ["one", "two"], "value", "side", "one", few_keys=True))
 
 
 def nested_resampling_test(df: DataFrame, one: str, two: str, rounds: int = 1000, seed: int = 1) -> DataFrame:

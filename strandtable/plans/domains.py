@@ -214,6 +214,11 @@ def _(v):
     return C.pca_scores(v("counts"))[0]
 
 
+@query("n11_remove_batch_components")
+def _(v):
+    return C.remove_batch_components(v("counts"), v("sheet")).withColumn("value", r6("value"))
+
+
 @query("c5_pca_elbow")
 def _(v):
     return C.pca_elbow(C.pca_scores(v("counts"))[1])

@@ -3,11 +3,13 @@
 import math
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandtable.functions import numeric as N
-from strandtable.operators import aggregates, exploration, filters, hierarchy, joins, sequences, statistics
+from strandtable.functions.ranking import average_ranks
+from strandtable.operators import aggregates, community, exploration, filters, hierarchy, joins, sequences, statistics
 from strandtable.sources import readers
 
 
@@ -44,6 +46,55 @@ def test_bh_is_monotone_and_worked(spark):
     assert got[0.01] == pytest.approx(0.04) and got[0.03] == pytest.approx(0.16 / 3) and got[0.04] == pytest.approx(0.16 / 3) and got[0.5] == 0.5 and got[None] is None
 
 
+def test_pieces_rank_like_one_window(spark):
+    rows = [(None if i % 7 == 0 else i % 3, float(i * 37 % 101) if i % 5 else 4.0) for i in range(400)] + [(1, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = sorted((str(r.k), r.v, r.r) for r in average_ranks(df, ["k"], "v", "r").collect())
+    want = []
+    for k, v in rows[:-1]:
+        mine = [x for j, x in rows[:-1] if j == k]
+        want.append((str(k), v, sum(x < v for x in mine) + (mine.count(v) + 1) / 2))
+    assert got == sorted(want)
+    assert average_ranks(df.where("false"), [], "v", "r").count() == 0
+
+
+def test_mann_whitney_in_pieces(spark):
+    df = spark.createDataFrame([(i % 2, float(i * i % 83), "ab"[i % 3 > 1]) for i in range(300)], "k int, v double, g string")
+    whole, cut = (sorted(map(tuple, statistics.mann_whitney(df, ["k"], "v", "g", "a", few).collect())) for few in (False, True))
+    assert whole == cut
+
+
+def test_kruskal_wallis_worked(spark):
+    rows = [("k", v, g) for g, vs in (("a", [27, 2, 4, 18, 7, 9]), ("b", [20, 8, 14, 36, 21, 22]), ("c", [34, 31, 3, 23, 30, 6])) for v in vs] + [("one", 1, "a")]
+    got = {r.k: r for r in statistics.kruskal_wallis(spark.createDataFrame(rows, "k string, v int, g string"), ["k"], "v", "g").collect()}
+    assert got["k"].h == pytest.approx(2.854, abs=1e-3) and got["k"].df == 2 and got["one"].h is None
+
+
+def test_merge_intervals_across_pieces(spark):
+    rows = [(i % 2, i * 17 % 3000, i * 17 % 3000 + (2500 if i == 40 else i % 11)) for i in range(900)]
+    got = sorted((r.chrom, r.start, r.stop) for r in aggregates.merge_intervals(spark.createDataFrame(rows, "chrom int, start int, stop int")).collect())
+    want = []
+    for c, a, b in sorted(rows):
+        if want and want[-1][0] == c and a <= want[-1][2] + 1:
+            want[-1] = (c, want[-1][1], max(b, want[-1][2]))
+        else:
+            want.append((c, a, b))
+    assert got == want
+
+
+def test_batch_components_are_removed(spark):
+    rng = np.random.default_rng(3)
+    batch = np.arange(12) % 2
+    x = rng.normal(size=(60, 12)) + np.outer(6 * rng.normal(size=60), batch)
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(12)], "feature int, sample int, value double")
+    sheet = spark.createDataFrame([(j, int(batch[j])) for j in range(12)], "sample int, batch int")
+    got = community.remove_batch_components(m, sheet).toPandas().pivot(index="feature", columns="sample", values="value").to_numpy()
+    axis = np.linalg.svd(x - x.mean(axis=1, keepdims=True), full_matrices=False)[2][0]
+    assert np.allclose(got, x - np.outer((x - x.mean(axis=1, keepdims=True)) @ axis, axis))
+    same = community.remove_batch_components(m, sheet.withColumn("batch", F.lit(1)))
+    assert same.count() == 720
+
+
 def test_mann_whitney_u_sum(spark):
     rows = [("k", float(v), g) for g, vs in (("a", [1, 2, 2, 5]), ("b", [2, 3, 9])) for v in vs]
     df = spark.createDataFrame(rows, "k string, v double, g string")
