@@ -131,29 +131,36 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not chosen or not chosen[0][1]:
         return Model(prior)
     picked = spark.createDataFrame(chosen, "id long, trusted boolean")  # bounded by the parameters
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     @F.pandas_udf("array<double>")
     def numbers(text: pd.Series) -> pd.Series:
         return pd.Series(list(_matrix(text)))
 
-    rows = docs.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("id")).select("id", "trusted", numbers(F.col("text").cast("string")).alias("x"))
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "trusted", numbers("text").alias("x"))
     rows = sorted(rows.collect(), key=lambda r: (r["trusted"], r["id"], r["x"]))  # one order, so that reruns agree
     x = lambda trusted: np.array([r["x"] for r in rows if r["trusted"] == trusted]).reshape(-1, N_STATISTICS)
     return Model(prior).fit(x(True), x(False)) if len(x(False)) else Model(prior)
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """Add the score of each row's whole text."""
-    small_batches(docs.sparkSession)
+def scored(model: Model) -> Column:
+    """The score of each row's whole text."""
 
     @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
+    def run(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(_matrix(text)))
 
-    return docs.withColumn(name, scored(F.col("text").cast("string")))
+    return run(F.col("text").cast("string"))
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Add the score; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, scored(model))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    found = score(docs, train(docs, labels), "_score")
-    return found.where(F.col("_score") >= threshold).drop("_score")
+    model = train(docs, labels)
+    small_batches(docs.sparkSession)
+    return docs.where(scored(model) >= threshold)

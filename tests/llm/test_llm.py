@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, source string"
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns whose names the operators use inside."""
     df = spark.createDataFrame(ODD, DOCS)
-    return df.withColumns({c: F.lit(7) for c in ("fp", "rank", "shard", "size", "key", "part", "component", "node", "lang", "picked", "_order", "pattern", "n", "digest")})
+    return df.withColumns({c: F.lit(7) for c in ("fp", "rank", "shard", "size", "key", "part", "component", "node", "lang", "picked", "_order", "pattern", "n", "digest", "id", "trusted", "_score", "x", "_keep", "_id", "_leak", "_again", "hub", "words")})
 
 
 @pytest.fixture
