@@ -18,7 +18,9 @@ or more: such fingerprints differ in about 10 bits, too many for two segments. F
 and radius ``WIDE`` = 11 leave a ball of radius 2 around one segment, met half-way: owners and askers both
 spread to the values one bit away. Fingerprints that far apart need not be near copies, so each bucket
 emits a minimum spanning forest by distance and its edges are verified by bottom-k sketches. Comparisons
-grow as the square of the fingerprints over 120; ``classes`` stays in proportion to its input.
+grow as the square of the fingerprints over 120; ``classes`` stays in proportion to its input. This
+search is not complete: copies of 0.8 to 0.85 may differ in over ``WIDE`` bits, and a closer text that is
+like neither can stand between two copies (the README has the measured share).
 
 Nulls and odd rows: a null text counts as empty; an empty text has fingerprint zero and is linked like
 any other. Null doc_ids keep their row; a component of null ids alone is null. Repeated rows stay.
