@@ -17,7 +17,8 @@ is lost. Components are found by joins (``common.components``); nothing is gathe
 or more: such fingerprints differ in about 10 bits, too many for two segments. Four segments of 16 bits
 and radius ``WIDE`` = 11 leave a ball of radius 2 around one segment, met half-way: owners and askers both
 spread to the values one bit away. Fingerprints that far apart need not be near copies, so each bucket
-emits a minimum spanning forest by distance and its edges are verified by bottom-k sketches. Comparisons
+emits a minimum spanning forest by distance. Texts that it joins are a group, and within a group every pair
+is decided by the Jaccard similarity of whole shingle sets, behind a filter of 64-bit signatures. Comparisons
 grow as the square of the fingerprints over 120; ``classes`` stays in proportion to its input. This
 search is not complete: copies of 0.8 to 0.85 may differ in over ``WIDE`` bits, and a closer text that is
 like neither can stand between two copies (the README has the measured share).
@@ -34,22 +35,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import components, shuffle_parts, small_batches, table
 
 RADIUS = 3
 SEED = 42
 WIDE = 11
 LIKE = 0.8
-#: Shingle hashes in a sketch: texts of fewer distinct shingles are compared exactly, others with a
-#: standard error of 0.025 at a similarity of 0.8.
-KEPT = 256
+#: Bits in which signatures of texts at ``LIKE`` may differ: 6.4 on average, over 18 once in 100000 pairs.
+LOOSE = 18
+#: Texts whose shingle sets a task compares with each other; a task holds two such blocks at most.
+GROUP = 1024
 #: Fingerprints that a task compares with each other; a task holds two such blocks at most.
 BLOCK = 8192
 _SEGMENT = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
+_A, _B = minhash._functions(64)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -211,35 +215,115 @@ def classes(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The ``KEPT`` smallest distinct hashes (their upper halves), sorted."""
-    least = np.unique(hashes)[:KEPT]
-    return np.unique((least >> np.uint64(32)).astype("<u4")).tobytes()
+def signature(distinct: np.ndarray) -> int:
+    """64 bits of a text's distinct shingle hashes: one well-mixed bit of each of 64 minima (MinHash)."""
+    least = np.full((64, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(distinct), 512):
+        np.minimum(least, (_A * distinct[at : at + 512] + _B).min(axis=1, keepdims=True), out=least)
+    return int(np.packbits(minhash.places(least[:, 0]) & 1, bitorder="little").view("<u8")[0])
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sketches' sets: exact if neither is full, else from the smallest of the union."""
-    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-    union = np.union1d(x, y)
-    if max(len(x), len(y)) >= KEPT - 1:
-        union = union[:KEPT]
-    if not len(union):
-        return 1.0
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(both, union[-1], side="right") / len(union))
-
-
-def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, fp, sketch binary): fingerprint and sketch of each row's whole text, from the same shingles."""
+def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, sk long, sig long): fingerprint, digest of the distinct shingles and their signature, of each row's whole text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashed = [shingle_hashes(t, width) for t in b["text"]]
-            fp = np.array([majority(h) for h in hashed], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "sketch": [sketch(h) for h in hashed]})
+            sets = [np.unique(h) for h in hashed]
+            made = {"fp": [majority(h) for h in hashed], "sk": [xxhash.xxh64_intdigest(x.tobytes()) for x in sets], "sig": [signature(x) for x in sets]}
+            yield pd.DataFrame({"doc_id": b["doc_id"]} | {k: np.array(v, dtype=np.uint64).view(np.int64) for k, v in made.items()})
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long, sk long, sig long")
+
+
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by ``by``, in frames that hold whole runs of equal keys."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        keys = batch[by].to_numpy()
+        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        cut = last[-1] + 1 if len(last) else 0
+        if held and (cut or (held[-1][by].to_numpy()[-1] != keys[-1]).any()):
+            yield pd.concat([*held, batch[:cut]])
+            held = []
+        elif cut:
+            yield batch[:cut]
+        held.append(batch[cut:])
+    if held:
+        yield pd.concat(held)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long, sketch binary")
+def _spans(rows: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+    """Start and end of each run of two rows or more."""
+    keys = rows[by].to_numpy()
+    cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)])).tolist()
+    return [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
+
+
+def _verified(node: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], like: float) -> tuple[list, list]:
+    """Edges of a spanning forest of the pairs whose Jaccard similarity is ``like`` or more."""
+    size = np.array([len(x) for x in sets])
+    left, right = [], []
+    rest = np.arange(len(node))
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.bitwise_count(sig[rest] ^ sig[x]) <= LOOSE
+            near &= np.minimum(size[rest], size[x]) >= like * np.maximum(size[rest], size[x])
+            found = np.zeros(len(rest), dtype=bool)
+            for k in np.flatnonzero(near).tolist():
+                y = rest[k]
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                union = size[x] + size[y] - both
+                found[k] = not union or both / union >= like
+            left += [node[x]] * int(found.sum())
+            right += node[rest[found]].tolist()
+            front += rest[found].tolist()
+            rest = rest[~found]
+    return left, right
+
+
+def _true_links(docs: DataFrame, groups: DataFrame, width: int, like: float, block: int = GROUP) -> DataFrame:
+    """(a, b): edges that connect just the pairs of ``like`` or more within each group of ``groups`` (node, component).
+
+    Whole shingle sets decide. A group of over ``block`` nodes is cut into blocks and each pair of blocks
+    is one group of a task. Texts are shuffled once to meet the nodes, and only the nodes' sets again.
+    """
+    spark = docs.sparkSession
+    by = ["component", "i", "j"]
+    large = groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    placed = table(groups.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks")), "simhash-placed")
+    small_batches(spark)
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
+            sig = np.array([signature(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield b[["node", "component", "blocks"]].assign(sig=sig, shingles=[x.tobytes() for x in sets])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _runs(batches, by):
+            node, sig = rows["node"].to_numpy(np.int64), rows["sig"].to_numpy(np.int64).view(np.uint64)
+            sets = [np.frombuffer(x, dtype="<u8") for x in rows["shingles"]]
+            a, b = [], []
+            for x, y in _spans(rows, by):
+                left, right = _verified(node[x:y], sig[x:y], sets[x:y], like)
+                a += left
+                b += right
+            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(placed.hint("merge"), "node").select("node", "component", "blocks", "text")
+    rows = rows.mapInPandas(shingled, "node long, component long, blocks int, sig long, shingles binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig", "shingles")
+    rows = rows.repartition(shuffle_parts(spark), *by).sortWithinPartitions(*by)
+    return rows.mapInPandas(solve, "a long, b long").where("a <> b")
 
 
 def _tree(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,34 +402,25 @@ def _wide_links(nodes: DataFrame, radius: int, block: int) -> DataFrame:
     return rows.mapInPandas(solve, "a long, b long").distinct()
 
 
-def _alike(a: str, b: str) -> Column:
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return alike(a, b)
-
-
-def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, radius: int = WIDE, block: int = BLOCK) -> DataFrame:
+def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, radius: int = WIDE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(doc_id, component_id): classes of near copies, verified to be ``like`` or more alike.
 
-    Rows of one fingerprint and sketch are one node, named by its smallest doc_id. Each node is compared
-    with the first node of its fingerprint, and first nodes along the forests. Joins keep one strategy at
-    every size, so that the work grows evenly.
+    Rows of one fingerprint and shingle set are one node, named by its smallest doc_id. Each node is
+    compared with the first node of its fingerprint, and first nodes along the forests; nodes that this
+    joins are a group, in which whole shingle sets decide every pair.
     """
-    own = table(sketches(docs, width).withColumn("sk", F.xxhash64("sketch")), "simhash-sketches")
-    nodes = table(own.where("doc_id is not null").groupBy("fp", "sk").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    own = table(signatures(docs, width), "simhash-signatures")
+    nodes = table(own.where("doc_id is not null").groupBy("fp", "sk", "sig").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     firsts = table(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-firsts")
     edges = table(_wide_links(firsts, radius, block), "simhash-wide")
     side = lambda c: firsts.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
     across = edges.join(side("a"), "a").join(side("b"), "b").select("ra", "rb")
     inner = nodes.join(firsts.withColumnRenamed("rep", "rb"), "fp").where("rep <> rb").select(F.col("rep").alias("ra"), "rb")
-    pairs = table(across.union(inner), "simhash-pairs")
-    part = lambda c: own.select(F.col("doc_id").alias(f"r{c}"), F.col("sketch").alias(f"s{c}")).hint("merge")
-    true = pairs.join(part("a"), "ra").join(part("b"), "rb").where(_alike("sa", "sb") >= like).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    groups = components(table(true, "simhash-true"), "simhash-parts")
-    named = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("fp", "sk", F.coalesce("component", "rep").alias("component_id"))
-    return own.select("doc_id", "fp", "sk").join(named, ["fp", "sk"], "left").select("doc_id", "component_id")
+    groups = components(across.union(inner).toDF("a", "b"), "simhash-groups")
+    equal = nodes.groupBy("sk", "sig").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b"))
+    true = table(_true_links(docs, groups, width, like, group).union(equal), "simhash-true")
+    named = nodes.join(components(true, "simhash-parts"), F.col("rep") == F.col("node"), "left").select("fp", "sk", "sig", F.coalesce("component", "rep").alias("component_id"))
+    return own.join(named, ["fp", "sk", "sig"], "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

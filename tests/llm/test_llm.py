@@ -83,6 +83,32 @@ def test_near_copies_at_four_fifths(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 11}
 
 
+def edited(words, changed):
+    """``words`` with the word of every place in ``changed`` replaced."""
+    return " ".join("new" if i in changed else w for i, w in enumerate(words))
+
+
+def jaccard(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_long_near_copies_are_decided_exactly(spark):
+    """Pairs of 1000 shingles just above and below 0.8, where samples of the shingles go wrong."""
+    rows, want = [], {}
+    for k in range(60):
+        words = [f"p{k}x{i}" for i in range(1004)]
+        pair = " ".join(words), edited(words, {9 + 40 * j for j in range(22 if k % 2 else 23)})
+        if (simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count() <= simhash.WIDE:
+            alike = jaccard(*pair)
+            assert 0 < abs(alike - 0.8) < 0.007
+            rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+            want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if alike >= 0.8 else 2 * k + 1}
+    assert sum(k != v for k, v in want.items()) > 9 and sum(k == v and k % 2 for k, v in want.items()) > 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(df).collect()} == want
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r.doc_id, r.component_id) for r in simhash.classes(odd).collect()]
     assert Counter(got) == Counter([(1, 1), (1, 1), (2, 2), (3, 2), (None, None), (4, 4), (5, 2), (6, 1)])
