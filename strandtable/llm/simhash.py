@@ -16,12 +16,12 @@ is lost. Components are found by joins (``common.components``); nothing is gathe
 ``similar_classes`` is the same search for texts whose five-word shingles have a Jaccard similarity of 0.8
 or more: such fingerprints differ in about 10 bits, too many for two segments. Four segments of 16 bits
 and radius ``WIDE`` = 11 leave a ball of radius 2 around one segment, met half-way: owners and askers both
-spread to the values one bit away. Fingerprints that far apart need not be near copies, so each bucket
-emits a minimum spanning forest by distance. Texts that it joins are a group, and within a group every pair
-is decided by the Jaccard similarity of whole shingle sets, behind a filter of 64-bit signatures. Comparisons
-grow as the square of the fingerprints over 120; ``classes`` stays in proportion to its input. This
-search is not complete: copies of 0.8 to 0.85 may differ in over ``WIDE`` bits, and a closer text that is
-like neither can stand between two copies (the README has the measured share).
+spread to the values one bit away. Fingerprints that far apart, or even equal ones, need not be near
+copies, so rows of a bucket carry a 64-bit MinHash signature, and a bucket emits a spanning forest of the
+pairs that are near in bits and whose signatures pass. What it joins is a group of likely near copies, and
+within a group every pair is decided by the Jaccard similarity of whole shingle sets. Comparisons grow as
+the square of the fingerprints over 120; ``classes`` stays in proportion to its input. This search is not
+complete: copies of 0.8 to 0.85 may differ in over ``WIDE`` bits (the README has the measured share).
 
 Nulls and odd rows: a null text counts as empty; an empty text has fingerprint zero and is linked like
 any other. Null doc_ids keep their row; a component of null ids alone is null. Repeated rows stay.
@@ -326,78 +326,68 @@ def _true_links(docs: DataFrame, groups: DataFrame, width: int, like: float, blo
     return rows.mapInPandas(solve, "a long, b long").where("a <> b")
 
 
-def _tree(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning forest by distance, none longer than ``radius`` (Prim)."""
-    n = len(fps)
-    if n <= 512:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+def _near_forest(fp: np.ndarray, sig: np.ndarray, node: np.ndarray, radius: int) -> tuple[list, list]:
+    """Edges of a spanning forest of the pairs within ``radius`` bits whose signatures may be those of near copies."""
+    if len(fp) <= 512:
+        near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) & (np.bitwise_count(sig[:, None] ^ sig[None, :]) <= LOOSE)
         active = near.sum(axis=1) > 1
-        fps = fps[active]
-        n = len(fps)
+        if not active.any():
+            return [], []
+        fp, sig, node = fp[active], sig[active], node[active]
     left, right = [], []
-    best, via = np.full(n, 65, dtype=np.uint8), np.zeros(n, dtype=np.int64)
-    open_ = np.ones(n, dtype=bool)
-    for _ in range(n):
-        k = int(np.argmin(np.where(open_, best, 255)))
-        if best[k] <= radius:
-            left.append(fps[via[k]])
-            right.append(fps[k])
-        open_[k] = False
-        d = np.bitwise_count(fps ^ fps[k])
-        closer = open_ & (d < best)
-        best[closer], via[closer] = d[closer], k
-    return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
+    rest = np.arange(len(fp))
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = (np.bitwise_count(fp[rest] ^ fp[x]) <= radius) & (np.bitwise_count(sig[rest] ^ sig[x]) <= LOOSE)
+            if near.any():
+                found = rest[near].tolist()
+                left += [node[x]] * len(found)
+                right += node[found].tolist()
+                front += found
+                rest = rest[~near]
+    return left, right
 
 
 def _wide_links(nodes: DataFrame, radius: int, block: int) -> DataFrame:
-    """(a, b): minimum-spanning-forest edges of the buckets of four segments."""
+    """(a, b): edges among the ``rep`` of all ``nodes`` (fp, sig, rep) that connect every pair within ``radius`` of a bucket
+    of four segments whose signatures pass."""
     spark = nodes.sparkSession
+    by = ["bucket", "i", "j"]
     flips = np.concatenate(([0], 1 << np.arange(16))).astype(np.int64)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
+            fp, sig, rep = (b[c].to_numpy(np.int64) for c in ("fp", "sig", "rep"))
             for k in range(4):
                 own = (fp.view(np.uint64) >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
-                yield pd.DataFrame({"bucket": ((own[:, None] ^ flips[None, :]) + (k << 16)).ravel().astype(np.int32), "fp": np.repeat(fp, 17)})
+                bucket = ((own[:, None] ^ flips[None, :]) + (k << 16)).ravel().astype(np.int32)
+                yield pd.DataFrame({"bucket": bucket, "fp": np.repeat(fp, 17), "sig": np.repeat(sig, 17), "rep": np.repeat(rep, 17)})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def trees(rows: pd.DataFrame) -> pd.DataFrame:
-            keys = rows[["bucket", "i", "j"]].to_numpy()
-            fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(fp)]))
-            found = [_tree(fp[x:y], radius) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
-            a, b = (np.concatenate([f[k] for f in found] or [np.array([], dtype=np.uint64)]) for k in (0, 1))
-            return pd.DataFrame({"a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)}).drop_duplicates()
-
-        for batch in batches:
-            if batch.empty:
-                continue
-            keys = batch[["bucket", "i", "j"]].to_numpy()
-            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            cut = last[-1] + 1 if len(last) else 0
-            if held and not cut and (held[-1][["bucket", "i", "j"]].to_numpy()[-1] != keys[-1]).any():
-                yield trees(pd.concat(held))
-                held = []
-            elif cut:
-                yield trees(pd.concat([*held, batch[:cut]]))
-                held = []
-            held.append(batch[cut:])
-        if held:
-            yield trees(pd.concat(held))
+        for rows in _runs(batches, by):
+            fp, sig = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "sig"))
+            node = rows["rep"].to_numpy(np.int64)
+            a, b = [], []
+            for x, y in _spans(rows, by):
+                left, right = _near_forest(fp[x:y], sig[x:y], node[x:y], radius)
+                a += left
+                b += right
+            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     seg = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v")) for k in range(4)])).alias("s")
     counts = nodes.select(seg).groupBy("s.k", "s.v").count()
     values = F.explode(F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("v").bitwiseXOR(F.pow(F.lit(2.0), i).cast("int"))))).alias("v2")
     sizes = counts.select("k", "count", values).groupBy((F.col("k") * 65536 + F.col("v2")).alias("bucket")).agg(F.sum("count").alias("n"))
     large = sizes.where(F.col("n") > 2 * block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = nodes.select("fp").mapInPandas(spread, "bucket int, fp long").join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.repartition(shuffle_parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    rows = nodes.select("fp", "sig", "rep").mapInPandas(spread, "bucket int, fp long, sig long, rep long")
+    rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.select("bucket", "fp", "sig", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "sig", "rep")
+    rows = rows.repartition(shuffle_parts(spark), *by).sortWithinPartitions(*by)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows.mapInPandas(solve, "a long, b long").distinct()
 
@@ -405,18 +395,13 @@ def _wide_links(nodes: DataFrame, radius: int, block: int) -> DataFrame:
 def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, radius: int = WIDE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(doc_id, component_id): classes of near copies, verified to be ``like`` or more alike.
 
-    Rows of one fingerprint and shingle set are one node, named by its smallest doc_id. Each node is
-    compared with the first node of its fingerprint, and first nodes along the forests; nodes that this
-    joins are a group, in which whole shingle sets decide every pair.
+    Rows of one fingerprint and shingle set are one node, named by its smallest doc_id; nodes of one
+    fingerprint are compared like any others. Nodes that the search joins are a group, in which whole
+    shingle sets decide every pair.
     """
     own = table(signatures(docs, width), "simhash-signatures")
     nodes = table(own.where("doc_id is not null").groupBy("fp", "sk", "sig").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    firsts = table(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-firsts")
-    edges = table(_wide_links(firsts, radius, block), "simhash-wide")
-    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
-    across = edges.join(side("a"), "a").join(side("b"), "b").select("ra", "rb")
-    inner = nodes.join(firsts.withColumnRenamed("rep", "rb"), "fp").where("rep <> rb").select(F.col("rep").alias("ra"), "rb")
-    groups = components(across.union(inner).toDF("a", "b"), "simhash-groups")
+    groups = components(table(_wide_links(nodes, radius, block), "simhash-wide"), "simhash-groups")
     equal = nodes.groupBy("sk", "sig").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b"))
     true = table(_true_links(docs, groups, width, like, group).union(equal), "simhash-true")
     named = nodes.join(components(true, "simhash-parts"), F.col("rep") == F.col("node"), "left").select("fp", "sk", "sig", F.coalesce("component", "rep").alias("component_id"))

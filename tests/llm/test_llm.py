@@ -109,6 +109,21 @@ def test_long_near_copies_are_decided_exactly(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_classes(df).collect()} == want
 
 
+def test_near_copies_of_one_fingerprint_by_brute_force(spark):
+    """A line repeated often sets every bit, so unlike texts share a fingerprint; near copies among them are met."""
+    line = " ".join(f"hot{i}" for i in range(7))
+    tails = {1: [f"a{i}" for i in range(60)], 2: [f"b{i}" for i in range(60)], 4: [f"c{i}" for i in range(60)], 6: [f"d{i}" for i in range(60)]}
+    tails |= {3: [*tails[2][:-1], "z"], 5: [*tails[4][:-2], "y", "z"], 7: [*tails[6][:-1], "z"], 8: [*tails[6][:20], "q", *tails[6][21:40], "q", *tails[6][41:]]}
+    docs = {k: " ".join([line] * 200 + t) for k, t in tails.items()}
+    docs[7] += " extra"
+    assert len({simhash.fingerprint(t, 5) for t in docs.values()}) == 1
+    want = components_of(sorted(docs), [(a, b) for a in docs for b in docs if a < b and jaccard(docs[a], docs[b]) >= 0.8])
+    assert want == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(df, block=2, group=2).collect()} == want
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r.doc_id, r.component_id) for r in simhash.classes(odd).collect()]
     assert Counter(got) == Counter([(1, 1), (1, 1), (2, 2), (3, 2), (None, None), (4, 4), (5, 2), (6, 1)])
