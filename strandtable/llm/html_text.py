@@ -39,7 +39,13 @@ SILENT_TAGS = "script style template noscript svg iframe object canvas"
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _SILENT = "|".join(SILENT_TAGS.split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(?P<silent>{_SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+# Attributes are read by name and value, so that a stray quote is part of a name or an unquoted value.
+_ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<svg(?=[\s/>]){_ATTRS}(?<=/)>"
+    rf"|<(?P<silent>{_SILENT})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=silent)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")

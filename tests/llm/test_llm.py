@@ -179,6 +179,24 @@ def test_html_held_out_pages():
     assert wrong / n < 0.015
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>A<svg class='i'/> b</p><p>long text</p>", ["A b", "long text"]),
+        ("<p>A<svg/> b</p><svg><text>no</text></svg><p>c</p>", ["A b", "c"]),
+        ('<p>A<svg data-x="1>2"/> b</p>', ["A b"]),
+        ("<object-card><p>one</p></object-card><template-list>two</template-list><p>three</p>", ["one", "two", "three"]),
+        ("<object data=x><p>no</p></object><script>no</script><template\n>no</template><p>yes</p>", ["yes"]),
+        ("<p>a<img alt='5' tall'> b</p><p>it's c</p>", ["a b", "it's c"]),
+        ("<p data-x=it's>a</p><p>don't</p>", ["a", "don't"]),
+        ("<p title='x > y'>a</p><p title=\"it's\">b</p><p title = 'q'>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><p " + "x " * 20000, ["a"]),
+    ],
+)
+def test_html_text_survives_icons_custom_elements_and_stray_quotes(page, want):
+    assert " ".join(" ".join(b[0] for b in html_text.blocks(page)).split()) == " ".join(want)
+
+
 def test_html_viterbi_is_the_best_path():
     chain = html_text.trained()
     named = html_text.features(html_text.blocks(html_text.labelled_pages(1, seed=5)[0][0]))[:9]
