@@ -157,3 +157,10 @@ def test_gtf_missing_attribute(spark, tmp_path):
     (tmp_path / "a.gtf").write_text('#x\nchr1\ts\tgene\t1\t9\t.\t+\t.\tgene_id "G1"; gene_biotype "lnc";\n')
     r = readers.read_gtf(spark, str(tmp_path / "a.gtf")).first()
     assert (r.gene_id, r.gene_name, r.gene_biotype, r.start) == ("G1", "", "lnc", 1)
+
+
+def test_reads_are_whole_texts(spark):
+    from strandtable.plans import domains
+
+    rows = spark.createDataFrame([(1, "ab" * 500_003)], "item_id long, text string")
+    assert domains._reads(lambda name: rows).first()["seq"] == "ab" * 500_003
