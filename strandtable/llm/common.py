@@ -1,56 +1,29 @@
-"""Helpers shared by the text operators: shared storage, ranks over all rows, components."""
+"""Helpers shared by the text operators: slices of batches, ranks over all rows, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows in one Arrow batch that a Python task holds; long texts make larger batches costly.
-ARROW_ROWS = 256
+from ..functions.storage import drop_settled as drop_table
+from ..functions.storage import settle as table
+from ..functions.storage import shared_folder as shared_dir
 
+__all__ = ["components", "drop_table", "first_by_weight", "ranked", "seeded", "shared_dir", "shuffle_parts", "slices", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+#: Texts that a Python task works on at a time. Spark bounds the bytes of the batches that it hands over.
+SLICE = 256
 
-    Only where that setting is missing (single-machine sessions, tests) a local folder is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    It cuts the lineage like a checkpoint, in Parquet's compact form and with a known size, so that
-    later joins can be planned on it, and it survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete what ``table`` has written, once nothing reads it any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The batches in slices of a few rows; an empty batch is one slice."""
+    for b in batches:
+        for at in range(0, max(1, len(b)), rows):
+            yield b.iloc[at : at + rows].reset_index(drop=True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 
 WINDOW, STRIDE = 40, 20
 SHARE = 0.4
@@ -159,7 +159,7 @@ def _grouped(keys: np.ndarray, n_blocks: int) -> Iterator[tuple[int, list[int]]]
 
 def _search(index: Index) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             texts = [words(t) for t in b["text"]]
             ids, rows = b["doc_id"].tolist(), []
             by: dict[int, list[int]] = defaultdict(list)
@@ -181,7 +181,6 @@ def _search(index: Index) -> object:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, question_overlap, answer_overlap) of each document that holds a test item."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     items = items.where(F.col("text").rlike(r"(?U)\w"))
 

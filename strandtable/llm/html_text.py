@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 TRAINING_PAGES = 1200
 EPOCHS = 200
@@ -355,11 +355,10 @@ def main_text(page: str | None, chain: Chain) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each row of ``pages``."""
-    small_batches(pages.sparkSession)
     chain = trained()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             text = [main_text(h, chain) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 

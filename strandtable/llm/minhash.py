@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, shuffle_parts, small_batches, table
+from .common import components, shuffle_parts, slices, table
 
 PLACES = 128
 WIDTH = 5
@@ -134,7 +134,6 @@ def with_edited(docs: DataFrame) -> DataFrame:
     one task, and each slice gets a copy of the next one's first rows, so texts are shuffled once.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
     n = shuffle_parts(spark)
@@ -160,10 +159,9 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Equal shingle sets are one text: text_id is the digest of the sorted distinct shingle hashes.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(shingle_hashes(word_hashes((t or "").lower().split()), width)) for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"],

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded, small_batches
+from .common import seeded
 
 POSITIVES, UNLABELLED = 6000, 12000
 THRESHOLD = 0.3
@@ -118,7 +118,6 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 1) -> Model:
     """Fit on the training folds of ``labels`` (doc_id, quality) and on ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
     prior = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     if prior is None:
@@ -155,12 +154,10 @@ def scored(model: Model) -> Column:
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Add the score; a column of that name is replaced."""
-    small_batches(docs.sparkSession)
     return docs.withColumn(name, scored(model))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
     model = train(docs, labels)
-    small_batches(docs.sparkSession)
     return docs.where(scored(model) >= threshold)

@@ -14,14 +14,13 @@ blocks, and each pair of blocks is a task of its own, so no task gathers an unbo
 is lost. Components are found by joins (``common.components``); nothing is gathered on the driver.
 
 ``similar_classes`` is the same search for texts whose five-word shingles have a Jaccard similarity of 0.8
-or more: such fingerprints differ in about 10 bits, too many for two segments. Four segments of 16 bits
-and radius ``WIDE`` = 11 leave a ball of radius 2 around one segment, met half-way: owners and askers both
-spread to the values one bit away. Fingerprints that far apart, or even equal ones, need not be near
-copies, so rows of a bucket carry a 64-bit MinHash signature, and a bucket emits a spanning forest of the
-pairs that are near in bits and whose signatures pass. What it joins is a group of likely near copies, and
-within a group every pair is decided by the Jaccard similarity of whole shingle sets. Comparisons grow as
-the square of the fingerprints over 120; ``classes`` stays in proportion to its input. This search is not
-complete: copies of 0.8 to 0.85 may differ in over ``WIDE`` bits (the README has the measured share).
+or more. The bits of such fingerprints (here over distinct shingles) differ with a probability of 0.152, so
+64 bits are too few for a search by segments. ``Plan`` sizes the fingerprint by the number of texts: a
+segment has two bits more than the texts need to be numbered, so that few unlike texts meet in it at any
+size, and there are as many segments as leave one pair in ``MISS`` without a segment that differs in at
+most one bit. Pairs that meet there and are near in their first 128 bits are joined to groups; within a
+group every pair is verified by the distance of the complete fingerprints and then by whole shingle sets.
+Work grows as the texts times the segments, about n^1.25.
 
 Nulls and odd rows: a null text counts as empty; an empty text has fingerprint zero and is linked like
 any other. Null doc_ids keep their row; a component of null ids alone is null. Repeated rows stay.
@@ -30,7 +29,9 @@ Columns other than doc_id and text are ignored. An empty table gives an empty re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,22 +39,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import minhash
-from .common import components, shuffle_parts, small_batches, table
+from .common import components, shuffle_parts, slices, table
 
 RADIUS = 3
 SEED = 42
-WIDE = 11
 LIKE = 0.8
-#: Bits in which signatures of texts at ``LIKE`` may differ: 6.4 on average, over 18 once in 100000 pairs.
-LOOSE = 18
+#: How often a bit differs at ``LIKE``, with room for short texts, and the pairs that no segment may find.
+DIFFER, MISS = 0.16, 0.001
+#: Bits of the first 128 in which likely near copies may differ: 19 on average at ``LIKE``, over 38 once in 100000 pairs.
+LOOSE = 38
+#: Share of all bits in which texts whose shingle sets are compared may differ.
+FAR = 0.25
 #: Texts whose shingle sets a task compares with each other; a task holds two such blocks at most.
 GROUP = 1024
+#: Segment values that a task compares with each other.
+VALUES = 1 << 17
 #: Fingerprints that a task compares with each other; a task holds two such blocks at most.
 BLOCK = 8192
 _SEGMENT = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
-_A, _B = minhash._functions(64)
+_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -84,10 +90,8 @@ def fingerprint(text: str | None, width: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long): the fingerprint of each row's whole text, as a signed 64-bit number."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, width) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
@@ -149,9 +153,7 @@ def _forest(fps: np.ndarray) -> tuple[list, list]:
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning-forest edges of each bucket; rows come sorted by bucket and pair of blocks."""
-    held: list[pd.DataFrame] = []
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+    for rows in _runs(batches, ["bucket", "i", "j"]):
         keys = np.ascontiguousarray(rows[["bucket", "i", "j"]].to_numpy())
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -171,22 +173,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a.append(np.array(left, dtype=np.uint64))
             b.append(np.array(right, dtype=np.uint64))
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        return pd.DataFrame({"a": a, "b": b})[a != b]
-
-    for batch in batches:
-        if batch.empty:
-            continue
-        keys = batch[["bucket", "i", "j"]].to_numpy()
-        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        cut = last[-1] + 1 if len(last) else 0
-        if held and (cut or (held[-1][["bucket", "i", "j"]].to_numpy()[-1] != keys[-1]).any()):
-            yield solve(pd.concat([*held, batch[:cut]]))
-            held = []
-        elif cut:
-            yield solve(batch[:cut])
-        held.append(batch[cut:])
-    if held:
-        yield solve(pd.concat(held))
+        yield pd.DataFrame({"a": a, "b": b})[a != b]
 
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -199,7 +186,6 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("bucket", "fp", "own", other).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     rows = rows.repartition(shuffle_parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows.mapInPandas(_links, "a long, b long")
 
 
@@ -215,26 +201,47 @@ def classes(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def signature(distinct: np.ndarray) -> int:
-    """64 bits of a text's distinct shingle hashes: one well-mixed bit of each of 64 minima (MinHash)."""
-    least = np.full((64, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(distinct), 512):
-        np.minimum(least, (_A * distinct[at : at + 512] + _B).min(axis=1, keepdims=True), out=least)
-    return int(np.packbits(minhash.places(least[:, 0]) & 1, bitorder="little").view("<u8")[0])
+@dataclass(frozen=True)
+class Plan:
+    """The segments of a long fingerprint: ``n`` of ``bits`` bits each."""
+
+    bits: int
+    n: int
+
+    @classmethod
+    def of(cls, texts: int) -> Plan:
+        """For a number of texts: wide enough that few meet by chance, and enough segments to miss ``MISS`` of the pairs."""
+        bits = max(16, max(texts, 1).bit_length() + 2)
+        met = (1 - DIFFER) ** bits * (1 + bits * DIFFER / (1 - DIFFER))
+        return cls(bits, max(1, math.ceil(math.log(MISS) / math.log(1 - met)), -(-128 // bits)))
+
+    @property
+    def words(self) -> int:
+        return -(-self.bits * self.n // 64)
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, fp, sk long, sig long): fingerprint, digest of the distinct shingles and their signature, of each row's whole text."""
-    small_batches(docs.sparkSession)
+def long_fingerprint(distinct: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits: bit i is 1 if set in over half of the distinct shingles' hashes (each mixed once a word)."""
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(distinct), 4080):
+        h = distinct[at : at + 4080, None] * _ODD[None, :words]
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 bits fit into a byte
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(distinct), bitorder="little").view("<u8")
 
+
+def signatures(docs: DataFrame, plan: Plan, width: int = 5) -> DataFrame:
+    """(doc_id, sk binary, fp binary): digest of the distinct shingles and their long fingerprint, of each row's whole text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hashed = [shingle_hashes(t, width) for t in b["text"]]
-            sets = [np.unique(h) for h in hashed]
-            made = {"fp": [majority(h) for h in hashed], "sk": [xxhash.xxh64_intdigest(x.tobytes()) for x in sets], "sig": [signature(x) for x in sets]}
-            yield pd.DataFrame({"doc_id": b["doc_id"]} | {k: np.array(v, dtype=np.uint64).view(np.int64) for k, v in made.items()})
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "sk": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "fp": [long_fingerprint(x, plan.words).tobytes() for x in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long, sk long, sig long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, sk binary, fp binary")
 
 
 def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -263,161 +270,222 @@ def _spans(rows: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
     return [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
 
 
-def _verified(node: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], like: float) -> tuple[list, list]:
-    """Edges of a spanning forest of the pairs whose Jaccard similarity is ``like`` or more."""
-    size = np.array([len(x) for x in sets])
+def _apart(fp: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Bits in which row ``x`` of the fingerprints differs from ``others``."""
+    return np.bitwise_count(fp[others] ^ fp[x]).sum(axis=1, dtype=np.int64)
+
+
+def _tree(n: int, links: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list, list]:
+    """Edges of a spanning forest of ``links(x, others)`` among ``n`` things, breadth first."""
     left, right = [], []
-    rest = np.arange(len(node))
+    rest = np.arange(n)
     while len(rest):
-        front, rest = [rest[0]], rest[1:]
+        front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = np.bitwise_count(sig[rest] ^ sig[x]) <= LOOSE
-            near &= np.minimum(size[rest], size[x]) >= like * np.maximum(size[rest], size[x])
-            found = np.zeros(len(rest), dtype=bool)
-            for k in np.flatnonzero(near).tolist():
-                y = rest[k]
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                union = size[x] + size[y] - both
-                found[k] = not union or both / union >= like
-            left += [node[x]] * int(found.sum())
-            right += node[rest[found]].tolist()
-            front += rest[found].tolist()
-            rest = rest[~found]
+            found = links(x, rest)
+            if found.any():
+                met = rest[found].tolist()
+                left += [x] * len(met)
+                right += met
+                front += met
+                rest = rest[~found]
     return left, right
 
 
+def _verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], like: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs whose complete fingerprints are near and whose Jaccard similarity is ``like`` or more."""
+    size = np.array([len(x) for x in sets])
+    most = FAR * 64 * fp.shape[1]
+
+    def links(x: int, rest: np.ndarray) -> np.ndarray:
+        near = np.minimum(size[rest], size[x]) >= like * np.maximum(size[rest], size[x])
+        near[near] = _apart(fp, x, rest[near]) <= most
+        for k in np.flatnonzero(near).tolist():
+            both = len(np.intersect1d(sets[x], sets[rest[k]], assume_unique=True))
+            union = size[x] + size[rest[k]] - both
+            near[k] = not union or both / union >= like
+        return near
+
+    left, right = _tree(len(node), links)
+    return node[left], node[right]
+
+
 def _true_links(docs: DataFrame, groups: DataFrame, width: int, like: float, block: int = GROUP) -> DataFrame:
-    """(a, b): edges that connect just the pairs of ``like`` or more within each group of ``groups`` (node, component).
+    """(a, b): edges that connect just the pairs of ``like`` or more within each group of ``groups`` (node, component, fp).
 
     Whole shingle sets decide. A group of over ``block`` nodes is cut into blocks and each pair of blocks
-    is one group of a task. Texts are shuffled once to meet the nodes, and only the nodes' sets again.
+    is one group of a task. Only texts of groups are hashed again, and only their sets are shuffled.
     """
     spark = docs.sparkSession
     by = ["component", "i", "j"]
     large = groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = table(groups.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks")), "simhash-placed")
-    small_batches(spark)
+    placed = table(groups.join(large, "component", "left").select("node", "component", "fp", F.coalesce("blocks", F.lit(1)).alias("blocks")), "simhash-placed")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
-            sig = np.array([signature(x) for x in sets], dtype=np.uint64).view(np.int64)
-            yield b[["node", "component", "blocks"]].assign(sig=sig, shingles=[x.tobytes() for x in sets])
+        for b in slices(batches):
+            yield b[["node", "component", "fp", "blocks"]].assign(shingles=[np.unique(shingle_hashes(t, width)).tobytes() for t in b["text"]])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _runs(batches, by):
-            node, sig = rows["node"].to_numpy(np.int64), rows["sig"].to_numpy(np.int64).view(np.uint64)
-            sets = [np.frombuffer(x, dtype="<u8") for x in rows["shingles"]]
-            a, b = [], []
+            node = rows["node"].to_numpy(np.int64)
+            a, b = [node[:0]], [node[:0]]
             for x, y in _spans(rows, by):
-                left, right = _verified(node[x:y], sig[x:y], sets[x:y], like)
-                a += left
-                b += right
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+                fp = np.frombuffer(b"".join(rows["fp"].iloc[x:y]), dtype="<u8").reshape(y - x, -1)
+                left, right = _verified(node[x:y], fp, [np.frombuffer(s, dtype="<u8") for s in rows["shingles"].iloc[x:y]], like)
+                a.append(left)
+                b.append(right)
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(placed.hint("merge"), "node").select("node", "component", "blocks", "text")
-    rows = rows.mapInPandas(shingled, "node long, component long, blocks int, sig long, shingles binary")
+    rows = texts.join(placed, "node").select("node", "component", "fp", "blocks", "text")
+    rows = rows.mapInPandas(shingled, "node long, component long, fp binary, blocks int, shingles binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig", "shingles")
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp", "shingles")
     rows = rows.repartition(shuffle_parts(spark), *by).sortWithinPartitions(*by)
     return rows.mapInPandas(solve, "a long, b long").where("a <> b")
 
 
-def _near_forest(fp: np.ndarray, sig: np.ndarray, node: np.ndarray, radius: int) -> tuple[list, list]:
-    """Edges of a spanning forest of the pairs within ``radius`` bits whose signatures may be those of near copies."""
-    if len(fp) <= 512:
-        near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) & (np.bitwise_count(sig[:, None] ^ sig[None, :]) <= LOOSE)
-        active = near.sum(axis=1) > 1
-        if not active.any():
-            return [], []
-        fp, sig, node = fp[active], sig[active], node[active]
-    left, right = [], []
-    rest = np.arange(len(fp))
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            near = (np.bitwise_count(fp[rest] ^ fp[x]) <= radius) & (np.bitwise_count(sig[rest] ^ sig[x]) <= LOOSE)
-            if near.any():
-                found = rest[near].tolist()
-                left += [node[x]] * len(found)
-                right += node[found].tolist()
-                front += found
-                rest = rest[~near]
-    return left, right
+#: Rows of one value that are compared pair by pair; more are walked breadth first.
+_FEW = 32
+
+
+def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start .. start + count - 1 of each row, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def _wide_links(nodes: DataFrame, radius: int, block: int) -> DataFrame:
-    """(a, b): edges among the ``rep`` of all ``nodes`` (fp, sig, rep) that connect every pair within ``radius`` of a bucket
-    of four segments whose signatures pass."""
+def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the rows near in ``word`` (two per row) whose segment values differ in at most one bit.
+
+    Rows with ``asks`` hold a value of another block with one bit cleared: they meet that value's owners
+    alone. Owners meet rows of their own value and of those with one of the ``low`` lowest bits cleared.
+    """
+    order = np.lexsort((value, asks))
+    value, word, node = value[order], word[order], node[order]
+    own = int((~asks).sum())
+    values, start, count = np.unique(value[:own], return_index=True, return_counts=True)
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+    def pairs(x: np.ndarray, at: np.ndarray, same: bool = False) -> None:
+        """Rows ``x`` against all rows (``same``: the later ones) of the values at ``at``."""
+        few = count[at] <= _FEW
+        for k in range(0, len(x), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            rows, to = x[part][few[part]], at[part][few[part]]
+            left, right = np.repeat(rows, count[to]), _expand(start[to], count[to])
+            near = np.bitwise_count(word[left] ^ word[right]).sum(axis=1) <= LOOSE
+            near &= (right > left) | ~np.bool_(same)
+            a.append(left[near])
+            b.append(right[near])
+        x, at = x[~few], at[~few]
+        for v in np.unique(at).tolist():
+            members = np.union1d(x[at == v], np.arange(start[v], start[v] + count[v]))
+            left, right = _tree(len(members), lambda i, rest, m=members: np.bitwise_count(word[m[rest]] ^ word[m[i]]).sum(axis=1) <= LOOSE)
+            a.append(members[left])
+            b.append(members[right])
+
+    at = np.repeat(np.arange(len(values)), count)
+    pairs(np.arange(own), at, same=True)
+    for k in range(low):
+        bit = 1 << k
+        x = np.flatnonzero(value[:own] & bit)
+        to = np.searchsorted(values, value[x] ^ bit)
+        hit = (to < len(values)) & (values[np.minimum(to, len(values) - 1)] == value[x] ^ bit) if len(values) else np.zeros(len(x), dtype=bool)
+        pairs(x[hit], to[hit])
+    x = np.arange(own, len(value))
+    to = np.searchsorted(values, value[x])
+    hit = (to < len(values)) & (values[np.minimum(to, len(values) - 1)] == value[x]) if len(values) else np.zeros(len(x), dtype=bool)
+    pairs(x[hit], to[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return node[a], node[b]
+
+
+def _wide_links(nodes: DataFrame, plan: Plan, block: int) -> DataFrame:
+    """(a, b): edges that connect the ``rep`` of all ``nodes`` (rep, fp) near each other in a segment and in their first 128 bits.
+
+    A task takes the values of one segment with the same top bits, about ``block`` of them; a value asks in
+    the tasks whose top bits are its own with one set bit cleared. Tasks with far more values (a large group
+    of copies) are cut into blocks whose pairs are tasks.
+    """
     spark = nodes.sparkSession
-    by = ["bucket", "i", "j"]
-    flips = np.concatenate(([0], 1 << np.arange(16))).astype(np.int64)
+    by = ["task", "i", "j"]
+    top = min(plan.bits, max(0, (nodes.count() // block).bit_length()))
+    low = plan.bits - top
+
+    def values(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """(places, tasks, values, asks) of a slice of nodes, segment by segment."""
+        raw = np.frombuffer(b"".join(b["fp"]), dtype=np.uint8).reshape(len(b), -1)
+        bits = np.unpackbits(raw, axis=1, bitorder="little")
+        scale = 1 << np.arange(plan.bits, dtype=np.int64)
+        for k in range(plan.n):
+            value = bits[:, k * plan.bits : (k + 1) * plan.bits].astype(np.int64) @ scale
+            for flip in (0, *(1 << np.arange(low, plan.bits, dtype=np.int64)).tolist()):
+                rows = np.flatnonzero(value & flip == flip)
+                v = value[rows] ^ flip
+                yield rows, (k << top) + (v >> low), v, bool(flip)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(plan.n << top, dtype=np.int64)
+        for b in slices(batches, 8192):
+            for _, task, _, _ in values(b):
+                n += np.bincount(task, minlength=len(n))
+        yield pd.DataFrame({"task": np.flatnonzero(n), "n": n[n > 0]})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp, sig, rep = (b[c].to_numpy(np.int64) for c in ("fp", "sig", "rep"))
-            for k in range(4):
-                own = (fp.view(np.uint64) >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
-                bucket = ((own[:, None] ^ flips[None, :]) + (k << 16)).ravel().astype(np.int32)
-                yield pd.DataFrame({"bucket": bucket, "fp": np.repeat(fp, 17), "sig": np.repeat(sig, 17), "rep": np.repeat(rep, 17)})
+        for b in slices(batches, 8192):
+            rep = b["rep"].to_numpy(np.int64)
+            word = np.array([np.frombuffer(x, dtype="<i8", count=2) for x in b["fp"]], dtype=np.int64).reshape(-1, 2)
+            for rows, task, v, asks in values(b):
+                yield pd.DataFrame({"task": task, "value": v, "asks": asks, "w0": word[rows, 0], "w1": word[rows, 1], "rep": rep[rows]})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _runs(batches, by):
-            fp, sig = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "sig"))
-            node = rows["rep"].to_numpy(np.int64)
-            a, b = [], []
             for x, y in _spans(rows, by):
-                left, right = _near_forest(fp[x:y], sig[x:y], node[x:y], radius)
-                a += left
-                b += right
-            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    seg = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v")) for k in range(4)])).alias("s")
-    counts = nodes.select(seg).groupBy("s.k", "s.v").count()
-    values = F.explode(F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("v").bitwiseXOR(F.pow(F.lit(2.0), i).cast("int"))))).alias("v2")
-    sizes = counts.select("k", "count", values).groupBy((F.col("k") * 65536 + F.col("v2")).alias("bucket")).agg(F.sum("count").alias("n"))
-    large = sizes.where(F.col("n") > 2 * block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = nodes.select("fp", "sig", "rep").mapInPandas(spread, "bucket int, fp long, sig long, rep long")
-    rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+                r = rows.iloc[x:y]
+                a, b = _meet(r["value"].to_numpy(np.int64), r["asks"].to_numpy(bool), r[["w0", "w1"]].to_numpy(np.int64).view(np.uint64), r["rep"].to_numpy(np.int64), low)
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    sizes = nodes.select("fp").mapInPandas(tally, "task long, n long").groupBy("task").agg(F.sum("n").alias("n"))
+    large = table(sizes.where(F.col("n") > 4 * block).select("task", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "simhash-large")
+    rows = nodes.select("rep", "fp").mapInPandas(spread, "task long, value long, asks boolean, w0 long, w1 long, rep long")
+    rows = rows.join(large, "task", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.select("bucket", "fp", "sig", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "sig", "rep")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("task", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "value", "asks", "w0", "w1", "rep")
     rows = rows.repartition(shuffle_parts(spark), *by).sortWithinPartitions(*by)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return rows.mapInPandas(solve, "a long, b long").distinct()
+    return rows.mapInPandas(solve, "a long, b long").where("a <> b").distinct()
 
 
-def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, radius: int = WIDE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, block: int = VALUES, group: int = GROUP) -> DataFrame:
     """(doc_id, component_id): classes of near copies, verified to be ``like`` or more alike.
 
-    Rows of one fingerprint and shingle set are one node, named by its smallest doc_id; nodes of one
-    fingerprint are compared like any others. Nodes that the search joins are a group, in which whole
-    shingle sets decide every pair.
+    Rows of one shingle set are one node, named by its smallest doc_id. Nodes that the search joins are a
+    group, in which complete fingerprints and whole shingle sets decide every pair. Rows without a doc_id
+    are in no class.
     """
-    own = table(signatures(docs, width), "simhash-signatures")
-    nodes = table(own.where("doc_id is not null").groupBy("fp", "sk", "sig").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    groups = components(table(_wide_links(nodes, radius, block), "simhash-wide"), "simhash-groups")
-    equal = nodes.groupBy("sk", "sig").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b"))
-    true = table(_true_links(docs, groups, width, like, group).union(equal), "simhash-true")
-    named = nodes.join(components(true, "simhash-parts"), F.col("rep") == F.col("node"), "left").select("fp", "sk", "sig", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, ["fp", "sk", "sig"], "left").select("doc_id", "component_id")
+    plan = Plan.of(docs.count())
+    own = table(signatures(docs, plan, width), "simhash-signatures")
+    nodes = table(own.where("doc_id is not null").groupBy("sk").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "simhash-nodes")
+    groups = components(table(_wide_links(nodes, plan, block), "simhash-wide"), "simhash-groups")
+    groups = groups.join(nodes.select(F.col("rep").alias("node"), "fp"), "node")
+    true = table(_true_links(docs, groups, width, like, group), "simhash-true")
+    named = nodes.join(components(true, "simhash-parts"), F.col("rep") == F.col("node"), "left").select("sk", F.coalesce("component", "rep").alias("component_id"))
+    return own.join(named, "sk", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class, the document of its smallest doc_id.
 
     A doc_id stands for one document: if its rows hold several texts, one row of each text stays. Rows
-    whose doc_id is null are kept. Texts are shuffled once, to meet the ids that stay.
+    whose doc_id is null are kept.
     """
     found = table(similar_classes(docs, width), "simhash-classes")
-    stay = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["_keep"]), "left_semi")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    gone = ids.where("last < doc_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    repeated = ids.where("n > 1").select(F.col("doc_id").alias("_again"))
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_anti")

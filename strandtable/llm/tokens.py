@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import shared_dir, slices
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how GPT-2 style byte-level BPE cuts a text before merging.
@@ -54,13 +54,12 @@ def counted(changes: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
 
     Written as a table, it is a ledger of counts from which documents can be taken out again by narrow joins.
     """
-    small_batches(changes.sparkSession)
     sign = F.coalesce(F.col("sign").cast("int"), F.lit(1)) if "sign" in changes.columns else F.lit(1)
     doc_id = F.col("doc_id").cast("long") if "doc_id" in changes.columns else F.lit(None).cast("long")
     rows = changes.select(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), sign.alias("sign"), doc_id.alias("doc_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             texts = [(t or "").encode("utf-8", "replace").decode() for t in b["text"]]
             for name in tokenizers:
                 n = [len(x) for x in map(encoder(name, folder).encode_ordinary, texts)]
