@@ -1,7 +1,7 @@
 """Main-text extraction: a linear-chain conditional random field over a page's leaf blocks.
 
-``blocks`` turns a page into its leaf blocks in page order, each with its ancestors' tags and class or id
-words and the share of its letters inside links. Features of ancestors and text feed a two-label chain
+``blocks`` turns a page into its leaf blocks in page order, in time that grows with its length, each with its
+ancestors' tags and class or id words and the share of its letters inside links. Features of ancestors and text feed a two-label chain
 (article, other); weights are learnt by gradient ascent on the exact log-likelihood (forward-backward over
 all labelled pages at once) and pages are decoded by Viterbi. Labelled pages come from ``labelled_pages``:
 seeded layouts of many kinds whose blocks are marked as they are written.
@@ -11,16 +11,18 @@ labelled pages on the driver once per process, whatever the size of the input; t
 dictionary that goes to the tasks.
 
 Nulls and odd rows: a null or empty html has empty text; unclosed, stray and overlapping tags are closed
-where a browser would; text outside all blocks is a block; comments, scripts, styles and templates are
-never text. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
+where a browser would; a '<' that opens no tag is text, and an unfinished tag at the end of a page is none; text
+outside all blocks is a block; comments, scripts, styles and templates are never text. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,11 +41,13 @@ SILENT_TAGS = "script style template noscript svg iframe object canvas"
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _SILENT = "|".join(SILENT_TAGS.split())
-# Attributes are read by name and value, so that a stray quote is part of a name or an unquoted value.
-_ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+# Attributes are read by name and value, so that a stray quote is part of a name or an unquoted value; a quoted
+# value ends at a quote that white space, '/' or '>' follows, so that an unclosed quote does not run into the text.
+_ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s>\"'][^\s>]*+)?+)?+)*+"
+# What is not closed ends with the page, so every part of a page is read once; '<' before anything else is text.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<svg(?=[\s/>]){_ATTRS}(?<=/)>"
-    rf"|<(?P<silent>{_SILENT})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=silent)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<svg(?=[\s/>]){_ATTRS}(?<=/)>"
+    rf"|<(?P<silent>{_SILENT})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=silent)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -56,33 +60,56 @@ def _name_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(_PIECES.findall(_CAMEL.sub(r"\1 \2", found).lower()))) if found else ()
 
 
-def blocks(page: str | None) -> list[tuple[str, list[tuple[str, tuple[str, ...]]], float]]:
-    """(text, ancestors from the root, share of letters in links) of each leaf block with text."""
+class Place(NamedTuple):
+    """Where a block stands: features of all its ancestors, its parent's tag, that one's parent's, and the nearest names."""
+
+    names: frozenset
+    tag: str
+    above: str | None
+    near: tuple[str, ...]
+
+    def inside(self, tag: str, words: tuple[str, ...], known: Container | None) -> Place:
+        """The place within an element; names that ``known`` lacks are left out, so deep pages stay small."""
+        new = {f for f in (f"in={tag}", *(f"name={w}" for w in words)) if known is None or f in known}
+        return Place(self.names if new <= self.names else self.names | new, tag, self.tag or None, words or self.near)
+
+
+_ROOT = Place(frozenset(), "", None, ())
+
+
+def blocks(page: str | None, known: Container | None = None) -> list[tuple[str, Place, float]]:
+    """(text, place, share of letters in links) of each leaf block with text."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[str, list, float]] = []
+    stack: list[tuple[str, Place]] = []
+    opened: Counter = Counter()
+    out: list[tuple[str, Place, float]] = []
     held: list[str] = []
-    path: list = []
-    linked = 0
+    place, empty, linked = _ROOT, True, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, empty
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, path, min(1.0, linked / len(text))))
+                out.append((text, place, min(1.0, linked / len(text))))
             held.clear()
-            linked = 0
+            linked, empty = 0, True
 
     def say(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal place, linked, empty
         if raw:
-            if raw.strip() and not any(x.strip() for x in held):
-                path = [x for x in stack if x[0] in BLOCK_TAGS or x[1]] or [("body", ())]
+            if empty and raw.strip():
+                place, empty = stack[-1][1] if stack else _ROOT, False
             held.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(raw)
 
+    def shut(k: int) -> None:
+        """Close the elements from place ``k`` of the stack on."""
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
@@ -94,33 +121,33 @@ def blocks(page: str | None) -> list[tuple[str, list[tuple[str, tuple[str, ...]]
         if tag == "br":
             held.append(" ")
         elif m["end"]:
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCK_TAGS:
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-                else:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k]
-                            break
-                        if stack[k][0] in BLOCK_TAGS:
-                            break
-            elif tag in BLOCK_TAGS:
+            block = tag in BLOCK_TAGS
+            if block:
                 flush()
-        else:
-            if tag in BLOCK_TAGS:
-                flush()
-                shut = {"p"} | CLOSES.get(tag, set())
+            if opened[tag]:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shut:
-                        del stack[k:]
+                    if stack[k][0] == tag:
+                        shut(k)
                         break
-                    if stack[k][0] in BLOCK_TAGS:
+                    if not block and stack[k][0] in BLOCK_TAGS:
                         break
+        else:
+            if tag in BLOCK_TAGS:
+                flush()
+                ends = {"p"} | CLOSES.get(tag, set())
+                if any(opened[t] for t in ends):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in ends:
+                            shut(k)
+                            break
+                        if stack[k][0] in BLOCK_TAGS:
+                            break
             if tag not in VOID_TAGS and not m["attrs"].endswith("/"):
-                stack.append((tag, _name_words(m["attrs"])))
-    say(page[at:] if not page[at:].startswith("<") else "")
+                words = _name_words(m["attrs"])
+                outer = stack[-1][1] if stack else _ROOT
+                stack.append((tag, outer.inside(tag, words, known) if tag in BLOCK_TAGS or words else outer))
+                opened[tag] += 1
+    say(page[at:])
     flush()
     return out
 
@@ -129,14 +156,13 @@ def features(found: list) -> list[list[str]]:
     """Names of each block's features."""
     out = []
     n = len(found)
-    for k, (text, path, linked) in enumerate(found):
+    for k, (text, place, linked) in enumerate(found):
         count = text.count(" ") + 1
-        names = ["bias", f"parent={path[-1][0]}", f"words={min(7, count.bit_length())}", f"linked={int(linked * 4)}", f"at={min(4, 5 * k // n)}"]
-        names += {f"in={t}" for t, _ in path}
-        names += {f"name={w}" for _, ws in path for w in ws}
-        if len(path) > 1:
-            names.append(f"above={path[-2][0]}/{path[-1][0]}")
-        names += [f"near={w}" for w in next((ws for _, ws in reversed(path) if ws), ())]
+        names = ["bias", f"parent={place.tag or 'body'}", f"words={min(7, count.bit_length())}", f"linked={int(linked * 4)}", f"at={min(4, 5 * k // n)}"]
+        names += sorted(place.names) if place.tag else ["in=body"]
+        if place.above:
+            names.append(f"above={place.above}/{place.tag}")
+        names += [f"near={w}" for w in place.near]
         names += [f"has={c}" for c in "©|" if c in text]
         if text[-1] in ".!?":
             names.append("ends")
@@ -348,7 +374,7 @@ def trained(n: int = TRAINING_PAGES) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page)
+    found = blocks(page, chain.weights)
     keep = chain.decode(features(found)) if found else []
     return "\n\n".join(text for (text, _, _), yes in zip(found, keep, strict=True) if yes)
 

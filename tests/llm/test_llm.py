@@ -1,6 +1,7 @@
 """The text operators against brute force, round trips and held-out accuracy, with odd rows."""
 
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -224,12 +225,32 @@ def test_html_held_out_pages():
         ("<p data-x=it's>a</p><p>don't</p>", ["a", "don't"]),
         ("<p title='x > y'>a</p><p title=\"it's\">b</p><p title = 'q'>c</p>", ["a", "b", "c"]),
         ("<p>a</p><p " + "x " * 20000, ["a"]),
+        ("<article><p>Hello there</p><3 hearts and the whole rest", ["Hello there", "<3 hearts and the whole rest"]),
+        ("<p>1 < 2, a<b and c <= d</p><p>e</p>", ["1 < 2, a", "e"]),
+        ('<p class="x>The article text</p><p class="y">more</p>', ["The article text", "more"]),
+        ('<p class="x>The article text</p>', ["The article text"]),
+        ('<p title="a"b="c">text</p>', ["text"]),
     ],
 )
 def test_html_text_survives_icons_custom_elements_and_stray_quotes(page, want):
     assert " ".join(" ".join(b[0] for b in html_text.blocks(page)).split()) == " ".join(want)
 
 
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<!" * 100_000, "<div>" * 60_000 + "x", "<div>x" * 60_000, "".join(f"<div class=w{i}>x" for i in range(30_000)), "<b>" * 50_000 + "<hr>x" * 50_000, "<i><b>" * 40_000 + "</i>" * 40_000, "<svg " * 50_000, "<p a='" * 50_000, "&" * 200_000])
+def test_html_takes_linear_time(page):
+    chain = html_text.trained()
+    began = time.time()
+    html_text.main_text(page, chain)
+    assert time.time() - began < 5
+
+
+def test_html_very_long_page(spark):
+    body = "".join(f"<p>Paragraph {i} of a very long article that goes on and on.</p>" for i in range(20_000))
+    rows = spark.createDataFrame([(1, "u", f"<html><body><nav><a href=x>Menu</a></nav><article>{body}</article></body></html>")], "page_id long, url string, html string")
+    got = html_text.extract(rows.withColumns({"text": F.lit(1), "n_chars": F.lit("z"), "blocks": F.lit(2)})).first()
+    assert got.text.count("\n\n") == 19_999 and "Menu" not in got.text and got.n_chars == len(got.text)
+
+
 def test_html_viterbi_is_the_best_path():
     chain = html_text.trained()
     named = html_text.features(html_text.blocks(html_text.labelled_pages(1, seed=5)[0][0]))[:9]
