@@ -294,22 +294,32 @@ def test_decontaminate_finds_whole_items_alone(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == want
 
 
-def test_block_max_bounds_lose_nothing(spark):
-    """Opened blocks hold every item that scores above its threshold for a passage."""
+def test_block_max_wand_is_the_full_scoring(spark, monkeypatch):
+    """Items that score above their threshold for a passage, by scoring every passage against every item."""
     sf = "/root/testdata/sf0.001"
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     df = Counter(t for _, x in items for t in set(decontaminate.words(x)))
-    index = decontaminate.Index(items, df, len(items), float(np.mean([len(decontaminate.words(x)) for _, x in items])))
-    texts = [decontaminate.words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [[]]
+    mean = float(np.mean([len(decontaminate.words(x)) for _, x in items]))
+    texts = [decontaminate.words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [[], decontaminate.words(items[3][1]), decontaminate.words(items[5][1]) * 3]
+    idf = {t: np.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    parts = []
+    for _, x in items:
+        w = decontaminate.words(x)
+        raw = {t: idf[t] * c * (decontaminate.K1 + 1) / (c + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(w) / mean)) for t, c in Counter(w).items()}
+        parts.append((raw, decontaminate.SHARE * min(1.0, decontaminate.WINDOW / len(w)) * sum(raw.values())))
     want = set()
     for d, w in enumerate(texts):
         for s in range(0, max(1, len(w)), decontaminate.STRIDE):
-            score = np.zeros(len(items))
-            for t in {index.terms[x] for x in w[s : s + decontaminate.WINDOW] if x in index.terms}:
-                score[index.lists[t][0]] += index.lists[t][1]
             if s == 0 or s + decontaminate.WINDOW - decontaminate.STRIDE < len(w):
-                want |= {(d, int(k)) for k in np.flatnonzero(score >= 1)}
-    assert index.retrieve(texts) == want
+                q = set(w[s : s + decontaminate.WINDOW])
+                want |= {(d, k) for k, (raw, least) in enumerate(parts) if sum(x for t, x in raw.items() if t in q) >= least * (1 - 1e-9)}
+    assert (61, 3) in want and (62, 5) in want
+    for block, step in ((8, 500_000), (1, 500_000), (8, 50)):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        monkeypatch.setattr(decontaminate, "STEP", step)
+        index = decontaminate.Index(items, df, len(items), mean)
+        assert index.retrieve(texts) == want
+    assert decontaminate.Index([], {}, 1, 1.0).retrieve(texts) == set()
 
 
 def test_decontaminate_odd_rows(spark, odd, empty):
@@ -318,6 +328,9 @@ def test_decontaminate_odd_rows(spark, odd, empty):
     assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()] == [(50, 1)]
     assert decontaminate.matches(empty, items).count() == 0 == decontaminate.matches(docs, items.where("false")).count()
     assert decontaminate.drop_leaks(docs, items).count() == len(ODD)
+    leak = "So One two, three four five six! Seven eight. End"
+    nameless = spark.createDataFrame([(None, leak), (None, "clean"), (None, None), (7, leak), (7, "clean too")], "doc_id long, text string").withColumns({"digest": F.lit(1), "_digest": F.lit("x")})
+    assert sorted((str(r.doc_id), str(r.text)) for r in decontaminate.drop_leaks(nameless, items).collect()) == [("7", "clean too"), ("None", "None"), ("None", "clean")]
 
 
 def test_tokens_deltas_are_idempotent(spark, odd, empty):
