@@ -9,12 +9,12 @@ to seeded documents until it is reached most nearly, so a pattern misses its wor
 most. Reruns agree: the order depends on doc_id and seed alone.
 
 Scale. Documents are read once into (doc_id, sources, size); sums by pattern are combined before the
-shuffle, and the driver sees one row for each pattern (``MOST_PATTERNS``; more raise an error). Patterns
-that share no source are solved apart, single sources in closed form. The last seeded documents are found
+shuffle, and the driver sees one row for each pattern (``MOST_PATTERNS``; more raise an error). They
+are routed in layered maximum flows, one for each copy, in seconds at that bound. The last seeded documents are found
 by digit sums (``common.first_by_weight``): no source is sorted or gathered, however hot.
 
 Nulls and odd rows: a null text has size 0; a null source is a source of its own, the last; repeated rows
-count each time and rows of one doc_id are chosen alike; documents without words take nothing. Extra
+count each time and are chosen each on its own; documents without words take nothing. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -49,71 +49,60 @@ def targets(sizes: dict, weights: dict, copies: int = COPIES) -> dict[object, fl
 
 
 def route(patterns: dict[tuple, int], quotas: dict, copies: int = COPIES) -> dict[tuple, dict]:
-    """Words that each source takes from each pattern: a cheapest maximum flow."""
-    parent: dict = {}
-
-    def root(x: object) -> object:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for p in patterns:
-        for s in p[1:]:
-            parent[root(s)] = root(p[0])
-    parts = defaultdict(list)
-    for p in patterns:
-        if p:
-            parts[root(p[0])].append(p)
-    flow: dict[tuple, dict] = {p: {} for p in patterns}
-    for part in parts.values():
-        if len(part) == 1 and len(part[0]) == 1:
-            flow[part[0]] = {part[0][0]: min(quotas[part[0][0]], copies * patterns[part[0]])}
-        else:
-            flow |= _cheapest({p: patterns[p] for p in part}, quotas, copies)
-    return flow
-
-
-def _cheapest(patterns: dict[tuple, int], quotas: dict, copies: int) -> dict[tuple, dict]:
-    """Successive shortest paths over start -> pattern (an arc for each copy) -> source -> end."""
-    arcs: list[list] = []  # [to, capacity left, cost]; the twin of arc k is k ^ 1
-    out = defaultdict(list)
-
-    def arc(a: object, b: object, room: int, cost: int) -> int:
-        out[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-        return len(arcs) - 2
-
-    joint, most = {}, sum(patterns.values()) * copies
-    for p, size in patterns.items():
-        for n in range(copies):
-            arc("start", ("p", p), size, (n + 1) ** 2)
-        joint |= {(p, s): arc(("p", p), ("s", s), most, 0) for s in p}
-    for s in {s for p in patterns for s in p}:
-        arc(("s", s), "end", quotas[s], 0)
-    while True:
-        cost, via, todo = {"start": 0}, {}, ["start"]
-        for x in todo:
-            for k in out[x]:
-                to, room, c = arcs[k]
-                if room and cost[x] + c < cost.get(to, float("inf")):
-                    cost[to], via[to] = cost[x] + c, k
-                    todo.append(to)
-        if "end" not in cost:
-            break
-        path, x = [], "end"
-        while x != "start":
-            path.append(via[x])
-            x = arcs[via[x] ^ 1][0]
-        room = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= room
-            arcs[k ^ 1][1] += room
-    flow: dict[tuple, dict] = {p: {} for p in patterns}
-    for (p, s), k in joint.items():
-        flow[p][s] = arcs[k ^ 1][1]
-    return flow
+    """Words that each source takes from each pattern: a cheapest maximum flow.
+
+    Costs lie on the arcs from the start alone, and they rise with the copy; so shortest paths are those that
+    add a first copy, then a second, and so on, and no path ever takes a copy back (it only passes words of a
+    pattern on from one source to another). Each copy is therefore one maximum flow over what the earlier ones
+    left, by shortest augmenting paths in layers.
+    """
+    names = [p for p in patterns if p]
+    sources = sorted({s for p in names for s in p}, key=lambda s: (s is None, s or ""))
+    place = {s: len(names) + k for k, s in enumerate(sources)}
+    links = [[place[s] for s in p] for p in names]  # from a pattern; words flow without limit
+    back: list[set] = [set() for _ in sources]  # patterns that a source holds words of
+    held: dict[tuple[int, int], int] = {}
+    room = [int(quotas[s]) for s in sources]
+    n = len(names)
+    for _ in range(copies):
+        left = [int(patterns[p]) for p in names]
+        while True:
+            # Layers from all patterns that have words left, up to the sources that have room.
+            level = {x: 0 for x in range(n) if left[x]}
+            front, open_ = list(level), False
+            while front and not open_:
+                after = []
+                for x in front:
+                    for y in links[x] if x < n else back[x - n]:
+                        if y not in level:
+                            level[y] = level[x] + 1
+                            after.append(y)
+                            open_ = open_ or (y >= n and room[y - n] > 0)
+                front = after
+            if not open_:
+                break
+            todo = {x: iter(links[x] if x < n else list(back[x - n])) for x in level}
+            for start in [x for x in range(n) if left[x]]:
+                path = [start]
+                while path and left[start]:
+                    x = path[-1]
+                    if x >= n and room[x - n]:
+                        amount = min([left[start], room[x - n], *(held[y, z] for z, y in zip(path[1:], path[2:], strict=False) if z >= n)])
+                        for z, y in zip(path, path[1:], strict=False):
+                            a, b, sign = (z, y, 1) if z < n else (y, z, -1)
+                            held[a, b] = held.get((a, b), 0) + sign * amount
+                            (back[b - n].add if held[a, b] else back[b - n].discard)(a)
+                        left[start] -= amount
+                        room[x - n] -= amount
+                        path = [start]
+                        continue
+                    step = next((y for y in todo[x] if level.get(y) == level[x] + 1 and (x < n or held.get((y, x), 0))), None)
+                    if step is None:
+                        path.pop()
+                    else:
+                        path.append(step)
+    flow: dict[tuple, dict] = {p: {s: held.get((k, place[s]), 0) for s in p} for k, p in enumerate(names)}
+    return flow | {p: {} for p in patterns if not p}
 
 
 def default_weights(sources: list) -> dict:
@@ -157,6 +146,12 @@ def mix(docs: DataFrame, weights: dict | None = None, sources: Column | None = N
 
 
 def keep_taken(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows that the mix takes at least once. Documents without words, and so without cost, stay."""
-    mixed = mix(docs, seed=seed).where("taken > 0 or size = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed["_id"]), "left_semi")
+    """The mixed corpus: each row as often as the mix takes it. Documents without words, and so without cost, stay once.
+
+    Rows of one doc_id are repeated as often as the most taken of them.
+    """
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    mixed = mix(docs, seed=seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
+    mixed = table(mixed.where("_copies > 0"), "mixing-copies")
+    rows = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -5,17 +5,20 @@ model over text statistics (and their squares) minimises the non-negative unbias
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]),    l = logistic loss,
 
-with the class prior estimated as the share of 1 among the labels of the training folds. Where the second
-term is negative, its gradient is stepped against, as the estimator's authors propose. The score is the
-logistic of g, an estimate of the probability of label 1.
+with the class prior estimated from positives and unlabelled text alone: two rankers, each fitted on half of
+the rows, score the other half, and the prior is the least ratio over score thresholds of the unlabelled share
+above to the positive share above (unlabelled text above a threshold is at least the prior times the
+positives' share, and nearly no more where only positives score that high), each with its margin of error.
+Where the second term is negative, its gradient is stepped against, as the estimator's authors propose. The score is the
+logistic of g, an estimate of the probability of label 1. Labels of value 0 are used for nothing.
 
 Bounds. Learning takes at most ``POSITIVES`` and ``UNLABELLED`` rows, the first of a seeded order over all
-rows, and only their statistics reach the driver; the prior and the scores cover all rows. Rows whose
+rows, and only their statistics reach the driver, where the prior is estimated as well; the scores cover all rows. Rows whose
 crc32(doc_id) mod 5 is 0 are never learnt from. Scoring is one narrow pass without a shuffle.
 
 Nulls and odd rows: null or empty text has all-zero statistics and a score like any other; null doc_ids
 count as the text '' in the fold rule; repeated rows stay; labels that are null or of unknown documents
-are left out. Without positives every score is the prior (0.5 without labels). An empty table gives an
+are left out. Without positives every score is 0.5. An empty table gives an
 empty result.
 """
 
@@ -115,20 +118,36 @@ class Model:
         return self
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1, risk: float = 0.1) -> float:
+    """The share of positives in unlabelled rows: the least ratio of tails over out-of-fold scores.
+
+    Thresholds leave at least ``least`` of the positives above; tails carry their margins of error at ``risk``.
+    """
+    p, u = [], []
+    for k in (0, 1):
+        if not (len(positive[k::2]) and len(unlabelled[k::2]) and len(positive[1 - k :: 2])):
+            return 0.5
+        model = Model(0.5).fit(positive[k::2], unlabelled[k::2], steps=300)
+        p.append(model.score(positive[1 - k :: 2]))
+        u.append(model.score(unlabelled[1 - k :: 2]))
+    p, u = np.sort(np.concatenate(p)), np.sort(np.concatenate(u))
+    cuts = np.unique(np.quantile(p, np.linspace(0, 1 - least, 200)))
+    above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
+    margin = np.sqrt(np.log(4 / risk) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(np.argmin((above(u) + margin) / above(p)))
+    return float(np.clip(above(u)[best] / above(p)[best], 0.02, 0.98))
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 1) -> Model:
     """Fit on the training folds of ``labels`` (doc_id, quality) and on ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
-    prior = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    if prior is None:
-        return Model(0.5)
-    prior = float(np.clip(prior, 0.02, 0.98))
     draw = lambda rows, n: [r[0] for r in rows.select("doc_id").distinct().orderBy(seeded("doc_id", seed)).limit(n).collect()]
     good = known.where("quality = 1").join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = [(i, True) for i in draw(good, positives)]
     chosen += [(i, False) for i in draw(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out()), unlabelled)]
     if not chosen or not chosen[0][1]:
-        return Model(prior)
+        return Model(0.5)
     picked = spark.createDataFrame(chosen, "id long, trusted boolean")  # bounded by the parameters
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -139,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "trusted", numbers("text").alias("x"))
     rows = sorted(rows.collect(), key=lambda r: (r["trusted"], r["id"], r["x"]))  # one order, so that reruns agree
     x = lambda trusted: np.array([r["x"] for r in rows if r["trusted"] == trusted]).reshape(-1, N_STATISTICS)
-    return Model(prior).fit(x(True), x(False)) if len(x(False)) else Model(prior)
+    good, drawn = x(True), x(False)
+    return Model(class_prior(good, drawn)).fit(good, drawn) if len(drawn) else Model(0.5)
 
 
 def scored(model: Model) -> Column:

@@ -1,12 +1,15 @@
 """Sharding by balanced label propagation.
 
 Documents are linked through hubs (here: equal texts); two linked documents in different shards are a cut.
-The first labels cut the order (hub, doc_id) into even runs. Then, in each round, every linked document
-asks for the shard in which most of its hub's documents are, and asks are granted under quotas: a move
-needs a move back between the same two shards, by documents that ask for it or by unlinked ones. Row
-counts therefore stay at most one apart in every round (law ``rows``).
-
-Scale. Rounds are hub sums (combined before the shuffle), an equi join and a shard-to-shard table of at
+The first labels deal the documents out in even runs of a seeded order that knows nothing of texts (only
+hubs larger than a shard, which no shard can hold, are laid out in runs of their own). Then, in each round,
+every linked document asks for the shard in which most of its hub's documents are (ties by a seeded hash),
+and asks are granted under quotas: a move needs a move back between the same two shards, by documents that
+ask for it or by unlinked ones. Row counts therefore stay at most one apart in every round (law ``rows``).
+Rounds end when nothing is asked or granted.
+
+Scale. Rounds are hub sums (combined before the shuffle), a join with the hubs that still lie in several
+shards (few after the first round, then broadcast by Spark if small) and a shard-to-shard table of at
 most ``shards`` squared rows on the driver. Grants take the first documents of a seeded order by digit
 sums, and places in the order or in a shard come from range partitions plus offsets: neither a shard nor
 a hub, however large, is gathered. Texts are read once.
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, first_by_weight, ranked, seeded, table
 
 SHARDS = 40
-ROUNDS = 4
+ROUNDS = 8
 #: The driver holds a count for each pair of shards.
 MOST_SHARDS = 2048
 
@@ -45,16 +48,18 @@ def _quotas(asked: dict[tuple[int, int], int], spare: dict[int, int]) -> tuple[d
 def propagate(rows: DataFrame, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """Move rows (with ``rank``, ``hub``, ``shard``) for up to ``rounds`` rounds; row counts stay."""
     for n in range(rounds):
-        counts = rows.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("hub").agg(F.max_by("shard", F.struct(F.col("n"), -F.col("shard"))).alias("best"), F.sum("n").alias("linked"), F.count(F.lit(1)).alias("spread"))
-        # Hubs within one shard ask for nothing; unlinked rows are those alone at their hub.
-        asks = rows.join(best.where("spread > 1"), "hub").where("shard <> best").select("rank", F.concat_ws(":", "shard", "best").alias("way"))
+        counts = rows.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
+        tie = F.xxhash64(F.lit(seed), "hub", "shard")
+        best = counts.groupBy("hub").agg(F.max_by("shard", F.struct(F.col("n"), tie)).alias("best"), F.sum("n").alias("linked"), F.count(F.lit(1)).alias("spread"), F.min("rank").alias("rank"))
+        best = table(best.where("spread > 1 or linked = 1"), "shards-hubs")
+        # Hubs within one shard ask for nothing; a hub of one row is that row.
+        asks = rows.join(best.where("spread > 1").select("hub", "best"), "hub").where("shard <> best").select("rank", F.concat_ws(":", "shard", "best").alias("way"))
         asks = table(asks.withColumn("order", seeded("rank", seed + n)).withColumn("one", F.lit(1)), "shards-asks")
         way = lambda text: tuple(int(x) for x in text.split(":"))
         asked = {way(r["way"]): r["count"] for r in asks.groupBy("way").count().collect()}
         if not asked:
             break
-        alone = rows.join(best.where("linked = 1").select("hub"), "hub", "left_semi").select("rank", "shard", seeded("rank", seed + n).alias("order"), F.lit(1).alias("one"))
+        alone = best.where("linked = 1").select("rank", F.col("best").alias("shard"), seeded("rank", seed + n).alias("order"), F.lit(1).alias("one"))
         spare = {r["shard"]: r["count"] for r in alone.groupBy("shard").count().collect()}
         grants, fill = _quotas(asked, spare)
         if not grants:
@@ -91,8 +96,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int
     raw = F.encode(text, "UTF-8")
     size = (F.octet_length(text) + 16).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("hub"))
-    rows = table(ranked(rows, [F.col("hub"), F.col("doc_id")], [], "shards-order"), "shards-rows")
+    rows = table(rows, "shards-rows")
     total = rows.count()
+    # A shard's size bounds the number of larger hubs by the number of shards.
+    large = table(rows.groupBy("hub").count().where(F.col("count") > max(1, total // shards)).select("hub", F.lit(True).alias("large")), "shards-large")
+    run = F.when(F.col("large"), F.hex("hub")).otherwise(F.lit(""))
+    rows = rows.join(F.broadcast(large), "hub", "left").withColumns({"run": run, "order": F.concat(run, seeded("doc_id", seed))})
+    rows = ranked(rows.drop("large", "run"), [F.col("order"), F.col("doc_id"), F.col("hub")], [], "shards-order").drop("order")
     rows = table(rows.withColumn("shard", F.expr(f"cast(rank * {shards}L div {max(total, 1)}L as int)")), "shards-first")
     moved = propagate(rows, rounds, seed)
     moved = moved.select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("row"))
