@@ -3,9 +3,9 @@
 A text's shingles (five lower-cased words; fewer words make one shingle) are hashed to 64 bits, and 128
 universal hash functions ``a * x + b mod 2**64`` (random odd a) are minimised over them in numpy. A
 fingerprint holds 16 bits of each minimum; the likeness of two fingerprints is the share of equal places,
-an estimate of the Jaccard similarity with a standard error of at most 0.045. Near-duplicates share a band
-of four places in Spark (32 bands; a pair at 0.8 is missed with a probability of 5e-8) and are verified by
-their exact Jaccard similarity.
+an estimate of the Jaccard similarity with a standard error of at most 0.045. Near-duplicates share one of 16
+bands of four places, which meet in Spark (a pair at 0.8 is missed with a probability of 0.0002), and are
+verified by their exact Jaccard similarity.
 
 Nulls and odd rows: a null text is empty; texts without words have an empty shingle of their own, so they
 equal each other. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, shuffle_parts, slices, table
+from .similar import GROUP, chained, true_links
 
 PLACES = 128
 WIDTH = 5
-BAND = 4
+BAND, BANDS = 4, 16
 LIKE = 0.8
-#: Texts that a task compares with each other in one bucket; larger buckets are cut into blocks.
-BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,37 +103,53 @@ def edited_pair(text: str, after: str) -> tuple[str, np.ndarray, np.ndarray]:
     return edited, places(np.minimum(shared, minima(whole[common:]))), places(np.minimum(shared, minima(other[common:])))
 
 
-_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def text_id(distinct: np.ndarray) -> bytes:
+    """A digest of a text's distinct shingles: equal sets are one text."""
+    return xxhash.xxh3_128_digest(distinct.tobytes())
 
 
-def _edited_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per document from rows in order of slice; a slice ends with its ghost, the next slice's first."""
-    before = None
-    for batch in batches:
-        out = []
-        for doc_id, text, part, ghost in zip(batch["doc_id"], batch["text"], batch["part"], batch["ghost"], strict=True):
-            if before is not None and before[2] == part and not before[3]:
-                out.append((before, text))
-            before = (doc_id, text, part, ghost)
-        yield pd.DataFrame([_edited_row(x[0], x[1], after) for x, after in out], columns=[c.split()[0] for c in _EDITED.split(", ")]).astype({"doc_id": "Int64"})
+_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, n_links long"
+
 
+def _edited_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per document from rows in order of slice; a slice ends with its ghost, the next slice's first.
 
-def _edited_row(doc_id: object, text: str, after: str) -> tuple:
-    edited, own, new = edited_pair(text, after)
+    Rows of kind 0 go before the documents of their doc_id and tell the classes of its texts.
+    """
+    before, key, classes = None, None, {}
+    for batch in slices(batches):
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.key != key:
+                key, classes = row.key, {}
+            if row.kind == 0:
+                classes[row.text_id] = (int(row.class_id), int(row.n_links))
+                continue
+            if before is not None and before[0].part == row.part and not before[0].ghost:
+                out.append(_edited_row(*before, row.text))
+            before = row, classes
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _EDITED.split(", ")]).astype({"doc_id": "Int64", "class_id": "Int64"})
+
+
+def _edited_row(row: tuple, classes: dict, after: str) -> tuple:
+    edited, own, new = edited_pair(row.text, after)
     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    following = fingerprint(after)
-    return (None if pd.isna(doc_id) else int(doc_id), len(text), digest, own.tobytes().hex(), new.tobytes().hex(), likeness(own, new), likeness(own, following))
+    doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
+    class_id, n_links = classes.get(text_id(shingle_set(row.text)), (doc_id, 0)) if classes else (doc_id, 0)
+    return doc_id, len(row.text), digest, own.tobytes().hex(), new.tobytes().hex(), likeness(own, new), likeness(own, fingerprint(after)), class_id, n_links
 
 
-def with_edited(docs: DataFrame) -> DataFrame:
+def with_edited(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose tail comes from the next document.
 
     Documents follow each other by descending doc_id (null last, equal ids by text), the first after
-    the last. The order is cut into slices of even size at quantiles of doc_id, a slice is one group of
-    one task, and each slice gets a copy of the next one's first rows, so texts are shuffled once.
+    the last. The order is cut into slices of even size at quantiles of doc_id, a slice is one partition,
+    and each slice gets a copy of the next one's first rows, so texts are shuffled once. ``classes`` as
+    ``near_duplicates`` makes them travel along as narrow rows; without them every row is its own class.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    none = [F.lit(None).cast("binary").alias("text_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_links")]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
     n = shuffle_parts(spark)
     cuts = rows.select(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
@@ -148,77 +163,45 @@ def with_edited(docs: DataFrame) -> DataFrame:
     firsts = sorted((r["part"], r["first"]) for r in rows.groupBy("part").agg(F.max("key").alias("first")).collect())
     ghosts = [(firsts[(k + 1) % len(firsts)][1], p) for k, (p, _) in enumerate(firsts)]
     copies = spark.createDataFrame(ghosts, "first long, into int")
-    copies = rows.join(F.broadcast(copies), rows["key"] == copies["first"]).select("doc_id", "text", "key", F.col("into").alias("part"), F.lit(1).alias("ghost"))
-    rows = rows.withColumn("ghost", F.lit(0)).select("doc_id", "text", "key", "part", "ghost").union(copies)
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "ghost", F.desc("key"), "text")
+    copies = rows.join(F.broadcast(copies), rows["key"] == copies["first"]).select("doc_id", "text", "key", F.col("into").alias("part"), F.lit(1).alias("ghost"), F.lit(1).alias("kind"), *none)
+    rows = rows.select("doc_id", "text", "key", "part", F.lit(0).alias("ghost"), F.lit(1).alias("kind"), *none).union(copies)
+    if classes is not None:
+        told = classes.where("text_id is not null and doc_id is not null and (class_id <> doc_id or n_links > 0)")
+        told = told.select("doc_id", F.lit("").alias("text"), F.col("doc_id").alias("key"), "text_id", "class_id", "n_links").withColumn("part", part("key"))
+        rows = rows.union(told.select("doc_id", "text", "key", "part", F.lit(0), F.lit(0), "text_id", "class_id", "n_links"))
+    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ghost", F.desc("key"), "kind", "text")
     return rows.mapInPandas(_edited_rows, _EDITED)
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(text_id, doc_id least, minima binary, shingles binary): one row per distinct text.
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes((text or "").lower().split()), width))
 
-    Equal shingle sets are one text: text_id is the digest of the sorted distinct shingle hashes.
-    """
 
+def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS) -> DataFrame:
+    """(doc_id, text_id binary, bands binary): digest of the distinct shingles and the places of all bands, of each row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
-            sets = [np.unique(shingle_hashes(word_hashes((t or "").lower().split()), width)) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "text_id": [hashlib.sha256(s.tobytes()).digest() for s in sets],
-                "minima": [minima(s).tobytes() for s in sets],
-                "shingles": [s.tobytes() for s in sets],
-            })
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, text_id binary, minima binary, shingles binary")
-
-
-def _verified(block: pd.DataFrame, like: float) -> pd.DataFrame:
-    """A spanning forest, with exact similarities, of the links in one bucket's block pair."""
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in block["shingles"]]
-    sigs = np.stack([np.frombuffer(m, dtype=np.uint64) for m in block["minima"]])
-    ids = block["text_id"].tolist()
-    out = []
-    rest = list(range(len(ids)))
-    while rest:
-        front, rest = [rest[0]], rest[1:]
-        while front and rest:
-            x = front.pop()
-            near = (sigs[rest] == sigs[x]).mean(axis=1) >= like - 0.2  # over 4 standard errors
-            found = {}
-            for r in np.array(rest)[near].tolist():
-                both = len(np.intersect1d(sets[x], sets[r], assume_unique=True))
-                j = both / (len(sets[x]) + len(sets[r]) - both)
-                if j >= like:
-                    found[r] = j
-            out += [(min(ids[x], ids[r]), max(ids[x], ids[r]), j) for r, j in found.items()]
-            rest = [r for r in rest if r not in found]
-            front += found
-    return pd.DataFrame(out, columns=["a", "b", "jaccard"])
-
-
-def near_duplicates(docs: DataFrame, like: float = LIKE, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links): classes of texts whose Jaccard similarity is ``like`` or more.
-
-    n_links counts the verified forest edges of the row's text. Signature bands meet in Spark, a bucket
-    is cut into blocks of ``block`` texts, each pair of blocks is one group, and a group emits fewer
-    edges than it has texts.
+            sets = [shingle_set(t, width) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": [text_id(s) for s in sets], "bands": [places(minima(s))[: bands * BAND].tobytes() for s in sets]})
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, text_id binary, bands binary")
+
+
+def near_duplicates(docs: DataFrame, like: float = LIKE, width: int = WIDTH, block: int = GROUP, bands: int = BANDS) -> DataFrame:
+    """(doc_id, text_id, class_id, n_links): classes of texts whose Jaccard similarity is ``like`` or more.
+
+    Texts that share a band are chained to groups, in which whole shingle sets decide every pair. n_links
+    counts the verified forest edges of the row's text; class_id is the smallest doc_id that links reach
+    (null, with no links, for rows without a doc_id whose text no named row has).
     """
-    made = table(signatures(docs, width), "minhash-made")
-    texts = table(made.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.min("minima").alias("minima"), F.min("shingles").alias("shingles")), "minhash-texts")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("minima"), i * (BAND * 8) + 1, F.lit(BAND * 8))).alias("value")))
-    rows = texts.select("text_id", F.explode(bands).alias("key")).select("text_id", "key.band", "key.value")
-    sizes = rows.groupBy("band", "value").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    rows = rows.join(sizes, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("text_id"), "blocks").cast("int"))
-    rows = rows.select("text_id", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("text_id", "band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(texts.drop("least"), "text_id")
-    found = rows.groupBy("band", "value", "i", "j").applyInPandas(lambda p: _verified(p, like), "a binary, b binary, jaccard double")
-    edges = table(found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "minhash-links")
-    groups = components(edges, "minhash-parts")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = texts.select("text_id", "least").join(groups, texts["text_id"] == groups["node"]).join(ends, "text_id")
-    named = linked.groupBy("component").agg(F.min("least").alias("class_id"))
-    linked = linked.join(named, "component").select("text_id", "class_id", "n_links")
-    out = made.select("doc_id", "text_id").join(texts.select("text_id", "least"), "text_id").join(linked, "text_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = table(signatures(docs, width, bands), "minhash-signatures")
+    texts = own.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
+    groups = components(chained(texts.select("node", F.explode(values).alias("key")), "minhash-chains"), "minhash-groups")
+    near = lambda sketches, x: (sketches.view(np.uint16) == x.view(np.uint16)).mean(axis=1) >= like - 0.2  # noqa: E731  # over 4 standard errors
+    edges = table(true_links(docs, groups, lambda t: shingle_set(t, width), lambda s: places(minima(s)), near, like, block), "minhash-links")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = components(edges, "minhash-parts").join(ends, "node").select("node", "component", "n_links")
+    named = own.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node")).join(linked, "node", "left")
+    named = named.select("text_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return own.select("doc_id", "text_id").join(named, "text_id", "left").select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

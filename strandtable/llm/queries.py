@@ -23,7 +23,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.with_edited(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return minhash.with_edited(docs, minhash.near_duplicates(docs))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

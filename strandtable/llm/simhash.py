@@ -30,7 +30,7 @@ Columns other than doc_id and text are ignored. An empty table gives an empty re
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, shuffle_parts, slices, table
+from .similar import GROUP, runs, spans, tree, true_links
 
 RADIUS = 3
 SEED = 42
@@ -50,8 +51,6 @@ DIFFER, MISS = 0.16, 0.001
 LOOSE = 38
 #: Share of all bits in which texts whose shingle sets are compared may differ.
 FAR = 0.25
-#: Texts whose shingle sets a task compares with each other; a task holds two such blocks at most.
-GROUP = 1024
 #: Segment values that a task compares with each other.
 VALUES = 1 << 17
 #: Fingerprints that a task compares with each other; a task holds two such blocks at most.
@@ -153,7 +152,7 @@ def _forest(fps: np.ndarray) -> tuple[list, list]:
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning-forest edges of each bucket; rows come sorted by bucket and pair of blocks."""
-    for rows in _runs(batches, ["bucket", "i", "j"]):
+    for rows in runs(batches, ["bucket", "i", "j"]):
         keys = np.ascontiguousarray(rows[["bucket", "i", "j"]].to_numpy())
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -244,109 +243,6 @@ def signatures(docs: DataFrame, plan: Plan, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, sk binary, fp binary")
 
 
-def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows that come sorted by ``by``, in frames that hold whole runs of equal keys."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        keys = batch[by].to_numpy()
-        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        cut = last[-1] + 1 if len(last) else 0
-        if held and (cut or (held[-1][by].to_numpy()[-1] != keys[-1]).any()):
-            yield pd.concat([*held, batch[:cut]])
-            held = []
-        elif cut:
-            yield batch[:cut]
-        held.append(batch[cut:])
-    if held:
-        yield pd.concat(held)
-
-
-def _spans(rows: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
-    """Start and end of each run of two rows or more."""
-    keys = rows[by].to_numpy()
-    cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)])).tolist()
-    return [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
-
-
-def _apart(fp: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
-    """Bits in which row ``x`` of the fingerprints differs from ``others``."""
-    return np.bitwise_count(fp[others] ^ fp[x]).sum(axis=1, dtype=np.int64)
-
-
-def _tree(n: int, links: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list, list]:
-    """Edges of a spanning forest of ``links(x, others)`` among ``n`` things, breadth first."""
-    left, right = [], []
-    rest = np.arange(n)
-    while len(rest):
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            found = links(x, rest)
-            if found.any():
-                met = rest[found].tolist()
-                left += [x] * len(met)
-                right += met
-                front += met
-                rest = rest[~found]
-    return left, right
-
-
-def _verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], like: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the pairs whose complete fingerprints are near and whose Jaccard similarity is ``like`` or more."""
-    size = np.array([len(x) for x in sets])
-    most = FAR * 64 * fp.shape[1]
-
-    def links(x: int, rest: np.ndarray) -> np.ndarray:
-        near = np.minimum(size[rest], size[x]) >= like * np.maximum(size[rest], size[x])
-        near[near] = _apart(fp, x, rest[near]) <= most
-        for k in np.flatnonzero(near).tolist():
-            both = len(np.intersect1d(sets[x], sets[rest[k]], assume_unique=True))
-            union = size[x] + size[rest[k]] - both
-            near[k] = not union or both / union >= like
-        return near
-
-    left, right = _tree(len(node), links)
-    return node[left], node[right]
-
-
-def _true_links(docs: DataFrame, groups: DataFrame, width: int, like: float, block: int = GROUP) -> DataFrame:
-    """(a, b): edges that connect just the pairs of ``like`` or more within each group of ``groups`` (node, component, fp).
-
-    Whole shingle sets decide. A group of over ``block`` nodes is cut into blocks and each pair of blocks
-    is one group of a task. Only texts of groups are hashed again, and only their sets are shuffled.
-    """
-    spark = docs.sparkSession
-    by = ["component", "i", "j"]
-    large = groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = table(groups.join(large, "component", "left").select("node", "component", "fp", F.coalesce("blocks", F.lit(1)).alias("blocks")), "simhash-placed")
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
-            yield b[["node", "component", "fp", "blocks"]].assign(shingles=[np.unique(shingle_hashes(t, width)).tobytes() for t in b["text"]])
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches, by):
-            node = rows["node"].to_numpy(np.int64)
-            a, b = [node[:0]], [node[:0]]
-            for x, y in _spans(rows, by):
-                fp = np.frombuffer(b"".join(rows["fp"].iloc[x:y]), dtype="<u8").reshape(y - x, -1)
-                left, right = _verified(node[x:y], fp, [np.frombuffer(s, dtype="<u8") for s in rows["shingles"].iloc[x:y]], like)
-                a.append(left)
-                b.append(right)
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(placed, "node").select("node", "component", "fp", "blocks", "text")
-    rows = rows.mapInPandas(shingled, "node long, component long, fp binary, blocks int, shingles binary")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp", "shingles")
-    rows = rows.repartition(shuffle_parts(spark), *by).sortWithinPartitions(*by)
-    return rows.mapInPandas(solve, "a long, b long").where("a <> b")
-
-
 #: Rows of one value that are compared pair by pair; more are walked breadth first.
 _FEW = 32
 
@@ -382,7 +278,7 @@ def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarra
         x, at = x[~few], at[~few]
         for v in np.unique(at).tolist():
             members = np.union1d(x[at == v], np.arange(start[v], start[v] + count[v]))
-            left, right = _tree(len(members), lambda i, rest, m=members: np.bitwise_count(word[m[rest]] ^ word[m[i]]).sum(axis=1) <= LOOSE)
+            left, right = tree(len(members), lambda i, rest, m=members: np.bitwise_count(word[m[rest]] ^ word[m[i]]).sum(axis=1) <= LOOSE)
             a.append(members[left])
             b.append(members[right])
 
@@ -441,8 +337,8 @@ def _wide_links(nodes: DataFrame, plan: Plan, block: int) -> DataFrame:
                 yield pd.DataFrame({"task": task, "value": v, "asks": asks, "w0": word[rows, 0], "w1": word[rows, 1], "rep": rep[rows]})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches, by):
-            for x, y in _spans(rows, by):
+        for rows in runs(batches, by):
+            for x, y in spans(rows, by):
                 r = rows.iloc[x:y]
                 a, b = _meet(r["value"].to_numpy(np.int64), r["asks"].to_numpy(bool), r[["w0", "w1"]].to_numpy(np.int64).view(np.uint64), r["rep"].to_numpy(np.int64), low)
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
@@ -469,8 +365,10 @@ def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, block:
     own = table(signatures(docs, plan, width), "simhash-signatures")
     nodes = table(own.where("doc_id is not null").groupBy("sk").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "simhash-nodes")
     groups = components(table(_wide_links(nodes, plan, block), "simhash-wide"), "simhash-groups")
-    groups = groups.join(nodes.select(F.col("rep").alias("node"), "fp"), "node")
-    true = table(_true_links(docs, groups, width, like, group), "simhash-true")
+    most = FAR * 64 * plan.words
+    near = lambda fps, x: np.bitwise_count(fps ^ x).sum(axis=1, dtype=np.int64) <= most
+    found = true_links(docs, groups, lambda t: np.unique(shingle_hashes(t, width)), lambda s: long_fingerprint(s, plan.words), near, like, group)
+    true = table(found, "simhash-true")
     named = nodes.join(components(true, "simhash-parts"), F.col("rep") == F.col("node"), "left").select("sk", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, "sk", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

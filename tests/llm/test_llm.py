@@ -125,10 +125,10 @@ def test_near_copies_of_one_fingerprint_by_brute_force(spark):
 
 
 def test_no_near_copy_is_missed(spark):
-    """All 10000 documents: the classes are those of the MinHash bands, which miss a pair in 20 million."""
+    """All 10000 documents: the classes are those of 32 MinHash bands, which miss a pair in 20 million."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = common.table(simhash.similar_classes(docs), "got")
-    want = minhash.near_duplicates(docs)
+    want = minhash.near_duplicates(docs, bands=32)
     assert got.join(want, "doc_id").where("component_id <> class_id").isEmpty()
     assert got.where("component_id <> doc_id").count() > 700
 
@@ -182,6 +182,22 @@ def test_minhash_edited(spark):
         a, b = sets(t), sets(edited)
         errors.append(abs(r.near_edited - len(a & b) / len(a | b)))
     assert np.mean(errors) < 0.05 and max(errors) < 0.22
+    ids = sorted(docs)
+    whole = {d: sets(docs[d]) for d in ids}
+    linked = [(a, b) for a in ids for b in ids if a < b and len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])]
+    assert {r.doc_id: r.class_id for r in got} == components_of(ids, linked)
+    unequal = {x for a, b in linked if whole[a] != whole[b] for x in (a, b)}
+    assert {r.doc_id for r in got if r.n_links} <= {d for d in ids if any(whole[d] == whole[x] for x in unequal)}
+
+
+def test_chains_of_a_hot_key_cross_partitions(spark):
+    from strandtable.llm.similar import chained
+
+    rows = [(7, i) for i in range(500)] + [(k, k + j) for k in range(1000, 1100) for j in range(2)] + [(5, 9000)]
+    edges = [(r.a, r.b) for r in chained(spark.createDataFrame(rows, "key long, node long"), "t").collect()]
+    nodes = sorted({n for _, n in rows})
+    want = components_of(nodes, [(i, i + 1) for i in range(499)] + [(k, k + 1) for k in range(1000, 1100)])
+    assert components_of(nodes, edges) == want and len(edges) < len(rows)
 
 
 def test_minhash_odd_rows(spark, odd, empty):
@@ -199,7 +215,7 @@ def test_minhash_near_duplicates_by_brute_force(spark):
     texts = {r.doc_id: set(minhash.shingle_hashes(minhash.word_hashes(r.text.lower().split())).tolist()) for r in docs.collect()}
     ids = sorted(texts)
     want = components_of(ids, [(a, b) for a in ids for b in ids if a < b and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])])
-    for block in (minhash.BLOCK, 2):
+    for block in (minhash.GROUP, 2):
         assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, block=block).collect()} == want
 
 
