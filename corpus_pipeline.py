@@ -1,7 +1,13 @@
 """A corpus from raw documents: filter, deduplicate, decontaminate, mix and shard.
 
 Each stage takes what the one before it kept. All but the last return the columns of ``documents``; the
-last one returns the shard and slot of every remaining document.
+last one returns the shard and slot of every remaining row.
+
+Nulls and odd rows: a null text counts as empty. Rows without a doc_id pass the stages each on its own text; they
+are in no group of near copies and so stay. Rows of one doc_id are one document to the near-copy and mixing stages:
+each of its texts stays once, and all are repeated alike. Of equal or near texts the smallest doc_id stays. The mix
+leaves documents out and repeats others, up to three times, so rows of one doc_id may follow in several shards'
+slots. Columns beyond those of ``documents`` are carried along, whatever their names. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the mix of sources takes."""
+    """The documents as often as the mix of sources takes them (up to three times, or not at all)."""
     return mixing.keep_taken(docs)
 
 

@@ -93,19 +93,23 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert every document, revise those that are labelled toxic to an empty text, and repeat a commit.
+    """Insert every document, revise those that are labelled toxic to an empty text, delete those of low quality that
+    are not, and repeat a commit. Two tokenizer versions are counted.
 
-    Texts are counted once, into a ledger; what a revision takes out comes from the ledger's narrow rows.
+    Texts are counted once, into a ledger; what a revision or deletion takes out comes from the ledger's narrow rows.
     """
     docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
-    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
-    names = ["byte_bpe_50k"]
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    toxic, poor = marks.where("toxic = 1").select("doc_id"), marks.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id")
+    names = ["byte_bpe_50k", "byte_bpe_multi_50k"]
     ledger = table(tokens.counted(docs, names), "tokens-ledger")
     totals = tokens.Totals(spark)
     totals.commit_rollup("inserts", tokens.rollup(ledger))
     out = ledger.join(toxic, "doc_id", "left_semi").withColumn("sign", F.lit(-1))
     into = docs.drop("text").join(toxic, "doc_id", "left_semi").withColumn("text", F.lit(""))
     totals.commit_rollup("revisions", tokens.rollup(out.unionByName(tokens.counted(into, names))))
+    gone = ledger.join(poor, "doc_id", "left_semi").withColumn("sign", F.lit(-1))
+    totals.commit_rollup("deletes", tokens.rollup(gone))
     totals.commit_rollup("inserts", tokens.rollup(ledger))
     return totals.totals()
 

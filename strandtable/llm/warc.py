@@ -14,7 +14,7 @@ record is the response is decided on digests and ids alone, and the largest grou
 before its shuffle. Reading joins narrow rows unless the record bytes are asked for.
 
 Nulls and odd rows: a null html is an empty payload; a null url leaves its header line out; null page_ids
-have an empty id in their header, never become the response of others, and read back as null; line ends
+have an empty place in their record id, never become the response of others, and read back as null; line ends
 in a url are escaped. Extra columns are ignored. An empty table makes an empty archive.
 """
 
@@ -22,12 +22,15 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
+# The profile of revisits with an equal payload; the letters of two bases.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -43,9 +46,13 @@ def base32(hexadecimal: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), _DIGITS, _BASE32)
 
 
-def write(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> Archive:
-    """Write one record for each row of ``pages`` (page_id, url, html)."""
+def write(pages: DataFrame, least_bytes: int = 0, folder: str | None = None, date: str | None = None) -> Archive:
+    """Write one record for each row of ``pages`` (page_id, url, html); ``date`` (ISO, UTC) is that of the write if not given.
+
+    A record's id names its page and, so that a page seen twice has two, a digest of payload and row.
+    """
     spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     made = Archive(f"{folder}/headers", f"{folder}/payloads")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
@@ -54,19 +61,23 @@ def write(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) ->
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(made.payloads)
 
     meta = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"), base32(F.sha1("payload")).alias("sha1"))
-    meta = table(meta, "warc-meta")
-    least = meta.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
+    meta = table(meta.withColumn("row", F.monotonically_increasing_id()), "warc-meta")
+    name = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.concat_ws(":", "digest", "row").cast("binary")), F.lit(">"))
+    meta = meta.withColumn("name", name)
+    least = meta.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "name")).alias("least"))
+    least = least.select("digest", F.col("least.page_id").alias("first"), F.col("least.name").alias("first_name"))
     meta = meta.join(least, "digest", "left")
     again = F.coalesce(F.col("n") >= least_bytes, F.lit(False)) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn("page_id")),
+        line("WARC-Record-ID", F.col("name")),
+        line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
-        F.when(again, line("WARC-Refers-To", urn("first"))).otherwise(""),
+        F.when(again, F.concat(line("WARC-Refers-To", F.col("first_name")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
+        line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         line("Content-Length", F.when(again, "0").otherwise(F.col("n").cast("string"))),
         F.lit("\r\n"),
@@ -86,10 +97,10 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
     some = lambda c: F.when(c != "", c)
     heads = heads.select(
         "digest", "header",
-        some(part("WARC-Record-ID", "<urn:page:(-?\\d*)>")).cast("long").alias("page_id"),
+        some(part("WARC-Record-ID", "<urn:x-page:(-?\\d*):\\w+>")).cast("long").alias("page_id"),
         some(part("WARC-Target-URI", "(.*)")).alias("url"),
         part("WARC-Type", "(\\w+)").alias("record_type"),
-        some(part("WARC-Refers-To", "<urn:page:(-?\\d*)>")).cast("long").alias("refers_to"),
+        some(part("WARC-Refers-To", "<urn:x-page:(-?\\d*):\\w+>")).cast("long").alias("refers_to"),
         part("WARC-Payload-Digest", "sha1:(\\w+)").alias("said"),
     )
     rows = heads.join(store, heads["digest"] == store["key"])

@@ -376,6 +376,116 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, warc.write(df.where("false"))).count() == 0
 
 
+def test_warc_files_are_valid_records(spark, tmp_path):
+    rows = [(3, "u", "same"), (1, "u", "same"), (1, "u", "same"), (2, None, None), (7, "é", "WARC/1.1\r\n\r\nç"), (8, "x", "long " * 200_000)]
+    archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), date="2024-05-06T07:08:09Z")
+    warc.export(spark, archive, str(tmp_path / "warc"))
+    ids, bodies, refers = [], [], []
+    for file in (tmp_path / "warc").glob("part-*"):
+        raw = file.read_bytes()
+        while raw:
+            head, _, raw = raw.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(fields["Content-Length"])
+            body, end, raw = raw[:n], raw[n : n + 4], raw[n + 4 :]
+            assert lines[0] == "WARC/1.1" and end == b"\r\n\r\n" and fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["Content-Type"]
+            ids.append(fields["WARC-Record-ID"])
+            bodies.append((fields["WARC-Type"], body.decode()))
+            if fields["WARC-Type"] == "revisit":
+                assert fields["WARC-Profile"] == warc.PROFILE
+                refers.append(fields["WARC-Refers-To"])
+    assert len(ids) == len(rows) == len(set(ids)) and set(refers) <= set(ids)
+    assert Counter(bodies) == Counter([("response", "same"), ("response", "same"), ("revisit", ""), ("response", ""), ("response", "WARC/1.1\r\n\r\nç"), ("response", "long " * 200_000)])
+
+
+def test_token_query_by_brute_force(spark):
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in queries.op6_tokens(spark, SF).collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        mark = labels.get(r.doc_id)
+        text = "" if mark is not None and mark.toxic == 1 else r.text or ""
+        if mark is None or mark.toxic == 1 or mark.quality != 0:
+            for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+                sums = want[r.source, r.lang, name]
+                for k, x in enumerate((1, len(tokens.encoder(name).encode_ordinary(text)), len(text))):
+                    sums[k] += x
+    assert got == {k: tuple(v) for k, v in want.items() if any(v)}
+
+
+def cheapest_by_paths(patterns, quotas, copies):
+    """Cost of the cheapest maximum flow, word by word along the shortest residual path (Bellman-Ford)."""
+    arcs, cost, flow = [], 0, 0
+    for p, size in patterns.items():
+        arcs += [["start", p, size, (n + 1) ** 2] for n in range(copies)] + [[p, s, 10**6, 0] for s in p]
+    arcs += [[s, "end", quotas[s], 0] for s in quotas]
+    arcs = [x for a, b, room, c in arcs for x in ([a, b, room, c], [b, a, 0, -c])]
+    while True:
+        far, via = {"start": 0}, {}
+        for _ in range(len(patterns) + len(quotas) + 2):
+            for k, (a, b, room, c) in enumerate(arcs):
+                if room and a in far and far[a] + c < far.get(b, 10**9):
+                    far[b], via[b] = far[a] + c, k
+        if "end" not in far:
+            return flow, cost
+        x = "end"
+        while x != "start":
+            k = via[x]
+            arcs[k][2] -= 1
+            arcs[k ^ 1][2] += 1
+            x = arcs[k][0]
+        flow, cost = flow + 1, cost + far["end"]
+
+
+def test_flow_is_a_cheapest_maximum_flow():
+    draw = np.random.Generator(np.random.PCG64(5))
+    for _ in range(12):
+        patterns = {}
+        for _ in range(int(draw.integers(1, 6))):
+            patterns[tuple(sorted({"abcd"[int(k)] for k in draw.integers(0, 4, int(draw.integers(1, 4)))}))] = int(draw.integers(0, 5))
+        quotas = {s: int(draw.integers(0, 12)) for s in {s for p in patterns for s in p}}
+        got = mixing.route(patterns, quotas)
+        taken = {p: sum(f.values()) for p, f in got.items()}
+        assert all(v >= 0 and set(f) <= set(p) for p, f in got.items() for v in f.values()) and all(taken[p] <= 3 * patterns[p] for p in patterns)
+        assert all(sum(f.get(s, 0) for f in got.values()) <= q for s, q in quotas.items())
+        cost = sum(max(0, min(patterns[p], taken[p] - n * patterns[p])) * (n + 1) ** 2 for p in patterns for n in range(3))
+        assert (sum(taken.values()), cost) == cheapest_by_paths(patterns, quotas, 3)
+
+
+def test_flow_over_many_patterns_ends_soon():
+    draw = np.random.Generator(np.random.PCG64(6))
+    patterns = {}
+    while len(patterns) < 100_000:
+        patterns[tuple(sorted({f"s{k:02d}" for k in draw.integers(0, 60, int(draw.integers(1, 6)))}))] = int(draw.integers(1, 1000))
+    sizes = defaultdict(int)
+    for p, n in patterns.items():
+        for s in p:
+            sizes[s] += n
+    goal = mixing.targets(sizes, {s: int(s[1:]) % 3 + 1 for s in sizes})
+    began = time.time()
+    flow = mixing.route(patterns, {s: int(v) for s, v in goal.items()})
+    assert time.time() - began < 120 and sum(sum(f.values()) for f in flow.values()) > 0
+
+
+def test_mixing_overlapping_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), ["a"] if i % 3 else ["a", "b"]) for i in range(300)] + [(1000 + i, "w w", ["c"]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mixing.mix(df, weights={"a": 1, "b": 3, "c": 1}, sources=F.col("source")).collect()
+    assert len(got) == len(rows) and all(r.taken % r.size == 0 and r.taken <= 3 * r.size for r in got)
+    whole = sum(r.taken for r in got if r.sources == ["c"])
+    assert whole == 30 and max(r.taken // r.size for r in got if r.sources == ["a", "b"]) == 3
+
+
+def test_kept_rows_are_repeated_as_often_as_taken(spark):
+    rows = [(i, "w " * 10, "a" if i < 50 else "b") for i in range(60)] + [(99, None, "b")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("_copies", F.lit(1))
+    taken = {r.doc_id: r.taken // 10 for r in mixing.mix(df).collect()}
+    got = Counter(r.doc_id for r in mixing.keep_taken(df).collect())
+    assert got == Counter({k: n for k, n in taken.items() if n}) + Counter([99]) and max(got.values()) > 1
+    assert mixing.keep_taken(df).columns == df.columns
+
+
 def test_mixing_targets_and_flow():
     assert mixing.targets({"a": 10, "b": 10, "c": 1000}, {"a": 1, "b": 2, "c": 1}) == {"a": 30.0, "b": 30.0, "c": 960.0}
     flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 25, "b": 5})
@@ -420,6 +530,19 @@ def test_sharding_is_even_and_gapless(spark, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_query_keeps_linked_documents_together(spark):
+    """Cut pairs of equal texts by brute force: none, although the start knows nothing of texts; a hot text fills whole shards."""
+    got = queries.op10_sharding(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    shard = {r.doc_id: r.shard for r in got}
+    ids = sorted(texts)
+    assert sorted(shard) == ids and all(shard[a] == shard[b] for a in ids for b in ids if a < b and texts[a] == texts[b])
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 2}" if i % 2 else f"single {i}") for i in range(900)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    hot = Counter(r.shard for r in got if rows[r.doc_id][1] == "hot")
+    assert Counter(r.shard for r in got) == Counter({k: 90 for k in range(10)}) and len(hot) <= 5
+
+
 def test_label_propagation_moves_towards_neighbours(spark):
     rows = [(i, i, f"h{i % 5}".encode() if i < 40 else f"single{i}".encode(), i % 4) for i in range(80)]
     df = common.table(spark.createDataFrame(rows, "rank long, doc_id long, hub binary, shard int"), "t")
@@ -527,11 +650,33 @@ def test_pipeline_stages(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, left = docs.columns, docs.count()
+    columns = docs.columns
+    kept = {"start": docs}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.table(stage(spark, docs, sf), name)
-        assert docs.columns == columns and docs.count() <= left
-        left = docs.count()
-    assert decontaminate.matches(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).isEmpty()
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert out.count() == left == corpus_pipeline.run(spark, sf).count()
+        docs = kept[name] = common.table(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+    # Near copies, leaks and the mix by brute force on what each stage was given.
+    texts = {r.doc_id: r.text for r in kept["quality"].collect()}
+    ids = sorted(texts)
+    alike = [(a, b) for a in ids for b in ids if a < b and (texts[a] == texts[b] or min(len(texts[a].split()), len(texts[b].split())) >= 5 and jaccard(texts[a].lower(), texts[b].lower()) >= 0.8)]
+    one = sorted(r.doc_id for r in kept["near_duplicates"].collect())
+    assert one == sorted(set(components_of(ids, alike).values())) and len(one) < len(ids)
+    leaks = {r.doc_id for r in decontaminate.matches(kept["near_duplicates"], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    clean = sorted(r.doc_id for r in kept["decontamination"].collect())
+    assert clean == sorted(set(one) - leaks) and leaks
+    mixed = Counter(r.doc_id for r in kept["mixing"].collect())
+    taken = {r.doc_id: r.taken // r.size if r.size else 1 for r in mixing.mix(kept["decontamination"]).collect()}
+    assert mixed == Counter({k: n for k, n in taken.items() if n})
+    out = corpus_pipeline.run(spark, sf)
+    assert Counter(r.doc_id for r in out.collect()) == mixed
+
+
+def test_pipeline_odd_rows(spark, odd, empty):
+    """Every stage on nulls, empty and long texts, repeats and clashing columns, and on no rows at all."""
+    import corpus_pipeline
+
+    for df in (odd, empty.withColumn("n_chars", F.lit(0).cast("long"))):
+        docs, n = df, df.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.table(stage(spark, docs, SF), name)
+            assert docs.count() <= 3 * n and (name == "sharding" or docs.columns == df.columns)
