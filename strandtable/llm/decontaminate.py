@@ -27,7 +27,6 @@ empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -35,6 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,14 +205,14 @@ def _search(index: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
                 for k in sorted(items):
                     q, a = made.verify(have, short, vocabulary, k)
                     if q >= OVERLAP and a >= OVERLAP:
-                        rows.append((ids[d], hashlib.sha256(b["text"][d].encode("utf-8", "surrogatepass")).hexdigest(), made.ids[k], q, a))
+                        rows.append((ids[d], np.uint64(xxhash.xxh64_intdigest(b["text"][d].encode("utf-8", "surrogatepass"), 42)).astype(np.int64), made.ids[k], q, a))
             yield pd.DataFrame(rows, columns=["doc_id", "digest", "item_id", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64"})
 
     return run
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, digest of the text, item_id, question_overlap, answer_overlap) of each row that holds a test item."""
+    """(doc_id, XXH64 of the text, item_id, question_overlap, answer_overlap) of each row that holds a test item."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     items = items.where(F.col("text").rlike(r"(?U)\w"))
@@ -223,7 +223,7 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     split = items.withColumn("words", tokens("text"))
     n, mean, size = split.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.sum(F.octet_length("text"))).first()
-    schema = "doc_id long, digest string, item_id long, question_overlap double, answer_overlap double"
+    schema = "doc_id long, digest long, item_id long, question_overlap double, answer_overlap double"
     if not n:
         return spark.createDataFrame([], schema)
     parts = -(-int(size) // PART_BYTES)
@@ -250,5 +250,5 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose own text holds no test item."""
     found = table(_found(docs, items).select(F.col("doc_id").alias("_leak"), F.col("digest").alias("_digest")).distinct(), "decontaminate-found")
-    own = F.sha2(F.encode(docs["text"].cast("string"), "UTF-8"), 256)
+    own = F.xxhash64(docs["text"].cast("string"))
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_leak"]) & (own == found["_digest"]), "left_anti")

@@ -153,6 +153,6 @@ def keep_taken(docs: DataFrame, seed: int = 1) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
     mixed = mix(docs, seed=seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
     mixed = table(mixed.where("_copies > 0"), "mixing-copies")
-    rows = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed["_id"]))
+    rows = docs.join(mixed.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(mixed["_id"]))
     spare = "_" * (1 + max(map(len, docs.columns)))  # no column of docs
     return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mixed["_copies"])).alias(spare)).drop(spare)

@@ -382,7 +382,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     found = table(similar_classes(docs, width), "simhash-classes")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("last"), F.count(F.lit(1)).alias("n"))
     gone = ids.where("last < doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
     repeated = ids.where("n > 1").select(F.col("doc_id").alias("_again"))
     if repeated.isEmpty():
         return kept
