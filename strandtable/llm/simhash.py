@@ -244,7 +244,7 @@ def signatures(docs: DataFrame, plan: Plan, width: int = 5) -> DataFrame:
 
 
 #: Rows of one value that are compared pair by pair; more are walked breadth first.
-_FEW = 32
+_FEW = 8
 
 
 def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -258,7 +258,7 @@ def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarra
     Rows with ``asks`` hold a value of another block with one bit cleared: they meet that value's owners
     alone. Owners meet rows of their own value and of those with one of the ``low`` lowest bits cleared.
     """
-    order = np.lexsort((value, asks))
+    order = np.lexsort((node, value, asks))
     value, word, node = value[order], word[order], node[order]
     own = int((~asks).sum())
     values, start, count = np.unique(value[:own], return_index=True, return_counts=True)
@@ -278,6 +278,7 @@ def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarra
         x, at = x[~few], at[~few]
         for v in np.unique(at).tolist():
             members = np.union1d(x[at == v], np.arange(start[v], start[v] + count[v]))
+            members = members[np.argsort(node[members], kind="stable")]  # trees of all segments start at the smallest node
             left, right = tree(len(members), lambda i, rest, m=members: np.bitwise_count(word[m[rest]] ^ word[m[i]]).sum(axis=1) <= LOOSE)
             a.append(members[left])
             b.append(members[right])

@@ -1,4 +1,4 @@
-"""Near-duplicate classes from candidates: chains through shared keys, and exact verification within groups.
+"""Near-duplicate classes from candidates: links through shared keys, and exact verification within groups.
 
 Candidates only say which texts may be alike; every pair of a group of candidates is then decided by a sketch
 and by whole shingle sets. Large groups are cut into blocks whose pairs are tasks of their own, and a task
@@ -65,10 +65,10 @@ def tree(n: int, links: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list,
 
 
 def chained(rows: DataFrame, tag: str) -> DataFrame:
-    """(a, b): edges that connect all ``node`` of one ``key`` (both long), each to the next in order.
+    """(a, b): edges that connect all ``node`` of one ``key`` (both long), each to the first of its range.
 
-    Rows are cut by ranges of (key, node), so a hot key is many tasks; the ends of a range, two rows a task,
-    meet those of the others.
+    Rows are cut by ranges of (key, node), so a hot key is many tasks; the first nodes of a key's ranges, one
+    a task, are linked to each other. Keys of one group mostly share their first node, so their edges are equal.
     """
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -76,22 +76,24 @@ def chained(rows: DataFrame, tag: str) -> DataFrame:
             if b.empty:
                 continue
             key, node = b["key"].to_numpy(np.int64), b["node"].to_numpy(np.int64)
-            if last is None:
-                yield pd.DataFrame({"key": key[:1], "a": node[:1], "b": node[:1]})
-            else:
+            if last is not None:
                 key, node = np.concatenate((last[0], key)), np.concatenate((last[1], node))
-            same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
-            yield pd.DataFrame({"key": key[1:][same], "a": node[:-1][same], "b": node[1:][same]})
-            last = key[-1:], node[-1:]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            root = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            # The first key of a task may go on from the task before, its last key into the next: their roots are told as loops.
+            tell = node != root
+            tell[0] |= last is None
+            yield pd.DataFrame({"key": key[tell], "a": root[tell], "b": node[tell]})
+            last = key[-1:], root[-1:]
         if last is not None:
             yield pd.DataFrame({"key": last[0], "a": last[1], "b": last[1]})
 
     by = ["key", "node"]
     made = rows.select(*by).repartitionByRange(shuffle_parts(rows.sparkSession), *by).sortWithinPartitions(*by).mapInPandas(link, "key long, a long, b long")
     made = table(made, tag)
-    ends = made.where("a = b").groupBy("key").agg(F.array_sort(F.collect_set("a")).alias("x")).where("size(x) > 1")
-    pairs = F.explode(F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")
-    return made.where("a <> b").select("a", "b").union(ends.select(pairs).select("p.a", "p.b")).distinct()
+    loops = made.where("a = b").select("key", "a")
+    ends = loops.join(loops.groupBy("key").agg(F.min("a").alias("root")), "key").where("a <> root").select(F.col("root").alias("a"), F.col("a").alias("b"))
+    return made.where("a <> b").select("a", "b").union(ends).distinct()
 
 
 def verified(node: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], near: Callable, like: float) -> tuple[np.ndarray, np.ndarray]:
