@@ -256,16 +256,23 @@ def nb_differential(m: DataFrame, sheet: DataFrame, reference: str, other: str)
 
 
 def diff_methylation(calls: DataFrame, groups: DataFrame, one: str, two: str) -> DataFrame:
-    """Per position, binomial deviance test of two groups, scaled by overdispersion where over one: difference in percent, p, q."""
-    rows = calls.join(groups.where(F.col("condition").isin(one, two)).select("sample", "condition"), "sample")
+    """Per position, binomial deviance test of two groups, scaled by overdispersion where over one: difference in percent, p, q.
+
+    Overdispersion is Pearson's chi-square of the samples against their group's rate, over its degrees of freedom.
+    """
+    depth = F.col("meth") + F.col("unmeth")
+    sums = calls.groupBy("chrom", "pos", "sample").agg(F.sum("meth").cast("double").alias("meth"), F.sum("unmeth").cast("double").alias("unmeth"))
+    rows = sums.where(depth > 0).join(groups.where(F.col("condition").isin(one, two)).select("sample", "condition"), "sample").withColumn("square", F.col("meth") ** 2 / depth)
     at = lambda c, k: F.sum(F.when(F.col("condition") == c, F.col(k)).otherwise(0))
-    s = rows.groupBy("chrom", "pos").agg(at(one, "meth").alias("m1"), at(one, "unmeth").alias("u1"), at(two, "meth").alias("m2"), at(two, "unmeth").alias("u2"))
+    s = rows.groupBy("chrom", "pos").agg(*[at(c, k).alias(f"{n}{i}") for i, c in ((1, one), (2, two)) for k, n in (("meth", "m"), ("unmeth", "u"), ("square", "s"))], F.count(F.lit(1)).alias("k"))
     s = s.where("m1 + u1 > 0 and m2 + u2 > 0")
     ll = lambda m, u: F.when(m > 0, m * F.log(m / (m + u))).otherwise(0.0) + F.when(u > 0, u * F.log(u / (m + u))).otherwise(0.0)
     m1, u1, m2, u2 = (F.col(c) for c in ("m1", "u1", "m2", "u2"))
     deviance = 2 * (ll(m1, u1) + ll(m2, u2) - ll(m1 + m2, u1 + u2))
-    s = s.withColumns({"difference": 100 * (m2 / (m2 + u2) - m1 / (m1 + u1)), "deviance": F.greatest(deviance, F.lit(0.0))})
-    return bh_fdr(s.withColumn("pvalue", erfc(F.sqrt(F.col("deviance") / 2))), out="qvalue")
+    pearson = lambda m, u, q: F.when(m * u > 0, (q - m * m / (m + u)) / (m * u / (m + u) ** 2)).otherwise(0.0)
+    phi = F.when(F.col("k") > 2, F.greatest((pearson(m1, u1, F.col("s1")) + pearson(m2, u2, F.col("s2"))) / (F.col("k") - 2), F.lit(1.0))).otherwise(1.0)
+    s = s.withColumns({"difference": 100 * (m2 / (m2 + u2) - m1 / (m1 + u1)), "deviance": F.greatest(deviance, F.lit(0.0)) / phi})
+    return bh_fdr(settle(s.drop("s1", "s2", "k").withColumn("pvalue", F.round(F.least(F.lit(1.0), erfc(F.sqrt(F.col("deviance") / 2))), 12))), out="qvalue")
 
 
 def gene_signature_score(m: DataFrame, genes: DataFrame, controls: int = 20, bins: int = 50, seed: int = 1) -> DataFrame:
@@ -322,9 +329,12 @@ def preranked_gsea(ranks: DataFrame, t2g: DataFrame, least: int = 10, most: int
     Only positions of hits are windowed: between hits the running sum falls in a straight line. Permutations
     shift the ranked list by a seeded offset, which keeps its order of scores and needs no new sort.
     """
-    n = ranks.count()
-    order = Window.orderBy(F.desc("score"), "gene_symbol")
-    placed = ranks.where("score is not null").withColumn("place", F.row_number().over(order))
+    # Places come from pieces of the list, so that no task ranks all genes.
+    pieces = with_piece(ranks.where("score is not null").withColumn("_down", -F.col("score")), "_down")
+    inner = F.row_number().over(Window.partitionBy("_piece").orderBy("_down", "gene_symbol"))
+    placed = across_pieces(pieces.withColumn("_inner", inner), [], {"_b": ("sum", F.count(F.lit(1)))}).withColumn("place", F.coalesce("_b", F.lit(0)) + F.col("_inner"))
+    placed = settle(placed.select(*ranks.columns, "place"))
+    n = placed.count()
     sets = t2g.select("category", "gene_symbol").distinct().join(placed, "gene_symbol")
     sized = sets.groupBy("category").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(least, most))
     offset = F.when(F.col("round") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "category", "round"), F.lit(max(n, 1))))

@@ -72,7 +72,8 @@ def _(v):
     return Q.mahalanobis_distance(d, "k", ["l_quantity", "l_discount"]).select("k.*", F.round("d2", 4).alias("d2"))
 
 
-@query("q10_remove_outliers")
+@query("q10_remove_outliers", """WITH m AS (SELECT median(value) AS m, avg(value) AS mean, stddev_pop(value) AS s FROM events), h AS (SELECT median(value) FILTER (WHERE value < m) AS a, median(value) FILTER (WHERE value > m) AS b, median(abs(value - m)) AS mad FROM events, m)
+SELECT event_id FROM events, m, h WHERE NOT coalesce(CAST(value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS INT) + CAST(abs(value - mean) > 3 * s AS INT) + CAST(mad > 0 AND 0.6745 * abs(value - m) / mad > 3 AS INT) > 1, false)""")
 def _(v):
     return Q.remove_outliers(v("events"), "event_id", ["value"], mahalanobis=False).select("event_id")
 
@@ -90,9 +91,14 @@ def _(v):
     return Q.correlated_columns(d, d.columns)
 
 
-@query("q13_distribution_check", "SELECT 'none' AS transform, count(*) AS n, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis FROM events UNION ALL SELECT 'sqrt', count(*), round(skewness(sqrt(value)), 6), round(kurtosis(sqrt(value)), 6) FROM events WHERE value >= 0")
+_POWERS = {"none": ("value", "true"), "log1p": ("ln(1 + value)", "value > -1"), "sqrt": ("sqrt(value)", "value >= 0"), "cbrt": ("sign(value) * pow(abs(value), 1 / 3.0)", "true"), "boxcox_0": ("ln(value)", "value > 0")} | {
+    f"boxcox_{p:g}": (f"(pow(value, {p}) - 1) / {p}", "value > 0") for p in (-1.0, -0.5, 0.25, 0.5, 2.0)
+}
+
+
+@query("q13_distribution_check", " UNION ALL ".join(f"SELECT '{n}' AS transform, count(*) AS n, round(skewness({e}), 5) AS skew, round(kurtosis({e}), 4) AS kurtosis FROM events WHERE {w} HAVING count(*) > 20" for n, (e, w) in _POWERS.items()))
 def _(v):
-    return Q.distribution_check(v("events"), "value").where("transform in ('none', 'sqrt')").select("transform", "n", r6("skew").alias("skew"), r6("kurtosis").alias("kurtosis"))
+    return Q.distribution_check(v("events"), "value").select("transform", "n", F.round("skew", 5).alias("skew"), F.round("kurtosis", 4).alias("kurtosis"))
 
 
 @query("q14_apply_best_transform")
@@ -299,8 +305,9 @@ def _(v):
 
 @query("g4_gapless_overlap")
 def _(v):
-    r = v("benchmark").select(F.col("item_id").alias("pair"), F.right("text", F.lit(40)).alias("a"), F.right("text", F.lit(30)).alias("b"))
-    return G.gapless_overlap(r)
+    one = v("benchmark").select(F.col("item_id").alias("pair"), F.col("text").alias("a"))
+    two = v("benchmark").select((F.col("item_id") - 1).alias("pair"), F.col("text").alias("b"))
+    return G.gapless_overlap(one.join(two, "pair"))
 
 
 @query("g5_promoter_windows", "SELECT doc_id AS gene, substr(text, CAST(greatest(0, 40 - 30) + 1 AS INT), CAST(40 + 10 - greatest(0, 40 - 30) AS INT)) AS promoter FROM documents")
@@ -311,7 +318,7 @@ def _(v):
 
 
 def _tracks(v):
-    return v("regions").select("chrom", (F.col("region") % 3).cast("int").alias("sample"), F.col("start").alias("from"), F.col("stop").alias("to"), (F.col("region") % 7).cast("double").alias("value")).where("region % 10 = 0")
+    return v("regions").select("chrom", (F.col("region") % 3).cast("int").alias("sample"), F.col("start").alias("from"), F.col("stop").alias("to"), (F.col("region") % 7).cast("double").alias("value"))
 
 
 def _genes(v):
@@ -319,7 +326,7 @@ def _genes(v):
 
 
 _GENES = "SELECT p_partkey AS gene, CAST(p_size % 22 AS INT) AS chrom, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(p_partkey * 7 % 2500 AS INT) AS start, CAST(p_partkey * 7 % 2500 + p_size AS INT) AS stop FROM part"
-_TRACKS = "SELECT chrom, CAST(region % 3 AS INT) AS sample, start AS f, stop AS t, CAST(region % 7 AS DOUBLE) AS value FROM regions WHERE region % 10 = 0"
+_TRACKS = "SELECT chrom, CAST(region % 3 AS INT) AS sample, start AS f, stop AS t, CAST(region % 7 AS DOUBLE) AS value FROM regions"
 
 
 @query("g6_tss_profile", f", g AS (SELECT *, CASE WHEN strand = '-' THEN stop ELSE start END AS tss FROM ({_GENES})), k AS ({_TRACKS}) SELECT CASE WHEN strand = '-' THEN tss - pos ELSE pos - tss END AS relative, round(sum(value) / ((SELECT count(*) FROM g) * (SELECT count(DISTINCT sample) FROM k)), 6) AS value FROM (SELECT strand, tss, value, unnest(range(greatest(greatest(0, tss - 20), f), least(tss + 20, t) + 1)) AS pos FROM g JOIN k ON g.chrom = k.chrom AND greatest(0, tss - 20) <= t AND f <= tss + 20) GROUP BY 1", "regions")

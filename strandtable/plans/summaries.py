@@ -154,9 +154,9 @@ def _(v):
     return A.kneedle(v("counts"), "value", ["sample"])
 
 
-@query("w3_merge_intervals", "SELECT chrom, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= 1 + max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT chrom, start, stop FROM regions WHERE region % 11 = 0))) GROUP BY chrom, g", "regions")
+@query("w3_merge_intervals", "SELECT chrom, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= 1 + max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT chrom, start, stop FROM regions))) GROUP BY chrom, g", "regions")
 def _(v):
-    return A.merge_intervals(v("regions").where("region % 11 = 0"))
+    return A.merge_intervals(v("regions"))
 
 
 @query("w4_exon_numbering", "SELECT gene, start, stop, strand, concat('E', row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN strand = '-' THEN -stop ELSE start END, start, stop)) AS exon FROM (SELECT biotype AS gene, start, stop, CASE WHEN biotype < 'Brand#3' THEN '-' ELSE '+' END AS strand FROM annotation)", "annotation")
@@ -273,9 +273,9 @@ def _(v):
     return _value(N.cpm_log1p(v("counts")))
 
 
-@query("n4_tpm", "SELECT feature, sample, round(r * 1e6 / sum(r) OVER (PARTITION BY sample), 6) AS value FROM (SELECT feature, sample, value / greatest(coalesce(p_size, 1), 1) AS r FROM counts LEFT JOIN (SELECT * FROM part WHERE p_partkey % 9 > 0) ON feature = p_partkey)", "counts")
+@query("n4_tpm", "SELECT feature, sample, round(r * 1e6 / sum(r) OVER (PARTITION BY sample), 6) AS value FROM (SELECT feature, sample, value / greatest(coalesce(p_size, 1), 1) AS r FROM counts LEFT JOIN part ON feature = p_partkey)", "counts")
 def _(v):
-    return _value(N.tpm(v("counts"), v("part").where("p_partkey % 9 > 0").select(F.col("p_partkey").alias("feature"), F.col("p_size").alias("length"))))
+    return _value(N.tpm(v("counts"), v("part").select(F.col("p_partkey").alias("feature"), F.col("p_size").alias("length"))))
 
 
 @query("n5_zscore_rows", "SELECT feature, sample, round(CASE WHEN s > 0 THEN (value - m) / s ELSE 0 END, 6) + 0.0 AS value FROM (SELECT *, avg(value) OVER (PARTITION BY feature) AS m, stddev_samp(value) OVER (PARTITION BY feature) AS s FROM counts)", "counts")

@@ -152,9 +152,9 @@ def _(v):
     return joins.clinvar_annotate(v("variants").select("chrom", "pos", "ref", "alt", "id"), known).select("pos", "id", "hgvs", "geneinfo", "clnsig")
 
 
-@query("j7_filter_by_regions", "SELECT p.* FROM points p WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chrom = p.chrom AND p.pos BETWEEN r.start AND r.stop AND r.region % 40 = 0)", "points regions")
+@query("j7_filter_by_regions", "SELECT p.* FROM points p WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chrom = p.chrom AND p.pos BETWEEN r.start AND r.stop)", "points regions")
 def _(v):
-    return joins.filter_by_regions(v("points"), v("regions").where("region % 40 = 0"), 32)
+    return joins.filter_by_regions(v("points"), v("regions"), 32)
 
 
 @query("j8_region_counts", "SELECT region, sample, sum(value) AS value FROM regions r JOIN points p ON r.chrom = p.chrom AND p.pos BETWEEN r.start AND r.stop GROUP BY region, sample", "regions points")

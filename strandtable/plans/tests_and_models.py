@@ -8,6 +8,7 @@ from ..functions.numeric import sql_erfc
 from ..operators import matrix as N
 from ..operators import statistics as T
 from .registry import query, r6
+from .summaries import _SF as _FACTORS
 
 
 def _p(z: str) -> str:
@@ -133,10 +134,19 @@ def _(v):
     return T.nb_differential(v("counts"), v("sheet"), "A", "B")
 
 
-@query("t17_diff_methylation", "SELECT chrom, pos, round(100 * (m2 / (m2 + u2) - m1 / (m1 + u1)), 6) + 0.0 AS difference FROM (SELECT chrom, pos, sum(meth) FILTER (WHERE sample IN (0, 2)) AS m1, sum(unmeth) FILTER (WHERE sample IN (0, 2)) AS u1, sum(meth) FILTER (WHERE sample IN (1, 3)) AS m2, sum(unmeth) FILTER (WHERE sample IN (1, 3)) AS u2 FROM (SELECT chrom % 3 AS chrom, pos, sample, meth, unmeth FROM calls) GROUP BY 1, 2) WHERE m1 + u1 > 0 AND m2 + u2 > 0", "calls")
+_LL = "(CASE WHEN {m} > 0 THEN {m} * ln({m} / ({m} + {u})) ELSE 0 END + CASE WHEN {u} > 0 THEN {u} * ln({u} / ({m} + {u})) ELSE 0 END)"
+_DEVIANCE = f"greatest(2 * ({_LL.format(m='m1', u='u1')} + {_LL.format(m='m2', u='u2')} - {_LL.format(m='(m1 + m2)', u='(u1 + u2)')}), 0)"
+_GROUP_X2 = "CASE WHEN m{0} * u{0} > 0 THEN (s{0} - m{0} * m{0} / (m{0} + u{0})) / (m{0} * u{0} / pow(m{0} + u{0}, 2)) ELSE 0 END"
+
+
+@query("t17_diff_methylation", f"""SELECT chrom, pos, round(difference, 6) + 0.0 AS difference, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS qvalue FROM (SELECT *, {_RANKED} FROM (SELECT chrom, pos, difference, round({_p('sqrt(deviance / phi)')}, 12) AS pvalue FROM (
+SELECT chrom, pos, 100 * (m2 / (m2 + u2) - m1 / (m1 + u1)) AS difference, {_DEVIANCE} AS deviance, CASE WHEN k > 2 THEN greatest(({_GROUP_X2.format(1)} + {_GROUP_X2.format(2)}) / (k - 2), 1) ELSE 1 END AS phi FROM (
+SELECT chrom, pos, count(*) AS k, sum(meth) FILTER (WHERE sample IN (0, 2)) AS m1, sum(unmeth) FILTER (WHERE sample IN (0, 2)) AS u1, sum(meth) FILTER (WHERE sample IN (1, 3)) AS m2, sum(unmeth) FILTER (WHERE sample IN (1, 3)) AS u2, sum(meth * meth / (meth + unmeth)) FILTER (WHERE sample IN (0, 2)) AS s1, sum(meth * meth / (meth + unmeth)) FILTER (WHERE sample IN (1, 3)) AS s2
+FROM (SELECT chrom % 3 AS chrom, pos, sample, CAST(sum(meth) AS DOUBLE) AS meth, CAST(sum(unmeth) AS DOUBLE) AS unmeth FROM calls GROUP BY 1, 2, 3) WHERE meth + unmeth > 0 GROUP BY 1, 2) WHERE m1 + u1 > 0 AND m2 + u2 > 0)))""", "calls")
 def _(v):
     groups = v("calls").select("sample").distinct().withColumn("condition", F.when(F.col("sample") % 2 == 0, "A").otherwise("B"))
-    return T.diff_methylation(v("calls").withColumn("chrom", F.col("chrom") % 3), groups, "A", "B").select("chrom", "pos", r6("difference").alias("difference"))
+    t = T.diff_methylation(v("calls").withColumn("chrom", F.col("chrom") % 3), groups, "A", "B")
+    return t.select("chrom", "pos", r6("difference").alias("difference"), r6("pvalue").alias("pvalue"), r6("qvalue").alias("qvalue"))
 
 
 @query("t18_gene_signature_score")
@@ -158,7 +168,7 @@ def _(v):
 
 @query("t21_preranked_gsea")
 def _(v):
-    ranks = v("de").select("gene_symbol", (F.signum("log2FoldChange") * -F.log10("padj")).alias("score"))
+    ranks = v("de").select("gene_symbol", (F.signum("log2FoldChange") * -F.log10(F.greatest("padj", F.lit(1e-300)))).alias("score"))
     return T.preranked_gsea(ranks, v("t2g"), 10, 100000, 50)
 
 
@@ -188,6 +198,6 @@ def _(v):
     return t.select("l_returnflag", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), "n")
 
 
-@query("n2_size_factors")
+@query("n2_size_factors", f", {_FACTORS} SELECT sample, round(size_factor, 6) AS size_factor FROM sf", "counts")
 def _(v):
-    return N.size_factors(v("counts"))
+    return N.size_factors(v("counts")).select("sample", r6("size_factor").alias("size_factor"))

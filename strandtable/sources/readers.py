@@ -41,9 +41,9 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, seq): records are split at ``>``, lines are joined."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    lines = F.split("value", "\r?\n")
+    """(contig, seq): records are split at lines that start with ``>``, lines are joined."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
+    lines = F.split("value", "\r?\n|\r$")
     return rows.select(F.split(lines[0], r"\s+")[0].alias("contig"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "").alias("seq"))
 
 
@@ -85,13 +85,14 @@ def read_methylation_cov(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_comparison_design(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
-    """Key and value lines, then a table whose header starts with ``sample``. These files are small."""
-    lines = [r[0].split("\t") for r in spark.read.text(path).limit(100_000).collect() if r[0].strip()]
-    at = next((i for i, x in enumerate(lines) if x[0].lower() in ("sample", "file_path")), len(lines))
-    head = {x[0]: "\t".join(x[1:]) for x in lines[:at]}
-    columns = [c.strip() for c in lines[at]] if at < len(lines) else ["sample", "condition"]
-    rows = [tuple((x + [None] * len(columns))[: len(columns)]) for x in lines[at + 1 :]]
-    return head, spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+    """Key and value lines, then a table whose header starts with ``sample`` or ``file_path``. Only the lines up to the header reach the driver."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("_line"), F.split("value", "\t").alias("_x"))
+    at = lines.where(F.lower(F.col("_x")[0]).isin("sample", "file_path")).orderBy("_line").first()
+    before = lines.where(F.col("_line") < at["_line"]) if at else lines
+    head = {r["_x"][0]: "\t".join(r["_x"][1:]) for r in before.orderBy("_line").collect()}
+    columns = [c.strip() for c in at["_x"]] if at else ["sample", "condition"]
+    rows = lines.where(F.col("_line") > at["_line"]) if at else lines.where("false")
+    return head, rows.select(*[F.get("_x", F.lit(k)).alias(c) for k, c in enumerate(columns)])
 
 
 def merge_sample_files(spark: SparkSession, paths: list[str] | str, ids: int = 1, column: int = 1, skip: int = 0, how: str = "outer", sep: str = "\t") -> DataFrame:
