@@ -18,13 +18,16 @@ def variant_type(ref: Column, alt: Column) -> Column:
     return F.when((a == 1) & (b == 1), "SNP").when(a > b, "indel").when(a < b, "insert").otherwise("NA")
 
 
-def vcf_filter(df: DataFrame, expression: str, info: str | None = None, every: bool = True) -> DataFrame:
+def vcf_filter(df: DataFrame, expression: str, info: str | None = None, every: bool = True, samples: str | None = None) -> DataFrame:
     """Rows that pass filters such as ``DP >= 20 && TYPE == SNP || QUAL > 30``.
 
-    ``||`` separates filters, ``&&`` conditions of one. Names are columns, ``TYPE``, or keys of the map
-    column ``info``. A missing value fails its condition; an unknown name passes. ``every``: a row needs all filters, else one.
+    ``||`` separates filters, ``&&`` conditions of one. Names are columns, ``TYPE``, keys of the map column
+    ``info``, or FORMAT keys in the last of ``samples`` (array of structs with a map ``values``, as ``read_vcf``
+    makes it; of several numbers the last counts). A missing value fails its condition; a name that no row has
+    passes. ``every``: a row needs all filters, else one.
     """
     columns = {c.lower(): c for c in df.columns}
+    maps = ([F.col(info)] if info else []) + ([F.element_at(F.col(samples), -1)["values"]] if samples else [])
 
     def condition(text: str) -> Column:
         m = _CONDITION.match(text)
@@ -36,10 +39,13 @@ def vcf_filter(df: DataFrame, expression: str, info: str | None = None, every: b
             left = variant_type(F.col(columns["ref"]), F.col(columns["alt"]))
         elif name.lower() in columns:
             left = F.col(columns[name.lower()])
-        elif info:
-            left = F.element_at(F.col(info), name)
         else:
-            return F.lit(True)
+            known = next((m for m in maps if not df.where(F.map_contains_key(m, F.lit(name))).isEmpty()), None)
+            if known is None:
+                return F.lit(True)
+            left = F.element_at(known, name)
+            if samples and known is maps[-1]:
+                left = F.substring_index(left, ",", -1)
         number = re.fullmatch(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", value)
         left = left.try_cast("double") if number else left.cast("string")
         return F.coalesce(_OPS[op](left, F.lit(float(value) if number else value)), F.lit(False))

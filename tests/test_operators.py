@@ -116,6 +116,36 @@ def test_vcf_filter_missing_and_unknown(spark):
     assert ids("QUAL > 5") == [1, 3] and ids("NOPE > 5") == [1, 2, 3] and ids("TYPE == insert || QUAL > 20", every=False) == [2, 3]
 
 
+def test_vcf_filter_info_and_format_keys(spark):
+    rows = [(1, {"DP": "30"}, [("s1", {"GT": "0/1", "AD": "3,40"})]), (2, {"DP": "5", "MQ": "60"}, [("s1", {"GT": "1/1", "AD": "50,2"})]), (3, {}, [("s1", {"GT": "0/1"})])]
+    df = spark.createDataFrame(rows, "pos int, info map<string,string>, samples array<struct<sample:string,values:map<string,string>>>")
+    ids = lambda e: [r.pos for r in filters.vcf_filter(df, e, "info", samples="samples").collect()]
+    assert ids("DP >= 20") == [1] and ids("NOPE > 5") == [1, 2, 3] and ids("AD > 10") == [1] and ids("GT == 0/1") == [1, 3] and ids("MQ > 50") == [2]
+
+
+def test_fasta_with_marks_in_descriptions(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">c1 A>G change\nACGT\nAC\n>c2\r\nGG\r\n")
+    assert sorted(map(tuple, readers.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("c1", "ACGTAC"), ("c2", "GG")]
+
+
+def test_overdispersion_scales_the_deviance(spark):
+    rows = [(1, 10, "a", 8, 2), (1, 10, "b", 2, 8), (1, 10, "c", 9, 1), (1, 10, "d", 9, 1), (1, 20, "a", 5, 5), (1, 20, "c", 10, 0)]
+    groups = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "B"), ("d", "B")], "sample string, condition string")
+    got = {r.pos: r for r in statistics.diff_methylation(spark.createDataFrame(rows, "chrom int, pos int, sample string, meth int, unmeth int"), groups, "A", "B").collect()}
+    ll = lambda m, u: (m * math.log(m / (m + u)) if m else 0) + (u * math.log(u / (m + u)) if u else 0)
+    phi = max(1.0, ((8 - 5) ** 2 / 2.5 + (2 - 5) ** 2 / 2.5 + 0) / 2)
+    want = 2 * (ll(10, 10) + ll(18, 2) - ll(28, 12)) / phi
+    assert phi > 3 and got[10].pvalue == pytest.approx(math.erfc(math.sqrt(want / 2)), abs=1e-6)
+    assert got[20].pvalue == pytest.approx(math.erfc(math.sqrt(ll(5, 5) + ll(10, 0) - ll(15, 5))), abs=1e-6) and got[20].difference == 50
+
+
+def test_preranked_gsea_ignores_genes_without_a_score(spark):
+    rows = [(f"g{i:03d}", float(100 - i)) for i in range(200)] + [(f"n{i}", None) for i in range(50)]
+    sets = [("top", f"g{i:03d}") for i in range(20)] + [("spread", f"g{i:03d}") for i in range(0, 200, 10)]
+    got = {r.category: r for r in statistics.preranked_gsea(spark.createDataFrame(rows, "gene_symbol string, score double"), spark.createDataFrame(sets, "category string, gene_symbol string"), 5, 100, 40).collect()}
+    assert got["top"].es == pytest.approx(1.0) and got["top"].pvalue < 0.1 and got["spread"].pvalue > got["top"].pvalue
+
+
 def test_merge_intervals_emits_the_last(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 6, 8), ("a", 10, 11), ("b", 1, 2)], "chrom string, start int, stop int")
     assert sorted(map(tuple, aggregates.merge_intervals(df).collect())) == [("a", 1, 8), ("a", 10, 11), ("b", 1, 2)]
