@@ -252,9 +252,26 @@ def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+def _met_before(word: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, segment: int) -> np.ndarray:
+    """Which pairs of rows differ in at most one bit of an earlier segment, as far as ``word`` (128 bits) holds them."""
+    apart = word[a] ^ word[b]
+    mask = np.uint64((1 << bits) - 1)
+    found = np.zeros(len(a), dtype=bool)
+    for k in range(min(segment, 128 // bits)):
+        at = k * bits
+        part = apart[:, at // 64] >> np.uint64(at % 64)
+        if at % 64 + bits > 64:
+            part = part | apart[:, 1] << np.uint64(64 - at % 64)
+        found |= np.bitwise_count(part & mask) <= 1
+    return found
+
+
+def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarray, low: int, bits: int = 0, segment: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the rows near in ``word`` (two per row) whose segment values differ in at most one bit.
 
+    Pairs that have met in an earlier ``segment`` are connected by that one's edges and left out here, so a group
+    of copies is not told once for each segment.
+
     Rows with ``asks`` hold a value of another block with one bit cleared: they meet that value's owners
     alone. Owners meet rows of their own value and of those with one of the ``low`` lowest bits cleared.
     """
@@ -296,6 +313,9 @@ def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarra
     hit = (to < len(values)) & (values[np.minimum(to, len(values) - 1)] == value[x]) if len(values) else np.zeros(len(x), dtype=bool)
     pairs(x[hit], to[hit])
     a, b = np.concatenate(a), np.concatenate(b)
+    if segment:
+        new = ~_met_before(word, a, b, bits, segment)
+        a, b = a[new], b[new]
     return node[a], node[b]
 
 
@@ -341,7 +361,8 @@ def _wide_links(nodes: DataFrame, plan: Plan, block: int) -> DataFrame:
         for rows in runs(batches, by):
             for x, y in spans(rows, by):
                 r = rows.iloc[x:y]
-                a, b = _meet(r["value"].to_numpy(np.int64), r["asks"].to_numpy(bool), r[["w0", "w1"]].to_numpy(np.int64).view(np.uint64), r["rep"].to_numpy(np.int64), low)
+                word = np.ascontiguousarray(r[["w0", "w1"]].to_numpy(np.int64)).view(np.uint64)
+                a, b = _meet(r["value"].to_numpy(np.int64), r["asks"].to_numpy(bool), word, r["rep"].to_numpy(np.int64), low, plan.bits, int(r["task"].iloc[0]) >> top)
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     sizes = nodes.select("fp").mapInPandas(tally, "task long, n long").groupBy("task").agg(F.sum("n").alias("n"))

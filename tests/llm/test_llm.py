@@ -158,6 +158,24 @@ def test_meet_finds_all_pairs_one_bit_apart_by_brute_force(monkeypatch):
         assert all(near(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True))
 
 
+def test_later_segments_tell_only_new_pairs():
+    """Segment by segment, edges connect all pairs that meet in any segment, and each pair is told by its first one."""
+    draw = np.random.Generator(np.random.PCG64(9))
+    base = draw.integers(0, 2, 200) > 0
+    rows = np.array([base ^ (draw.random(200) < (0.05 if i % 2 else 0.2)) for i in range(150)])
+    word = np.packbits(rows[:, :128], axis=1, bitorder="little").view("<u8")
+    values = [rows[:, 18 * k : 18 * k + 18] @ (1 << np.arange(18)) for k in range(11)]
+    near = lambda i, j: np.bitwise_count(word[i] ^ word[j]).sum() <= simhash.LOOSE
+    pairs = [(i, j) for i in range(150) for j in range(i) if near(i, j) and any(int(v[i] ^ v[j]).bit_count() <= 1 for v in values)]
+    edges = []
+    for k, v in enumerate(values):
+        a, b = simhash._meet(v.astype(np.int64), np.zeros(150, dtype=bool), word, np.arange(150), 18, 18, k)
+        edges += [(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)]
+        told = [int(values[j][x] ^ values[j][y]).bit_count() <= 1 for x, y in zip(a, b, strict=True) for j in range(min(k, 7))]
+        assert not any(told)
+    assert set(edges) <= set(pairs) and components_of(range(150), edges) == components_of(range(150), pairs)
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r.doc_id, r.component_id) for r in simhash.classes(odd).collect()]
     assert Counter(got) == Counter([(1, 1), (1, 1), (2, 2), (3, 2), (None, None), (4, 4), (5, 2), (6, 1)])
