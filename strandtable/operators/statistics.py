@@ -300,7 +300,7 @@ def pairwise_condition_tests(df: DataFrame) -> DataFrame:
 
 
 def nested_resampling_test(df: DataFrame, one: str, two: str, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """Welch t of replicate means; its null shuffles treatment over bootstrapped replicates. Rows: treatment, replicate, value.
+    """Welch t of replicate means; its null shuffles treatment over the replicates (no bootstrap). Rows: treatment, replicate, value.
 
     Replicates are few (a row each after averaging), so rounds times replicates rows are made.
     """
