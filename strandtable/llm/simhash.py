@@ -18,7 +18,8 @@ or more. The bits of such fingerprints (here over distinct shingles) differ with
 64 bits are too few for a search by segments. ``Plan`` sizes the fingerprint by the number of texts: a
 segment has two bits more than the texts need to be numbered, so that few unlike texts meet in it at any
 size, and there are as many segments as leave one pair in ``MISS`` without a segment that differs in at
-most one bit. Pairs that meet there and are near in their first 128 bits are joined to groups; within a
+most one bit. Pairs that meet there and are near in their first 128 bits are joined to groups (a task tells each
+of its groups as a star around the smallest node, so edges grow with the nodes, never with the pairs); within a
 group every pair is verified by the distance of the complete fingerprints and then by whole shingle sets.
 Work grows as the texts times the segments, about n^1.25.
 
@@ -280,38 +281,80 @@ def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarra
     own = int((~asks).sum())
     values, start, count = np.unique(value[:own], return_index=True, return_counts=True)
     a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    labels: dict[int, np.ndarray] = {}
+
+    def near(rows: np.ndarray, x: int) -> np.ndarray:
+        return np.bitwise_count(word[rows] ^ word[x]).sum(axis=1) <= LOOSE
 
     def pairs(x: np.ndarray, at: np.ndarray, same: bool = False) -> None:
         """Rows ``x`` against all rows (``same``: the later ones) of the values at ``at``."""
-        few = count[at] <= _FEW
         for k in range(0, len(x), 1 << 15):
-            part = slice(k, k + (1 << 15))
-            rows, to = x[part][few[part]], at[part][few[part]]
+            rows, to = x[k : k + (1 << 15)], at[k : k + (1 << 15)]
             left, right = np.repeat(rows, count[to]), _expand(start[to], count[to])
-            near = np.bitwise_count(word[left] ^ word[right]).sum(axis=1) <= LOOSE
-            near &= (right > left) | ~np.bool_(same)
-            a.append(left[near])
-            b.append(right[near])
-        x, at = x[~few], at[~few]
-        for v in np.unique(at).tolist():
-            members = np.union1d(x[at == v], np.arange(start[v], start[v] + count[v]))
-            members = members[np.argsort(node[members], kind="stable")]  # trees of all segments start at the smallest node
-            left, right = tree(len(members), lambda i, rest, m=members: np.bitwise_count(word[m[rest]] ^ word[m[i]]).sum(axis=1) <= LOOSE)
-            a.append(members[left])
-            b.append(members[right])
+            found = np.bitwise_count(word[left] ^ word[right]).sum(axis=1) <= LOOSE
+            found &= (right > left) | ~np.bool_(same)
+            a.append(left[found])
+            b.append(right[found])
+
+    def grown(members: np.ndarray) -> np.ndarray:
+        """Tells a forest of ``members``, whose trees start at the smallest node, and labels them by tree."""
+        left, right = tree(len(members), lambda i, rest: near(members[rest], members[i]))
+        a.append(members[left])
+        b.append(members[right])
+        label = np.arange(len(members))
+        for x, y in zip(left, right, strict=True):
+            label[y] = label[x]
+        return label
+
+    def trees(v: int) -> tuple[np.ndarray, np.ndarray]:
+        members = np.arange(start[v], start[v] + count[v])
+        if v not in labels:
+            labels[v] = grown(members)
+        return members, labels[v]
+
+    def joined(v: int, w: int) -> None:
+        """One edge for each two trees of two values that hold a near pair, so a hot value is not told for each of its neighbours."""
+        (x, of), (y, to) = sorted((trees(v), trees(w)), key=lambda t: len(t[0]))
+        for k in np.unique(of).tolist():
+            rest, open_ = y, to
+            for i in x[of == k].tolist():
+                hit, first = np.unique(np.where(near(rest, i), open_, -1), return_index=True)
+                hit, first = hit[hit >= 0], first[hit >= 0]
+                a.append(np.full(len(hit), i))
+                b.append(rest[first])
+                left = ~np.isin(open_, hit)
+                rest, open_ = rest[left], open_[left]
+                if not len(rest):
+                    break
+
+    def place(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``values``, and which are there."""
+        to = np.searchsorted(values, wanted)
+        return to, (values[np.minimum(to, len(values) - 1)] == wanted) & (to < len(values)) if len(values) else np.zeros(len(wanted), dtype=bool)
 
     at = np.repeat(np.arange(len(values)), count)
-    pairs(np.arange(own), at, same=True)
+    few = count <= _FEW
+    alone = np.flatnonzero(few[at])
+    pairs(alone, at[alone], same=True)
+    for v in np.flatnonzero(~few).tolist():
+        trees(v)
     for k in range(low):
-        bit = 1 << k
-        x = np.flatnonzero(value[:own] & bit)
-        to = np.searchsorted(values, value[x] ^ bit)
-        hit = (to < len(values)) & (values[np.minimum(to, len(values) - 1)] == value[x] ^ bit) if len(values) else np.zeros(len(x), dtype=bool)
-        pairs(x[hit], to[hit])
+        asking = np.flatnonzero(values & (1 << k))
+        to, hit = place(values[asking] ^ (1 << k))
+        asking, to = asking[hit], to[hit]
+        both = few[asking] & few[to]
+        rows = _expand(start[asking[both]], count[asking[both]])
+        pairs(rows, np.repeat(to[both], count[asking[both]]))
+        for v, w in zip(asking[~both].tolist(), to[~both].tolist(), strict=True):
+            joined(v, w)
     x = np.arange(own, len(value))
-    to = np.searchsorted(values, value[x])
-    hit = (to < len(values)) & (values[np.minimum(to, len(values) - 1)] == value[x]) if len(values) else np.zeros(len(x), dtype=bool)
-    pairs(x[hit], to[hit])
+    to, hit = place(value[x])
+    x, to = x[hit], to[hit]
+    both = few[to] & (np.bincount(to, minlength=len(values))[to] <= _FEW)
+    pairs(x[both], to[both])
+    for v in np.unique(to[~both]).tolist():
+        members = np.union1d(x[to == v], np.arange(start[v], start[v] + count[v]))
+        grown(members[np.argsort(node[members], kind="stable")])
     a, b = np.concatenate(a), np.concatenate(b)
     if segment:
         new = ~_met_before(word, a, b, bits, segment)
@@ -319,6 +362,21 @@ def _meet(value: np.ndarray, asks: np.ndarray, word: np.ndarray, node: np.ndarra
     return node[a], node[b]
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as those of the edges (a, b), each as a star around its smallest node: fewer edges than nodes."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    far = root != np.arange(len(nodes))
+    return nodes[root[far]], nodes[far]
+
+
 def _wide_links(nodes: DataFrame, plan: Plan, block: int) -> DataFrame:
     """(a, b): edges that connect the ``rep`` of all ``nodes`` (rep, fp) near each other in a segment and in their first 128 bits.
 
@@ -363,7 +421,8 @@ def _wide_links(nodes: DataFrame, plan: Plan, block: int) -> DataFrame:
                 r = rows.iloc[x:y]
                 word = np.ascontiguousarray(r[["w0", "w1"]].to_numpy(np.int64)).view(np.uint64)
                 a, b = _meet(r["value"].to_numpy(np.int64), r["asks"].to_numpy(bool), word, r["rep"].to_numpy(np.int64), low, plan.bits, int(r["task"].iloc[0]) >> top)
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                a, b = _stars(a, b)
+                yield pd.DataFrame({"a": a, "b": b})
 
     sizes = nodes.select("fp").mapInPandas(tally, "task long, n long").groupBy("task").agg(F.sum("n").alias("n"))
     large = table(sizes.where(F.col("n") > 4 * block).select("task", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "simhash-large")

@@ -158,6 +158,25 @@ def test_meet_finds_all_pairs_one_bit_apart_by_brute_force(monkeypatch):
         assert all(near(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True))
 
 
+def test_stars_keep_components_with_fewer_edges_than_nodes():
+    draw = np.random.Generator(np.random.PCG64(10))
+    for n, edges in ((2000, 1500), (500, 20000), (50, 0)):
+        a, b = draw.integers(0, n, (2, edges))
+        x, y = simhash._stars(a * 7, b * 7)
+        assert len(x) < n and len(set(y.tolist())) == len(y)
+        told = components_of([7 * i for i in range(n)], list(zip(x.tolist(), y.tolist(), strict=True)))
+        assert told == components_of([7 * i for i in range(n)], list(zip((a * 7).tolist(), (b * 7).tolist(), strict=True)))
+        assert all(told[j] == i for i, j in zip(x.tolist(), y.tolist(), strict=True))
+
+
+def test_hot_values_are_joined_by_one_edge_for_each_tree():
+    """A value of very many near texts asks small values one bit away: the edges stay about as many as the texts."""
+    value = np.array([31] * 3000 + [31 ^ (1 << k) for k in range(5) for _ in range(6)])
+    word = np.zeros((len(value), 2), dtype=np.uint64)
+    a, b = simhash._meet(value, np.zeros(len(value), dtype=bool), word, np.arange(len(value)), 5)
+    assert len(a) < len(value) + 100 and set(components_of(range(len(value)), list(zip(a.tolist(), b.tolist(), strict=True))).values()) == {0}
+
+
 def test_later_segments_tell_only_new_pairs():
     """Segment by segment, edges connect all pairs that meet in any segment, and each pair is told by its first one."""
     draw = np.random.Generator(np.random.PCG64(9))
