@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, minhash, mixing, pii, quality, sharding, simhash, tokens, warc
+from . import audit, decontaminate, html_text, licenses, minhash, mixing, pii, quality, sharding, simhash, spelling, tokens, warc
 from .common import table
 
 
@@ -114,6 +114,58 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+# The words' checksums are computed here bit by bit, near words by the words less one code point, and chains by recursion.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(CAST('0x' || substr(hex(encode(id || ':' || run)), CAST(2 * i + 1 AS INT), 2) AS INT) AS BIGINT) FOR i IN range(octet_length(encode(id || ':' || run)))]),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) + 1 AS INT)])), 4294967295) AS h FROM d, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) + 2 AS INT)) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+    UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.less = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.less = v.word),
+q AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN q ON v.word = q.word),
+z AS (SELECT word, word AS root, form AS step FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON z.step = f.word)
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON f.word = z.word AND z.step IS NULL
+"""
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT d.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+k AS (SELECT substr('ABCDE', CAST(i AS INT), 1) AS f, CAST(1 << (i - 1) AS INT) AS bit FROM (SELECT unnest(range(1, 6)) AS i)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM k a, k b, k c, k d, k e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(j AS INT) AS step, bits[j] AS bit, coalesce(list_sum(bits[1:j - 1]), 0)::INT AS earlier FROM (SELECT *, unnest(range(1, 6)) AS j FROM o)),
+r AS (SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & earlier > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN good AND mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN toxic AND mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS toxic_lost FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -125,6 +177,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_licenses": op11_licenses,
+    "op12_spelling": op12_spelling,
+    "op13_audit": op13_audit,
 }
 
-ORACLE: dict[str, str] = {"op8_warc": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE: dict[str, str] = {"op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op12_spelling": OP12_SQL, "op13_audit": OP13_SQL}
