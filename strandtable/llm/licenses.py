@@ -112,30 +112,33 @@ class RareTokenIndex:
     """Templates by word: where each word stands in them, and how rare it is."""
 
     def __init__(self, templates: list[Template], idf: dict[bytes, float]):
-        self.templates, self.idf = templates, idf
+        self.templates = templates
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, template in enumerate(templates):
             for q, w in enumerate(template.words):
                 self.postings[w].append((t, q))
+        self.order = {w: (-idf.get(w, 0.0), w) for w in self.postings}
+        self.words = frozenset(self.postings)
+        # Fewer places of its words than this in a file, and a template cannot reach the least score there.
+        self.need = [len(t.words) if t.exact else math.ceil(LEAST_SCORE * len(t.words)) for t in templates]
 
     def scan(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """(template, where it begins, score) of every verified occurrence."""
+        met = self.words.intersection(words)
+        there = Counter(t for w in met for t, _ in self.postings[w])
+        able = [t for t, n in there.items() if n >= self.need[t]]
+        if not able:
+            return
+        wanted = met & {w for t in able for w in self.templates[t].words}
         at: dict[bytes, list[int]] = defaultdict(list)
-        postings = self.postings
         for i, w in enumerate(words):
-            if w in postings:
+            if w in wanted:
                 at[w].append(i)
-        met: dict[int, list[bytes]] = defaultdict(list)
-        for w in sorted(at, key=lambda w: (-self.idf.get(w, 0.0), w)):
-            for t in dict.fromkeys(t for t, _ in postings[w]):
-                if len(met[t]) < RARE:
-                    met[t].append(w)
-        for t, rare in met.items():
-            template = self.templates[t]
-            wanted = len(set(template.words))
-            if len(rare) < (min(RARE, wanted) if template.exact else math.ceil(min(RARE, wanted) / 2)):
-                continue
-            yield from self._exact(t, rare, at, words) if template.exact else self._near(t, rare, at, words)
+        ranked = sorted(wanted, key=self.order.__getitem__)
+        for t in able:
+            own = set(self.templates[t].words)
+            rare = [w for w in ranked if w in own][:RARE]
+            yield from self._exact(t, rare, at, words) if self.templates[t].exact else self._near(t, rare, at, words)
 
     def _exact(self, t: int, rare: list[bytes], at: dict, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         template = self.templates[t]
