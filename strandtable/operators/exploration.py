@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_sf, normal_two_sided
 from ..functions.ranking import average_ranks
+from ..functions.storage import settle
 from .aggregates import frequent_values, kneedle, union_reports
 from .hierarchy import label_components
+from .neighbours import elbow, nearest, principal_axes
 from .statistics import mann_whitney
 
 # The date layouts that count as dates.
@@ -243,30 +245,36 @@ def apply_best_transform(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, TRANSFORMS[max(found.values(), key=lambda r: r["pvalue"])["transform"]](F.col(column).cast("double")))
 
 
-def knn_impute(df: DataFrame, key: str, columns: list[str], target: str, k: int = 10, use: int = 3) -> DataFrame:
-    """Fill ``target`` by the median of the first ``use`` values among the ``k`` nearest complete rows, else its median.
+def knn_impute(df: DataFrame, key: str, columns: list[str], target: str | list[str], k: int = 10, use: int = 3) -> DataFrame:
+    """Fill missing cells of ``target`` columns by the median of the first ``use`` values among the ``k`` nearest rows, else the column's median.
 
-    Rows without a value are queries. Distances use z-scores of ``columns``; donors are met in blocks of a
-    random projection, whose neighbouring blocks are searched too, so no row meets the whole table.
+    Rows are placed by z-scores of those ``columns`` that miss nothing, turned to their principal axes up to the elbow. The search
+    is exact (``neighbours.nearest``); a row is the first of its own ``k``, as in a search of the table for its own rows, and
+    equally near rows follow by key. Keys must be distinct.
     """
-    s = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns], F.median(target).alias("_mid"), F.count(target).alias("_n")).first()
-    z = F.array(*[F.coalesce((F.col(c) - (s[f"m_{c}"] or 0.0)) / (s[f"s_{c}"] or 1.0), F.lit(0.0)) for c in columns])
-    axis = np.random.Generator(np.random.PCG64(5)).normal(size=len(columns))
-    axis /= np.linalg.norm(axis)
-    line = F.aggregate(F.zip_with("_z", F.array(*map(F.lit, map(float, axis))), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    rows = df.withColumn("_z", z).withColumn("_p", line)
-    blocks = max(1, int((s["_n"] or 0) // 500))
-    cuts = np.unique(rows.where(F.col(target).isNotNull()).approxQuantile("_p", [i / blocks for i in range(1, blocks)], 0.001)) if blocks > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, map(float, cuts))), lambda q: q < F.col("_p"))) if len(cuts) else F.lit(0)
-    rows = rows.withColumn("_b", at)
-    asks = rows.where(F.col(target).isNull()).select(F.col(key).alias("_q"), F.col("_z").alias("_zq"), F.explode(F.array(F.col("_b") - 1, "_b", F.col("_b") + 1)).alias("_b"))
-    donors = rows.where(F.col(target).isNotNull()).select(F.col(key).alias("_d"), "_z", "_b", F.col(target).alias("_v"))
-    far = F.aggregate(F.zip_with("_z", "_zq", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = asks.join(donors, "_b").withColumn("_far", far)
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("_far", "_d"))).where(F.col("_r") <= min(k, use))
-    fill = near.groupBy("_q").agg(F.median("_v").alias("_fill"))
-    out = df.join(fill, F.col(key) == F.col("_q"), "left")
-    return out.withColumn(target, F.coalesce(target, "_fill", F.lit(s["_mid"]))).drop("_q", "_fill")
+    targets = [target] if isinstance(target, str) else list(target)
+    s = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop), ("n", F.count))], *[F.median(t).alias(f"mid_{t}") for t in targets], F.count(F.lit(1)).alias("_all")).first()
+    whole = [c for c in columns if s[f"n_{c}"] == s["_all"]]
+    gaps = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in targets])
+    fills = {t: F.coalesce(t, F.lit(s[f"mid_{t}"])) for t in targets}
+    if not whole or not s["_all"]:
+        return df.withColumns(fills)
+    z = df.select(F.col(key).alias("_key"), *[((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] + 1e-6)).alias(f"_z{i}") for i, c in enumerate(whole)], gaps.alias("_gaps"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(targets)])
+    z = settle(z)
+    zs = [f"_z{i}" for i in range(len(whole))]
+    variances, axes = principal_axes(z, zs)
+    kept = elbow(variances)
+    scores = [reduce(lambda a, b: a + b, [F.col(c) * float(axes[i, j]) for i, c in enumerate(zs)]).alias(f"_c{j}") for j in range(kept)]
+    carried = [f"_t{i}" for i in range(len(targets))]
+    near = nearest(z.select("_key", "_gaps", *carried, *scores), "_key", [f"_c{j}" for j in range(kept)], k - 1, F.col("_gaps"), carried)
+    found = []
+    for c in carried:
+        values = F.array_sort(F.slice(F.filter(F.col(f"near.{c}"), lambda x: x.isNotNull()), 1, use))
+        n = F.size(values)
+        found.append(F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2).alias(f"_f{c}"))
+    out = df.join(near.select("_key", *found), F.col(key) == F.col("_key"), "left")
+    out = out.withColumns({t: F.coalesce(t, f"_f{c}", F.lit(s[f"mid_{t}"])) for c, t in zip(carried, targets, strict=True)})
+    return out.select(*df.columns)
 
 
 class RuleRegistry:
