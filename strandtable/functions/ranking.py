@@ -25,6 +25,21 @@ def with_piece(df: DataFrame, value: str, pieces: int = PIECES) -> DataFrame:
     return rows.withColumn("_piece", at)
 
 
+def row_places(df: DataFrame, order: list[Column], keys: list[str], out: str) -> DataFrame:
+    """Add ``out``: the row's place (from 0, gapless) in its key by ``order``; the rows are written once.
+
+    Rows are range-partitioned by key and order, so neither a hot key nor one value that many rows share is one task
+    as long as ``order`` tells its rows apart. A place is that in the partition plus the sizes of the key's earlier partitions.
+    """
+    sort = [*[F.col(k) for k in keys], *order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return join_on_keys(rows, sizes, [*keys, "_part"]).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(out))
+
+
 def join_on_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Equi join that meets null keys too; the other side's keys go."""
     named = other.withColumnsRenamed({k: f"_on_{k}" for k in keys})

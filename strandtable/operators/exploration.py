@@ -7,12 +7,13 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_sf, normal_two_sided
-from ..functions.ranking import average_ranks
+from ..functions.ranking import average_ranks, sum_below
 from ..functions.storage import settle
 from .aggregates import frequent_values, kneedle, union_reports
 from .hierarchy import label_components
@@ -158,29 +159,63 @@ def remove_outliers(df: DataFrame, key: str, columns: list[str], multihit: bool
     return df.join(bad, key, "left_anti")
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, cells: int = 64) -> float | None:
-    """tau-b over the contingency table; columns of over ``cells`` values are first cut at that many quantiles."""
-    def coded(c: str, cuts: np.ndarray) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, map(float, cuts))), lambda q: q < F.col(c)))
-
-    few = df.agg(F.approx_count_distinct(x).alias("x"), F.approx_count_distinct(y).alias("y")).first()
-    rows = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for c in (x, y):
-        if few["x" if c == x else "y"] > cells:
-            cuts = np.unique(rows.approxQuantile(c, [k / cells for k in range(1, cells)], 0.001))
-            rows = rows.withColumn(c, coded(c, cuts))
-    t = rows.groupBy(x, y).count().toPandas().pivot_table(index=x, columns=y, values="count", fill_value=0).to_numpy(dtype=float)
-    below = np.zeros_like(t)
-    upper = np.cumsum(np.cumsum(t[::-1, ::-1], axis=0), axis=1)[::-1, ::-1]
-    below[:-1, :-1] = upper[1:, 1:]
-    left = np.zeros_like(t)
-    lower = np.cumsum(np.cumsum(t[::-1], axis=0)[:, :], axis=1)[::-1]
-    left[:-1, 1:] = lower[1:, :-1]
-    good, bad = (t * below).sum(), (t * left).sum()
-    n = t.sum()
-    all_, tx, ty = n * (n - 1) / 2, sum(s * (s - 1) / 2 for s in t.sum(axis=1)), sum(s * (s - 1) / 2 for s in t.sum(axis=0))
-    root = math.sqrt((all_ - tx) * (all_ - ty))
-    return float((good - bad) / root) if root else None
+def inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
+    """Pairs of weighted points with rising ``x`` and falling ``y``; ties in either are none. By halves, as in merge sort."""
+    order = np.lexsort((y, x))  # of equal x the smaller y first, so that they do not count
+    y, n = y[order], n[order].astype(np.int64)
+
+    def count(lo: int, hi: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(inversions, y in order, their weights) of a stretch."""
+        if hi - lo <= 64:
+            a, w = y[lo:hi], n[lo:hi]
+            found = int(w @ (np.triu(a[:, None] > a[None, :]) @ w))
+            k = np.argsort(a, kind="stable")
+            return found, a[k], w[k]
+        mid = (lo + hi) // 2
+        one, a, v = count(lo, mid)
+        two, b, w = count(mid, hi)
+        behind = v.sum() - np.concatenate(([0], np.cumsum(v)))[np.searchsorted(a, b, side="right")]
+        both = np.concatenate((a, b))
+        k = np.argsort(both, kind="stable")
+        return one + two + int(behind @ w), both[k], np.concatenate((v, w))[k]
+
+    return count(0, len(y))[0] if len(y) else 0
+
+
+def kendall_tau(df: DataFrame, x: str, y: str, pieces: int = 256) -> float | None:
+    """Exact tau-b of two columns; rows that miss either go. None without spread.
+
+    Equal points are one weighted point. Both columns are cut into ``pieces`` of about equal numbers of rows; a value that
+    is a piece by itself holds no pair that counts. Pairs in different pieces of both columns come from the counts of pieces by pieces
+    (a matrix on the driver), pairs in one piece of a column from the points of that piece, a task each.
+    """
+    points = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy((F.col(x) + F.lit(0.0)).alias("x"), (F.col(y) + F.lit(0.0)).alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    total = points.agg(F.sum("n")).first()[0] or 0
+    size = max(1, total // pieces)
+    ties = {"xy": points.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0] or 0.0}
+    for c in ("x", "y"):
+        values = settle(points.groupBy(c).agg(F.sum("n").alias("n")))
+        ties[c] = values.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0] or 0.0
+        # A value of more rows than a piece is the last of the piece that it begins in, and gets the next number to itself.
+        piece = 2 * F.floor(F.col("below") / size) + (F.col("n") > size).cast("int")
+        points = points.join(sum_below(values, [], c, "n", "below").select(c, piece.alias(f"p{c}")), c)
+    points = settle(points.select("x", "y", "n", "px", "py"))
+
+    def within(first: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda rows: pd.DataFrame({"d": [float(inversions(rows[first].to_numpy(), rows["y"].to_numpy(), rows["n"].to_numpy()))]})
+
+    same_x = points.where("px % 2 = 0").groupBy("px").applyInPandas(within("x"), "d double")
+    same_y = points.where("py % 2 = 0").groupBy("py").applyInPandas(within("px"), "d double")
+    against = same_x.union(same_y).agg(F.sum("d")).first()[0] or 0.0
+    cells = points.groupBy("px", "py").agg(F.sum("n").alias("n")).toPandas()
+    table = cells.pivot_table(index="px", columns="py", values="n", fill_value=0).to_numpy(dtype=float)
+    if len(cells):
+        later = np.cumsum(np.cumsum(table[::-1], axis=0)[::-1], axis=1)  # rows from here on, columns up to here
+        against += float((table[:-1, 1:] * later[1:, :-1]).sum())
+    pairs = total * (total - 1) / 2
+    tied_x, tied_y, tied = ties["x"] / 2, ties["y"] / 2, ties["xy"] / 2
+    root = math.sqrt((pairs - tied_x) * (pairs - tied_y))
+    return (pairs - tied_x - tied_y + tied - 2 * against) / root if root else None
 
 
 def correlated_columns(df: DataFrame, columns: list[str], limit: float = 0.75) -> DataFrame:

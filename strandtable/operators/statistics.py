@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_sf, erfc, fisher_two_sided, hypergeometric_sf, log2, normal_two_sided, t_two_sided
-from ..functions.ranking import across_pieces, average_ranks, join_on_keys, sum_below, with_piece
+from ..functions.permute import drawn, permuted
+from ..functions.ranking import across_pieces, average_ranks, join_on_keys, row_places, sum_below, with_piece
 from ..functions.storage import settle
 from . import filters, matrix
 
@@ -299,61 +302,99 @@ def pairwise_condition_tests(df: DataFrame) -> DataFrame:
     return bh_fdr(mann_whitney(marked, ["one", "two"], "value", "side", "one", few_keys=True))
 
 
-def nested_resampling_test(df: DataFrame, one: str, two: str, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """Welch t of replicate means; its null shuffles treatment over the replicates (no bootstrap). Rows: treatment, replicate, value.
+def _welch(rows: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
+    """(by, t): Welch's t of the values of side 1 less those of side 0; null without spread or with fewer than two on a side."""
+    at = lambda f, c: f(F.when(F.col(side) == c, F.col(value)))
+    s = rows.groupBy(*by).agg(*[at(f, c).alias(f"{n}{c}") for c in (0, 1) for n, f in (("a", F.avg), ("v", F.var_samp), ("n", F.count))])
+    error = F.sqrt(F.col("v0") / F.col("n0") + F.col("v1") / F.col("n1"))
+    return s.select(*by, F.when(error > 0, (F.col("a1") - F.col("a0")) / error).alias("t"))
 
-    Replicates are few (a row each after averaging), so rounds times replicates rows are made.
+
+def nested_resampling_test(df: DataFrame, one: str, two: str, rounds: int = 1000, boots: int = 20, seed: int = 1) -> DataFrame:
+    """Welch t of replicate means and its p under a two-level null. Rows: treatment, replicate, value. Returns t, pvalue, rounds.
+
+    Each of ``boots`` times the values of every replicate are drawn anew with replacement, and the treatments are dealt
+    out over the replicates: in every possible way if there are at most ``rounds``, else in ``rounds`` seeded ones. p is the
+    share of all these t beyond the seen one on either side; a t without spread is beyond none. Replicates are few (a row
+    each after averaging); their values are ranked in pieces and drawn by place, so one large replicate is many tasks.
     """
-    rounds = min(rounds, 1000)
-    means = df.where(F.col("treatment").isin(one, two)).groupBy("treatment", "replicate").agg(F.avg("value").alias("m"))
-
-    def t(g: DataFrame, by: list[str]) -> DataFrame:
-        at = lambda f, c: f(F.when(F.col("treatment") == c, F.col("m")))
-        s = g.groupBy(*by).agg(*[at(f, c).alias(f"{n}{k}") for k, c in enumerate((one, two)) for n, f in (("a", F.avg), ("v", F.var_samp), ("n", F.count))])
-        return s.select(*by, ((F.col("a1") - F.col("a0")) / F.sqrt(F.col("v0") / F.col("n0") + F.col("v1") / F.col("n1"))).alias("t"))
-
-    seen = t(means.withColumn("round", F.lit(0)), ["round"]).select(F.col("t").alias("seen"))
-    sizes = means.groupBy("treatment").agg(F.count(F.lit(1)).alias("n"))
-    first = F.broadcast(sizes.where(F.col("treatment") == one).select(F.col("n").alias("_n1")))
-    draw = means.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "round", "treatment", "replicate")))
-    place = F.row_number().over(Window.partitionBy("round").orderBy("h"))
-    mixed = draw.withColumn("k", place).join(first, F.lit(True)).withColumn("treatment", F.when(F.col("k") <= F.col("_n1"), one).otherwise(two))
-    null = t(mixed, ["round"]).where("t is not null")
-    out = null.join(F.broadcast(seen), F.lit(True)).groupBy("seen").agg(F.avg((F.abs("t") >= F.abs("seen")).cast("double")).alias("pvalue"), F.count(F.lit(1)).alias("rounds"))
-    return out.withColumnRenamed("seen", "t")
-
-
-def preranked_gsea(ranks: DataFrame, t2g: DataFrame, least: int = 10, most: int = 1000, rounds: int = 100, seed: int = 1) -> DataFrame:
-    """Running-sum score of each set over genes ranked by ``score``, with a permutation null: es, nes, p, BH.
-
-    Only positions of hits are windowed: between hits the running sum falls in a straight line. Permutations
-    shift the ranked list by a seeded offset, which keeps its order of scores and needs no new sort.
+    rows = df.where(F.col("treatment").isin(one, two) & F.col("value").isNotNull()).select("treatment", "replicate", F.col("value").cast("double").alias("value"))
+    placed = settle(row_places(rows, [F.col("value"), F.col("treatment")], ["replicate"], "place"))
+    means = placed.groupBy("treatment", "replicate").agg(F.avg("value").alias("m")).withColumn("side", (F.col("treatment") == two).cast("int"))
+    seen = _welch(means.withColumn("_", F.lit(1)), ["_"], "side", "m").select(F.abs("t").alias("seen"), F.col("t").alias("seen_t"))
+    names = [r[0] for r in placed.select("replicate").distinct().orderBy("replicate").collect()]
+    firsts = means.where("side = 0").count()
+    # Draws: as many places as the replicate has values; how often each place is drawn is counted before it meets its value.
+    sizes = placed.groupBy("replicate").agg(F.count(F.lit(1)).alias("n"))
+    indexed = df.sparkSession.createDataFrame(list(enumerate(names)), f"index long, _name {dict(rows.dtypes)['replicate']}")
+    sizes = F.broadcast(sizes.join(indexed, F.col("replicate").eqNullSafe(F.col("_name"))).drop("_name"))
+    draws = join_on_keys(placed.select("replicate", "place"), sizes, ["replicate"]).withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)).cast("array<long>")))
+    draws = draws.select("replicate", "index", "n", "boot", drawn(F.col("n"), F.lit(seed).cast("long"), F.col("boot"), F.col("index"), F.col("place")).alias("place"))
+    draws = draws.groupBy("replicate", "index", "n", "boot", "place").agg(F.count(F.lit(1)).alias("c"))
+    again = join_on_keys(draws, placed.select("replicate", "place", "value"), ["replicate", "place"])
+    again = settle(again.groupBy("index", "n", "boot").agg((F.sum(F.col("c") * F.col("value"))).alias("s")).select("index", "boot", (F.col("s") / F.col("n")).alias("m")))
+    if math.comb(len(names), firsts) <= rounds:
+        deals = [(k, list(some)) for k, some in enumerate(combinations(range(len(names)), firsts))]
+        deals = F.broadcast(df.sparkSession.createDataFrame(deals, "round long, firsts array<long>"))
+        mixed = again.join(deals, F.lit(True)).withColumn("side", F.when(F.array_contains("firsts", F.col("index")), 0).otherwise(1))
+    else:
+        mixed = again.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)).cast("array<long>")))
+        mixed = mixed.withColumn("side", (permuted(F.col("index"), len(names), F.lit(seed).cast("long"), F.col("round")) >= firsts).cast("int"))
+    null = _welch(mixed, ["boot", "round"], "side", "m").join(F.broadcast(seen), F.lit(True))
+    return null.groupBy("seen_t").agg(F.avg(F.coalesce((F.abs("t") > F.col("seen")).cast("double"), F.lit(0.0))).alias("pvalue"), F.count(F.lit(1)).alias("rounds")).withColumnRenamed("seen_t", "t")
+
+
+def _enrichment(hits: DataFrame, by: list[str], n: int) -> DataFrame:
+    """(by, k, es) of hits (by, k, at from 0, w): the extreme of the running sum. Between hits the sum falls in a straight line, so hits are enough."""
+    group = Window.partitionBy(*by)
+    order = group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("w").over(group)
+    j = F.row_number().over(group.orderBy("at"))
+    # A set without any weight climbs in equal steps.
+    share = lambda part, even: F.when(total > 0, part / total).otherwise(even / F.col("k"))
+    up, step, miss = share(F.sum("w").over(order), j), share(F.col("w"), F.lit(1)), (F.col("at") + 1 - j) / F.greatest(F.lit(n) - F.col("k"), F.lit(1))
+    s = hits.withColumns({"hi": up - miss, "lo": up - step - miss}).groupBy(*by, "k").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    return s.select(*by, "k", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
+
+
+def preranked_gsea(ranks: DataFrame, t2g: DataFrame, least: int = 10, most: int = 1000, rounds: int = 1000, seed: int = 1, most_rounds: int = 100_000, enough: int = 10) -> DataFrame:
+    """Running-sum score of each set over genes ranked by ``score``: category, k, es, nes, pvalue, rounds, padj.
+
+    The null of a set are random sets of its size, so sets of one size share theirs: the first k places of a keyed
+    permutation of all places (``functions.permute``), a new one each round and size, without a sort. p is (beyond + 1) / (of
+    the same sign + 1). Sizes that have a set with fewer than ``enough`` rounds beyond it get ten times as many rounds,
+    up to ``most_rounds``. Genes without a score are left out; equal scores follow by gene.
     """
-    # Places come from pieces of the list, so that no task ranks all genes.
-    pieces = with_piece(ranks.where("score is not null").withColumn("_down", -F.col("score")), "_down")
-    inner = F.row_number().over(Window.partitionBy("_piece").orderBy("_down", "gene_symbol"))
-    placed = across_pieces(pieces.withColumn("_inner", inner), [], {"_b": ("sum", F.count(F.lit(1)))}).withColumn("place", F.coalesce("_b", F.lit(0)) + F.col("_inner"))
-    placed = settle(placed.select(*ranks.columns, "place"))
+    listed = ranks.where("score is not null").select("gene_symbol", "score")
+    placed = settle(row_places(listed, [F.col("score").desc(), F.col("gene_symbol")], [], "at").withColumn("w", F.abs("score")))
     n = placed.count()
-    sets = t2g.select("category", "gene_symbol").distinct().join(placed, "gene_symbol")
+    sets = settle(t2g.select("category", "gene_symbol").distinct().join(placed, "gene_symbol").select("category", "at", "w"))
     sized = sets.groupBy("category").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(least, most))
-    offset = F.when(F.col("round") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "category", "round"), F.lit(max(n, 1))))
-    hits = sets.join(sized, "category").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).withColumn("at", (F.col("place") + offset - 1) % max(n, 1) + 1)
-    weights = placed.select(F.col("place").alias("at"), F.abs("score").alias("w"))
-    hits = hits.select("category", "k", "round", "at").join(weights, "at")
-    by = Window.partitionBy("category", "round")
-    total = F.sum("w").over(by)
-    w = by.orderBy("at")
-    up = F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total
-    j = F.row_number().over(w)
-    miss = (F.col("at") - j) / (n - F.col("k"))
-    sums = hits.withColumns({"hi": up - miss, "lo": up - F.col("w") / total - miss})
-    es = sums.groupBy("category", "k", "round").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    es = es.withColumn("es", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
-    seen = es.where("round = 0").select("category", "k", F.col("es").alias("seen"))
-    null = es.where("round > 0").join(seen.select("category", "seen"), "category").where(F.signum("es") == F.signum("seen"))
-    s = null.groupBy("category").agg(F.avg(F.abs("es")).alias("mean"), F.avg((F.abs("es") >= F.abs("seen")).cast("double")).alias("pvalue"))
-    return bh_fdr(seen.join(s, "category", "left").select("category", "k", F.col("seen").alias("es"), (F.col("seen") / F.col("mean")).alias("nes"), F.coalesce("pvalue", F.lit(1.0)).alias("pvalue")))
+    seen = settle(_enrichment(sets.join(sized, "category"), ["category"], n))
+    weights = placed.select("at", "w")
+
+    def beyond(open_sets: DataFrame, start: int, stop: int) -> DataFrame:
+        """(category, tried, same, over, total) of rounds ``start`` to ``stop``."""
+        sizes = open_sets.select("k").distinct().withColumn("round", F.explode(F.sequence(F.lit(start), F.lit(stop - 1)).cast("array<long>")))
+        drawn_at = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        drawn_at = drawn_at.select("k", "round", permuted(F.col("i"), max(n, 1), F.lit(seed).cast("long"), F.col("k"), F.col("round")).alias("at"))
+        null = _enrichment(drawn_at.join(weights, "at"), ["round", "k"], n).select(F.col("k").alias("_k"), F.col("es").alias("_es"))
+        both = open_sets.join(null, (F.col("k") == F.col("_k")) & ((F.col("es") >= 0) == (F.col("_es") >= 0)))
+        found = both.groupBy("category").agg(F.count(F.lit(1)).alias("same"), F.count_if(F.abs("_es") >= F.abs("es")).alias("over"), F.sum(F.abs("_es")).alias("total"))
+        return open_sets.select("category").join(found, "category", "left").select("category", F.lit(stop - start).alias("tried"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("same", "over", "total")])
+
+    tally, waiting, done = None, seen, 0
+    while True:
+        upto = min(most_rounds, rounds if not done else done * 10)
+        more = beyond(waiting, done, upto)
+        tally = settle(more if tally is None else tally.unionByName(more).groupBy("category").agg(*[F.sum(c).alias(c) for c in ("tried", "same", "over", "total")]))
+        done = upto
+        waiting = settle(seen.join(tally.where((F.col("over") < enough) & (F.col("tried") == done)).select("category"), "category", "left_semi"))
+        if done >= most_rounds or waiting.isEmpty():
+            break
+    p = (F.col("over") + 1) / (F.col("same") + 1)
+    out = seen.join(tally, "category").select("category", "k", "es", (F.col("es") / F.try_divide(F.col("total"), F.col("same"))).alias("nes"), p.alias("pvalue"), F.col("tried").alias("rounds"))
+    return bh_fdr(settle(out))
 
 
 def polygenic_score(calls: DataFrame, weights: DataFrame, reference: DataFrame | None = None, least: float = 20) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, joins
+from ..operators import filters, joins, vectors
 from .registry import query, r6
 
 
@@ -231,6 +231,15 @@ def _(v):
     return joins.cosine_pairs(q, e.withColumnRenamed("vec_id", "tag_id"), 0.35).withColumn("similarity", r6("similarity"))
 
 
+# Each vector, mixed with half of the next one, looks for the vectors that it is made of among all.
+@query("j19_cosine_join", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT a.vec_id AS query_id, [a.v[i] + 0.5 * b.v[i] FOR i IN range(1, len(a.v) + 1)] AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT query_id, vec_id AS tag_id, round(list_cosine_similarity(q.v, e.v), 6) + 0.0 AS similarity FROM q, e WHERE list_cosine_similarity(q.v, e.v) >= 0.75""")
+def _(v):
+    e = v("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    mixed = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_next")), "vec_id").select(F.col("vec_id").alias("query_id"), F.zip_with("embedding", "_next", lambda a, b: a + 0.5 * b).alias("embedding"))
+    return vectors.cosine_join(mixed, e.withColumnRenamed("vec_id", "tag_id"), 0.75, 0.9999)[0].withColumn("similarity", r6("similarity"))
+
+
 @query("j20_map_names_to_ids", "SELECT d.gene_symbol AS name, p_name AS term_id FROM de d JOIN part ON CAST(p_partkey AS VARCHAR) = d.gene_symbol WHERE padj < 0.3", "de")
 def _(v):
     terms = v("part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("term_id"))

@@ -163,13 +163,13 @@ def _(v):
 @query("t20_nested_resampling_test")
 def _(v):
     d = v("lineitem").select((F.col("l_suppkey") % 2).cast("string").alias("treatment"), F.col("l_suppkey").alias("replicate"), F.col("l_quantity").alias("value"))
-    return T.nested_resampling_test(d, "0", "1", 300)
+    return T.nested_resampling_test(d, "0", "1", 300, 5)
 
 
 @query("t21_preranked_gsea")
 def _(v):
-    ranks = v("de").select("gene_symbol", (F.signum("log2FoldChange") * -F.log10(F.greatest("padj", F.lit(1e-300)))).alias("score"))
-    return T.preranked_gsea(ranks, v("t2g"), 10, 100000, 50)
+    ranks = v("de").select("gene_symbol", (F.signum("log2FoldChange") * -F.log10(F.greatest(F.coalesce("padj", F.lit(1.0)), F.lit(1e-300)))).alias("score"))
+    return T.preranked_gsea(ranks, v("t2g"), 10, 100000, 100, most_rounds=1000)
 
 
 @query("t22_polygenic_score", "SELECT sample, round(coalesce(sum(w * 2), 0), 6) AS score, count(w) AS alleles FROM (SELECT DISTINCT sample FROM variants) s LEFT JOIN (SELECT v.sample, p.w FROM (SELECT sample, chrom, pos + i AS pos, substr(alt, CAST(i + 1 AS INT), 1) AS base FROM variants, (SELECT unnest(range(2)) AS i) WHERE length(ref) = length(alt) AND dp >= 20 AND i < length(alt)) v JOIN (SELECT concat('chr', o_custkey % 22 + 1) AS chrom, o_orderkey AS pos, 'A' AS base, o_totalprice / 1e6 AS w FROM orders) p USING (chrom, pos, base)) USING (sample) GROUP BY sample", "variants")

@@ -1,9 +1,11 @@
 """Hand-worked results and properties of operators."""
 
 import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,12 +171,49 @@ def test_gapless_overlap(spark):
     assert (r.offset, r.score, r.start, r.stop) == (-3, 8, 3, 11)
 
 
+def plain_tau(x, y):
+    """tau-b by merge sort in plain Python."""
+    def falls(v):
+        if len(v) < 2:
+            return 0, v
+        (a, left), (b, right) = falls(v[: len(v) // 2]), falls(v[len(v) // 2 :])
+        out, i, n = [], 0, a + b
+        for r in right:
+            while i < len(left) and left[i] <= r:
+                out.append(left[i])
+                i += 1
+            n += len(left) - i
+            out.append(r)
+        return n, out + left[i:]
+
+    n = len(x)
+    tied = lambda v: sum(c * (c - 1) // 2 for c in Counter(v).values())
+    pairs, tx, ty, txy = n * (n - 1) // 2, tied(x), tied(y), tied(list(zip(x, y, strict=True)))
+    against = falls([b for _, b in sorted(zip(x, y, strict=True))])[0]
+    return (pairs - tx - ty + txy - 2 * against) / math.sqrt((pairs - tx) * (pairs - ty))
+
+
 def test_kendall_matches_definition(spark):
     rows = [(float(x), float(y)) for x, y in [(1, 3), (2, 1), (2, 2), (4, 5), (5, 5), (6, 4)]]
     s = [(a[0] - b[0]) * (a[1] - b[1]) for a, b in combinations(rows, 2)]
     tx, ty = sum(a[0] == b[0] for a, b in combinations(rows, 2)), sum(a[1] == b[1] for a, b in combinations(rows, 2))
     want = (sum(v > 0 for v in s) - sum(v < 0 for v in s)) / math.sqrt((15 - tx) * (15 - ty))
-    assert exploration.kendall_tau(spark.createDataFrame(rows, "x double, y double"), "x", "y") == pytest.approx(want)
+    assert exploration.kendall_tau(spark.createDataFrame([*rows, (None, 1.0)], "x double, y double"), "x", "y") == pytest.approx(want)
+    assert plain_tau(*zip(*rows, strict=True)) == pytest.approx(want)
+    assert exploration.kendall_tau(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double"), "x", "y") is None
+
+
+@pytest.mark.parametrize("kind", ["distinct", "hot"])
+def test_kendall_is_exact_on_many_values(spark, kind):
+    """100,000 distinct values; and columns of which one value holds a third of the rows, with ties of both kinds."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=100_000)
+    y = x + rng.normal(size=100_000)
+    if kind == "hot":
+        x, y = np.round(x[:20_000], 1), np.round(y[:20_000], 2)
+        x[:7000], y[5000:12_000] = 0.0, -0.0
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    assert exploration.kendall_tau(df, "x", "y") == pytest.approx(plain_tau(x.tolist(), y.tolist()), rel=1e-12)
 
 
 def test_fasta_round_trip(spark, tmp_path):
