@@ -6,14 +6,14 @@ every further place of the third); its pivots are two of them that do not overla
 programming for the least frequency. One edit spoils one pivot at most, and the pivot that is left is in the prefix of
 whichever word's prefix reaches further, so pivots are met with prefixes both ways and no pair is lost.
 
-Position limits. A pivot that is left keeps its place counted from the start (the edit is behind it, and all
-before it is equal too) or from the end (the edit is before it, and all behind it is equal). So what is joined on is
-that equal part, its side and the other word's length, not the bigram alone. Candidates are verified by their edit
-distance inside the join.
+Position limits. An edit behind the first pivot leaves it at its place counted from the start, with all before it; any
+other edit leaves the second pivot at its place counted from the end, with all behind it. On the edit's side, one of two
+halves is equal as well. So what is joined on is that equal part, over half of the word, with its side and the other word's
+length, not the bigram alone. Candidates are verified by their edit distance inside the join.
 
 Scale. Words are counted in the tasks that read the texts, in dictionaries of bounded size, before the shuffle. The bigrams
 that reach the driver are at most 90 x 90 (26 letters and U+00C0 to U+00FF). A word makes 12 pivot keys and, ties of
-long repetitive words apart, 6 prefix keys. Forms at least double in frequency, so chains have under
+long repetitive words apart, 12 prefix keys. Forms at least double in frequency, so chains have under
 64 links and are followed by six doublings, each an equi join written to the shared folder.
 
 Nulls and odd rows: a null text has no words; a null doc_id stands as empty text in the hash; repeated rows count each.
@@ -128,34 +128,64 @@ def pivots(word: str, places: list[int], counts: dict[str, int]) -> list[int]:
 
 
 def ends(word: str) -> tuple[list[int], list[int]]:
-    """For each bigram, hashes of the word up to and with it, and of the word from it on; one pass each way."""
+    """Hashes of the word's first ``i`` code points, and of all from ``i`` on, for each ``i``; one pass each way."""
     def running(letters: Iterable[str]) -> list[int]:
-        h, out = xxhash.xxh64(), []
+        h = xxhash.xxh64()
+        out = [h.intdigest() - 2**63]
         for c in letters:
             h.update(c.encode())
             out.append(h.intdigest() - 2**63)
-        return out[GRAM - 1 :]
+        return out
 
     return running(word), running(reversed(word))[::-1]
 
 
+def before_edit(at: int, head: list[int], tail: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """What a word of ``length`` must share with this one if both have a bigram at ``at`` and the edit is behind it.
+
+    What is behind is halved where the other word's is: the edit is in the second half, or the second half is equal too.
+    """
+    own, rest = len(head) - 1, length - at - GRAM
+    half = rest // 2
+    if rest >= 0:
+        yield 0, head[at + GRAM + half], 0
+        if own - (rest - half) >= at + GRAM and rest:
+            yield 1, head[at + GRAM], tail[own - (rest - half)]
+
+
+def after_edit(at: int, head: list[int], tail: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """The same for an edit before the bigram, which the other word has as far from its end."""
+    own, rest = len(head) - 1, at + length - (len(head) - 1)
+    half = rest // 2
+    if rest >= 0:
+        if half <= at:
+            yield 2, head[half], tail[at]
+        if own - (length - half) >= 0 and rest:
+            yield 3, tail[own - (length - half)], 0
+
+
 def _keys(words: DataFrame, counts: dict[str, int], carried: str) -> DataFrame:
-    """(pivot, key, carried, n): ``key`` joins a pivot of one word to a prefix bigram of another by what must be equal."""
+    """(pivot, key, carried, n): ``key`` joins a pivot of one word to a prefix bigram of another by what must be equal.
+
+    An edit behind the first pivot leaves that one; any other edit is before the second pivot and leaves that.
+    """
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches, 4096):
             out = []
             for w, c, n in zip(b["word"], b["carried"], b["n"], strict=True):
                 places, (head, tail) = prefix(w, counts), ends(w)
-                for i in pivots(w, places, counts):
-                    for length in range(len(w) - EDITS, len(w) + EDITS + 1):
-                        out += [(True, 0, length, head[i], c, n), (True, 1, length, tail[i], c, n)]
+                first, last = pivots(w, places, counts)
+                for length in range(len(w) - EDITS, len(w) + EDITS + 1):
+                    out += [(True, length, *k, c, n) for k in before_edit(first, head, tail, length)]
+                    out += [(True, length, *k, c, n) for k in after_edit(last, head, tail, length)]
                 for i in places:
-                    out += [(False, 0, len(w), head[i], c, n), (False, 1, len(w), tail[i], c, n)]
+                    out += [(False, len(w), *k, c, n) for k in before_edit(i, head, tail, len(w))]
+                    out += [(False, len(w), *k, c, n) for k in after_edit(i, head, tail, len(w))]
             if out:
-                yield pd.DataFrame(out, columns=["pivot", "side", "length", "part", "carried", "n"])
+                yield pd.DataFrame(out, columns=["pivot", "length", "side", "one", "two", "carried", "n"])
 
-    found = words.select("word", F.col(carried).alias("carried"), "n").mapInPandas(make, "pivot boolean, side int, length int, part long, carried string, n long")
-    return found.select("pivot", F.xxhash64("side", "length", "part").alias("key"), "carried", "n")
+    found = words.select("word", F.col(carried).alias("carried"), "n").mapInPandas(make, "pivot boolean, length int, side int, one long, two long, carried string, n long")
+    return found.select("pivot", F.xxhash64("length", "side", "one", "two").alias("key"), "carried", "n")
 
 
 def _met(words: DataFrame, counts: dict[str, int], carried: str) -> DataFrame:
