@@ -28,6 +28,27 @@ def lgamma(x: Column) -> Column:
     return let(x.cast("double") - 1, at)
 
 
+def digamma(x: Column) -> Column:
+    """Derivative of log-gamma for positive numbers: shifted by 8, then the asymptotic series."""
+    def at(v: Column) -> Column:
+        y = v + 8
+        low = sum((1 / (v + k) for k in range(8)), F.lit(0.0))
+        q = 1 / (y * y)
+        return F.log(y) - 0.5 / y - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q / 240))) - low
+
+    return let(x.cast("double"), at)
+
+
+def trigamma(x: Column) -> Column:
+    def at(v: Column) -> Column:
+        y = v + 8
+        low = sum((1 / ((v + k) * (v + k)) for k in range(8)), F.lit(0.0))
+        q = 1 / (y * y)
+        return 1 / y + q / 2 + q / y * (1 / 6 - q * (1 / 30 - q * (1 / 42 - q / 30))) + low
+
+    return let(x.cast("double"), at)
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function, accurate in the tails as well."""
     def at(s: Column) -> Column:

@@ -134,6 +134,11 @@ def _(v):
     return T.nb_differential(v("counts"), v("sheet"), "A", "B")
 
 
+@query("t16_nb_likelihood_ratio")
+def _(v):
+    return T.nb_likelihood_ratio(v("counts"), v("sheet"), ["A", "B"])
+
+
 _LL = "(CASE WHEN {m} > 0 THEN {m} * ln({m} / ({m} + {u})) ELSE 0 END + CASE WHEN {u} > 0 THEN {u} * ln({u} / ({m} + {u})) ELSE 0 END)"
 _DEVIANCE = f"greatest(2 * ({_LL.format(m='m1', u='u1')} + {_LL.format(m='m2', u='u2')} - {_LL.format(m='(m1 + m2)', u='(u1 + u2)')}), 0)"
 _GROUP_X2 = "CASE WHEN m{0} * u{0} > 0 THEN (s{0} - m{0} * m{0} / (m{0} + u{0})) / (m{0} * u{0} / pow(m{0} + u{0}, 2)) ELSE 0 END"
