@@ -20,15 +20,43 @@ def distinct_kmers(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, k).select("kmer").distinct()
 
 
-def kmer_anchors(queries: DataFrame, subjects: DataFrame, k: int, least: int = 2) -> DataFrame:
-    """Runs of query k-mers at one offset of a subject, by first occurrence: ranges, coverage, identity."""
+def kmer_anchors(queries: DataFrame, subjects: DataFrame, k: int, least: int = 2, match: float = 1.0, mismatch: float = -1.0) -> DataFrame:
+    """Runs of query k-mers at one offset of a subject, by first occurrence: ranges, equal bases, coverage, identity, score.
+
+    ``matches`` counts the equal bases of the run's range, ``identity`` is their share of it, and ``score`` adds
+    ``match`` and ``mismatch`` over it. ``coverage`` is the range's share of the query.
+    """
     q = kmers(queries, k).withColumnRenamed("contig", "query")
     s = kmers(subjects, k).groupBy(F.col("contig").alias("subject"), "kmer").agg(F.min("pos").alias("at"))
     hits = q.join(s, "kmer").withColumn("offset", F.col("at") - F.col("pos"))
     runs = hits.groupBy("query", "subject", "offset").agg(F.count(F.lit(1)).alias("anchors"), F.min("pos").alias("start"), (F.max("pos") + k).alias("stop")).where(F.col("anchors") >= least)
-    lengths = queries.select(F.col("contig").alias("query"), F.length("seq").alias("n"))
-    out = runs.join(lengths, "query")
-    return out.select("query", "subject", "offset", "anchors", "start", "stop", ((F.col("stop") - F.col("start")) / F.col("n")).alias("coverage"), (F.least(F.col("anchors") + k - 1, F.col("stop") - F.col("start")) / (F.col("stop") - F.col("start"))).alias("identity"))
+    long = F.col("stop") - F.col("start")
+    out = runs.join(queries.select(F.col("contig").alias("query"), F.length("seq").alias("n"), F.col("seq").alias("_q")), "query").withColumn("_q", F.substring("_q", F.col("start") + 1, long))
+    out = out.join(subjects.select(F.col("contig").alias("subject"), F.col("seq").alias("_s")), "subject").withColumn("_s", F.substring("_s", F.col("start") + F.col("offset") + 1, long))
+    matches = F.size(F.filter(F.zip_with(F.split("_q", ""), F.split("_s", ""), lambda a, b: a == b), lambda x: x))
+    out = out.withColumn("matches", F.when(F.col("_q") == F.col("_s"), long).otherwise(matches))
+    score = match * F.col("matches") + mismatch * (long - F.col("matches"))
+    return out.select("query", "subject", "offset", "anchors", "start", "stop", "matches", (long / F.col("n")).alias("coverage"), (F.col("matches") / long).alias("identity"), score.alias("score"))
+
+
+def anchor_alignment(runs: DataFrame, queries: DataFrame, subjects: DataFrame, match: float = 1.0, mismatch: float = -1.0) -> DataFrame:
+    """One gapped alignment for each query and subject from its runs: (query, subject, length, coverage, identity, score, normalised).
+
+    A base that several runs cover is aligned at the greatest offset. ``length`` goes from the first to the last aligned base,
+    coverage and identity are percents (of the query, of that length), and the score is normalised by length over the query's.
+    """
+    bases = runs.select("query", "subject", "offset", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
+    bases = bases.groupBy("query", "subject", "pos").agg(F.max("offset").alias("offset"))
+    # Bases of one offset that follow each other are one piece again, so that each piece fetches its sequences once.
+    w = Window.partitionBy("query", "subject", "offset").orderBy("pos")
+    pieces = bases.withColumn("piece", F.col("pos") - F.row_number().over(w)).groupBy("query", "subject", "offset", "piece").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"))
+    long = F.col("stop") - F.col("start")
+    pieces = pieces.join(queries.select(F.col("contig").alias("query"), F.length("seq").alias("n"), F.col("seq").alias("_q")), "query").withColumn("_q", F.substring("_q", F.col("start") + 1, long))
+    pieces = pieces.join(subjects.select(F.col("contig").alias("subject"), F.col("seq").alias("_s")), "subject").withColumn("_s", F.substring("_s", F.col("start") + F.col("offset") + 1, long))
+    equal = F.size(F.filter(F.zip_with(F.split("_q", ""), F.split("_s", ""), lambda a, b: a == b), lambda x: x))
+    s = pieces.groupBy("query", "subject", "n").agg(F.sum(equal).alias("m"), F.sum(long).alias("all"), (F.max("stop") - F.min("start")).alias("length"))
+    score = match * F.col("m") + mismatch * (F.col("all") - F.col("m"))
+    return s.select("query", "subject", "length", (100 * F.col("all") / F.col("n")).alias("coverage"), (100 * F.col("m") / F.col("length")).alias("identity"), score.alias("score"), (score * F.col("length") / F.col("n")).alias("normalised"))
 
 
 def fill_anchor_gaps(anchors: DataFrame, queries: DataFrame, subjects: DataFrame, k: int = 5) -> DataFrame:

@@ -304,17 +304,44 @@ def _(v):
     return G.distinct_kmers(_reads(v), 6)
 
 
-@query("g2_kmer_anchors", """WITH k AS (SELECT item_id, i - 1 AS pos, substr(text, CAST(i AS INT), 12) AS kmer FROM (SELECT item_id, text, unnest(range(1, length(text) - 10)) AS i FROM benchmark)), s AS (SELECT item_id, kmer, min(pos) AS start FROM k GROUP BY 1, 2)
-SELECT 'b' || q.item_id AS query, 'b' || s.item_id AS subject, s.start - q.pos AS offset, count(*) AS anchors FROM k q JOIN s USING (kmer) GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+_KMERS = "SELECT item_id, i - 1 AS pos, substr({0}, CAST(i AS INT), {1}) AS kmer FROM (SELECT item_id, {0}, unnest(range(1, length({0}) - {1} + 2)) AS i FROM {2})"
+_EQUAL = "list_sum([CASE WHEN substr({0}, CAST(i + 1 AS INT), 1) = substr({1}, CAST(i + {2} + 1 AS INT), 1) THEN 1 ELSE 0 END FOR i IN range({3}, {4})])"
+
+
+@query("g2_kmer_anchors", f"""WITH k AS ({_KMERS.format("text", 12, "benchmark")}), s AS (SELECT item_id, kmer, min(pos) AS at FROM k GROUP BY 1, 2),
+r AS (SELECT q.item_id AS q, s.item_id AS s, s.at - q.pos AS o, count(*) AS anchors, min(q.pos) AS a, max(q.pos) + 12 AS b FROM k q JOIN s USING (kmer) GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+m AS (SELECT r.*, length(x.text) AS n, {_EQUAL.format("x.text", "y.text", "o", "a", "b")} AS m FROM r JOIN benchmark x ON x.item_id = q JOIN benchmark y ON y.item_id = s)
+SELECT 'b' || q AS query, 'b' || s AS subject, o AS offset, anchors, a AS start, b AS stop, CAST(m AS BIGINT) AS matches, round((b - a) / n, 6) AS coverage, round(m / (b - a), 6) AS identity, CAST(2 * m - (b - a) AS DOUBLE) AS score FROM m""")
+def _(v):
+    return G.kmer_anchors(_reads(v), _reads(v), 12, 3).withColumns({"coverage": r6("coverage"), "identity": r6("identity")})
+
+
+# Reads that lose and gain bases, so that their runs lie at several offsets of the read they come from.
+@query("g2_anchor_alignment", f"""WITH e AS (SELECT item_id, text, replace(text, 'the', 'th') AS read FROM benchmark), k AS ({_KMERS.format("text", 10, "e")}), l AS ({_KMERS.format("read", 10, "e")}), s AS (SELECT item_id, kmer, min(pos) AS at FROM k GROUP BY 1, 2),
+r AS (SELECT item_id, s.at - l.pos AS o, min(l.pos) AS a, max(l.pos) + 10 AS b FROM l JOIN s USING (item_id, kmer) GROUP BY 1, 2 HAVING count(*) >= 2),
+p AS (SELECT item_id, pos, max(o) AS o FROM (SELECT item_id, o, unnest(range(a, b)) AS pos FROM r) GROUP BY 1, 2),
+m AS (SELECT item_id, length(read) AS n, count(*) AS alln, sum(CASE WHEN substr(read, CAST(pos + 1 AS INT), 1) = substr(text, CAST(pos + o + 1 AS INT), 1) THEN 1 ELSE 0 END) AS m, max(pos) - min(pos) + 1 AS length FROM p JOIN e USING (item_id) GROUP BY item_id, read)
+SELECT 'b' || item_id AS query, length, round(100 * alln / n, 6) AS coverage, round(100 * m / length, 6) AS identity, CAST(2 * m - alln AS DOUBLE) AS score, round((2 * m - alln) * length / n, 6) AS normalised FROM m""")
 def _(v):
-    return G.kmer_anchors(_reads(v), _reads(v), 12, 3).select("query", "subject", "offset", "anchors")
+    r = _reads(v)
+    edited = r.withColumn("seq", F.replace(F.col("seq"), F.lit("the"), F.lit("th")))
+    runs = G.kmer_anchors(edited, r, 10, 2).where("query = subject")
+    t = G.anchor_alignment(runs, edited, r)
+    return t.select("query", "length", "score", *[r6(c).alias(c) for c in ("coverage", "identity", "normalised")])
 
 
-@query("g3_fill_anchor_gaps")
+# The reads lose three bases at each full stop and change bases before it, which leaves gaps between runs of neighbouring offsets.
+@query("g3_fill_anchor_gaps", f"""WITH e AS (SELECT item_id, text, replace(replace(text, '. ', '.'), ' of ', ' 0f 1 ') AS read FROM benchmark), k AS ({_KMERS.format("text", 10, "e")}), l AS ({_KMERS.format("read", 10, "e")}), s AS (SELECT item_id, kmer, min(pos) AS at FROM k GROUP BY 1, 2),
+r AS (SELECT item_id, s.at - l.pos AS o, min(l.pos) AS a, max(l.pos) + 10 AS b FROM l JOIN s USING (item_id, kmer) GROUP BY 1, 2 HAVING count(*) >= 2),
+g AS (SELECT item_id, b AS f, nx AS t, b + o AS sf, nx + no AS st FROM (SELECT *, lead(a) OVER w AS nx, lead(o) OVER w AS no FROM r WINDOW w AS (PARTITION BY item_id ORDER BY a, o)) WHERE nx - b >= 3 AND nx + no > b + o AND b + o >= 0),
+c AS (SELECT item_id, f, substr(read, CAST(f + 1 AS INT), CAST(t - f AS INT)) AS q, substr(text, CAST(sf + 1 AS INT), CAST(st - sf AS INT)) AS s FROM g JOIN e USING (item_id)),
+x AS (SELECT item_id, f, i - 1 AS pos, substr(q, CAST(i AS INT), 3) AS kmer FROM (SELECT *, unnest(range(1, length(q) - 1)) AS i FROM c)), y AS (SELECT item_id, f, kmer, min(pos) AS at FROM (SELECT item_id, f, i - 1 AS pos, substr(s, CAST(i AS INT), 3) AS kmer FROM (SELECT *, unnest(range(1, length(s) - 1)) AS i FROM c)) GROUP BY ALL)
+SELECT 'b' || item_id AS query, f + min(pos) AS start, f + max(pos) + 3 AS stop, count(*) AS anchors FROM x JOIN y USING (item_id, f, kmer) GROUP BY item_id, f, y.at - pos""")
 def _(v):
     r = _reads(v)
-    edited = r.withColumn("seq", F.regexp_replace("seq", "the", "xhe"))
-    return G.fill_anchor_gaps(G.kmer_anchors(edited, r, 10, 2).where("query = subject"), edited, r)
+    changed = F.replace(F.replace(F.col("seq"), F.lit(". "), F.lit(".")), F.lit(" of "), F.lit(" 0f 1 "))
+    edited = r.withColumn("seq", changed)
+    return G.fill_anchor_gaps(G.kmer_anchors(edited, r, 10, 2).where("query = subject"), edited, r, 3).drop("subject")
 
 
 @query("g4_gapless_overlap")

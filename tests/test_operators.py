@@ -161,6 +161,18 @@ def test_closure_with_cycle_and_idempotence(spark):
     assert {r.node for r in hierarchy.closure(e, seeds).collect()} == {"a", "b", "c", "d"}
 
 
+def test_anchor_identity_counts_equal_bases(spark):
+    """49 bases with one mismatch are 48 of 49 alike, however many k-mers the mismatch spoils."""
+    seq = "ACGTTGCAAGCTTAGGCTACCATGACTGGATCCAATTCGGTCAGATAAC"
+    other = seq[:24] + ("A" if seq[24] != "A" else "C") + seq[25:]
+    frame = lambda *rows: spark.createDataFrame(rows, "contig string, seq string")
+    runs = sequences.kmer_anchors(frame(("q", seq)), frame(("s", "TT" + other)), 8, 2)
+    r = runs.first()
+    assert (r.offset, r.start, r.stop, r.matches, r.score, r.coverage) == (2, 0, 49, 48, 47.0, 1.0) and r.identity == pytest.approx(48 / 49)
+    whole = sequences.anchor_alignment(runs, frame(("q", seq)), frame(("s", "TT" + other))).first()
+    assert (whole.length, whole.coverage, whole.score) == (49, 100.0, 47.0) and whole.identity == pytest.approx(4800 / 49) and whole.normalised == 47.0
+
+
 def test_reverse_complement(spark):
     assert one(spark, sequences.reverse_complement(F.lit("acgtn"))) == "NACGT"
 
