@@ -98,7 +98,7 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
     heads = heads.select(
         "digest", "header",
         some(part("WARC-Record-ID", "<urn:x-page:(-?\\d*):\\w+>")).cast("long").alias("page_id"),
-        some(part("WARC-Target-URI", "(.*)")).alias("url"),
+        F.when(F.col("header").contains("\nWARC-Target-URI: "), part("WARC-Target-URI", "([^\\r\\n]*)")).alias("url"),
         part("WARC-Type", "(\\w+)").alias("record_type"),
         some(part("WARC-Refers-To", "<urn:x-page:(-?\\d*):\\w+>")).cast("long").alias("refers_to"),
         part("WARC-Payload-Digest", "sha1:(\\w+)").alias("said"),
