@@ -5,8 +5,9 @@ with a title or a known given name) are found in whole texts by one pattern and
 that a secret key decides. Every map is one to one, so that no number of entities can collide:
 
 - ``scramble`` permutes the letters and digits of a word within their classes (vowels, consonants, digits;
-  Latin, Cyrillic, Greek, Hebrew, Arabic): length, script, punctuation and case stay, the first place always
-  changes, and any two words stay different;
+  Latin, Cyrillic, Greek, Hebrew, Arabic; the scripts' rarer letters, such as ``ő``, are a class of their own):
+  length, script, punctuation and case stay, a first letter of these classes always changes, and any two
+  words stay different;
 - numbers keep their format; cards and IBANs stay as valid or invalid as they were; phones keep country code
   and trunk zero, so ``+49 30 ...`` and ``030 ...`` stay one number; key prefixes stay;
 - e-mail addresses keep their shape and top-level domain; one domain always becomes the same other one;
@@ -16,7 +17,8 @@ that a secret key decides. Every map is one to one, so that no number of entitie
 
 Mentions of one entity in another case or punctuation get one surrogate (coreference), and a family name found
 in a text is replaced where it stands alone in that text as well (capitalised). Distinctness and coreference are
-checked over all entities of the result: an entity with two surrogates or two entities of one are an error.
+checked over all entities of the result; should an entity have two surrogates or two entities share one, the whole
+result is returned all the same, and those entities are written to the shared folder and logged (``clashes``).
 Not found: names without title or listed given name in texts that name the person in no other way, names in
 other scripts (such as Han), and lower-case names.
 
@@ -30,6 +32,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +56,10 @@ FEMALE_NAMES = [
     "Μαρία Ελένη Κατερίνα Βασιλική Σοφία Αγγελική".split(),
 ]
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñšžčřłśź", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"]
+# The other letters of these scripts with one upper and one lower form each, a class for each script.
+for _ranges in ([(0xDF, 0x250), (0x1E00, 0x1F00)], [(0x430, 0x530)], [(0x370, 0x400), (0x1F00, 0x2000)]):
+    _more = [chr(c) for a, b in _ranges for c in range(a, b) if chr(c) not in "".join(CLASSES)]
+    CLASSES.append("".join(c for c in _more if c != c.upper() and len(c.upper()) == 1 and c.upper().lower() == c and c.title() == c.upper()))
 HEX = "0123456789abcdef"
 CALLING_CODE = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 KEY_PREFIX = r"AKIA|ASIA|AIza|gh[pousr]_|github_pat_|sk-(?:proj-)?|xox[abprs]-|glpat-"
@@ -78,12 +86,15 @@ NAME = rf"(?<![\p{{L}}\d])(?=[\p{{Lu}}г])(?:(?:{_TITLES})\.? (?:{_WORD}|[\p{{Is
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "card": CARD, "ipv6": IPV6, "ip": IP, "phone": PHONE, "ssn": SSN, "name": NAME}
 #: One group for each kind; no kind has groups of its own.
 PATTERN = "|".join(f"({p})" for p in KINDS.values())
+_PLAIN = r"^[0-9a-fA-F]+$"
 # Private-use characters that mark mentions in a text, and the groups in a mention.
 _MARK, _NEXT = "\ue000", "\ue001"
 _LETTERS = "".join(CLASSES)
 # For each letter, where its class begins and how many letters it has, as a character (plain numbers would be hundreds of literals).
 _FIRST = "".join(chr(1000 + _LETTERS.index(c[0])) for c in CLASSES for _ in c)
 _SIZE = "".join(chr(1000 + len(c)) for c in CLASSES for _ in c)
+# The most listed given names of one pattern of classes and one kept last letter.
+_WALK = max(Counter((tuple(_FIRST[_LETTERS.index(c)] for c in n[: len(n) - (len(n) > 3)]), n[len(n) - (len(n) > 3) :]) for n in {n.lower() for n in _ALL_NAMES}).values())
 
 
 # Expressions are kept shallow: Spark resolves nested lambdas one level a round, so long maps are stages of columns.
@@ -120,11 +131,11 @@ def _each(jobs: str, change) -> Column:
     return F.transform(jobs, lambda js: F.transform(js, lambda j: F.struct(*change(j))))
 
 
-def scramble(rows: DataFrame, jobs: str, out: str, secret: str, when=None) -> DataFrame:
+def scramble(rows: DataFrame, jobs: str, out: str, secret: str) -> DataFrame:
     """Add ``out``: the words of ``jobs`` (array<array<struct<tag, word, whole>>>) mapped one to one, without fixed points.
 
     The first letter moves on by what the rest decides, but never by nothing; then, keyed by the new first
-    letter, the halves of the rest move each other on in three rounds. ``when(word, tag)`` picks the words that change.
+    letter, the halves of the rest move each other on in three rounds. Empty words stay empty.
     """
     same = lambda j, *names: [j[n].alias(n) for n in names]
     key = F.lit(f"{secret}\u001e")
@@ -136,7 +147,7 @@ def scramble(rows: DataFrame, jobs: str, out: str, secret: str, when=None) -> Da
         rows = rows.withColumn("_w", _each("_w", lambda j, k=k, by=by: [*same(j, "tag", "whole", "word", "f", "l", "r"), _hash(key, j["tag"], F.lit(str(k)), j["f"], j[by]).alias("h")]))
         rows = rows.withColumn("_w", _each("_w", lambda j, move=move, by=by: [*same(j, "tag", "whole", "word", "f", by), _moved(j[move], j["h"], j["whole"]).alias(move)]))
     made = lambda j: F.concat(j["f"], j["l"], j["r"])
-    return rows.withColumn(out, F.transform("_w", lambda js: F.transform(js, lambda j: made(j) if when is None else F.when(when(j["word"], j["tag"]), made(j)).otherwise(j["word"])))).drop("_w")
+    return rows.withColumn(out, F.transform("_w", lambda js: F.transform(js, lambda j: made(j)))).drop("_w")
 
 
 def _fill(mention: Column, digits: Column, place: str = r"\d") -> Column:
@@ -144,6 +155,11 @@ def _fill(mention: Column, digits: Column, place: str = r"\d") -> Column:
     return F.array_join(F.transform(F.split(mention, place, -1), lambda p, i: F.concat(p, F.substring(digits, i + 1, F.lit(1)))), "")
 
 
+def _lower(text: Column) -> Column:
+    """Lower case at the same length: a capital I with a dot becomes a plain i."""
+    return F.lower(F.translate(text, "\u0130", "I"))
+
+
 def _cased(like: Column, made: Column) -> Column:
     """Upper case if ``like`` is so in all its letters."""
     return F.when((F.upper(like) == like) & (F.lower(like) != like), F.upper(made)).otherwise(made)
@@ -216,7 +232,7 @@ def _job(tag: str | Column, word: Column, before: Column | str = "", after: Colu
 
 def _name_jobs(secret: str, mention: Column) -> Column:
     def job(w: Column, i: Column) -> Column:
-        low, n = F.lower(w), F.size(F.split(mention, _gap()))
+        low, n = _lower(w), F.size(F.split(mention, _gap()))
         title = (i == 0) & _titled(mention)
         given = F.when(_titled(mention), (i == 1) & (n == 3)).otherwise(i == 0)
         new = F.when(given, _shifted(secret, low))
@@ -236,13 +252,13 @@ def _jobs(secret: str, m: Column) -> Column:
     low, digits, plain = F.lower(mention), _digits(mention), F.regexp_replace(mention, " ", "")
     domain = F.substring_index(low, "@", -1)
     top = F.substring_index(domain, ".", -1)
-    prefix = F.when(mention.rlike("^[0-9a-fA-F]+$"), "").otherwise(F.regexp_extract(mention, f"^(?:{KEY_PREFIX})", 0))
+    prefix = F.when(mention.rlike(_PLAIN), "").otherwise(F.regexp_extract(mention, f"^(?:{KEY_PREFIX})", 0))
     secret_word = F.substring(mention, F.length(prefix) + 1, F.length(mention))
     hexed = lambda i: F.lpad(F.lower(F.hex(F.split(mention, r"\.")[i].cast("int"))), 2, "0")
     kept = F.when(mention.startswith("+"), F.length(F.regexp_extract(digits, f"^(?:{CALLING_CODE})", 0))).when(digits.startswith("0"), 1).otherwise(0)
     return (
         F.when(kind == "email", F.array(_job("local", F.substring_index(low, "@", 1)), _job("domain", F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), after=top)))
-        .when(kind == "secret", F.array(_job("secret", F.lower(secret_word), prefix, like=F.when(mention.rlike("^[0-9a-fA-F]+$"), "").otherwise(secret_word), whole=mention.rlike("^[0-9a-fA-F]+$"))))
+        .when(kind == "secret", F.array(_job("secret", F.lower(secret_word), prefix, like=F.when(mention.rlike(_PLAIN), "").otherwise(secret_word), whole=mention.rlike(_PLAIN))))
         .when(kind == "iban", F.array(_job("iban", F.lower(F.substring(plain, F.lit(5), F.length(plain))))))
         .when(kind == "card", F.array(_job("card", F.substring(digits, F.lit(1), F.length(digits) - 1))))
         .when(kind == "ipv6", F.array(_job("ipv6", low, whole=True)))
@@ -267,7 +283,7 @@ def _assembled(kind: Column, mention: Column, made: Column) -> Column:
 def canonical(kind: Column, mention: Column) -> Column:
     """One form for all ways to write an entity."""
     plain = F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}.:+]", ""))
-    return F.when(kind.isin("email", "name"), F.lower(mention)).when(kind == "secret", mention).otherwise(plain)
+    return F.when(kind.isin("email", "name"), _lower(mention)).when((kind == "secret") & ~mention.rlike(_PLAIN), mention).otherwise(plain)
 
 
 def _marked(text: Column) -> Column:
@@ -308,10 +324,15 @@ def surrogates(docs: DataFrame, secret: str) -> DataFrame:
     rows = rows.withColumn("_m", F.transform(F.filter("_p", lambda p, i: i % 2 == 1), _mention))
     rows = rows.withColumn("_j", F.transform("_m", lambda m: _jobs(secret, m)))
     rows = scramble(rows, "_j", "_s", secret)
-    # A name that would come out as a listed given name is scrambled once more, so that it cannot be that name's surrogate.
-    rows = rows.withColumn("_again", F.zip_with("_j", "_s", lambda js, ss: F.zip_with(js, ss, lambda j, x: F.struct(j["tag"].alias("tag"), x.alias("word"), F.lit(False).alias("whole"), j["after"].alias("after")))))
+    # A given name that would come out as a listed one goes on through the same map until it is none, so that it cannot be that name's
+    # surrogate. Listed names of one pattern of letters and one ending are few, and each is met once at most.
     listed = F.split(F.lit(" ".join(n.lower() for n in _ALL_NAMES)), " ")
-    rows = scramble(rows, "_again", "_s", secret, lambda word, tag: tag.isin("given", "family") & F.array_contains(listed, word))
+    for _ in range(_WALK):
+        met = lambda j, x: (j["tag"] == "given") & (x != "") & F.array_contains(listed, F.concat(x, j["after"]))
+        again = lambda j, x: F.struct(j["tag"].alias("tag"), F.when(met(j, x), x).otherwise("").alias("word"), F.lit(False).alias("whole"))
+        rows = rows.withColumn("_again", F.zip_with("_j", "_s", lambda js, ss: F.zip_with(js, ss, again)))
+        rows = scramble(rows, "_again", "_t", secret)
+        rows = rows.withColumn("_s", F.zip_with("_s", "_t", lambda ss, ts: F.zip_with(ss, ts, lambda x, t: F.when(t != "", t).otherwise(x))))
     whole = lambda j, x: F.concat(j["before"], F.when(j["like"] != "", _cased_by_place(j["like"], F.concat(x, j["after"]))).otherwise(F.concat(x, j["after"])))
     rows = rows.withColumn("_s", F.zip_with("_j", "_s", lambda js, ss: F.zip_with(js, ss, whole)))
     rows = rows.withColumn("_e", F.zip_with("_m", "_s", lambda m, ss: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), _assembled(m["kind"], m["mention"], ss).alias("new"))))
@@ -323,15 +344,19 @@ def surrogates(docs: DataFrame, secret: str) -> DataFrame:
     text = F.array_join(F.zip_with("_b", F.concat(F.transform("_e", lambda e: e["new"]), F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
     text = F.when(F.size("_p") > 1, _swapped(text, [(b, a) for a, b in reversed(_ASIDE)])).otherwise(F.col("text"))
     made = table(rows.select("doc_id", text.alias("text"), F.coalesce(F.when(F.size("_m") > 0, F.size("_m")), F.lit(0)).alias("n_entities"), "_e"), "pii-texts")
-    _check(made.select(F.explode("_e").alias("e")).select("e.*"))
+    met = table(clashes(made.select(F.explode("_e").alias("e")).select("e.*")), "pii-clashes")
+    if not met.isEmpty():
+        logging.getLogger(__name__).warning("entities share a surrogate or have several; they are listed in %s", met._shared_path)
     return made.select("doc_id", "text", "n_entities")
 
 
-def _check(found: DataFrame) -> None:
-    """Fail if an entity has two surrogates, or two entities share one."""
+def clashes(found: DataFrame) -> DataFrame:
+    """(kind, entity, new): entities of (kind, mention, new) that have two surrogates, or share one with another entity."""
     pairs = found.select("kind", canonical(F.col("kind"), F.col("mention")).alias("entity"), canonical(F.col("kind"), F.col("new")).alias("new")).distinct()
     pairs = table(pairs, "pii-entities")
-    for one, other in (("entity", "new"), ("new", "entity")):
-        bad = pairs.groupBy("kind", one).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
-        if bad:
-            raise RuntimeError(f"a {bad['kind']} has several {other} forms")
+    out = None
+    for one in ("entity", "new"):
+        bad = pairs.groupBy("kind", one).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", one)
+        some = pairs.join(bad, ["kind", one], "left_semi").select("kind", "entity", "new")
+        out = some if out is None else out.union(some)
+    return out.distinct()
