@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, shuffle_parts, slices, table
-from .similar import GROUP, chained, true_links
+from .similar import GROUP, chained, least_ids, numbered, text_id, true_links
 
 PLACES = 128
 WIDTH = 5
@@ -103,11 +103,6 @@ def edited_pair(text: str, after: str) -> tuple[str, np.ndarray, np.ndarray]:
     return edited, places(np.minimum(shared, minima(whole[common:]))), places(np.minimum(shared, minima(other[common:])))
 
 
-def text_id(distinct: np.ndarray) -> bytes:
-    """A digest of a text's distinct shingles: equal sets are one text."""
-    return xxhash.xxh3_128_digest(distinct.tobytes())
-
-
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, n_links long"
 
 
@@ -195,13 +190,12 @@ def near_duplicates(docs: DataFrame, like: float = LIKE, width: int = WIDTH, blo
     (null, with no links, for rows without a doc_id whose text no named row has).
     """
     own = table(signatures(docs, width, bands), "minhash-signatures")
-    texts = own.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    texts = numbered(own.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-texts")
     values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
     groups = components(chained(texts.select("node", F.explode(values).alias("key")), "minhash-chains"), "minhash-groups")
     near = lambda sketches, x: (sketches.view(np.uint16) == x.view(np.uint16)).mean(axis=1) >= like - 0.2  # noqa: E731  # over 4 standard errors
-    edges = table(true_links(docs, groups, lambda t: shingle_set(t, width), lambda s: places(minima(s)), near, like, block), "minhash-links")
+    edges = table(true_links(docs, groups, texts, lambda t: shingle_set(t, width), lambda s: places(minima(s)), near, like, block), "minhash-links")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = components(edges, "minhash-parts").join(ends, "node").select("node", "component", "n_links")
-    named = own.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node")).join(linked, "node", "left")
-    named = named.select("text_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    linked = least_ids(texts, components(edges, "minhash-parts")).join(ends, "node")
+    named = texts.join(linked, "node", "left").select("text_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return own.select("doc_id", "text_id").join(named, "text_id", "left").select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

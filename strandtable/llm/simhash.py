@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, shuffle_parts, slices, table
-from .similar import GROUP, runs, spans, tree, true_links
+from .similar import GROUP, least_ids, numbered, runs, spans, text_id, tree, true_links
 
 RADIUS = 3
 SEED = 42
@@ -235,13 +235,13 @@ def long_fingerprint(distinct: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, plan: Plan, width: int = 5) -> DataFrame:
-    """(doc_id, sk binary, fp binary): digest of the distinct shingles and their long fingerprint, of each row's whole text."""
+    """(doc_id, text_id binary, fp binary): digest of the distinct shingles and their long fingerprint, of each row's whole text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             sets = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sk": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "fp": [long_fingerprint(x, plan.words).tobytes() for x in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": [text_id(x) for x in sets], "fp": [long_fingerprint(x, plan.words).tobytes() for x in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, sk binary, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, text_id binary, fp binary")
 
 
 #: Rows of one value that are compared pair by pair; more are walked breadth first.
@@ -438,20 +438,21 @@ def _wide_links(nodes: DataFrame, plan: Plan, block: int) -> DataFrame:
 def similar_classes(docs: DataFrame, width: int = 5, like: float = LIKE, block: int = VALUES, group: int = GROUP) -> DataFrame:
     """(doc_id, component_id): classes of near copies, verified to be ``like`` or more alike.
 
-    Rows of one shingle set are one node, named by its smallest doc_id. Nodes that the search joins are a
+    Rows of one shingle set are one node. Nodes that the search joins are a
     group, in which complete fingerprints and whole shingle sets decide every pair. Rows without a doc_id
     are in no class.
     """
     plan = Plan.of(docs.count())
     own = table(signatures(docs, plan, width), "simhash-signatures")
-    nodes = table(own.where("doc_id is not null").groupBy("sk").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "simhash-nodes")
+    texts = own.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
+    nodes = numbered(texts, "simhash-nodes").withColumn("rep", F.col("node"))
     groups = components(table(_wide_links(nodes, plan, block), "simhash-wide"), "simhash-groups")
     most = FAR * 64 * plan.words
     near = lambda fps, x: np.bitwise_count(fps ^ x).sum(axis=1, dtype=np.int64) <= most
-    found = true_links(docs, groups, lambda t: np.unique(shingle_hashes(t, width)), lambda s: long_fingerprint(s, plan.words), near, like, group)
+    found = true_links(docs, groups, nodes, lambda t: np.unique(shingle_hashes(t, width)), lambda s: long_fingerprint(s, plan.words), near, like, group)
     true = table(found, "simhash-true")
-    named = nodes.join(components(true, "simhash-parts"), F.col("rep") == F.col("node"), "left").select("sk", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "sk", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = nodes.join(least_ids(nodes, components(true, "simhash-parts")), "node", "left").select("text_id", F.coalesce("least", "doc_id").alias("component_id"))
+    return own.join(named, "text_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,21 +114,43 @@ def verified(node: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], near:
     return node[left], node[right]
 
 
-def true_links(docs: DataFrame, groups: DataFrame, set_of: Callable, sketch_of: Callable, near: Callable, like: float, block: int = GROUP) -> DataFrame:
+def text_id(distinct: np.ndarray) -> bytes:
+    """A digest of a text's distinct shingles: equal sets are one text."""
+    return xxhash.xxh3_128_digest(distinct.tobytes())
+
+
+def numbered(texts: DataFrame, tag: str) -> DataFrame:
+    """The rows, written once, with a number of their own as ``node``: one doc_id may have several texts, so it names none."""
+    return table(texts.withColumn("node", F.monotonically_increasing_id()), tag)
+
+
+def least_ids(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, least): the smallest doc_id of the component in ``parts`` (node, component) of each linked text (node, doc_id)."""
+    linked = table(texts.select("node", "doc_id").join(parts, "node"), "similar-parts")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    return linked.join(least, "component").select("node", "least")
+
+
+def true_links(docs: DataFrame, groups: DataFrame, names: DataFrame, set_of: Callable, sketch_of: Callable, near: Callable, like: float, block: int = GROUP) -> DataFrame:
     """(a, b): edges that connect just the pairs of ``like`` or more within each group of ``groups`` (node, component).
 
-    ``set_of(text)`` are a text's distinct shingle hashes, ``sketch_of(set)`` 64-bit words, and ``near(sketches, one)``
+    ``names`` has a row of each text (node, doc_id, text_id), read from the ``docs`` of that doc_id with that set of
+    shingles. ``set_of(text)`` are a text's distinct shingle hashes, ``sketch_of(set)`` 64-bit words, and ``near(sketches, one)``
     tells which sketches may belong to pairs of ``like``. Only texts of groups are hashed again, and only their sets are shuffled.
     """
     spark = docs.sparkSession
     by = ["component", "i", "j"]
     large = groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = table(groups.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks")), "similar-placed")
+    placed = groups.join(large, "component", "left").join(names.select("node", "doc_id", "text_id"), "node")
+    placed = table(placed.select("node", F.col("doc_id").alias("_of"), "text_id", "component", F.coalesce("blocks", F.lit(1)).alias("blocks")), "similar-placed")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             sets = [set_of(t) for t in b["text"]]
-            yield b[["node", "component", "blocks"]].assign(sketch=[sketch_of(s).tobytes() for s in sets], shingles=[s.tobytes() for s in sets])
+            own = [k for k, (s, x) in enumerate(zip(sets, b["text_id"], strict=True)) if text_id(s) == bytes(x)]
+            if own:
+                sets = [sets[k] for k in own]
+                yield b.iloc[own][["node", "component", "blocks"]].assign(sketch=[sketch_of(s).tobytes() for s in sets], shingles=[s.tobytes() for s in sets])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in runs(batches, by):
@@ -140,8 +163,8 @@ def true_links(docs: DataFrame, groups: DataFrame, set_of: Callable, sketch_of:
                 b.append(right)
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(placed.hint("merge"), "node").select("node", "component", "blocks", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(placed.hint("merge"), F.col("doc_id") == F.col("_of")).select("node", "text_id", "component", "blocks", "text")
     rows = rows.mapInPandas(shingled, "node long, component long, blocks int, sketch binary, shingles binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
