@@ -194,26 +194,41 @@ def pearson_by_category(df: DataFrame, x: str, y: str, label: str) -> DataFrame:
     return linear_fit(rows, x, y, ["label"]).select("label", "n", "r", "pvalue")
 
 
+# Link, its inverse's slope over the variance (the weight of a row), and whether the spread is estimated, by family.
+FAMILIES = {
+    "gaussian": (lambda m: m, lambda m: F.lit(1.0), True),
+    "poisson": (F.log, lambda m: m, False),
+    "binomial": (lambda m: F.log(F.try_divide(m, 1 - m)), lambda m: m * (1 - m), False),
+    "gamma": (lambda m: F.try_divide(F.lit(1.0), m), lambda m: m * m, True),
+}
+
+
 def fit_glm(df: DataFrame, responses: list[str], factor: str, family: str = "gaussian") -> DataFrame:
-    """One generalised linear model of each response on a factor (baseline: smallest level); BH over all terms."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    levels = [r[0] for r in df.select(factor).where(F.col(factor).isNotNull()).distinct().orderBy(factor).limit(201).collect()]
-    if len(levels) > 200:
-        raise ValueError("over 200 levels")
-    names = [f"_l{k}" for k in range(1, len(levels))]
-    coded = df.select(*responses, *[(F.col(factor) == x).cast("double").alias(n) for n, x in zip(names, levels[1:], strict=True)])
-    coded = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(coded)
-    out = []
-    for y in responses:
-        rows = coded.where(F.col(y).isNotNull())
-        if rows.where(F.col(y) != 0).isEmpty():
-            continue
-        model = GeneralizedLinearRegression(family=family, featuresCol="_x", labelCol=y).fit(rows)
-        s = model.summary
-        out += [(y, str(x), float(c), float(p)) for x, c, p in zip(levels[1:], model.coefficients, s.pValues, strict=False)]
-    return bh_fdr(df.sparkSession.createDataFrame(out, "response string, level string, coefficient double, pvalue double"))
+    """A generalised linear model (canonical link) of each response on one factor: response, level, baseline, coefficient, error, pvalue, padj.
+
+    The likeliest means of a model of one factor are the levels' own, so coefficients, errors and normal p-values
+    follow in closed form from one aggregation of all responses, for any number of responses and levels. The
+    baseline is a response's smallest level; its row, of level ``Intercept``, is the baseline itself. Responses whose values sum to 0 are left
+    out; rows without value or level do not count. Without degrees of freedom for the spread, and where a
+    link has no finite value, p is null.
+    """
+    link, weight, spread = FAMILIES[family]
+    long = F.explode(F.array(*[F.struct(F.lit(y).alias("response"), F.col(y).cast("double").alias("y")) for y in responses]))
+    rows = df.where(F.col(factor).isNotNull()).select(F.col(factor).cast("string").alias("level"), F.col(factor).alias("_order"), long.alias("x")).select("level", "_order", "x.*").where("y is not null")
+    levels = rows.groupBy("response", "level").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).cast("double").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.sum("y").alias("s"))
+    # Pearson's statistic of a level about its mean, in units of the family's variance function.
+    unit = {"gaussian": F.lit(1.0), "gamma": F.col("m") * F.col("m")}.get(family, F.lit(1.0))
+    levels = settle(levels.withColumn("x2", F.try_divide(F.col("n") * F.col("v"), unit)))
+    whole = levels.groupBy("response").agg(F.sum("s").alias("all"), F.sum("x2").alias("x2"), (F.sum("n") - F.count(F.lit(1))).alias("free"), F.min_by(F.struct("level", "n", "m"), "_order").alias("base"))
+    scale = F.when(F.col("free") > 0, F.col("w.x2") / F.col("free")) if spread else F.lit(1.0)
+    whole = whole.where(F.col("all") != 0).select(F.col("response").alias("_r"), F.struct("x2").alias("w"), "free", "base").withColumn("scale", scale)
+    both = levels.join(whole, F.col("response") == F.col("_r"))
+    own, base = F.col("level") == F.col("base.level"), F.col("base.m")
+    part = lambda n, m: F.try_divide(F.lit(1.0), n * weight(m))
+    coefficient = F.when(own, link(base)).otherwise(link(F.col("m")) - link(base))
+    error = F.sqrt(F.col("scale") * (part(F.col("base.n"), base) + F.when(own, 0.0).otherwise(part(F.col("n"), F.col("m")))))
+    out = both.select("response", F.when(own, "Intercept").otherwise(F.col("level")).alias("level"), F.col("base.level").alias("baseline"), coefficient.alias("coefficient"), error.alias("error"))
+    return bh_fdr(settle(out.withColumn("pvalue", F.when(F.col("error") > 0, normal_two_sided(F.col("coefficient") / F.col("error"))))))
 
 
 def genotype_effect(df: DataFrame, reference: str, p_limit: float = 0.05) -> DataFrame:

@@ -112,10 +112,14 @@ def _(v):
     return T.pearson_by_category(v("lineitem"), "l_quantity", "l_extendedprice", "l_returnflag").select("label", "n", r6("r").alias("r"))
 
 
-@query("t13_fit_glm", "SELECT 'l_quantity' AS response, l_returnflag AS level, round(avg(l_quantity) - (SELECT avg(l_quantity) FROM lineitem WHERE l_returnflag = 'A'), 4) + 0.0 AS coefficient FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_returnflag")
-def _(v):
-    t = T.fit_glm(v("lineitem"), ["l_quantity"], "l_returnflag")
-    return t.select("response", "level", F.round("coefficient", 4).alias("coefficient"))
+@query("t13_fit_glm", f"""SELECT response, level, baseline, round(coefficient, 6) + 0.0 AS coefficient, round(error, 6) AS error, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM (SELECT *, {_p('(coefficient / error)')} AS pvalue FROM (
+SELECT response, CASE WHEN level = b THEN 'Intercept' ELSE level END AS level, b AS baseline, CASE WHEN level = b THEN bm ELSE m - bm END AS coefficient, sqrt(ss / free * (1 / bn + CASE WHEN level = b THEN 0 ELSE 1 / n END)) AS error FROM (
+SELECT *, first_value(level) OVER w AS b, first_value(m) OVER w AS bm, first_value(n) OVER w AS bn, sum(n * v) OVER (PARTITION BY response) AS ss, sum(n) OVER (PARTITION BY response) - count(*) OVER (PARTITION BY response) AS free FROM (
+SELECT response, level, CAST(count(*) AS DOUBLE) AS n, avg(y) AS m, var_pop(y) AS v FROM (SELECT concat(l_returnflag, l_linenumber) AS level, unnest(['l_quantity', 'l_discount', 'l_tax']) AS response, unnest([l_quantity, l_discount, l_tax]) AS y FROM lineitem) GROUP BY 1, 2) WINDOW w AS (PARTITION BY response ORDER BY level)))))""")
+def _(v):
+    d = v("lineitem").withColumn("way", F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
+    t = T.fit_glm(d, ["l_quantity", "l_discount", "l_tax"], "way")
+    return t.select("response", "level", "baseline", *[r6(c).alias(c) for c in ("coefficient", "error", "pvalue", "padj")])
 
 
 @query("t14_genotype_effect", "SELECT cell_type, genotype, round(m - r, 6) + 0.0 AS effect FROM (SELECT l_linenumber AS cell_type, l_returnflag AS genotype, avg(l_tax) AS m FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2) JOIN (SELECT l_linenumber AS cell_type, avg(l_tax) AS r FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) USING (cell_type)")

@@ -1,4 +1,4 @@
-"""Negative binomial likelihood-ratio tests against a plain optimiser."""
+"""Likelihood-ratio tests and generalised linear models against plain optimisers."""
 
 import math
 
@@ -85,3 +85,43 @@ def test_likelihood_ratio_without_overdispersion(spark):
     want = 2 * 3 * (20 * math.log(20 / 30) + 40 * math.log(40 / 30))
     assert got[1].lrt == pytest.approx(want, rel=1e-3) and got[2].lrt == pytest.approx(0, abs=1e-9) and got[2].pvalue == 1.0
     assert got[1].log2FoldChange == pytest.approx(1.0) and got[3].log2FoldChange == pytest.approx(-1.0) and got[1].dispersion < 1e-5
+
+
+def irls(y, groups, link, inverse, slope, variance, spread):
+    """Coefficients, errors and p by reweighted least squares on dummy columns."""
+    names = sorted(set(groups))
+    x = np.array([[1.0, *[float(g == n) for n in names[1:]]] for g in groups])
+    mean = np.full(len(y), y.mean())
+    for _ in range(60):
+        eta = link(mean)
+        w = slope(mean) ** 2 / variance(mean)
+        beta = np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (w * (eta + (y - mean) / slope(mean))))
+        mean = inverse(x @ beta)
+    w = slope(mean) ** 2 / variance(mean)
+    scale = ((y - mean) ** 2 / variance(mean)).sum() / (len(y) - len(names)) if spread else 1.0
+    error = np.sqrt(np.diag(np.linalg.inv(x.T @ (w[:, None] * x))) * scale)
+    return {n: (b, e, math.erfc(abs(b / e) / math.sqrt(2))) for n, b, e in zip(["Intercept", *names[1:]], beta, error, strict=True)}
+
+
+def test_glm_of_many_responses_by_reweighted_least_squares(spark):
+    """Four families and 300 levels, against fits on dummy columns."""
+    rng = np.random.default_rng(12)
+    few, many = [f"g{i % 3}" for i in range(240)], [f"h{i % 300:03d}" for i in range(240 * 5)]
+    level = np.array([int(g[1]) for g in few])
+    data = {"gaussian": rng.normal(level, 2), "poisson": rng.poisson(2 + level).astype(float), "binomial": (rng.random(240) < 0.3 + 0.15 * level).astype(float), "gamma": rng.gamma(3, 1 + level)}
+    same = lambda m: np.ones_like(m)
+    forms = {
+        "gaussian": (lambda m: m, lambda e: e, same, same, True), "poisson": (np.log, np.exp, lambda m: m, lambda m: m, False),
+        "binomial": (lambda m: np.log(m / (1 - m)), lambda e: 1 / (1 + np.exp(-e)), lambda m: m * (1 - m), lambda m: m * (1 - m), False), "gamma": (lambda m: 1 / m, lambda e: 1 / e, lambda m: m**2, lambda m: m**2, True),
+    }
+    for family, y in data.items():
+        df = spark.createDataFrame([(g, float(v), 0.0) for g, v in zip(few, y, strict=True)] + [(None, 9.0, 0.0), ("g1", None, 0.0)], "g string, y double, nothing double")
+        got = {r.level: r for r in statistics.fit_glm(df, ["y", "nothing"], "g", family).collect()}
+        want = irls(y, few, *forms[family])
+        assert set(got) == set(want) and {r.baseline for r in got.values()} == {"g0"}
+        for n, (b, e, p) in want.items():
+            assert (got[n].coefficient, got[n].error, got[n].pvalue) == (pytest.approx(b, rel=1e-6), pytest.approx(e, rel=1e-6), pytest.approx(p, rel=1e-4, abs=1e-9))
+    y = rng.normal(size=len(many))
+    got = {r.level: r for r in statistics.fit_glm(spark.createDataFrame(list(zip(many, map(float, y), strict=True)), "g string, y double"), ["y"], "g").collect()}
+    want = irls(y, many, *forms["gaussian"])
+    assert len(got) == 300 and all(got[n].pvalue == pytest.approx(p, rel=1e-4, abs=1e-9) for n, (_, _, p) in want.items())
