@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import across_pieces, join_on_keys, sum_below, with_piece
+from ..functions.ranking import across_pieces, join_on_keys, row_places, sum_below, with_piece
+from ..functions.storage import settle
 
 
 def count_by_chromosome(df: DataFrame, condition: Column | None = None, chromosomes: list[str] | None = None) -> DataFrame:
@@ -250,12 +252,28 @@ def one_hot_code(df: DataFrame, flags: list[str]) -> DataFrame:
     return df.withColumn("code", F.concat(*[F.col(f).cast("int").cast("string") for f in flags]))
 
 
-def balanced_splits(rows: DataFrame, n: int, batch: int, seed: int = 1) -> DataFrame:
-    """(split, label, id): each split takes ``batch`` rows of each label, going on where the last ended and cycling."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id")) - 1
-    ranked = rows.select("id", "label", place.alias("k"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("size"))
-    turn = F.explode(F.when(F.col("k") < n * batch, F.sequence(F.col("k").cast("long"), F.lit(n * batch - 1).cast("long"), F.col("size").cast("long")))).alias("at")
-    return ranked.select("id", "label", turn).select(F.floor(F.col("at") / batch).cast("int").alias("split"), "label", "id")
+def balanced_splits(rows: DataFrame, n: int, batch: int, seed: int = 1, validation: bool = False, cover: bool = False) -> DataFrame:
+    """(split, label, id): each split takes ``batch`` rows of each label, going on where the last ended and cycling.
+
+    With ``validation`` a column ``part`` tells ``train`` from ``validation``, the next ``batch`` rows of the label, as far as it
+    has rows that the split does not train on. ``cover`` makes at least as many splits as use every row once. Places in a
+    label come from ranges of a seeded order, so a label of most rows is many tasks.
+    """
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), F.col("id")]
+    ranked = row_places(rows.select("id", "label"), order, ["label"], "k")
+    sizes = settle(ranked.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
+    if cover:
+        n = max(n, math.ceil((sizes.agg(F.max("size")).first()[0] or 0) / batch))
+    ranked = join_on_keys(ranked, sizes, ["label"])
+    turns = lambda first, last: F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"), F.col("size").cast("long")))
+    k, whole = F.col("k"), F.lit(n * batch - 1)
+    train = ranked.select("label", "id", F.explode(turns(k, whole)).alias("at")).select(F.floor(F.col("at") / batch).cast("int").alias("split"), "label", "id")
+    if not validation:
+        return train
+    # The row at a place validates the split before it, unless that split has come round to it already.
+    later = ranked.where(F.col("size") > batch).select("label", "id", "size", F.explode(turns(k + F.when(k < batch, F.col("size")).otherwise(0), whole + batch)).alias("at"))
+    spare = later.select((F.floor(F.col("at") / batch) - 1).cast("int").alias("split"), "label", "id", (F.col("at") % batch).alias("i"), "size").where(F.col("i") < F.col("size") - batch)
+    return train.select("split", F.lit("train").alias("part"), "label", "id").union(spare.select("split", F.lit("validation"), "label", "id"))
 
 
 # Reshaping and sets

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import row_places
 from ..functions.storage import settle
 
 MOST_LEVELS = 1000
@@ -72,22 +73,41 @@ def shared_ancestors(edges: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def simplify_terms(edges: DataFrame, terms: DataFrame, most: int = 3) -> DataFrame:
-    """(node, cluster, representative) of listed terms.
-
-    A term joins its nearest listed ancestor within ``most`` edges (ties by name); clusters then merge where
-    their tops have a common ancestor within ``most`` edges of both. The representative is the cluster's
-    term nearest to its top; clusters are numbered by representative.
+    """(node, cluster, representative) of listed terms, merged step by step from the leaves up.
+
+    A leaf is a listed term with none below. Ancestors of several leaves step aside. Each leaf's cluster grows by the listed
+    ancestor nearest to its top (ties by name), which becomes the top; if that is over ``most`` edges away, it begins a
+    cluster of its own instead, which grows on. Then each lowest of the terms that stepped aside takes in, with itself as top, the clusters whose
+    tops are below it within ``most`` edges; a cluster in reach of several goes to the first by name. Terms that no cluster came by
+    are clusters of their own; terms aside that took in nothing are left out. The representative is the top; clusters are
+    numbered by it. All leaves step in one round, so rounds are as many as the longest chain of listed terms.
     """
-    t = terms.select("node").distinct()
-    up = settle(closure(edges, t, down=False).where(F.col("depth").between(1, most)))
-    near = up.join(t, "node", "left_semi").groupBy("seed").agg(F.min(F.struct("depth", "node")).alias("m")).select(F.col("seed").alias("a"), F.col("m.node").alias("b"))
-    tops = t.join(near.select(F.col("a").alias("node")), "node", "left_anti")
-    hub = up.join(tops.select(F.col("node").alias("seed")), "seed", "left_semi").select(F.col("seed").alias("a"), F.concat(F.lit("\u0000"), "node").alias("b"))
-    groups = label_components(near.union(hub).union(t.select("node", "node")))
-    members = t.join(groups, "node")
-    best = members.join(tops.withColumn("top", F.lit(1)), "node", "left").groupBy("component").agg(F.min(F.struct(F.coalesce(-F.col("top"), F.lit(0)).alias("k"), "node")).alias("m"))
-    named = best.select("component", F.col("m.node").alias("representative")).withColumn("cluster", F.dense_rank().over(Window.orderBy("representative")) - 1)
-    return members.join(named, "component").select("node", "cluster", "representative")
+    t = settle(terms.select("node").where("node is not null").distinct())
+    up = settle(closure(edges, t, down=False).where("depth > 0").join(t, "node", "left_semi").select(F.col("seed").alias("below"), "node", "depth"))
+    leaves = settle(t.join(up.select("node"), "node", "left_anti"))
+    owners = settle(up.join(leaves.select(F.col("node").alias("below")), "below", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("leaf")))
+    aside = owners.where("n > 1").select("node")
+    own = owners.where("n = 1").select("node", "leaf")
+    front = leaves.select(F.col("node").alias("leaf"), F.col("node").alias("start"), F.col("node").alias("top"), F.lit(0).alias("step"))
+    taken = settle(front)
+    step = 0
+    while True:
+        step += 1
+        near = front.join(up.withColumnRenamed("below", "top"), "top").join(own, ["node", "leaf"]).join(taken.select("leaf", F.col("top").alias("node")), ["leaf", "node"], "left_anti")
+        best = near.groupBy("leaf", "start").agg(F.min(F.struct("depth", "node")).alias("m"))
+        front = settle(best.select("leaf", F.when(F.col("m.depth") <= most, F.col("start")).otherwise(F.col("m.node")).alias("start"), F.col("m.node").alias("top"), F.lit(step).alias("step")))
+        if front.isEmpty():
+            break
+        taken = settle(taken.union(front))
+    lone = own.join(taken.select(F.col("top").alias("node")), "node", "left_anti").select("node").union(t.join(leaves, "node", "left_anti").join(owners, "node", "left_anti"))
+    members = taken.select(F.col("top").alias("node"), "start").union(lone.select("node", F.col("node").alias("start")))
+    tops = taken.groupBy("start").agg(F.max_by("top", "step").alias("top")).union(lone.select(F.col("node").alias("start"), F.col("node").alias("top")))
+    lowest = aside.join(up.join(aside.select(F.col("node").alias("below")), "below", "left_semi").select("node"), "node", "left_anti")
+    taking = taken.groupBy("start").agg(F.max_by("top", "step").alias("below")).join(up.where(F.col("depth") <= most), "below").join(lowest, "node", "left_semi").groupBy("start").agg(F.min("node").alias("over"))
+    tops = settle(tops.join(taking, "start", "left").select("start", F.coalesce("over", "top").alias("representative"), F.col("over").isNotNull().alias("taken")))
+    placed = members.join(tops, "start").select("node", "representative").union(tops.where("taken").select("representative", "representative").distinct())
+    numbers = row_places(tops.select("representative").distinct(), [F.col("representative")], [], "cluster")
+    return placed.join(numbers, "representative").select("node", F.col("cluster").cast("int").alias("cluster"), "representative")
 
 
 def term2gene(edges: DataFrame, annotation: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def test_glm_of_many_responses_by_reweighted_least_squares(spark):
     same = lambda m: np.ones_like(m)
     forms = {
         "gaussian": (lambda m: m, lambda e: e, same, same, True), "poisson": (np.log, np.exp, lambda m: m, lambda m: m, False),
-        "binomial": (lambda m: np.log(m / (1 - m)), lambda e: 1 / (1 + np.exp(-e)), lambda m: m * (1 - m), lambda m: m * (1 - m), False), "gamma": (lambda m: 1 / m, lambda e: 1 / e, lambda m: m**2, lambda m: m**2, True),
+        "binomial": (lambda m: np.log(m / (1 - m)), lambda e: 1 / (1 + np.exp(-e)), lambda m: m * (1 - m), lambda m: m * (1 - m), False), "gamma": (lambda m: 1 / m, lambda e: 1 / e, lambda m: -(m**2), lambda m: m**2, True),
     }
     for family, y in data.items():
         df = spark.createDataFrame([(g, float(v), 0.0) for g, v in zip(few, y, strict=True)] + [(None, 9.0, 0.0), ("g1", None, 0.0)], "g string, y double, nothing double")
