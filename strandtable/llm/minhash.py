@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, shuffle_parts, slices, table
+from .common import components, drop_table, shuffle_parts, slices, table
 from .similar import GROUP, chained, least_ids, numbered, text_id, true_links
 
 PLACES = 128
@@ -198,4 +198,8 @@ def near_duplicates(docs: DataFrame, like: float = LIKE, width: int = WIDTH, blo
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = least_ids(texts, components(edges, "minhash-parts")).join(ends, "node")
     named = texts.join(linked, "node", "left").select("text_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return own.select("doc_id", "text_id").join(named, "text_id", "left").select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = own.select("doc_id", "text_id").join(named, "text_id", "left").select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = table(found, "minhash-classes")
+    for done in (own, texts, edges):
+        drop_table(done)
+    return found
