@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_sf, normal_two_sided
-from ..functions.ranking import average_ranks, sum_below
+from ..functions.ranking import across_pieces, average_ranks, sum_below, with_piece
 from ..functions.storage import settle
 from .aggregates import frequent_values, kneedle, union_reports
 from .hierarchy import label_components
 from .neighbours import elbow, nearest, principal_axes
-from .statistics import mann_whitney
 
 # The date layouts that count as dates.
 DATE_LAYOUTS = ["yyyy-MM-dd", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy.MM.dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd MMM yyyy", "MMM dd yyyy"]
@@ -52,6 +51,18 @@ def infer_value_types(df: DataFrame, columns: list[str], dominant: float = 0.8)
     return s.select("column", kind.alias("type"), (F.col("total") - F.col("best.n")).alias("wrong"), "total")
 
 
+def wrong_values(df: DataFrame, key: str, columns: list[str], dominant: float = 0.8) -> DataFrame:
+    """(column, key, value, type, wanted): the rows whose value is not of the type that its column has by ``infer_value_types``.
+
+    Whole numbers are right in a column of decimal ones. Columns of mixed types have no wrong rows.
+    """
+    kinds = infer_value_types(df, columns, dominant).where("type <> 'MIXED' and wrong > 0").select("column", F.col("type").alias("wanted"))
+    cells = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("key", "x.*")
+    rows = cells.withColumn("type", value_type(F.col("value"))).where("type is not null").join(F.broadcast(kinds), "column")
+    right = (F.col("type") == F.col("wanted")) | ((F.col("wanted") == "float") & (F.col("type") == "int"))
+    return rows.where(~right).select("column", "key", "value", "type", "wanted")
+
+
 def missing_header(names: list[str]) -> list[str]:
     return [n for n in names if not n.strip() or n.startswith("Unnamed:")]
 
@@ -80,33 +91,74 @@ def rare_categories(df: DataFrame, column: str, least: int = 3, cover: float = 0
     return best.select("category", "n", F.when(F.col("b.like") >= alike, F.col("b.common")).alias("typo_of"))
 
 
-def missingness_report(df: DataFrame, columns: list[str], most: float = 0.8, tests: int = 25, p_limit: float = 0.05) -> DataFrame:
-    """Per column with missing values: share, and MNAR if under 5 % of its tests see no difference.
+def missingness_tests(df: DataFrame, columns: list[str], missing: list[str], tests: int = 25) -> DataFrame:
+    """(column, tested, pvalue): whether the rows where a ``missing`` column is present differ from all rows in another column.
 
-    Each other column (the first ``tests`` in name order) is compared between all rows and rows where the
-    column is present: rank test for numbers, chi-square for the rest. Over ``most`` missing: ``drop``.
+    Each is tested on the first ``tests`` others of ``columns`` in name order, by rank test for numbers and chi-square for the rest.
+    One scan counts the values of all tested columns, with a count beside for each missing column; one ranking of those serves all.
     """
-    n = df.count()
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first().asDict() if n else {}
+    order = sorted(columns)
     kinds = dict(df.dtypes)
-    out = [(c, float(s), "drop") for c, s in shares.items() if s >= most]
-    frames = []
-    for c in [c for c, s in shares.items() if 0 < s < most]:
-        for t in sorted(x for x in columns if x != c)[:tests]:
-            both = df.select(F.explode(F.when(F.col(c).isNotNull(), F.array(F.lit("all"), F.lit("present"))).otherwise(F.array(F.lit("all")))).alias("g"), F.col(t).alias("v")).where("v is not null")
-            if kinds[t] in NUMERIC:
-                p = mann_whitney(both.withColumn("k", F.lit(1)), ["k"], "v", "g", "all", few_keys=True).select("pvalue")
-            else:
-                cells = both.groupBy("v").agg(F.count_if(F.col("g") == "all").alias("e"), F.count_if(F.col("g") == "present").alias("o"))
-                s = cells.join(F.broadcast(cells.agg(F.sum("e").alias("se"), F.sum("o").alias("so"))), F.lit(True))
-                s = s.agg(F.sum((F.col("o") - F.col("e") * F.col("so") / F.col("se")) ** 2 / (F.col("e") * F.col("so") / F.col("se"))).alias("x"), (F.count(F.lit(1)) - 1).alias("df"))
-                p = s.select(F.when(F.col("df") > 0, normal_two_sided(F.when(F.col("x") > 0, (F.pow(F.col("x") / F.col("df"), 1 / 3) - 1 + 2 / (9 * F.col("df"))) / F.sqrt(2 / (9 * F.col("df")))).otherwise(0.0))).alias("pvalue"))
-            frames.append(p.select(F.lit(c).alias("column"), F.lit(float(shares[c])).alias("missing"), "pvalue"))
-    done = df.sparkSession.createDataFrame(out, "column string, missing double, verdict string")
-    if not frames:
-        return done
-    s = reduce(DataFrame.unionByName, frames).groupBy("column", "missing").agg(F.avg((F.col("pvalue") >= p_limit).cast("double")).alias("quiet"))
-    return done.unionByName(s.select("column", "missing", F.when(F.col("quiet") < 0.05, "MNAR").otherwise("not MNAR").alias("verdict")))
+    wanted = [(c, t) for c in missing for t in [x for x in order if x != c][:tests]]
+    tested = sorted({t for _, t in wanted})
+    p = [f"_p{i}" for i in range(len(missing))]
+    flags = [F.col(c).isNotNull().cast("long").alias(n) for c, n in zip(missing, p, strict=True)]
+
+    def counts(names: list[str], kind: str) -> DataFrame:
+        cells = F.explode(F.array(*[F.struct(F.lit(t).alias("tested"), F.col(t).cast(kind).alias("value")) for t in names]))
+        rows = df.select(cells.alias("x"), *flags).select("x.*", *p).where("value is not null")
+        return rows.groupBy("tested", "value").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in p])
+
+    def told(rows: DataFrame, value: Callable[[str], Column]) -> DataFrame:
+        """A row of each pair of the missing and tested columns."""
+        each = F.array(*[F.struct(F.lit(c).alias("column"), value(n).alias("pvalue")) for c, n in zip(missing, p, strict=True)])
+        return rows.select("tested", F.explode(each).alias("x")).select("x.column", "tested", "x.pvalue")
+
+    found = []
+    if names := [t for t in tested if kinds[t] in NUMERIC]:
+        rows = with_piece(counts(names, "double"), "value")
+        inner = Window.partitionBy("tested", "_piece").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        rows = across_pieces(rows, ["tested"], {f"_b{c}": ("sum", F.sum(c)) for c in ("_n", *p)})
+        below = lambda c: F.coalesce(F.col(f"_b{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(inner), F.lit(0))
+        rows = rows.withColumns({f"_u{c}": below(c) for c in ("_n", *p)})
+        rank = lambda c: F.col("_u_n") + F.col(f"_u{c}") + (F.col("_n") + F.col(c) + 1) / 2
+        both = lambda c: (F.col("_n") + F.col(c)).cast("double")
+        sums = rows.groupBy("tested").agg(F.sum("_n").cast("double").alias("n1"), *[x for c in p for x in (F.sum(c).cast("double").alias(f"n{c}"), F.sum(F.col("_n") * rank(c)).alias(f"r{c}"), F.sum(both(c) ** 3 - both(c)).alias(f"t{c}"))])
+
+        def rank_p(c: str) -> Column:
+            n1, n2 = F.col("n1"), F.col(f"n{c}")
+            n, u = n1 + n2, F.col(f"r{c}") - n1 * (n1 + 1) / 2
+            sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col(f"t{c}"), n * (n - 1))))
+            return normal_two_sided(F.when((n2 > 0) & (sd > 0), F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / sd))
+
+        found.append(told(sums, rank_p))
+    if names := [t for t in tested if kinds[t] not in NUMERIC]:
+        rows = counts(names, "string")
+        sums = rows.groupBy("tested").agg((F.count(F.lit(1)) - 1).cast("double").alias("df"), F.sum("_n").alias("n1"), *[x for c in p for x in (F.sum(c).alias(f"n{c}"), F.sum(F.col(c) * F.col(c) / F.col("_n")).alias(f"q{c}"))])
+
+        def square_p(c: str) -> Column:
+            """By the cube root of chi-square over its degrees of freedom, which is close to normal for however many of them."""
+            x = F.try_divide(F.col("n1") * F.col(f"q{c}"), F.col(f"n{c}")) - F.col(f"n{c}")
+            z = (F.pow(x / F.col("df"), 1 / 3) - 1 + 2 / (9 * F.col("df"))) / F.sqrt(2 / (9 * F.col("df")))
+            return F.when(F.col("df") > 0, normal_two_sided(F.when(x > 1e-9, z).otherwise(0.0)))
+
+        found.append(told(sums, square_p))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in wanted])
+    return reduce(DataFrame.unionByName, found).where(F.array_contains(pairs, F.struct(F.col("column").alias("c"), F.col("tested").alias("t"))))
+
+
+def missingness_report(df: DataFrame, columns: list[str], most: float = 0.8, tests: int = 25, p_limit: float = 0.05) -> DataFrame:
+    """Per column with missing values: share, and MNAR if under 5 % of its ``missingness_tests`` see no difference. Over ``most`` missing: ``drop``."""
+    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first().asDict()
+    shares = {c: s for c, s in shares.items() if s}
+    spark = df.sparkSession
+    known = spark.createDataFrame(list(shares.items()), "column string, missing double")
+    out = known.where(F.col("missing") >= most).withColumn("verdict", F.lit("drop"))
+    some = [c for c, s in shares.items() if s < most]
+    if not some or len(columns) < 2:
+        return out
+    quiet = missingness_tests(df, columns, some, tests).groupBy("column").agg(F.avg((F.col("pvalue") >= p_limit).cast("double")).alias("quiet"))
+    return out.unionByName(known.join(quiet, "column").select("column", "missing", F.when(F.col("quiet") < 0.05, "MNAR").otherwise("not MNAR").alias("verdict")))
 
 
 def continuous_columns(df: DataFrame, columns: list[str]) -> list[str]:

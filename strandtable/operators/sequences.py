@@ -16,8 +16,22 @@ def kmers(seqs: DataFrame, k: int, key: str = "contig") -> DataFrame:
     return seqs.select(key, "seq", F.explode(span).alias("pos")).select(key, "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
 
 
+def chunk_kmers(chunks: DataFrame, k: int) -> DataFrame:
+    """(contig, pos, kmer) of sequences in chunks (contig, chunk, offset, seq; all but a contig's last of ``k`` letters or more).
+
+    Each chunk gets the first letters of the next one, so k-mers over the border are made once, by the chunk that they begin in.
+    """
+    heads = chunks.select("contig", (F.col("chunk") - 1).alias("chunk"), F.substring("seq", 1, k - 1).alias("_more"))
+    whole = chunks.join(heads, ["contig", "chunk"], "left").select("contig", "offset", F.length("seq").alias("_own"), F.concat("seq", F.coalesce("_more", F.lit(""))).alias("seq"))
+    last = F.least(F.col("_own") - 1, F.length("seq") - k)
+    span = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    rows = whole.select("contig", "offset", "seq", F.explode(span).alias("i"))
+    return rows.select("contig", (F.col("offset") + F.col("i")).alias("pos"), F.substring("seq", F.col("i") + 1, F.lit(k)).alias("kmer"))
+
+
 def distinct_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    return kmers(seqs, k).select("kmer").distinct()
+    """The k-mers of whole sequences or of chunks."""
+    return (chunk_kmers if "chunk" in seqs.columns else kmers)(seqs, k).select("kmer").distinct()
 
 
 def kmer_anchors(queries: DataFrame, subjects: DataFrame, k: int, least: int = 2, match: float = 1.0, mismatch: float = -1.0) -> DataFrame:
@@ -98,6 +112,22 @@ def promoter_windows(genes: DataFrame, seqs: DataFrame, up: int, down: int) -> D
     return rows.select("gene", "strand", "from", "to", F.substring("seq", F.col("from") + 1, F.col("to") - F.col("from")).alias("promoter"))
 
 
+def promoter_windows_in_chunks(genes: DataFrame, chunks: DataFrame, up: int, down: int, size: int = 1 << 16) -> DataFrame:
+    """``promoter_windows`` on sequences in chunks of ``size`` (contig, chunk, offset, seq): a window fetches the chunks it touches."""
+    minus = F.col("strand") == "-"
+    start = F.greatest(F.lit(0), F.when(minus, F.col("stop") - down).otherwise(F.col("start") - up))
+    stop = F.when(minus, F.col("stop") + up).otherwise(F.col("start") + down)
+    rows = genes.withColumns({"from": start, "to": stop}).select("gene", "strand", "chrom", "from", "to")
+    # A chunk may reach into the range of the next one.
+    met = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from") / size) - 1, F.floor(F.greatest(F.col("to") - 1, F.col("from")) / size))))
+    met = met.join(chunks.withColumnRenamed("contig", "chrom"), ["chrom", "chunk"])
+    low = F.greatest(F.col("from") - F.col("offset"), F.lit(0))
+    part = F.substring("seq", (low + 1).cast("int"), F.greatest(F.col("to") - F.col("offset") - low, F.lit(0)).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("offset", part.alias("part"))))
+    found = met.groupBy("gene", "strand", "from", "to").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("promoter"))
+    return found.select("gene", "strand", "from", "to", "promoter")
+
+
 def base_coverage(coverage: DataFrame, regions: DataFrame, width: int = 4096) -> DataFrame:
     """(region, sample, pos, value): per-base values of tracks (chrom, sample, from, to, value; closed) in regions."""
     both = overlap_join(regions.select("region", "chrom", "start", "stop"), coverage, width, ("start", "stop"), ("from", "to"))

@@ -85,6 +85,19 @@ def signed_rank(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
     return s.withColumn("z", z).withColumn("pvalue", normal_two_sided(F.col("z"))).select(*keys, "n", "w", "z", "pvalue")
 
 
+def rank_sum_methylation(calls: DataFrame, groups: DataFrame, one: str, two: str, keys: list[str], pseudo: float = 1e-6) -> DataFrame:
+    """Rank-sum test of the samples' methylation at each place (calls: keys, sample, value): means, log2 of their ratio, u, p, BH.
+
+    ``pseudo`` is added to both means before the ratio. Values are those of samples, a row each, so a place is a few rows.
+    """
+    rows = calls.join(groups.where(F.col("condition").isin(one, two)).select("sample", "condition"), "sample").where("value is not null")
+    mean = lambda c: F.avg(F.when(F.col("condition") == c, F.col("value")))
+    means = rows.groupBy(*keys).agg(mean(one).alias("mean_1"), mean(two).alias("mean_2"))
+    change = log2((F.col("mean_2") + pseudo) / (F.col("mean_1") + pseudo))
+    tested = mann_whitney(rows, keys, "value", "condition", one).select(*keys, "n1", "n2", "u", "pvalue")
+    return bh_fdr(settle(join_on_keys(means.withColumn("log2_change", change), tested, keys)))
+
+
 def chi_square_gof(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Goodness of fit of category counts (n) to other counts, rescaled to the same total."""
     both = observed.select(key, F.col("n").alias("o")).join(expected.select(key, F.col("n").alias("e0")), key, "full_outer").fillna(0, ["o", "e0"])
@@ -101,14 +114,19 @@ def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, two_sided: bool
     return df.withColumn("pvalue", f(F.col(a), n, marked, drawn))
 
 
-def overrepresentation(genes: DataFrame, t2g: DataFrame, least: int = 10, most: int = 500, two_sided: bool = False) -> DataFrame:
-    """Hits of a gene list in each category against the universe of list and sets.
+def overrepresentation(genes: DataFrame, t2g: DataFrame, least: int = 10, most: int = 500, two_sided: bool = False, background: DataFrame | None = None) -> DataFrame:
+    """Hits of a gene list in each category against the universe of list and sets, or of a ``background`` of genes.
 
-    One semi join marks the hits and one grouping counts them; tests run on category rows.
+    With a background, genes outside it count neither in the list nor in the sets. One semi join marks the hits and
+    one grouping counts them; tests run on category rows.
     """
     listed = genes.where("gene_symbol is not null").select("gene_symbol").distinct()
     sets = t2g.where("gene_symbol is not null").select("category", "gene_symbol").distinct()
-    universe = listed.union(sets.select("gene_symbol")).distinct().agg(F.count(F.lit(1)).alias("population"))
+    if background is not None:
+        known = background.where("gene_symbol is not null").select("gene_symbol").distinct()
+        listed, sets = (x.join(known, "gene_symbol", "left_semi") for x in (listed, sets.select("category", "gene_symbol")))
+        sets = sets.select("category", "gene_symbol")
+    universe = known.agg(F.count(F.lit(1)).alias("population")) if background is not None else listed.union(sets.select("gene_symbol")).distinct().agg(F.count(F.lit(1)).alias("population"))
     drawn = listed.agg(F.count(F.lit(1)).alias("drawn"))
     marked = sets.join(listed.withColumn("hit", F.lit(1)), "gene_symbol", "left")
     rows = marked.groupBy("category").agg(F.count(F.lit(1)).alias("marked"), F.count("hit").alias("hits"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit") == 1, F.col("gene_symbol")))), "/").alias("genes"))
@@ -396,6 +414,13 @@ def pairwise_condition_tests(df: DataFrame) -> DataFrame:
     return bh_fdr(mann_whitney(marked, ["one", "two"], "value", "side", "one", few_keys=True))
 
 
+def condition_summary(df: DataFrame) -> DataFrame:
+    """(condition, n, mean, deviation, q1, median, q3) of (condition, value)."""
+    at = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    s = df.where("value is not null").groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"), at.alias("q"))
+    return s.select("condition", "n", "mean", "deviation", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+
+
 def _welch(rows: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
     """(by, t): Welch's t of the values of side 1 less those of side 0; null without spread or with fewer than two on a side."""
     at = lambda f, c: f(F.when(F.col(side) == c, F.col(value)))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import sql_erfc
 from ..functions.storage import shared_folder
 from ..operators import community as C
 from ..operators import exploration as Q
@@ -51,6 +52,34 @@ def _(v):
     return Q.missingness_report(d, ["c_acctbal", "c_nationkey", "seg"])
 
 
+def _with_gaps(v):
+    return v("customer").select("c_acctbal", F.when(F.col("c_nationkey") % 7 != 3, F.col("c_nationkey")).alias("nation"), F.when(F.col("c_acctbal") > 2000, F.col("c_mktsegment")).alias("seg"))
+
+
+_GAPS = "d AS (SELECT c_acctbal AS a, CASE WHEN c_nationkey % 7 <> 3 THEN CAST(c_nationkey AS DOUBLE) END AS n, CASE WHEN c_acctbal > 2000 THEN c_mktsegment END AS s FROM customer)"
+_RANK_P = """SELECT {0} AS c, {1} AS t, {2} AS pvalue FROM (SELECT greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM (SELECT CAST(sum(k) AS DOUBLE) AS n1, CAST(sum(m) AS DOUBLE) AS n2, sum(k * (b + (k + m + 1) / 2)) - sum(k) * (sum(k) + 1) / 2 AS u, CAST(sum((k + m) ** 3 - (k + m)) AS DOUBLE) AS ties
+FROM (SELECT *, coalesce(sum(k + m) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT {3} AS x, count(*) AS k, count({4}) AS m FROM d WHERE {3} IS NOT NULL GROUP BY 1))))"""
+_SQUARE_P = "SELECT {0} AS c, {1} AS t, {2} AS pvalue FROM (SELECT (pow(x / df, 1 / 3) - 1 + 2 / (9 * df)) / sqrt(2 / (9 * df)) AS z FROM (SELECT sum((m - k * r) ** 2 / (k * r)) AS x, count(*) - 1.0 AS df FROM (SELECT *, sum(m) OVER () / sum(k) OVER () AS r FROM (SELECT {3} AS x, count(*) AS k, count({4}) AS m FROM d WHERE {3} IS NOT NULL GROUP BY 1))))"
+
+
+def _tail(z):
+    return f"least(1.0, {sql_erfc(f'abs({z})/sqrt(2)')})"
+
+
+@query("q5_missingness_tests", f"WITH {_GAPS} SELECT c AS column, t AS tested, round(pvalue, 6) AS pvalue FROM (" + " UNION ALL ".join([
+    _RANK_P.format("'nation'", "'c_acctbal'", _tail("z"), "a", "n"), _RANK_P.format("'seg'", "'c_acctbal'", _tail("z"), "a", "s"), _RANK_P.format("'seg'", "'nation'", _tail("z"), "n", "s"), _SQUARE_P.format("'nation'", "'seg'", _tail("z"), "s", "n")]) + ")")
+def _(v):
+    d = _with_gaps(v)
+    return Q.missingness_tests(d, d.columns, ["nation", "seg"]).withColumn("pvalue", r6("pvalue"))
+
+
+@query("q1_wrong_values", "SELECT 'priority' AS column, CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 53 = 0 THEN 'none' ELSE 'true' END AS value, CASE WHEN o_orderkey % 53 = 0 THEN 'str' ELSE 'bool' END AS type, 'int' AS wanted FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 59 = 0 UNION ALL SELECT 'price', CAST(o_orderkey AS VARCHAR), 'n/a', 'str', 'float' FROM orders WHERE o_orderkey % 61 = 0")
+def _(v):
+    k = F.col("o_orderkey")
+    d = v("orders").select(k.cast("string").alias("o"), F.when(k % 53 == 0, "none").when(k % 59 == 0, "true").otherwise((k % 5).cast("string")).alias("priority"), F.when(k % 61 == 0, "n/a").otherwise((F.floor("o_totalprice") + 0.5).cast("string")).alias("price"))
+    return Q.wrong_values(d, "o", ["priority", "price"])
+
+
 @query("q6_iqr_outliers", "SELECT event_id FROM events, (SELECT median(value) FILTER (WHERE value < m) AS a, median(value) FILTER (WHERE value > m) AS b FROM events, (SELECT median(value) AS m FROM events)) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)")
 def _(v):
     return Q.iqr_outliers(v("events"), "event_id", "value")
@@ -449,6 +478,20 @@ def _(v):
     return S.read_fasta(v.spark, path + "/*")
 
 
+@query("s4_fasta_chunks", "SELECT 'b' || item_id AS contig, i AS chunk, substr(seq, CAST(64 * i + 1 AS INT), 64) AS seq FROM (SELECT item_id, seq, unnest(range(CAST(ceil(length(seq) / 64) AS BIGINT))) AS i FROM (SELECT item_id, replace(text, chr(10), '') AS seq FROM benchmark))")
+def _(v):
+    seqs = _reads(v).withColumn("seq", F.regexp_replace("seq", "\n", ""))
+    S.write_fasta_per_contig(seqs, path := _folder(v), 32)
+    return S.read_fasta_chunks(v.spark, path + "/*", 64).select("contig", "chunk", "seq")
+
+
+@query("g1_kmers_of_chunks", "SELECT DISTINCT substr(text, CAST(i AS INT), 9) AS kmer FROM (SELECT text, unnest(range(1, length(text) - 7)) AS i FROM (SELECT replace(text, chr(10), '') AS text FROM benchmark))")
+def _(v):
+    seqs = _reads(v).withColumn("seq", F.regexp_replace("seq", "\n", ""))
+    S.write_fasta_per_contig(seqs, path := _folder(v), 50)
+    return G.distinct_kmers(S.read_fasta_chunks(v.spark, path + "/*", 100), 9)
+
+
 @query("s5_read_obo", "SELECT concat('N:', n_nationkey) AS id, n_name AS name, concat('R:', n_regionkey) AS parents FROM nation WHERE n_nationkey <> 3")
 def _(v):
     n = v("nation")

@@ -220,8 +220,8 @@ def _(v):
 
 
 @query("w13_validation", """WITH r AS (SELECT doc_id AS id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY md5('1:' || doc_id), doc_id) - 1 AS k, count(*) OVER (PARTITION BY quality) AS size FROM labels), n AS (SELECT CAST(greatest(3, ceil(max(size) / 30)) AS INT) AS n FROM r),
-s AS (SELECT CAST(unnest(range((SELECT n FROM n))) AS INT) AS split), p AS (SELECT split, CASE WHEN i < 30 THEN 'train' ELSE 'validation' END AS part, split * 30 + i AS at, i FROM (SELECT split, unnest(range(60)) AS i FROM s))
-SELECT split, part, label, id FROM p, r WHERE at % size = k AND (i < 30 OR i < size)""")
+s AS (SELECT CAST(unnest(range((SELECT n FROM n))) AS INT) AS split), p AS (SELECT split, CASE WHEN i < 30 THEN 'train' ELSE 'validation' END AS part, split * 30 + i AS place, i FROM (SELECT split, unnest(range(60)) AS i FROM s))
+SELECT split, part, label, id FROM p, r WHERE place % size = k AND (i < 30 OR i < size)""")
 def _(v):
     rows = v("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     return A.balanced_splits(rows, 3, 30, validation=True, cover=True)

@@ -72,6 +72,28 @@ def _(v):
     return t.select("category", "hits", "expected", r6("log2ratio").alias("log2ratio"), "behavior", r6("pvalue").alias("pvalue"), r6("padj").alias("padj"))
 
 
+# The genes that were measured in returned items are the universe.
+@query("t5_background", f"""WITH b AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS gene_symbol FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 20), l AS (SELECT CAST(l_partkey AS VARCHAR) AS gene_symbol FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > (SELECT sum(l_quantity) / count(DISTINCT l_partkey) FROM lineitem)),
+x AS (SELECT p_type AS category, CAST(p_partkey AS VARCHAR) AS gene_symbol FROM part JOIN b ON gene_symbol = CAST(p_partkey AS VARCHAR)) SELECT category, hits, marked, round(pvalue, 6) AS pvalue FROM (SELECT *, {_SF} AS pvalue FROM (SELECT category, count(*) AS marked, count(*) FILTER (WHERE gene_symbol IN (SELECT gene_symbol FROM l)) AS hits, (SELECT count(*) FROM b) AS population, (SELECT count(*) FROM l JOIN b USING (gene_symbol)) AS drawn FROM x GROUP BY category HAVING count(*) BETWEEN 5 AND 100000))""")
+def _(v):
+    known = v("lineitem").where("l_returnflag = 'R' and l_quantity > 20").select(F.col("l_partkey").cast("string").alias("gene_symbol"))
+    return T.overrepresentation(v("genes"), v("t2g"), 5, 100000, background=known).select("category", "hits", "marked", r6("pvalue").alias("pvalue"))
+
+
+@query("t2_rank_sum_methylation", f""", k AS (SELECT chrom, pos, CAST(meth AS DOUBLE) / (meth + unmeth) AS value, CASE WHEN sample % 2 = 0 THEN 'A' ELSE 'B' END AS g FROM calls) SELECT chrom, pos, round(mean_1, 6) AS mean_1, round(mean_2, 6) AS mean_2, round(ln((mean_2 + 1e-6) / (mean_1 + 1e-6)) / ln(2), 6) + 0.0 AS log2_change, u, round(pvalue, 6) AS pvalue FROM (SELECT chrom, pos, avg(value) FILTER (WHERE g = 'A') AS mean_1, avg(value) FILTER (WHERE g = 'B') AS mean_2 FROM k GROUP BY 1, 2) JOIN (""" + _mw("SELECT chrom, pos, value, g FROM k", "chrom, pos", "A") + ") USING (chrom, pos)", "calls")
+def _(v):
+    share = v("calls").select("chrom", "pos", "sample", (F.col("meth") / (F.col("meth") + F.col("unmeth"))).alias("value"))
+    groups = v("calls").select("sample").distinct().withColumn("condition", F.when(F.col("sample") % 2 == 0, "A").otherwise("B"))
+    t = T.rank_sum_methylation(share, groups, "A", "B", ["chrom", "pos"])
+    return t.select("chrom", "pos", "u", *[r6(c).alias(c) for c in ("mean_1", "mean_2", "log2_change", "pvalue")])
+
+
+@query("t19_condition_summary", "SELECT o_orderpriority AS condition, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS deviation, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders GROUP BY 1")
+def _(v):
+    t = T.condition_summary(v("orders").select(F.col("o_orderpriority").alias("condition"), F.col("o_totalprice").alias("value")))
+    return t.select("condition", "n", *[F.round(c, 4).alias(c) for c in ("mean", "deviation", "q1", "median", "q3")])
+
+
 @query("t6_bh_fdr", f"SELECT gene_symbol, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM (SELECT gene_symbol, round(pvalue, 9) AS pvalue FROM de))", "de")
 def _(v):
     return T.bh_fdr(v("de").select("gene_symbol", F.round("pvalue", 9).alias("pvalue"))).select("gene_symbol", r6("padj").alias("padj"))

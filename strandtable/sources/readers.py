@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.storage import settle
 
 
 def read_table(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
@@ -47,6 +50,38 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split(lines[0], r"\s+")[0].alias("contig"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "").alias("seq"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
+    """(contig, chunk, offset, seq): sequences in chunks of about ``size`` letters, however long a contig or a line is.
+
+    Files are read line by line in Spark's own ranges. A line's contig and offset are those within its range plus what
+    earlier ranges of the file end with, one row a range. A chunk holds what begins between ``chunk * size`` and the
+    next, so chunks follow each other without gap or overlap, and all but a contig's last are at least half as long as ``size``.
+    """
+    at = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"), "value"]
+    rows = settle(spark.read.text(path).select(*at).toDF("file", "part", "line", "value").withColumn("value", F.regexp_replace("value", "\r$", "")), "fasta-lines")
+    head = F.col("value").startswith(">")
+    long = F.when(head, 0).otherwise(F.length("value")).cast("long")
+    inside = Window.partitionBy("file", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"letters": long, "name": F.when(head, F.split(F.substring("value", F.lit(2), F.length("value")), r"\s+")[0])})
+    rows = rows.withColumns({"ends": F.sum("letters").over(inside), "own": F.last("name", True).over(inside)})
+    rows = rows.withColumn("zero", F.last(F.when(head, F.col("ends")), True).over(inside))
+    parts = rows.groupBy("file", "part").agg(F.sum("letters").alias("all"), F.max_by("own", "line").alias("last"), (F.sum("letters") - F.max("zero")).alias("tail"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("sum", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    # Where the last contig of the earlier ranges begins, counted from the start of the file.
+    parts = parts.withColumns({"carried": F.last("last", True).over(before), "begins": F.last(F.when(F.col("last").isNotNull(), F.col("sum") + F.col("all") - F.col("tail")), True).over(before)})
+    parts = parts.select(F.col("file").alias("_f"), F.col("part").alias("_p"), "sum", "carried", "begins")
+    rows = rows.join(parts, (F.col("file") == F.col("_f")) & (F.col("part") == F.col("_p")))
+    offset = F.col("sum") + F.col("ends") - F.col("letters") - F.when(F.col("own").isNotNull(), F.col("sum") + F.col("zero")).otherwise(F.col("begins"))
+    lines = rows.where(~head & (F.col("letters") > 0)).select(F.coalesce("own", "carried").alias("contig"), offset.alias("offset"), "value").where("contig is not null")
+    # Long lines are cut, so that a chunk's length does not depend on them.
+    piece = max(1, size // 2)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("value") - 1) / piece).cast("int")), lambda i: F.struct((F.col("offset") + i * piece).alias("offset"), F.substring(F.col("value"), i * piece + 1, F.lit(piece)).alias("seq")))
+    pieces = lines.select("contig", F.explode(cut).alias("x")).select("contig", "x.*").withColumn("chunk", F.floor(F.col("offset") / size))
+    joined = F.array_sort(F.collect_list(F.struct("offset", "seq")))
+    return pieces.groupBy("contig", "chunk").agg(F.min("offset").alias("offset"), F.array_join(F.transform(joined, lambda x: x["seq"]), "").alias("seq"))
+
+
 def read_obo(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
     """(id, name, namespace, parents) of terms that are not obsolete; ``is_a`` and any relationship are parents."""
     rows = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value").startswith("[Term]"))
