@@ -287,24 +287,41 @@ def pivot(m: DataFrame, samples: list, fill: float = 0.0) -> DataFrame:
     return m.groupBy("feature").pivot("sample", samples).agg(F.sum("value")).fillna(fill)
 
 
-def frequent_values(df: DataFrame, column: str, least: int = 3, cover: float = 0.75) -> list | None:
+def frequent_values(df: DataFrame, column: str, least: int = 3, cover: float = 0.75, limit: int = 1001) -> list | None:
     """Values of a category: those seen over ``least`` times, if they cover ``cover`` of the rows."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n"), F.sum(F.when(F.col("n") > least, F.col("n")))).first()
     if not total[0] or (total[1] or 0) < cover * total[0]:
         return None
-    return sorted(r[0] for r in counts.where((F.col("n") > least) & F.col(column).isNotNull()).limit(1001).collect())
+    return sorted(r[0] for r in counts.where((F.col("n") > least) & F.col(column).isNotNull()).limit(limit).collect())
 
 
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Categories become boolean columns ``col_value`` and lose their own; other columns stay. At most 1000 values a column."""
+def one_hot(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
+    """Categories become boolean columns ``col_value`` and lose their own; other columns stay.
+
+    A category of over ``most`` frequent values makes no columns but an error; ``one_hot_cells`` has no such limit.
+    """
     for c in columns:
-        found = frequent_values(df, c)
-        if found and len(found) <= 1000:
+        found = frequent_values(df, c, limit=most + 1)
+        if found and len(found) > most:
+            raise ValueError(f"{c} has over {most} frequent values")
+        if found:
             df = df.select(*[x for x in df.columns if x != c], *[F.coalesce(F.col(c) == x, F.lit(False)).alias(f"{c}_{x}") for x in found])
     return df
 
 
+def one_hot_cells(df: DataFrame, key: str, columns: list[str], least: int = 3, cover: float = 0.75) -> DataFrame:
+    """(key, name): the true cells of ``one_hot``, a row each, for categories of any number of values.
+
+    Frequent values are counted for all columns in one scan and stay distributed.
+    """
+    cells = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("key", "x.*")
+    counts = settle(cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    whole = counts.groupBy("column").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > least, F.col("n")).otherwise(0)).alias("some")).where(F.col("some") >= cover * F.col("all"))
+    kept = counts.where((F.col("n") > least) & F.col("value").isNotNull()).join(F.broadcast(whole.select("column")), "column").select("column", "value")
+    return cells.join(kept, ["column", "value"]).select("key", F.concat_ws("_", "column", "value").alias("name"))
+
+
 def union_reports(reports: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)
 

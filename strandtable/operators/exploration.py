@@ -67,6 +67,11 @@ def missing_header(names: list[str]) -> list[str]:
     return [n for n in names if not n.strip() or n.startswith("Unnamed:")]
 
 
+def missing_headers(headers: DataFrame) -> DataFrame:
+    """The rows of (file, position, name), as ``readers.file_headers`` makes them, whose column has no name."""
+    return headers.where(F.col("name").isNull() | (F.trim("name") == "") | F.col("name").startswith("Unnamed:"))
+
+
 def missing_values(df: DataFrame, columns: list[str], least: float = 0.1) -> DataFrame:
     share = F.avg((F.col("value").isNull() | (F.col("value") == "")).cast("double"))
     return long_form(df, columns).groupBy("column").agg(share.alias("missing")).where(F.col("missing") >= least)

@@ -237,6 +237,11 @@ def _(v):
     return A.one_hot(v("orders").select("o_orderkey", F.col("o_orderstatus").alias("s")), ["s"])
 
 
+@query("r2_one_hot_cells", "SELECT o_orderkey AS key, 'p_' || o_orderpriority AS name FROM orders UNION ALL SELECT o_orderkey, 'c_' || o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 3) AND (SELECT sum(n) FILTER (WHERE n > 3) >= 0.75 * sum(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))")
+def _(v):
+    return A.one_hot_cells(v("orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_custkey").alias("c")), "o_orderkey", ["p", "c"])
+
+
 @query("r3_union_reports", "SELECT 'a' AS rule, count(*) AS n FROM orders UNION ALL SELECT 'b', count(*) FROM lineitem")
 def _(v):
     n = F.count(F.lit(1)).alias("n")

@@ -43,6 +43,13 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(*fixed, info, samples).withColumns({"pos": F.col("pos").cast("long"), "qual": F.col("qual").try_cast("double")})
 
 
+def file_headers(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
+    """(file, position, name): the column names in the first line of each file of a folder, as they stand there."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"), "value").toDF("file", "part", "line", "value")
+    first = lines.where("part = 0").groupBy("file").agg(F.min_by("value", "line").alias("value"))
+    return first.select("file", F.posexplode(F.split("value", separator)).alias("position", "name"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(contig, seq): records are split at lines that start with ``>``, lines are joined."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
