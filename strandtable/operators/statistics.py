@@ -552,6 +552,68 @@ def model_eval_cv(df: DataFrame, features: list[str], label: str, key: str, esti
     return reduce(DataFrame.unionByName, out)
 
 
+def classifiers(seed: int = 1) -> dict:
+    """Spark ML's families of binary classifiers by name."""
+    from pyspark.ml import classification as C
+
+    return {"logistic": C.LogisticRegression(), "linear_svm": C.LinearSVC(), "tree": C.DecisionTreeClassifier(seed=seed), "forest": C.RandomForestClassifier(seed=seed), "boosted": C.GBTClassifier(seed=seed), "naive_bayes": C.NaiveBayes(modelType="gaussian")}
+
+
+def regressors(seed: int = 1) -> dict:
+    """Spark ML's families of regressors by name."""
+    from pyspark.ml import regression as R
+
+    return {
+        "linear": R.LinearRegression(), "ridge": R.LinearRegression(regParam=1.0), "lasso": R.LinearRegression(regParam=1.0, elasticNetParam=1.0), "elastic": R.LinearRegression(regParam=1.0, elasticNetParam=0.5),
+        "tree": R.DecisionTreeRegressor(seed=seed), "forest": R.RandomForestRegressor(seed=seed), "boosted": R.GBTRegressor(seed=seed),
+    }
+
+
+def stratified_splits(df: DataFrame, label: str, key: str, rounds: int = 10, share: float = 0.2, seed: int = 1) -> DataFrame:
+    """Add ``tested``: for each round, whether the row is held out; in every round ``share`` of each label's rows are, drawn anew.
+
+    A row's place in its label comes from ranges of a seeded order; a round's draw is a keyed permutation of the places, so no
+    round sorts or shuffles. Labels are few: a row each reaches the driver.
+    """
+    rows = row_places(df.where(F.col(label).isNotNull()), [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)], [label], "_place")
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+
+    def held(r: Column) -> Column:
+        out = F.lit(False)
+        for value, n in sizes.items():
+            out = F.when(F.col(label) == value, permuted(F.col("_place"), n, F.lit(seed).cast("long"), r) < round(share * n)).otherwise(out)
+        return out
+
+    return rows.withColumn("tested", F.transform(F.sequence(F.lit(1), F.lit(rounds)).cast("array<long>"), held)).drop("_place")
+
+
+def model_eval_splits(df: DataFrame, features: list[str], label: str, key: str, models: dict, rounds: int = 10, binary: bool = True, seed: int = 1) -> DataFrame:
+    """(model, round, part, n, mse, r2, accuracy, accuracy_0, accuracy_1) of Spark ML estimators by name, on train and test parts.
+
+    Binary labels are split by ``stratified_splits`` (a fifth is tested), others into ``rounds`` seeded folds. Accuracies are
+    null unless ``binary``.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    if binary:
+        rows = stratified_splits(df, label, key, rounds, seed=seed)
+    else:
+        rows = df.where(F.col(label).isNotNull()).withColumn("tested", F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)).cast("array<long>"), lambda r: F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(rounds)) == r))
+    rows = settle(rows.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), "tested").dropna(subset=features))
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    out = []
+    for name, model in models.items():
+        for k in range(rounds):
+            fitted = model.fit(rows.where(~F.col("tested")[k]).select("features", "label"))
+            told = fitted.transform(rows.select("features", "label", F.when(F.col("tested")[k], "test").otherwise("train").alias("part")))
+            right = (F.col("prediction") == F.col("label")).cast("double")
+            error = F.avg((F.col("prediction") - F.col("label")) ** 2)
+            hits = [F.avg(F.when(F.lit(binary) & c, right)).alias(n) for n, c in (("accuracy", F.lit(True)), ("accuracy_0", F.col("label") == 0), ("accuracy_1", F.col("label") == 1))]
+            s = told.groupBy("part").agg(F.count(F.lit(1)).alias("n"), error.alias("mse"), (1 - F.try_divide(error, F.var_pop("label"))).alias("r2"), *hits)
+            out.append(s.select(F.lit(name).alias("model"), F.lit(k + 1).alias("round"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def label_encode(df: DataFrame, label: str) -> DataFrame:
     """Sorted labels become 0 .. k - 1 in ``code``; null stays null."""
     codes = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(label)) - 1)

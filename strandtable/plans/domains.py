@@ -307,11 +307,11 @@ def _(v):
     return v("documents").select("doc_id", F.explode(E.bullet_lines(t)).alias("line"))
 
 
-@query("e3_match_tags", "SELECT query_id, tag_id FROM (SELECT a.vec_id AS query_id, b.label AS tag_id, list_sum([CAST(a.embedding[i] AS DOUBLE) * b.e[i] FOR i IN range(1, 65)]) / sqrt(list_sum([CAST(a.embedding[i] AS DOUBLE) ** 2 FOR i IN range(1, 65)]) * list_sum([b.e[i] ** 2 FOR i IN range(1, 65)])) AS s FROM embeddings a, (SELECT label, [avg(CAST(embedding[i] AS DOUBLE)) FOR i IN range(1, 2)] AS z, arg_min([CAST(x AS DOUBLE) FOR x IN embedding], vec_id) AS e FROM embeddings GROUP BY label) b) WHERE round(s, 6) >= 0.5".replace("[avg(CAST(embedding[i] AS DOUBLE)) FOR i IN range(1, 2)] AS z, ", ""))
+@query("e3_match_tags", "SELECT query_id, tag_id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.label AS tag_id, list_sum([CAST(a.embedding[i] AS DOUBLE) * b.e[i] FOR i IN range(1, 65)]) / sqrt(list_sum([CAST(a.embedding[i] AS DOUBLE) ** 2 FOR i IN range(1, 65)]) * list_sum([b.e[i] ** 2 FOR i IN range(1, 65)])) AS s FROM embeddings a, (SELECT label, [avg(CAST(embedding[i] AS DOUBLE)) FOR i IN range(1, 2)] AS z, arg_min([CAST(x AS DOUBLE) FOR x IN embedding], vec_id) AS e FROM embeddings GROUP BY label) b) WHERE round(s, 6) >= 0.5".replace("[avg(CAST(embedding[i] AS DOUBLE)) FOR i IN range(1, 2)] AS z, ", ""))
 def _(v):
     e = v("embeddings")
     tags = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.col("label").alias("tag_id"), "embedding")
-    return E.match_tags(e.select(F.col("vec_id").alias("query_id"), "embedding"), tags, 0.4999995).select("query_id", "tag_id")
+    return E.match_tags(e.select(F.col("vec_id").alias("query_id"), "embedding"), tags, 0.4999995).withColumn("similarity", r6("similarity"))
 
 
 @query("e4_select_labels", "SELECT l_orderkey AS text_id, array_to_string(list_sort(list_distinct(list(l_returnflag))), ';') AS labels FROM lineitem WHERE l_tax >= 0.05 GROUP BY 1")
@@ -507,11 +507,11 @@ def _(v):
     return S.read_obo(v.spark, path, "geo").select("id", "name", F.array_join("parents", ";").alias("parents"))
 
 
-@query("s6_read_kraken_report", "SELECT l_orderkey AS fragments, 'S' AS rank, CAST(l_partkey AS VARCHAR) AS taxid FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey > 0 AND l_partkey <> 5")
+@query("s6_read_kraken_report", "SELECT CAST(1.5 AS DOUBLE) AS percent, l_orderkey AS fragments, CAST(1 AS BIGINT) AS direct, 'S' AS rank, CAST(l_partkey AS VARCHAR) AS taxid, 'name' AS name FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey > 0 AND l_partkey <> 5")
 def _(v):
     line = F.concat_ws("\t", F.lit(" 1.5"), F.col("l_orderkey").cast("string"), F.lit("1"), F.when(F.col("l_linenumber") % 2 == 0, "S").otherwise("G"), F.col("l_partkey").cast("string"), F.lit("   name"))
     v("lineitem").select(line.alias("value")).write.text(path := _folder(v))
-    return S.read_kraken_report(v.spark, path, ["S"], ["5"]).select("fragments", "rank", "taxid")
+    return S.read_kraken_report(v.spark, path, ["S"], ["5"]).drop("sample")
 
 
 @query("s7_read_taxdump", "SELECT c_custkey AS taxid, c_name AS name, CAST(c_nationkey AS BIGINT) AS parent, c_mktsegment AS rank FROM customer")

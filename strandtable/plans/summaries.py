@@ -307,10 +307,10 @@ def _(v):
     return N.median_coverage_normalize(d, "depth").withColumn("depth", r6("depth"))
 
 
-@query("n8_triwise_coords", "SELECT gene_symbol, round(sqrt(x * x + y * y), 6) AS radius FROM (SELECT gene_symbol, l1 - 0.5 * l2 - 0.5 * l3 AS x, sqrt(3) / 2 * (l2 - l3) AS y FROM (SELECT d.gene_symbol, pow(2, d.log2FoldChange) AS l1, pow(2, e.log2FoldChange) AS l2, pow(2, d.log2FoldChange - e.log2FoldChange) AS l3 FROM de d JOIN de2 e USING (gene_symbol) WHERE d.log2FoldChange <> 0 OR e.log2FoldChange <> 0))", "de de2")
+@query("n8_triwise_coords", "SELECT gene_symbol, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(atan2(y, x), 6) + 0.0 AS angle, round(sqrt(x * x + y * y), 6) AS radius FROM (SELECT gene_symbol, l1 - 0.5 * l2 - 0.5 * l3 AS x, sqrt(3) / 2 * (l2 - l3) AS y FROM (SELECT d.gene_symbol, pow(2, d.log2FoldChange) AS l1, pow(2, e.log2FoldChange) AS l2, pow(2, d.log2FoldChange - e.log2FoldChange) AS l3 FROM de d JOIN de2 e USING (gene_symbol) WHERE d.log2FoldChange <> 0 OR e.log2FoldChange <> 0))", "de de2")
 def _(v):
     t = v("de").select("gene_symbol", F.col("log2FoldChange").alias("a")).join(v("de2").select("gene_symbol", F.col("log2FoldChange").alias("b")), "gene_symbol")
-    return N.triwise_coords(t.withColumn("c", F.col("a") - F.col("b")), "a", "b", "c").select("gene_symbol", r6("radius").alias("radius"))
+    return N.triwise_coords(t.withColumn("c", F.col("a") - F.col("b")), "a", "b", "c").select("gene_symbol", *[r6(c).alias(c) for c in ("x", "y", "angle", "radius")])
 
 
 @query("n9_log_stabilize", f", {_SF} SELECT feature, sample, round(ln(value / size_factor + 1) / ln(2), 6) AS value FROM counts JOIN sf USING (sample)", "counts")

@@ -185,10 +185,10 @@ def _(v):
     return T.gene_signature_score(v("counts"), v("genes").select(F.col("gene_symbol").cast("long").alias("feature")))
 
 
-@query("t19_pairwise_condition_tests", "SELECT one, two, n1, n2, round(z, 6) AS z FROM (" + _mw("SELECT a.l_returnflag AS one, b.l_returnflag AS two, l.l_quantity AS value, CASE WHEN l.l_returnflag = a.l_returnflag THEN 'one' ELSE 'two' END AS g FROM lineitem l, (SELECT DISTINCT l_returnflag FROM lineitem) a, (SELECT DISTINCT l_returnflag FROM lineitem) b WHERE a.l_returnflag < b.l_returnflag AND l.l_returnflag IN (a.l_returnflag, b.l_returnflag)", "one, two", "one") + ")")
+@query("t19_pairwise_condition_tests", f"SELECT one, two, n1, n2, round(z, 6) AS z, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM (" + _mw("SELECT a.l_returnflag AS one, b.l_returnflag AS two, l.l_quantity AS value, CASE WHEN l.l_returnflag = a.l_returnflag THEN 'one' ELSE 'two' END AS g FROM lineitem l, (SELECT DISTINCT l_returnflag FROM lineitem) a, (SELECT DISTINCT l_returnflag FROM lineitem) b WHERE a.l_returnflag < b.l_returnflag AND l.l_returnflag IN (a.l_returnflag, b.l_returnflag)", "one, two", "one") + "))")
 def _(v):
     t = T.pairwise_condition_tests(v("lineitem").select(F.col("l_returnflag").alias("condition"), F.col("l_quantity").alias("value")))
-    return t.select("one", "two", "n1", "n2", r6("z").alias("z"))
+    return t.select("one", "two", "n1", "n2", *[r6(c).alias(c) for c in ("z", "pvalue", "padj")])
 
 
 @query("t20_nested_resampling_test")
@@ -218,6 +218,20 @@ def _(v):
     return T.model_eval_cv(rows, ["n_chars", "words"], "quality", "doc_id", LogisticRegression(maxIter=10), 3)
 
 
+@query("t23_model_eval_splits")
+def _(v):
+    rows = v("labels").join(v("documents"), "doc_id").withColumn("words", F.size(F.split("text", " ")))
+    some = {k: m for k, m in T.classifiers().items() if k in ("logistic", "tree")}
+    return T.model_eval_splits(rows, ["n_chars", "words"], "quality", "doc_id", some, 3)
+
+
+@query("t23_stratified_splits", """WITH r AS (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT round, CAST(quality AS DOUBLE) AS label, CAST(round_even(0.2 * n, 0) AS BIGINT) AS tested, n AS rows FROM (SELECT DISTINCT quality, n FROM r), (SELECT unnest(range(1, 11)) AS round)""")
+def _(v):
+    marked = T.stratified_splits(v("labels"), "quality", "doc_id", 10)
+    each = marked.select(F.col("quality").cast("double").alias("label"), F.posexplode("tested").alias("round", "t"))
+    return each.groupBy((F.col("round") + 1).cast("long").alias("round"), "label").agg(F.count_if("t").alias("tested"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("t24_label_encode", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer")
 def _(v):
     return T.label_encode(v("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment").select("c_custkey", "code")

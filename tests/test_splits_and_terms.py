@@ -99,3 +99,20 @@ def test_terms_of_a_chain_and_none(spark):
     got = {(r.node, r.representative) for r in hierarchy.simplify_terms(chain, terms, 2).collect()}
     assert got == {("c9", "c8"), ("c8", "c8"), ("c4", "c3"), ("c3", "c3"), ("elsewhere", "elsewhere")}
     assert hierarchy.simplify_terms(chain, terms.where(F.lit(False)), 2).collect() == []
+
+
+def test_models_are_tried_on_stratified_splits(spark):
+    """Each round holds out a fifth of each label, anew; measures agree with predictions that are known."""
+    from strandtable.operators import statistics
+
+    rows = [(i, float(i % 10 > 6), float(i % 10), float(i % 3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, y double, a double, b double")
+    marked = statistics.stratified_splits(df, "y", "id", 4).collect()
+    for k in range(4):
+        assert [sum(r.tested[k] for r in marked if r.y == y) for y in (0.0, 1.0)] == [70, 30]
+    assert len({tuple(r.id for r in marked if r.tested[k]) for k in range(4)}) == 4
+    models = {k: m for k, m in statistics.classifiers().items() if k in ("tree", "naive_bayes")}
+    got = {(r["model"], r["round"], r["part"]): r for r in statistics.model_eval_splits(df, ["a", "b"], "y", "id", models, 2).collect()}
+    assert len(got) == 8 and all((r.n, r.mse, r.r2, r.accuracy, r.accuracy_0, r.accuracy_1) == ({"train": 400, "test": 100}[p], 0.0, 1.0, 1.0, 1.0, 1.0) for (m, _, p), r in got.items() if m == "tree")
+    fit = statistics.model_eval_splits(df.withColumn("y", 2 * F.col("a") + 1), ["a"], "y", "id", {"linear": statistics.regressors()["linear"]}, 2, binary=False).collect()
+    assert len(fit) == 4 and all(r.r2 == pytest.approx(1.0) and r.accuracy is None for r in fit) and sum(r.n for r in fit if r.part == "test") == 500
