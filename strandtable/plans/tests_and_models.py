@@ -45,12 +45,16 @@ def _(v):
     return t.withColumns({"z": r6("z"), "pvalue": r6("pvalue")})
 
 
-@query("t3_chi_square_gof")
+# Upper tail of chi-square of x at df whole degrees of freedom.
+_CHI_TAIL = f"least(1.0, CASE WHEN df % 2 = 1 THEN {sql_erfc('sqrt(x / 2)')} ELSE 0 END + coalesce(list_sum([exp(-x / 2 + (i + df % 2 / 2) * ln(x / 2) - lgamma(i + 1 + df % 2 / 2)) FOR i IN range(CAST(df // 2 AS BIGINT))]), 0))"
+
+
+@query("t3_chi_square_gof", f"""SELECT round(x, 6) AS chi2, df, round({_CHI_TAIL}, 6) AS pvalue FROM (SELECT sum((o - e) ** 2 / e) AS x, count(*) - 1 AS df FROM (SELECT coalesce(o, 0) AS o, k * sum(coalesce(o, 0)) OVER () / sum(k) OVER () AS e FROM (SELECT p_container AS key, count(*) AS k FROM part GROUP BY 1) FULL JOIN (SELECT p_container AS key, count(*) AS o FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) USING (key)))""".replace("p_container", "p_type"))
 def _(v):
     n = F.count(F.lit(1)).alias("n")
     part = v("part").groupBy(F.col("p_type").alias("key"))
     sold = v("lineitem").join(v("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("key"))
-    return T.chi_square_gof(sold.agg(n), part.agg(n), "key")
+    return T.chi_square_gof(sold.agg(n), part.agg(n), "key").withColumns({"chi2": r6("chi2"), "pvalue": r6("pvalue")})
 
 
 _LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
@@ -104,9 +108,13 @@ def _(v):
     return T.differential_utest(v("counts"), v("sheet"), "A", "B", 10)
 
 
-@query("t8_junction_test")
+@query("t8_junction_test", f""", g AS (SELECT condition, count(*) AS n FROM sheet GROUP BY 1), m AS (SELECT j.start, j.stop, sum(CASE WHEN condition = 'A' THEN reads ELSE 0 END) / (SELECT n FROM g WHERE condition = 'A') AS m1, sum(CASE WHEN condition = 'B' THEN reads ELSE 0 END) / (SELECT n FROM g WHERE condition = 'B') AS m2, (SELECT n FROM g WHERE condition = 'A') AS n1, (SELECT n FROM g WHERE condition = 'B') AS n2 FROM junctions j JOIN sheet USING (sample) GROUP BY 1, 2),
+p AS (SELECT *, {_p('(ln(m2 / m1) / sqrt((1 + m1) / (n1 * m1) + (1 + m2) / (n2 * m2)))')} AS pvalue FROM m WHERE m1 > 0 AND m2 > 0)
+SELECT start, stop, round(m1, 6) AS mean_1, round(m2, 6) AS mean_2, CASE WHEN m1 = 0 AND m2 = 0 THEN 'absent' WHEN m2 = 0 THEN 'unique_1' ELSE 'unique_2' END AS kind, NULL AS log2FoldChange, NULL AS pvalue, NULL AS padj FROM m WHERE m1 = 0 OR m2 = 0
+UNION ALL SELECT start, stop, round(m1, 6), round(m2, 6), 'both', round(ln(m1 / m2) / ln(2), 6) + 0.0, round(pvalue, 6), round({_bh()}, 6) FROM (SELECT *, {_RANKED} FROM p)""", "junctions sheet")
 def _(v):
-    return T.junction_test(v("junctions"), v("sheet"), "A", "B")
+    t = T.junction_test(v("junctions"), v("sheet"), "A", "B")
+    return t.select("start", "stop", "kind", *[r6(c).alias(c) for c in ("mean_1", "mean_2", "log2FoldChange", "pvalue", "padj")])
 
 
 @query("t9_nb_two_group_wald", f"SELECT feature, round(ln(m2 / m1), 6) + 0.0 AS coef, round({_p('(ln(m2 / m1) / sqrt((1 + m1) / (n1 * m1) + (1 + m2) / (n2 * m2)))')}, 6) AS pvalue FROM (SELECT feature, avg(value) FILTER (WHERE sample < 6) AS m1, count(*) FILTER (WHERE sample < 6) AS n1, avg(value) FILTER (WHERE sample >= 6) AS m2, count(*) FILTER (WHERE sample >= 6) AS n2 FROM counts GROUP BY feature) WHERE n1 > 0 AND n2 > 0", "counts")
@@ -155,9 +163,14 @@ def _(v):
     return T.gene_linear_model(v("counts"), v("sheet"), "A", "B")
 
 
-@query("t16_nb_differential")
+@query("t16_nb_differential", f""", {_FACTORS}, r AS (SELECT f.feature, condition, coalesce(value, 0) / size_factor AS v FROM (SELECT DISTINCT feature FROM counts) f, sheet s JOIN sf USING (sample) LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample),
+a AS (SELECT feature, avg(v) FILTER (WHERE condition = 'A') AS m0, var_samp(v) FILTER (WHERE condition = 'A') AS v0, CAST(count(*) FILTER (WHERE condition = 'A') AS DOUBLE) AS n0, avg(v) FILTER (WHERE condition = 'B') AS m1, var_samp(v) FILTER (WHERE condition = 'B') AS v1, CAST(count(*) FILTER (WHERE condition = 'B') AS DOUBLE) AS n1 FROM r GROUP BY 1),
+b AS (SELECT *, (m0 * n0 + m1 * n1) / (n0 + n1) AS mean, ((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) AS var, greatest(m0, 0.5) AS g0, greatest(m1, 0.5) AS g1 FROM a), c AS (SELECT *, greatest((var - mean) / mean ** 2, 1e-8) AS alpha FROM b WHERE mean > 0),
+d AS (SELECT *, ln(g1 / g0) / sqrt((1 / g0 + alpha) / n0 + (1 / g1 + alpha) / n1) AS z FROM c), p AS (SELECT *, {_p('z')} AS pvalue FROM d)
+SELECT feature, round(mean, 6) AS base_mean, round(ln(g1 / g0) / ln(2), 6) + 0.0 AS log2FoldChange, round(alpha, 6) AS dispersion, round(z, 6) + 0.0 AS z, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM p)""", "counts sheet")
 def _(v):
-    return T.nb_differential(v("counts"), v("sheet"), "A", "B")
+    t = T.nb_differential(v("counts"), v("sheet"), "A", "B")
+    return t.select("feature", *[r6(c).alias(c) for c in ("base_mean", "log2FoldChange", "dispersion", "z", "pvalue", "padj")])
 
 
 @query("t16_nb_likelihood_ratio")
