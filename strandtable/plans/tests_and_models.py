@@ -8,6 +8,7 @@ from ..functions.numeric import sql_erfc
 from ..operators import matrix as N
 from ..operators import statistics as T
 from .registry import query, r6
+from .summaries import _PF
 from .summaries import _SF as _FACTORS
 
 
@@ -21,6 +22,13 @@ def _bh(p: str = "pvalue", by: str = "") -> str:
     return f"least(1.0, min({p} * n_all / n_le) OVER ({part} ORDER BY {p} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 
 
+def _t_tail(h: str, df: str) -> str:
+    """Two-sided tail of Student's t at ``df`` whole degrees of freedom, for the angle ``h`` = atan(|t| / sqrt(df))."""
+    even = f"sin({h}) * list_sum([exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * pow(cos({h}), 2 * j) FOR j IN range(CAST({df} // 2 AS BIGINT))])"
+    odd = f"2 / pi() * ({h} + sin({h}) * cos({h}) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * pow(cos({h}), 2 * j) FOR j IN range(CAST(({df} - 1) // 2 AS BIGINT))]), 0))"
+    return f"greatest(0.0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 _RANKED = "count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_le, count(*) OVER () AS n_all"
 
 
@@ -103,9 +111,12 @@ def _(v):
     return T.bh_fdr(v("de").select("gene_symbol", F.round("pvalue", 9).alias("pvalue"))).select("gene_symbol", r6("padj").alias("padj"))
 
 
-@query("t7_differential_utest")
+@query("t7_differential_utest", f""", kept AS (SELECT f.feature, s.sample, coalesce(c.value, 0) AS value FROM (SELECT feature FROM counts GROUP BY 1 HAVING count(*) FILTER (WHERE value >= 10) > (SELECT count(*) FROM sheet) / 2) f CROSS JOIN sheet s LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample),
+one AS ({_PF.format('kept')}), two AS (SELECT feature, sample, ln(1 + value) AS value FROM one), three AS ({_PF.format('two')}), k AS (SELECT feature, value, condition AS g FROM three JOIN sheet USING (sample)), m AS (SELECT feature, median(value) FILTER (WHERE g = 'A') AS mr, median(value) FILTER (WHERE g = 'B') AS mo FROM k GROUP BY 1), t AS ({_mw('SELECT feature, value, g FROM k', 'feature', 'B')})
+SELECT feature, round(mr, 6) AS median_ref, round(mo, 6) AS median_other, round(mo - mr, 6) + 0.0 AS log2FoldChange, u, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM m JOIN t USING (feature))""", "counts sheet")
 def _(v):
-    return T.differential_utest(v("counts"), v("sheet"), "A", "B", 10)
+    t = T.differential_utest(v("counts"), v("sheet"), "A", "B", 10)
+    return t.select("feature", "u", *[r6(c).alias(c) for c in ("median_ref", "median_other", "log2FoldChange", "pvalue", "padj")])
 
 
 @query("t8_junction_test", f""", g AS (SELECT condition, count(*) AS n FROM sheet GROUP BY 1), m AS (SELECT j.start, j.stop, sum(CASE WHEN condition = 'A' THEN reads ELSE 0 END) / (SELECT n FROM g WHERE condition = 'A') AS m1, sum(CASE WHEN condition = 'B' THEN reads ELSE 0 END) / (SELECT n FROM g WHERE condition = 'B') AS m2, (SELECT n FROM g WHERE condition = 'A') AS n1, (SELECT n FROM g WHERE condition = 'B') AS n2 FROM junctions j JOIN sheet USING (sample) GROUP BY 1, 2),
@@ -137,9 +148,9 @@ def _(v):
     return T.trend_outliers(o, "x", "y").select("o_orderkey")
 
 
-@query("t12_pearson_by_category", "SELECT label, count(*) AS n, round(corr(x, y), 6) + 0.0 AS r FROM (SELECT unnest(['all', l_returnflag]) AS label, l_quantity AS x, l_extendedprice AS y FROM lineitem) GROUP BY label")
+@query("t12_pearson_by_category", f"""SELECT label, n, round(r, 6) + 0.0 AS r, round({_t_tail('h', 'df')}, 6) AS pvalue FROM (SELECT *, n - 2 AS df, atan(abs(r) / sqrt(1 - r * r)) AS h FROM (SELECT label, count(*) AS n, corr(x, y) AS r FROM (SELECT unnest(['all', l_returnflag]) AS label, l_discount AS x, l_tax AS y FROM lineitem) GROUP BY label))""")
 def _(v):
-    return T.pearson_by_category(v("lineitem"), "l_quantity", "l_extendedprice", "l_returnflag").select("label", "n", r6("r").alias("r"))
+    return T.pearson_by_category(v("lineitem"), "l_discount", "l_tax", "l_returnflag").select("label", "n", r6("r").alias("r"), r6("pvalue").alias("pvalue"))
 
 
 @query("t13_fit_glm", f"""SELECT response, level, baseline, round(coefficient, 6) + 0.0 AS coefficient, round(error, 6) AS error, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM (SELECT *, {_p('(coefficient / error)')} AS pvalue FROM (
@@ -152,15 +163,19 @@ def _(v):
     return t.select("response", "level", "baseline", *[r6(c).alias(c) for c in ("coefficient", "error", "pvalue", "padj")])
 
 
-@query("t14_genotype_effect", "SELECT cell_type, genotype, round(m - r, 6) + 0.0 AS effect FROM (SELECT l_linenumber AS cell_type, l_returnflag AS genotype, avg(l_tax) AS m FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2) JOIN (SELECT l_linenumber AS cell_type, avg(l_tax) AS r FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) USING (cell_type)")
+@query("t14_genotype_effect", f"""WITH s AS (SELECT l_linenumber AS cell_type, l_returnflag AS genotype, avg(l_tax) AS m, var_samp(l_tax) AS v, count(*) AS n, median(l_tax) AS d FROM lineitem GROUP BY 1, 2), j AS (SELECT s.cell_type, s.genotype, s.m - r.m AS effect, s.d AS median, r.d AS ref_median, s.n + r.n - 2 AS df, ((s.n - 1) * s.v + (r.n - 1) * r.v) / (s.n + r.n - 2) * (1 / s.n + 1 / r.n) AS e2 FROM s JOIN s r ON r.cell_type = s.cell_type AND r.genotype = 'A' WHERE s.genotype <> 'A'),
+p AS (SELECT *, {_t_tail('h', 'df')} AS pvalue FROM (SELECT *, atan(abs(effect) / sqrt(e2) / sqrt(df)) AS h FROM j)) SELECT cell_type, genotype, round(effect, 6) + 0.0 AS effect, round(pvalue, 6) AS pvalue, CASE WHEN pvalue < 0.05 THEN CASE WHEN effect > 0 THEN 'enriched' ELSE 'depleted' END ELSE 'ns' END AS flag, median, ref_median FROM p""")
 def _(v):
     d = v("lineitem").select(F.col("l_linenumber").alias("cell_type"), F.col("l_returnflag").alias("genotype"), F.col("l_tax").alias("value"))
-    return T.genotype_effect(d, "A").select("cell_type", "genotype", r6("effect").alias("effect"))
+    return T.genotype_effect(d, "A").withColumns({"effect": r6("effect"), "pvalue": r6("pvalue")})
 
 
-@query("t15_gene_linear_model")
+@query("t15_gene_linear_model", f""", k AS (SELECT f.feature, condition, coalesce(c.value, 0) AS v FROM (SELECT DISTINCT feature FROM counts) f CROSS JOIN sheet s LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample),
+m AS (SELECT feature, avg(v) FILTER (WHERE condition = 'A') AS a, avg(v) FILTER (WHERE condition = 'B') AS b, count(*) FILTER (WHERE condition = 'A') AS na, count(*) FILTER (WHERE condition = 'B') AS nb, var_samp(v) FILTER (WHERE condition = 'A') AS va, var_samp(v) FILTER (WHERE condition = 'B') AS vb FROM k GROUP BY 1),
+n AS (SELECT feature, b - a AS change, na + nb - 2 AS df, atan(abs(b - a) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) / sqrt(na + nb - 2)) AS h FROM m), p AS (SELECT feature, change, {_t_tail('h', 'df')} AS pvalue FROM n)
+SELECT feature, round(change, 6) + 0.0 AS change, round(pvalue, 6) AS pvalue, round({_bh()}, 6) AS padj FROM (SELECT *, {_RANKED} FROM p)""", "counts sheet")
 def _(v):
-    return T.gene_linear_model(v("counts"), v("sheet"), "A", "B")
+    return T.gene_linear_model(v("counts"), v("sheet"), "A", "B").select("feature", *[r6(c).alias(c) for c in ("change", "pvalue", "padj")])
 
 
 @query("t16_nb_differential", f""", {_FACTORS}, r AS (SELECT f.feature, condition, coalesce(value, 0) / size_factor AS v FROM (SELECT DISTINCT feature FROM counts) f, sheet s JOIN sf USING (sample) LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample),
@@ -250,10 +265,10 @@ def _(v):
     return T.label_encode(v("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment").select("c_custkey", "code")
 
 
-@query("q18_linear_fit", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n FROM lineitem GROUP BY 1")
+@query("q18_linear_fit", f"""SELECT l_linenumber, round(slope, 6) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, round(r, 6) + 0.0 AS r, n, round({_t_tail('h', 'df')}, 6) AS pvalue FROM (SELECT *, n - 2 AS df, atan(abs(r) / sqrt(1 - r * r)) AS h FROM (SELECT l_linenumber, regr_slope(l_tax, l_discount) AS slope, regr_intercept(l_tax, l_discount) AS intercept, corr(l_discount, l_tax) AS r, count(*) AS n FROM lineitem GROUP BY 1))""")
 def _(v):
-    t = T.linear_fit(v("lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
-    return t.select("l_returnflag", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), "n")
+    t = T.linear_fit(v("lineitem"), "l_discount", "l_tax", ["l_linenumber"])
+    return t.select("l_linenumber", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), "n", r6("pvalue").alias("pvalue"))
 
 
 @query("n2_size_factors", f", {_FACTORS} SELECT sample, round(size_factor, 6) AS size_factor FROM sf", "counts")
