@@ -53,12 +53,6 @@ def _(v):
     return Q.rare_categories(v("orders").select(odd.alias("p")), "p")
 
 
-@query("q5_missingness_report")
-def _(v):
-    d = v("customer").select("c_acctbal", "c_nationkey", F.when(F.col("c_acctbal") > 2000, F.col("c_mktsegment")).alias("seg"))
-    return Q.missingness_report(d, ["c_acctbal", "c_nationkey", "seg"])
-
-
 def _with_gaps(v):
     return v("customer").select("c_acctbal", F.when(F.col("c_nationkey") % 7 != 3, F.col("c_nationkey")).alias("nation"), F.when(F.col("c_acctbal") > 2000, F.col("c_mktsegment")).alias("seg"))
 
@@ -80,6 +74,12 @@ def _(v):
     return Q.missingness_tests(d, d.columns, ["nation", "seg"]).withColumn("pvalue", r6("pvalue"))
 
 
+@query("q5_missingness_report", f"WITH d AS (SELECT c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS n, CASE WHEN c_acctbal > 2000 THEN c_mktsegment END AS s FROM customer) SELECT 'seg' AS column, round((SELECT avg(CASE WHEN s IS NULL THEN 1.0 ELSE 0 END) FROM d), 6) AS missing, CASE WHEN avg(CASE WHEN pvalue >= 0.05 THEN 1.0 ELSE 0 END) < 0.05 THEN 'MNAR' ELSE 'not MNAR' END AS verdict FROM ({_RANK_P.format("'seg'", "'a'", _tail('z'), 'a', 's')} UNION ALL {_RANK_P.format("'seg'", "'n'", _tail('z'), 'n', 's')})")
+def _(v):
+    d = v("customer").select("c_acctbal", "c_nationkey", F.when(F.col("c_acctbal") > 2000, F.col("c_mktsegment")).alias("seg"))
+    return Q.missingness_report(d, ["c_acctbal", "c_nationkey", "seg"]).withColumn("missing", r6("missing"))
+
+
 @query("q1_wrong_values", "SELECT 'priority' AS column, CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 53 = 0 THEN 'none' ELSE 'true' END AS value, CASE WHEN o_orderkey % 53 = 0 THEN 'str' ELSE 'bool' END AS type, 'int' AS wanted FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 59 = 0 UNION ALL SELECT 'price', CAST(o_orderkey AS VARCHAR), 'n/a', 'str', 'float' FROM orders WHERE o_orderkey % 61 = 0")
 def _(v):
     k = F.col("o_orderkey")
@@ -230,7 +230,8 @@ def _(v):
     return H.shared_ancestors(v("edges"), _nodes(v, "N%"))
 
 
-@query("h6_simplify_terms")
+# A nation is the one cluster of its suppliers: alone, as the next term up, or as the lowest term that they share.
+@query("h6_simplify_terms", "SELECT node, CAST(dense_rank() OVER (ORDER BY representative) - 1 AS INT) AS cluster, representative FROM (SELECT DISTINCT child AS node, CASE WHEN child LIKE 'S%' THEN parent ELSE child END AS representative FROM edges WHERE child LIKE 'S%' OR child LIKE 'N%')", "edges")
 def _(v):
     return H.simplify_terms(v("edges"), _nodes(v, "N%").union(_nodes(v, "S%")), 2)
 
@@ -380,7 +381,10 @@ def _(v):
     return G.fill_anchor_gaps(G.kmer_anchors(edited, r, 10, 2).where("query = subject"), edited, r, 3).drop("subject")
 
 
-@query("g4_gapless_overlap")
+@query("g4_gapless_overlap", """WITH p AS (SELECT x.item_id AS pair, x.text AS a, y.text AS b, length(x.text) AS na, length(y.text) AS nb FROM benchmark x JOIN benchmark y ON y.item_id - 1 = x.item_id), o AS (SELECT *, greatest(0, -o) AS f, least(na, nb - o) AS t FROM (SELECT *, unnest(range(-(na - 5), nb - 5 + 1)) AS o FROM p WHERE na >= 5 AND nb >= 5)),
+c AS (SELECT pair, o, i, CASE WHEN substr(a, CAST(i + 1 AS INT), 1) = substr(b, CAST(i + o + 1 AS INT), 1) THEN 1 ELSE -1 END AS v FROM (SELECT *, unnest(range(f, t)) AS i FROM o WHERE t - f >= 5)), s AS (SELECT pair, o, CAST(sum(v) AS BIGINT) AS score FROM c GROUP BY 1, 2), b AS (SELECT pair, o FROM s QUALIFY row_number() OVER (PARTITION BY pair ORDER BY score DESC, abs(o), o DESC) = 1),
+r AS (SELECT pair, o, i, CAST(sum(v) OVER (PARTITION BY pair ORDER BY i) AS BIGINT) AS upto, v FROM c JOIN b USING (pair, o)), e AS (SELECT x.pair, x.o, x.upto - (y.upto - y.v) AS score, x.i AS stop, y.i AS start FROM r x JOIN r y ON x.pair = y.pair AND y.i <= x.i - 4),
+m AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY pair, stop ORDER BY score DESC, start) = 1) SELECT pair, o AS offset, score, start, stop + 1 AS stop FROM m QUALIFY row_number() OVER (PARTITION BY pair ORDER BY score DESC, stop DESC, start DESC) = 1""")
 def _(v):
     one = v("benchmark").select(F.col("item_id").alias("pair"), F.col("text").alias("a"))
     two = v("benchmark").select((F.col("item_id") - 1).alias("pair"), F.col("text").alias("b"))
