@@ -47,7 +47,10 @@ def _(v):
     return Q.missing_values(_mixed(v), ["a", "b"], 0.05).withColumn("missing", r6("missing"))
 
 
-@query("q4_rare_categories")
+@query("q4_rare_categories", """WITH c AS (SELECT CASE WHEN o_orderkey % 997 = 0 THEN o_orderpriority || 'x' ELSE o_orderpriority END AS category, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT count(*) AS k, sum(n) AS whole, sum(n) FILTER (WHERE n > 3) AS often, max(n) AS hi, min(n) AS lo FROM c),
+g AS (SELECT n AS cut FROM (SELECT n, rank() OVER (ORDER BY n DESC) - 1 AS i FROM c), f WHERE often >= 0.75 * whole AND k <= 0.1 * whole ORDER BY round(hi + (lo - hi) * i / k - n, 9) DESC, i LIMIT 1),
+p AS (SELECT r.category, r.n, m.category AS common, coalesce(list_sum([CASE WHEN substr(r.category, CAST(i AS INT), 1) = substr(m.category, CAST(i AS INT), 1) THEN 1 ELSE 0 END FOR i IN range(1, least(length(r.category), length(m.category)) + 1)]), 0) / greatest(least(length(r.category), length(m.category)), 1) AS likeness FROM c r, c m, g WHERE r.n < cut AND m.n >= cut)
+SELECT category, n, CASE WHEN likeness >= 0.5 THEN common END AS typo_of FROM p QUALIFY row_number() OVER (PARTITION BY category ORDER BY likeness DESC, common DESC) = 1""")
 def _(v):
     odd = F.when(F.col("o_orderkey") % 997 == 0, F.concat("o_orderpriority", F.lit("x"))).otherwise(F.col("o_orderpriority"))
     return Q.rare_categories(v("orders").select(odd.alias("p")), "p")
