@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,18 @@ def closure(edges: DataFrame, seeds: DataFrame, down: bool = True) -> DataFrame:
     """
     a, b = ("parent", "child") if down else ("child", "parent")
     steps = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null").distinct()
-    known = settle(seeds.select(F.col("node").alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    front = known
+    front = settle(seeds.select(F.col("node").alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
+    levels = [front]
     for level in range(1, MOST_LEVELS):
+        # A level writes what it adds; now and then the levels so far become one table, so that plans stay short.
+        if len(levels) == 32:
+            levels = [settle(reduce(DataFrame.union, levels))]
         reached = front.join(steps, F.col("node") == F.col("_a")).select("seed", F.col("_b").alias("node")).distinct()
-        front = settle(reached.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        known = reduce(DataFrame.union, levels)
+        front = settle(reached.join(known.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("depth")))
         if front.isEmpty():
             return known
-        known = settle(known.union(front.select("seed", "node", "depth")))
+        levels.append(front)
     raise RuntimeError(f"over {MOST_LEVELS} levels")
 
 

@@ -116,3 +116,10 @@ def test_models_are_tried_on_stratified_splits(spark):
     assert len(got) == 8 and all((r.n, r.mse, r.r2, r.accuracy, r.accuracy_0, r.accuracy_1) == ({"train": 400, "test": 100}[p], 0.0, 1.0, 1.0, 1.0, 1.0) for (m, _, p), r in got.items() if m == "tree")
     fit = statistics.model_eval_splits(df.withColumn("y", 2 * F.col("a") + 1), ["a"], "y", "id", {"linear": statistics.regressors()["linear"]}, 2, binary=False).collect()
     assert len(fit) == 4 and all(r.r2 == pytest.approx(1.0) and r.accuracy is None for r in fit) and sum(r.n for r in fit if r.part == "test") == 500
+
+
+def test_closure_of_a_long_chain(spark):
+    """More levels than are kept apart."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(34)], "parent int, child int")
+    got = sorted((r.seed, r.node, r.depth) for r in hierarchy.closure(chain, spark.createDataFrame([(0,), (30,), (None,)], "node int")).collect())
+    assert got == [(0, i, i) for i in range(35)] + [(30, i, i - 30) for i in range(30, 35)]
