@@ -19,6 +19,8 @@ from .common import shuffle_parts, slices, table
 
 #: Texts whose shingle sets a task compares with each other; a task holds two such blocks at most.
 GROUP = 1024
+#: Bits of the filter in front of a join of texts: for each id, at least, at most, and in one of Spark's bitmaps (4 KB).
+BITS_AN_ID, LEAST_BITS, MOST_BITS, ROW_BITS = 16, 1 << 23, 1 << 28, 1 << 15
 
 
 def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -131,12 +133,29 @@ def least_ids(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return linked.join(least, "component").select("node", "least")
 
 
+def perhaps_among(rows: DataFrame, column: str, ids: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows whose ``column`` is one of ``ids`` (one column), and some others: a filter for an exact join that follows.
+
+    Ids set bits at their hashes, in bitmaps that are broadcast, so other rows are not shuffled. At most about one other row
+    in 16 passes; with more ids than a sixteenth of ``most_bits`` (32 MB of bitmaps) ever more do, at last all.
+    """
+    bits = min(most_bits, max(LEAST_BITS, 1 << (BITS_AN_ID * max(1, ids.count()) - 1).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    name = ids.columns[0]
+    marked = ids.select(F.shiftright(bit(name), 15).alias("_row"), (bit(name) % ROW_BITS).alias("_bit")).distinct()
+    # Dealt out before they are set: else each task of the ids would make bitmaps of a few bits.
+    maps = marked.repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    at = bit(column) % ROW_BITS
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (F.col("_row") == F.shiftright(bit(column), 15)) & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+
+
 def true_links(docs: DataFrame, groups: DataFrame, names: DataFrame, set_of: Callable, sketch_of: Callable, near: Callable, like: float, block: int = GROUP) -> DataFrame:
     """(a, b): edges that connect just the pairs of ``like`` or more within each group of ``groups`` (node, component).
 
     ``names`` has a row of each text (node, doc_id, text_id), read from the ``docs`` of that doc_id with that set of
     shingles. ``set_of(text)`` are a text's distinct shingle hashes, ``sketch_of(set)`` 64-bit words, and ``near(sketches, one)``
-    tells which sketches may belong to pairs of ``like``. Only texts of groups are hashed again, and only their sets are shuffled.
+    tells which sketches may belong to pairs of ``like``. Only texts of groups (and few others) are shuffled and hashed again.
     """
     spark = docs.sparkSession
     by = ["component", "i", "j"]
@@ -164,6 +183,7 @@ def true_links(docs: DataFrame, groups: DataFrame, names: DataFrame, set_of: Cal
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = perhaps_among(texts, "doc_id", placed.select("_of"))
     rows = texts.join(placed.hint("merge"), F.col("doc_id") == F.col("_of")).select("node", "text_id", "component", "blocks", "text")
     rows = rows.mapInPandas(shingled, "node long, component long, blocks int, sketch binary, shingles binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

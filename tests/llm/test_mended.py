@@ -7,7 +7,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from strandtable.llm import minhash, pii, simhash, warc
+from strandtable.llm import minhash, pii, similar, simhash, warc
 
 
 def replaced(spark, texts):
@@ -100,3 +100,33 @@ def test_near_copies_of_one_id_with_several_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     links = {(r.doc_id, bytes(r.text_id)): (r.class_id, r.n_links) for r in minhash.near_duplicates(df).collect()}
     assert all(n > 0 for (i, _), (_, n) in links.items() if i != 40) and links[next(k for k in links if k[0] == 40)] == (40, 0)
+
+
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("near_duplicates", [minhash.near_duplicates, simhash.similar_classes])
+def test_texts_without_candidates_are_not_shuffled(spark, tmp_path, near_duplicates):
+    """Of 400 texts two are near copies: the search shuffles those, its keys and signatures, but not all texts."""
+    draw = random.Random(6)
+    texts = [" ".join(f"{draw.getrandbits(64):x}" for _ in range(2000)) for _ in range(399)]
+    texts.append(texts[0] + " more")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, before = spark.read.parquet(str(tmp_path / "docs")).withColumn("node", F.col("doc_id")), shuffled_bytes(spark)
+    found = near_duplicates(docs).collect()
+    assert {r.doc_id: r["class_id" if "class_id" in r else "component_id"] for r in found} == {i: i if i < 399 else 0 for i in range(400)}
+    assert shuffled_bytes(spark) - before < sum(map(len, texts)) / 10
+
+
+def test_filter_of_a_join_loses_no_row(spark):
+    """With room for the bits few other rows pass; with too few bits more do; the ids' own rows always do."""
+    rows = spark.range(-1000, 100_000).withColumnRenamed("id", "doc_id")
+    ids = rows.where("doc_id % 7 = 0").select(F.col("doc_id").alias("x"))
+    want, most = {r.x for r in ids.collect()}, rows.count()
+    for bits, others in ((similar.MOST_BITS, 0.01), (1 << 17, 0.2), (1 << 10, 1)):
+        got = [r.doc_id for r in similar.perhaps_among(rows, "doc_id", ids.union(ids), bits).collect()]
+        assert len(set(got)) == len(got) and want <= set(got) and len(got) - len(want) <= others * most
+    assert similar.perhaps_among(rows, "doc_id", ids.limit(0)).count() == 0
