@@ -13,11 +13,15 @@ def notes_section(text: Column, mark: str = "### Notes") -> Column:
     return F.trim(F.element_at(F.split(text, mark), -1))
 
 
+# White space as Unicode's space separators, which is what SQL's trim takes off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def bullet_lines(text: Column, assistant: str = "<assistant>") -> Column:
     """Trimmed non-empty lines inside ``<summary>`` tags, after the assistant's mark."""
     after = F.element_at(F.split(text, assistant), -1)
     inner = F.when(F.contains(after, F.lit("<summary>")), F.split(F.element_at(F.split(after, "<summary>"), 2), "</summary>")[0]).otherwise(after)
-    return F.filter(F.transform(F.split(inner, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inner, "\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
 
 
 def match_tags(queries: DataFrame, tags: DataFrame, limit: float = 0.5) -> DataFrame:
