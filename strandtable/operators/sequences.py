@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from .aggregates import running_average
 from .joins import overlap_join
 
+#: Bases within which running sums over a chromosome start anew.
+TILE = 4096
+
 
 def kmers(seqs: DataFrame, k: int, key: str = "contig") -> DataFrame:
     """(key, pos, kmer) of all k-mers."""
@@ -134,18 +137,48 @@ def base_coverage(coverage: DataFrame, regions: DataFrame, width: int = 4096) ->
     return both.select("region", "sample", F.explode(F.sequence(F.greatest("start", "from"), F.least("stop", "to"))).alias("pos"), "value")
 
 
+def pile(tracks: DataFrame, keys: list[str], weights: dict[str, Column]) -> DataFrame:
+    """(keys, from, to, and each of ``weights`` summed): disjoint stretches that tracks (keys, from, to; closed) of one key cover.
+
+    Where tracks begin and end is counted before it is sorted, and sums run anew in every ``TILE`` bases, so neither a chromosome nor
+    a place where many tracks lie is one task. Weights must be finite.
+    """
+    kind = dict(tracks.dtypes)["from"]
+    rows = tracks.where(F.col("from") <= F.col("to")).select(*keys, "from", "to", F.lit(1).cast("long").alias("_n"), *[w.alias(c) for c, w in weights.items()])
+    rows = rows.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("from") / TILE), F.floor(F.col("to") / TILE))))
+    first, names = F.col("_tile") * TILE, ["_n", *weights]
+    ends = F.array(F.struct(F.greatest(F.col("from"), first).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("to").cast("long") + 1).alias("at"), F.lit(-1).alias("sign")))
+    events = rows.select(*keys, "_tile", *names, F.explode(ends).alias("e")).where(F.col("e.at") < first + TILE)
+    events = events.groupBy(*keys, "_tile", F.col("e.at").alias("_at")).agg(*[F.sum(F.col(c) * F.col("e.sign")).alias(c) for c in names])
+    w = Window.partitionBy(*keys, "_tile").orderBy("_at")
+    events = events.withColumn("_to", F.coalesce(F.lead("_at").over(w), first + TILE) - 1).withColumns({c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
+    return events.where("_n > 0").select(*keys, F.col("_at").cast(kind).alias("from"), F.col("_to").cast(kind).alias("to"), *weights)
+
+
 def region_coverage(coverage: DataFrame, regions: DataFrame, groups: DataFrame) -> DataFrame:
     """Median over each group's samples, per base."""
     return base_coverage(coverage, regions).join(groups, "sample").groupBy("region", "condition", "pos").agg(F.median("value").alias("value"))
 
 
 def tss_profile(coverage: DataFrame, genes: DataFrame, extend: int, smooth: int = 0) -> DataFrame:
-    """(relative, value): mean signal around gene starts, flipped on ``-``, over genes and samples, positions without signal as 0."""
-    spot = F.when(F.col("strand") == "-", F.col("stop")).otherwise(F.col("start"))
-    near = genes.select(F.col("gene").alias("region"), "chrom", "strand", spot.alias("tss")).withColumns({"start": F.greatest(F.lit(0), F.col("tss") - extend), "stop": F.col("tss") + extend})
-    n = near.agg(F.count(F.lit(1)).alias("_g")).join(coverage.agg(F.countDistinct("sample").alias("_s")), F.lit(True))
-    values = base_coverage(coverage, near).join(near.select("region", "tss", "strand"), "region")
-    rel = F.when(F.col("strand") == "-", F.col("tss") - F.col("pos")).otherwise(F.col("pos") - F.col("tss"))
+    """(relative, value): mean signal around gene starts, flipped on ``-``, over genes and samples, positions without signal as 0.
+
+    Tracks are summed into disjoint stretches and genes of one start and strand are counted first, so the work follows the
+    stretches and starts, not the pairs of tracks and genes.
+    """
+    minus = F.coalesce(F.col("strand") == "-", F.lit(False))
+    near = genes.groupBy("chrom", minus.alias("minus"), F.when(minus, F.col("stop")).otherwise(F.col("start")).alias("tss")).agg(F.count(F.lit(1)).alias("k"))
+    near = near.withColumns({"start": F.greatest(F.lit(0), F.col("tss") - extend), "stop": F.col("tss") + extend})
+    n = genes.agg(F.count(F.lit(1)).alias("_g")).join(coverage.agg(F.countDistinct("sample").alias("_s")), F.lit(True))
+    v = F.col("value").cast("double")
+    inf = F.lit(float("inf"))
+    # Sums that run on cannot take back what is not finite, so that is counted instead.
+    odd = {c: F.coalesce(is_odd, F.lit(False)).cast("long") for c, is_odd in (("nan", F.isnan(v)), ("up", v == inf), ("down", v == -inf), ("some", v.isNotNull()))}
+    sums = pile(coverage, ["chrom"], {"v": F.when(F.abs(v) < inf, v).otherwise(0.0)} | odd)
+    value = F.when(F.expr("nan > 0 or (up > 0 and down > 0)"), float("nan")).when(F.col("up") > 0, inf).when(F.col("down") > 0, -inf).when(F.col("some") > 0, F.col("v"))
+    both = overlap_join(near, sums.select("chrom", "from", "to", value.alias("value")), max(64, 2 * extend + 1), ("start", "stop"), ("from", "to"))
+    values = both.select("minus", "tss", F.explode(F.sequence(F.greatest("start", "from"), F.least("stop", "to"))).alias("pos"), (F.col("value") * F.col("k")).alias("value"))
+    rel = F.when(F.col("minus"), F.col("tss") - F.col("pos")).otherwise(F.col("pos") - F.col("tss"))
     sums = values.groupBy(rel.alias("relative")).agg(F.sum("value").alias("s")).join(F.broadcast(n), F.lit(True))
     out = sums.select("relative", (F.col("s") / (F.col("_g") * F.col("_s"))).alias("value"))
     if not smooth:

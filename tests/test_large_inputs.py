@@ -1,11 +1,56 @@
 """Operators that were wrong, or too slow or large, on larger tables, against plain code."""
 
+import math
+import threading
+from collections import defaultdict
+from contextlib import contextmanager
+
+import pytest
 from pyspark.sql import functions as F
 
-from strandtable.operators import text
+from strandtable.operators import sequences, text
+
+
+@contextmanager
+def within(spark, seconds):
+    """Jobs that still run after so many seconds are cancelled, which fails the test."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    yield
+    timer.cancel()
 
 
 def test_bullet_lines_keep_their_digits_and_lose_their_spaces(spark):
     lines = ["0 is kept 0", "  1 and 1 ", " 2 or 2 ", " ", "\tfour 4\r"]
     rows = spark.createDataFrame([("\n".join(lines),), (None,)], "t string").select(F.explode(text.bullet_lines(F.col("t"))))
     assert [r[0] for r in rows.collect()] == ["0 is kept 0", "1 and 1", "2 or 2", "\tfour 4\r"]
+
+
+TRACKS = [("a", 1, 3, 9, 2.0), ("a", 1, 3, 9, 2.0), ("a", 2, 5, 4200, 1.5), ("a", 3, 8, 8, None), ("a", 2, 4090, 4100, math.inf), ("a", 1, 8190, 8191, math.nan), ("b", 1, 0, 30, 4.0), ("b", 2, 9, 7, 3.0), (None, 1, 0, 9, 1.0)]
+TRACK = "chrom string, sample int, from int, to int, value double"
+
+
+def test_profile_of_starts_by_brute_force(spark):
+    """Tracks over borders of tiles, twice, without value, not finite; genes of one name, of one start, without chromosome."""
+    genes = [("g", "a", "+", 8, 90), ("g", "a", "-", 2, 6), ("h", "a", "-", 1, 6), ("i", "a", "+", 4095, 4099), ("j", "b", None, 1, 2), ("k", None, "+", 1, 2), ("l", "a", "+", 4300, 4301)]
+    for tracks in (TRACKS, [t for t in TRACKS if t[4] is None], [t for t in TRACKS if t[0] != "a" or t[2] < 4000]):
+        want = defaultdict(list)
+        for _, chrom, strand, start, stop in genes:
+            tss = stop if strand == "-" else start
+            for c, _, lo, hi, value in tracks:
+                if chrom is not None and c == chrom:
+                    for pos in range(max(lo, tss - 5, 0), min(hi, tss + 5) + 1):
+                        want[tss - pos if strand == "-" else pos - tss].append(value)
+        many = len(genes) * len({t[1] for t in tracks})
+        want = {k: sum(x for x in v if x is not None) / many if any(x is not None for x in v) else None for k, v in want.items()}
+        got = {r.relative: r.value for r in sequences.tss_profile(spark.createDataFrame(tracks, TRACK), spark.createDataFrame(genes, "gene string, chrom string, strand string, start int, stop int"), 5).collect()}
+        assert got == {k: v if v is None else pytest.approx(v, rel=1e-12, nan_ok=True) for k, v in want.items()}
+
+
+def test_profile_follows_places_not_pairs(spark):
+    i = F.col("id")
+    tracks = spark.range(60000).select(F.lit(1).alias("chrom"), F.lit(1).alias("sample"), (i % 2000).alias("from"), (i % 2000 + 500).alias("to"), F.lit(1.0).alias("value"))
+    genes = spark.range(60000).select(i.alias("gene"), F.lit(1).alias("chrom"), F.lit("+").alias("strand"), (i % 2000 + 500).alias("start"), (i % 2000 + 501).alias("stop"))
+    with within(spark, 60):
+        got = {r.relative: r.value for r in sequences.tss_profile(tracks, genes, 20).collect()}
+    assert len(got) == 41 and got[0] == 30 * (501 * 1500 + sum(range(1, 501))) / 2000
