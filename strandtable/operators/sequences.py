@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import settle
 from .aggregates import running_average
 from .joins import overlap_join
 
@@ -156,8 +157,26 @@ def pile(tracks: DataFrame, keys: list[str], weights: dict[str, Column]) -> Data
 
 
 def region_coverage(coverage: DataFrame, regions: DataFrame, groups: DataFrame) -> DataFrame:
-    """Median over each group's samples, per base."""
-    return base_coverage(coverage, regions).join(groups, "sample").groupBy("region", "condition", "pos").agg(F.median("value").alias("value"))
+    """Median over each group's samples, per base.
+
+    A base has one median for all regions that it lies in, found once from its distinct values and their counts. Only regions
+    of one name on several chromosomes mix their values, base by base.
+    """
+    tracks = coverage.join(groups, "sample")
+    named = regions.select("region", "chrom", F.col("start").alias("from"), F.col("stop").alias("to"))
+    bases = pile(named, ["chrom"], {}).select("chrom", F.col("from").alias("start"), F.col("to").alias("stop"))
+    counts = pile(tracks, ["chrom", "condition", "value"], {"n": F.lit(1).cast("long")})
+    cells = overlap_join(bases, counts, 64, ("start", "stop"), ("from", "to")).select("chrom", "condition", F.explode(F.sequence(F.greatest("start", "from"), F.least("stop", "to"))).alias("pos"), "value", "n")
+    medians = settle(cells.groupBy("chrom", "condition", "pos").agg(F.percentile("value", 0.5, F.col("n")).alias("value")))
+    spots = pile(named, ["region", "chrom"], {}).select("region", "chrom", F.explode(F.sequence("from", "to")).alias("pos"))
+    several = named.groupBy("region").agg(F.min("chrom").alias("_lo"), F.max("chrom").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    if several.isEmpty():
+        return spots.join(medians, ["chrom", "pos"]).select("region", "condition", "pos", "value")
+    several = settle(several)
+    on = regions["region"].eqNullSafe(several["region"])
+    mixed = base_coverage(coverage, regions.join(several, on, "left_semi")).join(groups, "sample").groupBy("region", "condition", "pos").agg(F.median("value").alias("value"))
+    single = spots.join(several, spots["region"].eqNullSafe(several["region"]), "left_anti").join(medians, ["chrom", "pos"])
+    return single.select("region", "condition", "pos", "value").union(mixed)
 
 
 def tss_profile(coverage: DataFrame, genes: DataFrame, extend: int, smooth: int = 0) -> DataFrame:

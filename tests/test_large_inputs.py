@@ -1,6 +1,7 @@
 """Operators that were wrong, or too slow or large, on larger tables, against plain code."""
 
 import math
+import statistics as plain
 import threading
 from collections import defaultdict
 from contextlib import contextmanager
@@ -47,6 +48,23 @@ def test_profile_of_starts_by_brute_force(spark):
         assert got == {k: v if v is None else pytest.approx(v, rel=1e-12, nan_ok=True) for k, v in want.items()}
 
 
+def test_median_of_bases_by_brute_force(spark):
+    """Regions that overlap, of several pieces, and of one name on two chromosomes."""
+    regions = [("r", "a", 0, 9), ("r", "a", 7, 12), ("s", "a", 5, 8), ("t", "a", 4098, 4099), ("t", "b", 4, 8), (None, "b", 4, 5), ("u", "a", 8, 8)]
+    tracks = [t for t in TRACKS if not (t[4] is not None and math.isnan(t[4]))] + [("b", 1, 4100, 4110, 1.0)]
+    groups = {1: "x", 2: "x", 3: "y"}
+    for some in (regions, [r for r in regions if r[0] != "t"]):
+        want = defaultdict(list)
+        for name, chrom, start, stop in some:
+            for c, sample, lo, hi, value in tracks:
+                if c == chrom:
+                    for pos in range(max(lo, start), min(hi, stop) + 1):
+                        want[name, groups[sample], pos].append(value)
+        want = {k: plain.median(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in want.items()}
+        rows = sequences.region_coverage(spark.createDataFrame(tracks, TRACK), spark.createDataFrame(some, "region string, chrom string, start int, stop int"), spark.createDataFrame(list(groups.items()), "sample int, condition string")).collect()
+        assert {(r.region, r.condition, r.pos): r.value for r in rows} == want and len(rows) == len(want)
+
+
 def test_profile_follows_places_not_pairs(spark):
     i = F.col("id")
     tracks = spark.range(60000).select(F.lit(1).alias("chrom"), F.lit(1).alias("sample"), (i % 2000).alias("from"), (i % 2000 + 500).alias("to"), F.lit(1.0).alias("value"))
@@ -54,3 +72,11 @@ def test_profile_follows_places_not_pairs(spark):
     with within(spark, 60):
         got = {r.relative: r.value for r in sequences.tss_profile(tracks, genes, 20).collect()}
     assert len(got) == 41 and got[0] == 30 * (501 * 1500 + sum(range(1, 501))) / 2000
+
+
+def test_medians_follow_bases_not_pairs(spark):
+    i = F.col("id")
+    tracks = spark.range(60000).select(F.lit(1).alias("chrom"), (i % 2).alias("sample"), (i % 2000).alias("from"), (i % 2000 + 500).alias("to"), (i % 5).cast("double").alias("value"))
+    regions = spark.range(20000).select(i.alias("region"), F.lit(1).alias("chrom"), (i % 2000).alias("start"), (i % 2000 + 30).alias("stop"))
+    with within(spark, 60):
+        assert sequences.region_coverage(tracks, regions, spark.createDataFrame([(0, "x"), (1, "x")], "sample int, condition string")).agg(F.count("*"), F.countDistinct("pos")).first() == (20000 * 31, 2030)
