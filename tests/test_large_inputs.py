@@ -6,10 +6,11 @@ import threading
 from collections import defaultdict
 from contextlib import contextmanager
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandtable.operators import sequences, text
+from strandtable.operators import sequences, statistics, text
 
 
 @contextmanager
@@ -17,8 +18,10 @@ def within(spark, seconds):
     """Jobs that still run after so many seconds are cancelled, which fails the test."""
     timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
     timer.start()
-    yield
-    timer.cancel()
+    try:
+        yield
+    finally:
+        timer.cancel()
 
 
 def test_bullet_lines_keep_their_digits_and_lose_their_spaces(spark):
@@ -80,3 +83,38 @@ def test_medians_follow_bases_not_pairs(spark):
     regions = spark.range(20000).select(i.alias("region"), F.lit(1).alias("chrom"), (i % 2000).alias("start"), (i % 2000 + 30).alias("stop"))
     with within(spark, 60):
         assert sequences.region_coverage(tracks, regions, spark.createDataFrame([(0, "x"), (1, "x")], "sample int, condition string")).agg(F.count("*"), F.countDistinct("pos")).first() == (20000 * 31, 2030)
+
+
+def test_random_sets_over_blocks_agree_with_one_block(spark, monkeypatch):
+    """Scores of random sets: their distribution over blocks of 64 places as over all, and as drawn plainly; sums over blocks are exact."""
+    rng = np.random.default_rng(3)
+    n, k, rounds = 300, 40, 3000
+    weights = np.abs(np.sort(rng.normal(size=n))[::-1])
+
+    def scores(size, w):
+        monkeypatch.setattr(statistics, "PLACES", size)
+        blocks = spark.createDataFrame([(b, [float(x) for x in w[b * size : (b + 1) * size]]) for b in range(math.ceil(n / size))], "block long, w array<double>")
+        found = statistics._random_enrichment(blocks, n, spark.createDataFrame([(k,), (n,)], "k long"), 0, rounds, 7).collect()
+        assert [r.es for r in found if r.k == n] == [pytest.approx(1.0)] * rounds
+        return np.array([r.es for r in found if r.k == k])
+
+    def plain_score(at):
+        hit = np.isin(np.arange(n), at)
+        run = np.cumsum(np.where(hit, weights / weights[at].sum(), -1 / (n - k)))
+        hi, lo = max(run.max(), 0), min(run.min(), 0)
+        return hi if hi >= -lo else lo
+
+    want = np.array([plain_score(rng.choice(n, k, replace=False)) for _ in range(rounds)])
+    for got in (scores(64, weights), scores(1 << 16, weights)):
+        assert len(got) == rounds
+        for q in (0.05, 0.25, 0.5, 0.75, 0.95):
+            assert abs((got <= np.quantile(want, q)).mean() - q) < 0.05
+    assert (scores(64, np.zeros(n)) != 0).all()
+
+
+def test_random_sets_of_many_genes(spark):
+    genes = spark.range(150000).select(F.col("id").cast("string").alias("gene_symbol"), (F.col("id") % 1001 - 500).cast("double").alias("score"))
+    sets = spark.range(150000).select((F.col("id") % 3).cast("string").alias("category"), F.col("id").cast("string").alias("gene_symbol")).where("category <> '2' or id % 5 = 0").drop("id")
+    with within(spark, 90):
+        got = {r.category: r for r in statistics.preranked_gsea(genes, sets, 10, 100000, 200, most_rounds=200).collect()}
+    assert {c: (r.k, r.rounds) for c, r in got.items()} == {"0": (50000, 200), "1": (50000, 200), "2": (10000, 200)} and all(0 < r.pvalue <= 1 for r in got.values())
