@@ -41,14 +41,59 @@ def distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(below.select(F.col("seed").alias("parent"), F.col("node").alias("child"), F.col("depth").alias("distance")), ["parent", "child"], "left")
 
 
+def _meetings(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kinds (node, kind) of ``seeds``, the best meeting (kind_a, kind_b, m) of two kinds, and lines (below, above, d) between seeds.
+
+    Seeds with the same ancestors at the same depths are one kind, so what two of them share is found once for their kinds. Seeds
+    without ancestors have none. ``m`` is (distance plus 1, ancestor).
+    """
+    up = settle(closure(edges, seeds, down=False).where("depth > 0"))
+    listed = up.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("node", "depth"))).alias("above"))
+    firsts = listed.groupBy("above").agg(F.min("seed").alias("kind"))
+    kinds = settle(listed.join(firsts, "above").select(F.col("seed").alias("node"), "kind"))
+    rows = up.join(kinds.where("node = kind").select("kind"), F.col("seed") == F.col("kind"), "left_semi")
+    side = lambda x: rows.select(F.col("seed").alias(f"kind_{x}"), "node", F.col("depth").alias(f"d_{x}"))
+    m = F.min(F.struct((F.col("d_a") + F.col("d_b") + 1).alias("d"), "node")).alias("m")
+    best = settle(side("a").join(side("b"), "node").groupBy("kind_a", "kind_b").agg(m))
+    lines = settle(up.join(seeds.select("node"), "node", "left_semi").select(F.col("seed").alias("below"), F.col("node").alias("above"), F.col("depth").alias("d")))
+    return kinds, best, lines
+
+
+def _met(pairs: DataFrame, best: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b, ancestor, distance) of pairs (a, b, kind_a, kind_b), by their kinds or along the line between them."""
+    ways = [F.col("m")]
+    out = pairs.join(best, ["kind_a", "kind_b"], "left")
+    if not lines.isEmpty():
+        for x, y in (("a", "b"), ("b", "a")):
+            line = lines.select(F.col("below").alias(x), F.col("above").alias(y), F.struct((F.col("d") + 1).alias("d"), F.col("above").alias("node")).alias(f"line_{x}"))
+            out = out.join(line, ["a", "b"], "left")
+            ways.append(F.col(f"line_{x}"))
+    ways.append(F.when(F.col("a") == F.col("b"), F.struct(F.lit(1).alias("d"), F.col("a").alias("node"))))
+    m = F.least(*ways)
+    return out.select("a", "b", F.coalesce(m["node"], F.lit("")).alias("ancestor"), F.coalesce(m["d"], F.lit(-1)).alias("distance"))
+
+
 def closest_common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, ancestor, distance): shared ancestor with the fewest edges to both, plus 1; none: '' and -1."""
-    up = closure(edges, pairs.select(F.explode(F.array("a", "b")).alias("node")), down=False)
-    one = up.select(F.col("seed").alias("a"), "node", F.col("depth").alias("d1"))
-    two = up.select(F.col("seed").alias("b"), "node", F.col("depth").alias("d2"))
-    met = pairs.select("a", "b").distinct().join(one, "a").join(two, ["b", "node"])
-    best = met.groupBy("a", "b").agg(F.min(F.struct((F.col("d1") + F.col("d2") + 1).alias("d"), "node")).alias("m"))
-    return pairs.select("a", "b").distinct().join(best, ["a", "b"], "left").select("a", "b", F.coalesce("m.node", F.lit("")).alias("ancestor"), F.coalesce("m.d", F.lit(-1)).alias("distance"))
+    pairs = settle(pairs.select("a", "b").distinct())
+    kinds, best, lines = _meetings(edges, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    for x in ("a", "b"):
+        pairs = pairs.join(kinds.select(F.col("node").alias(x), F.col("kind").alias(f"kind_{x}")), x, "left")
+    return _met(pairs, best, lines)
+
+
+def closest_common_ancestors(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """``closest_common_ancestor`` of all pairs (a before b) of listed terms, which are as many as the square of the terms.
+
+    Pairs are made where they are returned: neither they nor what they share is sorted or shuffled, as long as kinds are few.
+    """
+    t = settle(terms.select("node").where("node is not null").distinct())
+    kinds, best, lines = _meetings(edges, t)
+    named = settle(t.join(kinds, "node", "left"))
+    # Few terms make many pairs: they are dealt out by number, whatever their size.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda x: named.select(F.col("node").alias(x), F.col("kind").alias(f"kind_{x}"))
+    return _met(side("a").repartition(parts).join(side("b"), F.col("a") < F.col("b")), best, lines)
 
 
 def pairwise_distance(edges: DataFrame, terms: DataFrame, cross: bool = True) -> DataFrame:

@@ -214,8 +214,7 @@ _UP = ", c AS (SELECT child AS seed, child AS node, 0 AS depth FROM edges WHERE
 
 @query("h3_closest_common_ancestor", _UP + " SELECT a, b, coalesce(m.node, '') AS ancestor, coalesce(m.d, -1) AS distance FROM (SELECT x.s AS a, y.s AS b FROM (SELECT DISTINCT seed AS s FROM c) x, (SELECT DISTINCT seed AS s FROM c) y WHERE x.s < y.s) LEFT JOIN (SELECT x.seed AS a, y.seed AS b, arg_min(x.node, (x.depth + y.depth, x.node)) AS node, min(x.depth + y.depth) + 1 AS d FROM c x JOIN c y USING (node) GROUP BY 1, 2) m USING (a, b)", "edges")
 def _(v):
-    s = _nodes(v, "S%")
-    return H.closest_common_ancestor(v("edges"), s.select(F.col("node").alias("a")).join(s.select(F.col("node").alias("b")), F.col("a") < F.col("b")))
+    return H.closest_common_ancestors(v("edges"), _nodes(v, "S%"))
 
 
 @query("h4_pairwise_distance", ", c AS (SELECT node AS seed, node, 0 AS depth FROM (SELECT DISTINCT child AS node FROM edges WHERE child LIKE 'N%' UNION SELECT parent FROM edges WHERE parent LIKE 'R%') UNION SELECT c.seed, e.parent, c.depth + 1 FROM c JOIN edges e ON e.child = c.node), t AS (SELECT DISTINCT seed AS s FROM c) SELECT x.s AS a, y.s AS b, coalesce((SELECT min(depth) FROM c WHERE (seed = x.s AND node = y.s) OR (seed = y.s AND node = x.s)), (SELECT min(p.depth + q.depth) + 1 FROM c p JOIN c q USING (node) WHERE p.seed = x.s AND q.seed = y.s), -1) AS distance FROM t x, t y WHERE x.s < y.s", "edges")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandtable.operators import sequences, statistics, text
+from strandtable.operators import hierarchy, sequences, statistics, text
 
 
 @contextmanager
@@ -118,3 +118,36 @@ def test_random_sets_of_many_genes(spark):
     with within(spark, 90):
         got = {r.category: r for r in statistics.preranked_gsea(genes, sets, 10, 100000, 200, most_rounds=200).collect()}
     assert {c: (r.k, r.rounds) for c, r in got.items()} == {"0": (50000, 200), "1": (50000, 200), "2": (10000, 200)} and all(0 < r.pvalue <= 1 for r in got.values())
+
+
+def plain_ancestors(edges, node):
+    depth, front = {node: 0}, [node]
+    while front:
+        front = [p for n in front for p, c in edges if c == n and p not in depth and not depth.update({p: depth[n] + 1})]
+    return depth
+
+
+def test_common_ancestors_by_brute_force(spark):
+    """A graph with several parents, a cycle, listed terms above each other, a term alone and one that no edge has."""
+    edges = [("r", "p"), ("r", "q"), ("p", "x"), ("p", "y"), ("q", "y"), ("q", "z"), ("x", "u"), ("x", "v"), ("z", "w"), ("c", "d"), ("d", "c"), ("d", "e"), ("s", "w")]
+    terms = ["u", "v", "x", "y", "z", "w", "p", "r", "c", "d", "e", "alone"]
+    frame = spark.createDataFrame([*edges, edges[0]], "parent string, child string")
+
+    def plain_pair(a, b):
+        one, two = plain_ancestors(edges, a), plain_ancestors(edges, b)
+        return min(((one[n] + two[n] + 1, n) for n in one if n in two), default=(-1, ""))[::-1]
+
+    pairs = [(a, b) for a in terms for b in terms]
+    got = {(r.a, r.b): (r.ancestor, r.distance) for r in hierarchy.closest_common_ancestor(frame, spark.createDataFrame([*pairs, pairs[1]], "a string, b string")).collect()}
+    assert got == {p: plain_pair(*p) for p in pairs}
+    rows = hierarchy.closest_common_ancestors(frame, spark.createDataFrame([(t,) for t in [*terms, "u", None]], "node string")).collect()
+    assert len(rows) == math.comb(len(terms), 2) and {(r.a, r.b): (r.ancestor, r.distance) for r in rows} == {(a, b): plain_pair(a, b) for a, b in pairs if a < b}
+
+
+def test_common_ancestors_of_all_pairs_of_many_terms(spark):
+    edges = spark.range(9000).select(F.concat(F.lit("p"), F.col("id") % 20).alias("parent"), F.concat(F.lit("t"), F.col("id")).alias("child"))
+    edges = edges.union(spark.range(20).select(F.lit("root"), F.concat(F.lit("p"), F.col("id"))))
+    with within(spark, 45):
+        rows = hierarchy.closest_common_ancestors(edges, edges.where("child like 't%'").select(F.col("child").alias("node")))
+        got = {(r.ancestor == "root", r.distance): r["count"] for r in rows.groupBy("ancestor", "distance").count().groupBy(F.when(F.col("ancestor") == "root", "root").otherwise("p").alias("ancestor"), "distance").agg(F.sum("count").alias("count")).collect()}
+    assert got == {(False, 3): 20 * math.comb(450, 2), (True, 5): math.comb(9000, 2) - 20 * math.comb(450, 2)}
