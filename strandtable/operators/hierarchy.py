@@ -49,10 +49,10 @@ def _meetings(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame,
     """
     up = settle(closure(edges, seeds, down=False).where("depth > 0"))
     listed = up.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("node", "depth"))).alias("above"))
-    firsts = listed.groupBy("above").agg(F.min("seed").alias("kind"))
+    firsts = settle(row_places(listed.groupBy("above").agg(F.min("seed").alias("first")), [F.col("first")], [], "kind").withColumn("kind", F.col("kind").cast("int")))
     kinds = settle(listed.join(firsts, "above").select(F.col("seed").alias("node"), "kind"))
-    rows = up.join(kinds.where("node = kind").select("kind"), F.col("seed") == F.col("kind"), "left_semi")
-    side = lambda x: rows.select(F.col("seed").alias(f"kind_{x}"), "node", F.col("depth").alias(f"d_{x}"))
+    rows = firsts.select("kind", F.inline("above"))
+    side = lambda x: rows.select(F.col("kind").alias(f"kind_{x}"), "node", F.col("depth").alias(f"d_{x}"))
     m = F.min(F.struct((F.col("d_a") + F.col("d_b") + 1).alias("d"), "node")).alias("m")
     best = settle(side("a").join(side("b"), "node").groupBy("kind_a", "kind_b").agg(m))
     lines = settle(up.join(seeds.select("node"), "node", "left_semi").select(F.col("seed").alias("below"), F.col("node").alias("above"), F.col("depth").alias("d")))
