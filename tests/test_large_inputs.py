@@ -151,3 +151,15 @@ def test_common_ancestors_of_all_pairs_of_many_terms(spark):
         rows = hierarchy.closest_common_ancestors(edges, edges.where("child like 't%'").select(F.col("child").alias("node")))
         got = {(r.ancestor == "root", r.distance): r["count"] for r in rows.groupBy("ancestor", "distance").count().groupBy(F.when(F.col("ancestor") == "root", "root").otherwise("p").alias("ancestor"), "distance").agg(F.sum("count").alias("count")).collect()}
     assert got == {(False, 3): 20 * math.comb(450, 2), (True, 5): math.comb(9000, 2) - 20 * math.comb(450, 2)}
+
+
+def test_likelihood_ratio_of_many_features(spark):
+    """Features that repeat in turn have equal results; as many as expressions on arrays took minutes for."""
+    base = np.random.default_rng(4).negative_binomial(3, 0.1, size=(50, 12))
+    cells = spark.createDataFrame([(i, j, float(base[i, j])) for i in range(50) for j in range(12)], "kind int, sample int, value double")
+    m = spark.range(30000).withColumn("kind", (F.col("id") % 50).cast("int")).join(cells, "kind").select(F.col("id").alias("feature"), "sample", "value")
+    sheet = spark.createDataFrame([(j, "ab"[j % 2]) for j in range(12)], "sample int, condition string")
+    with within(spark, 60):
+        rows = statistics.nb_likelihood_ratio(m, sheet, ["a", "b"]).collect()
+    few = {r.feature: r for r in statistics.nb_likelihood_ratio(cells.withColumnRenamed("kind", "feature"), sheet, ["a", "b"]).collect()}
+    assert len(rows) == 30000 and all(r.lrt == pytest.approx(few[r.feature % 50].lrt, abs=1e-9) and r.dispersion == pytest.approx(few[r.feature % 50].dispersion) for r in rows)
