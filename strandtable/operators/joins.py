@@ -116,10 +116,10 @@ def sample_sheet_merge(tables: list[DataFrame], key: str = "sample") -> DataFram
 
 
 def cosine_pairs(queries: DataFrame, tags: DataFrame, limit: float | None = None) -> DataFrame:
-    """(query_id, tag_id, similarity) of a stated query set against all tags.
+    """(query_id, tag_id, similarity) of a stated query set against all tags; every pair.
 
     Vectors are normalised once. The smaller, stated side is broadcast only if the optimizer's size limit
-    allows it; otherwise Spark deals the pairs out in blocks.
+    allows it; otherwise Spark deals the pairs out in blocks. Where few pairs are wanted, ``vectors.cosine_matches`` makes no others.
     """
     def unit(df: DataFrame, key: str, out: str) -> DataFrame:
         v = F.transform("embedding", lambda x: x.cast("double"))

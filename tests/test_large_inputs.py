@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandtable.operators import hierarchy, sequences, statistics, text
+from strandtable.operators import aggregates, hierarchy, sequences, statistics, text, vectors
 
 
 @contextmanager
@@ -163,3 +163,32 @@ def test_likelihood_ratio_of_many_features(spark):
         rows = statistics.nb_likelihood_ratio(m, sheet, ["a", "b"]).collect()
     few = {r.feature: r for r in statistics.nb_likelihood_ratio(cells.withColumnRenamed("kind", "feature"), sheet, ["a", "b"]).collect()}
     assert len(rows) == 30000 and all(r.lrt == pytest.approx(few[r.feature % 50].lrt, abs=1e-9) and r.dispersion == pytest.approx(few[r.feature % 50].dispersion) for r in rows)
+
+
+def test_cosine_matches_by_brute_force(spark, monkeypatch):
+    """Pairs at a limit and the best of each query, over many blocks: copies, ties, zero and null vectors, unlike lengths, NaN, keys as text."""
+    monkeypatch.setattr(vectors, "SIDE", 40)
+    rng = np.random.default_rng(8)
+    rows = [(f"v{i:03d}", [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(200)] + [("null", None), ("zero", [0.0] * 6), ("short", [1.0, 2.0]), ("brief", [1.0, 2.5])]
+    rows += [(f"copy{i}", rows[3][1]) for i in range(9)] + [("nan", [math.nan] * 6)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    q, t = df.where("id not like 'v1%'").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "tag_id")
+
+    def plain_pairs(a, va):
+        for b, vb in rows:
+            if va and vb and len(va) == len(vb) and any(va) and any(vb):
+                yield sum(x * y for x, y in zip(va, vb, strict=True)) / (math.sqrt(sum(x * x for x in va)) * math.sqrt(sum(x * x for x in vb))), b
+
+    want = {a: list(plain_pairs(a, va)) for a, va in rows if not a.startswith("v1")}
+    got = [(r.query_id, r.tag_id, str(r.similarity)) for r in vectors.cosine_matches(q, t, 0.5).collect()]
+    assert sorted(got) == sorted((a, b, str(s)) for a, some in want.items() for s, b in some if not s < 0.5)
+    best = aggregates.top_k_matches(vectors.cosine_matches(q, t, k=3).withColumn("similarity", F.round("similarity", 6)))
+    rank = lambda p: (-math.inf if math.isnan(p[0]) else -round(p[0], 6), p[1])
+    assert sorted((r.query_id, r["rank"], r.tag_id) for r in best.collect()) == sorted((a, i + 1, b) for a, some in want.items() for i, (_, b) in enumerate(sorted(some, key=rank)[:3]))
+
+
+def test_cosine_matches_of_many_vectors(spark):
+    tags = spark.range(60000).select(F.col("id").alias("tag_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.xxhash64("id", i) % 1000).cast("float")).alias("embedding"))
+    with within(spark, 60):
+        found = vectors.cosine_matches(tags.where("tag_id % 5 = 0").withColumnRenamed("tag_id", "query_id"), tags, 0.9).collect()
+    assert sorted((r.query_id, r.tag_id) for r in found) == [(i, i) for i in range(0, 60000, 5)]
