@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import settle
+
 
 def merge_results(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """All rows of all tables by key: one union and one grouping; padj fills with 1, fold change with 0."""
@@ -191,21 +193,23 @@ def nearest_feature(regions: DataFrame, features: DataFrame, pieces: int = 512)
 
     Regions and features are put in one order; the last feature before and the first after each region's
     middle are its candidates. The order is cut into ``pieces`` per chromosome, and each piece gets the
-    last and first feature of the others from a small table, so a chromosome is many tasks.
+    last and first feature of the others from a small table, so a chromosome is many tasks. Equal middles are sought once.
     """
     span = features.agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
     spot = features.groupBy("chrom", "pos").agg(F.min("feature").alias("feature"))
     piece = F.greatest(F.lit(0), F.least(F.lit(pieces - 1), F.floor((F.col("pos") - F.col("lo")) * pieces / (F.col("hi") - F.col("lo"))))).cast("int")
     mid = regions.select("region", "chrom", F.floor((F.col("start") + F.col("stop")) / 2).alias("pos"))
-    rows = spot.select("chrom", "pos", F.struct("pos", "feature").alias("f"), F.lit(None).cast(dict(regions.dtypes)["region"]).alias("region"))
-    rows = rows.unionByName(mid.withColumn("f", F.lit(None).cast(rows.schema["f"].dataType))).join(F.broadcast(span), F.lit(True)).withColumn("piece", piece).drop("lo", "hi")
+    rows = spot.select("chrom", "pos", F.struct("pos", "feature").alias("f"))
+    asked = mid.select("chrom", "pos").distinct()
+    rows = rows.unionByName(asked.withColumn("f", F.lit(None).cast(rows.schema["f"].dataType))).join(F.broadcast(span), F.lit(True)).withColumn("piece", piece).drop("lo", "hi")
     ends = rows.where("f is not null").groupBy("chrom", "piece").agg(F.max("f").alias("last"), F.min("f").alias("first"))
     all_ = ends.select("chrom").distinct().select("chrom", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")).join(ends, ["chrom", "piece"], "left")
     order = Window.partitionBy("chrom").orderBy("piece")
     outer = all_.select("chrom", "piece", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before0"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after0"))
     here = Window.partitionBy("chrom", "piece").orderBy("pos")
     near = rows.withColumn("before", F.last("f", True).over(here.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("f", True).over(here.rangeBetween(0, Window.unboundedFollowing)))
-    near = near.where("region is not null").join(outer, ["chrom", "piece"], "left")
+    near = near.where("f is null").join(outer, ["chrom", "piece"], "left")
     choices = F.array_compact(F.array(F.coalesce("before", "before0"), F.coalesce("after", "after0")))
     best = F.array_min(F.transform(choices, lambda c: F.struct(F.abs(c["pos"] - F.col("pos")).alias("distance"), c["pos"].alias("at"), c["feature"].alias("feature"))))
-    return near.select("region", best.alias("b")).where("b is not null").select("region", "b.feature", "b.distance")
+    found = settle(near.select("chrom", "pos", best.alias("b")).where("b is not null").select("chrom", "pos", "b.feature", "b.distance"))
+    return mid.join(found, ["chrom", "pos"]).select("region", "feature", "distance")

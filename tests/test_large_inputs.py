@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandtable.operators import aggregates, hierarchy, sequences, statistics, text, vectors
+from strandtable.operators import aggregates, hierarchy, joins, sequences, statistics, text, vectors
 
 
 @contextmanager
@@ -192,3 +192,17 @@ def test_cosine_matches_of_many_vectors(spark):
     with within(spark, 60):
         found = vectors.cosine_matches(tags.where("tag_id % 5 = 0").withColumnRenamed("tag_id", "query_id"), tags, 0.9).collect()
     assert sorted((r.query_id, r.tag_id) for r in found) == [(i, i) for i in range(0, 60000, 5)]
+
+
+def test_nearest_feature_of_equal_middles(spark):
+    """Many regions share a middle, some have no name or lie on a chromosome without features."""
+    rng = np.random.default_rng(6)
+    features = [(int(c), int(p), f"f{i}") for i, (c, p) in enumerate(zip(rng.integers(0, 2, 30), rng.integers(0, 300, 30), strict=True))]
+    regions = [(i if i % 9 else None, i % 3, int(p), int(p) + i % 4) for i, p in enumerate(rng.integers(0, 320, 400))]
+    want = []
+    for name, chrom, start, stop in regions:
+        at = [(abs(p - (start + stop) // 2), p, f) for c, p, f in features if c == chrom]
+        if at:
+            want.append((str(name), min(at)[2], min(at)[0]))
+    got = joins.nearest_feature(spark.createDataFrame(regions, "region int, chrom int, start int, stop int"), spark.createDataFrame(features, "chrom int, pos int, feature string"), 8).collect()
+    assert sorted((str(r.region), r.feature, r.distance) for r in got) == sorted(want)
