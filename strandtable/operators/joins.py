@@ -151,6 +151,9 @@ def align_samples(matrix: DataFrame, sheet: DataFrame) -> tuple[DataFrame, DataF
 
 # Intervals
 
+#: Bases within which running sums over a chromosome start anew.
+TILE = 4096
+
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int, ends_a: tuple[str, str] = ("start", "stop"), ends_b: tuple[str, str] = ("start", "stop")) -> DataFrame:
     """Pairs of rows of one ``chrom`` whose closed intervals overlap, each pair once.
@@ -181,11 +184,65 @@ def region_counts(points: DataFrame, regions: DataFrame, value: str, width: int)
     return both.groupBy("region", "sample").agg(F.sum("_v").alias(value))
 
 
+def pile(tracks: DataFrame, keys: list[str], weights: dict[str, Column], tile: int = TILE) -> DataFrame:
+    """(keys, from, to, and each of ``weights`` summed): disjoint stretches that tracks (keys, from, to; closed) of one key cover.
+
+    Where tracks begin and end is counted before it is sorted, and sums run anew in every ``tile`` bases, where stretches end too, so neither a chromosome nor
+    a place where many tracks lie is one task. Weights must be finite.
+    """
+    kind = dict(tracks.dtypes)["from"]
+    rows = tracks.where(F.col("from") <= F.col("to")).select(*keys, "from", "to", F.lit(1).cast("long").alias("_n"), *[w.alias(c) for c, w in weights.items()])
+    rows = rows.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("from") / tile), F.floor(F.col("to") / tile))))
+    first, names = F.col("_tile") * tile, ["_n", *weights]
+    ends = F.array(F.struct(F.greatest(F.col("from"), first).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("to").cast("long") + 1).alias("at"), F.lit(-1).alias("sign")))
+    events = rows.select(*keys, "_tile", *names, F.explode(ends).alias("e")).where(F.col("e.at") < first + tile)
+    events = events.groupBy(*keys, "_tile", F.col("e.at").alias("_at")).agg(*[F.sum(F.col(c) * F.col("e.sign")).alias(c) for c in names])
+    w = Window.partitionBy(*keys, "_tile").orderBy("_at")
+    events = events.withColumn("_to", F.coalesce(F.lead("_at").over(w), first + tile) - 1).withColumns({c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
+    return events.where("_n > 0").select(*keys, F.col("_at").cast(kind).alias("from"), F.col("_to").cast(kind).alias("to"), *weights)
+
+
+def _overlap_counts(spans: DataFrame, rows: DataFrame, tile: int) -> DataFrame:
+    """(chrom, _s, _e, counts): for distinct closed ``spans`` how many ``rows`` of each biotype overlap them, as an array of (biotype, n).
+
+    What overlaps a span covers its start or begins behind it. What has begun is counted anew in every tile, so only biotypes
+    near a span are looked at: n is the cover at its start, less what has begun in that tile by then, plus what has begun in each of its tiles up to its end.
+    """
+    end = (F.floor(F.col("start") / tile) + 1) * tile - 1
+    count = {"n": F.lit(1).cast("long")}
+    cover = pile(rows.select("chrom", "biotype", F.col("start").cast("long").alias("from"), F.col("stop").cast("long").alias("to")), ["chrom", "biotype"], count, tile)
+    begun = settle(pile(rows.select("chrom", "biotype", F.col("start").cast("long").alias("from"), end.alias("to")), ["chrom", "biotype"], count, tile))
+    tiles = F.explode(F.sequence(F.floor(F.col("_s") / tile), F.floor(F.col("_e") / tile))).alias("_t")
+    starts = spans.select("chrom", "_s", "_e", F.col("_s").cast("long").alias("x"))
+    ends = spans.select("chrom", "_s", "_e", tiles).select("chrom", "_s", "_e", F.least(F.col("_e").cast("long"), (F.col("_t") + 1) * tile - 1).alias("x"))
+
+    def looked_up(points: DataFrame, stretches: DataFrame) -> DataFrame:
+        """(chrom, _s, _e, biotype, n) of the stretches at x. A place is looked up once."""
+        at = points.select("chrom", "x", F.col("x").alias("_x")).distinct()
+        found = overlap_join(at, stretches, tile, ("x", "_x"), ("from", "to")).groupBy("chrom", "x").agg(F.collect_list(F.struct("biotype", "n")).alias("found"))
+        return points.join(settle(found), ["chrom", "x"]).select("chrom", "_s", "_e", F.inline("found"))
+
+    at_start = cover.unionByName(begun.withColumn("n", -F.col("n")))
+    sums = looked_up(starts, at_start).union(looked_up(ends, begun)).groupBy("chrom", "_s", "_e", "biotype").agg(F.sum("n").alias("n")).where("n > 0")
+    return settle(sums.groupBy("chrom", "_s", "_e").agg(F.collect_list(F.struct("biotype", "n")).alias("counts")))
+
+
 def annotate_overlaps(regions: DataFrame, annotation: DataFrame, extend: int, width: int) -> DataFrame:
-    """(region, biotype, n): annotations of each type that overlap a region widened on both sides (start floor 0)."""
+    """(region, biotype, n): annotations of each type that overlap a region widened on both sides (start floor 0).
+
+    Pairs are counted, not made, and equal spans of regions are counted once. Only what stops before it starts is joined pair by pair.
+    """
     wide = regions.select("region", "chrom", F.greatest(F.col("start") - extend, F.lit(0)).alias("_s"), (F.col("stop") + extend).alias("_e"))
-    both = overlap_join(wide, annotation.select("chrom", "biotype", "start", "stop"), width, ("_s", "_e"))
-    return both.groupBy("region", "biotype").agg(F.count(F.lit(1)).alias("n"))
+    rows = annotation.select("chrom", "biotype", "start", "stop")
+    good = wide.where("_s <= _e")
+    counted = _overlap_counts(good.select("chrom", "_s", "_e").distinct(), rows.where("start <= stop"), width)
+    counts = good.join(counted, ["chrom", "_s", "_e"]).select("region", F.inline("counts"))
+    named = wide.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("_s > _e")).alias("odd"))
+    if named.where("n > 1 or odd").isEmpty() and rows.where("start > stop").isEmpty():
+        return counts
+    odd = [overlap_join(wide.where("_s > _e"), rows, width, ("_s", "_e")), overlap_join(good, rows.where("start > stop"), width, ("_s", "_e"))]
+    both = reduce(DataFrame.union, [p.select("region", "biotype", F.lit(1).cast("long").alias("n")) for p in odd], counts)
+    return both.groupBy("region", "biotype").agg(F.sum("n").alias("n"))
 
 
 def nearest_feature(regions: DataFrame, features: DataFrame, pieces: int = 512) -> DataFrame:

@@ -8,10 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.storage import settle
 from .aggregates import running_average
-from .joins import overlap_join
-
-#: Bases within which running sums over a chromosome start anew.
-TILE = 4096
+from .joins import overlap_join, pile
 
 
 def kmers(seqs: DataFrame, k: int, key: str = "contig") -> DataFrame:
@@ -138,24 +135,6 @@ def base_coverage(coverage: DataFrame, regions: DataFrame, width: int = 4096) ->
     return both.select("region", "sample", F.explode(F.sequence(F.greatest("start", "from"), F.least("stop", "to"))).alias("pos"), "value")
 
 
-def pile(tracks: DataFrame, keys: list[str], weights: dict[str, Column]) -> DataFrame:
-    """(keys, from, to, and each of ``weights`` summed): disjoint stretches that tracks (keys, from, to; closed) of one key cover.
-
-    Where tracks begin and end is counted before it is sorted, and sums run anew in every ``TILE`` bases, so neither a chromosome nor
-    a place where many tracks lie is one task. Weights must be finite.
-    """
-    kind = dict(tracks.dtypes)["from"]
-    rows = tracks.where(F.col("from") <= F.col("to")).select(*keys, "from", "to", F.lit(1).cast("long").alias("_n"), *[w.alias(c) for c, w in weights.items()])
-    rows = rows.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("from") / TILE), F.floor(F.col("to") / TILE))))
-    first, names = F.col("_tile") * TILE, ["_n", *weights]
-    ends = F.array(F.struct(F.greatest(F.col("from"), first).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("to").cast("long") + 1).alias("at"), F.lit(-1).alias("sign")))
-    events = rows.select(*keys, "_tile", *names, F.explode(ends).alias("e")).where(F.col("e.at") < first + TILE)
-    events = events.groupBy(*keys, "_tile", F.col("e.at").alias("_at")).agg(*[F.sum(F.col(c) * F.col("e.sign")).alias(c) for c in names])
-    w = Window.partitionBy(*keys, "_tile").orderBy("_at")
-    events = events.withColumn("_to", F.coalesce(F.lead("_at").over(w), first + TILE) - 1).withColumns({c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
-    return events.where("_n > 0").select(*keys, F.col("_at").cast(kind).alias("from"), F.col("_to").cast(kind).alias("to"), *weights)
-
-
 def region_coverage(coverage: DataFrame, regions: DataFrame, groups: DataFrame) -> DataFrame:
     """Median over each group's samples, per base.
 

@@ -206,3 +206,32 @@ def test_nearest_feature_of_equal_middles(spark):
             want.append((str(name), min(at)[2], min(at)[0]))
     got = joins.nearest_feature(spark.createDataFrame(regions, "region int, chrom int, start int, stop int"), spark.createDataFrame(features, "chrom int, pos int, feature string"), 8).collect()
     assert sorted((str(r.region), r.feature, r.distance) for r in got) == sorted(want)
+
+
+def test_overlaps_by_brute_force(spark):
+    """Spans over several tiles, of one name, without name or chromosome, and spans that stop before they start."""
+    rng = np.random.default_rng(9)
+
+    def spans(n, most, names, odd):
+        for i, (start, long) in enumerate(zip(rng.integers(0, 200, n), rng.integers(0, most, n), strict=True)):
+            yield names[i % len(names)], (0, 1, None)[i % 3 if i % 4 == 0 else i % 2], int(start), int(start + long - (odd and i % 7 == 0) * 2 * long)
+
+    for odd in (False, True):
+        regions = list(spans(150, 90, [*range(149), None] if not odd else [*range(60), None], odd))
+        rows = list(spans(200, 120, ["a", "b", "c", None], odd))
+        want = defaultdict(int)
+        for name, c, start, stop in regions:
+            for kind, d, first, last in rows:
+                if c is not None and c == d and max(start - 4, 0) <= last and first <= stop + 4:
+                    want[name, kind] += 1
+        got = joins.annotate_overlaps(spark.createDataFrame(regions, "region int, chrom int, start int, stop int"), spark.createDataFrame(rows, "biotype string, chrom int, start int, stop int"), 4, 16).collect()
+        assert {(r.region, r.biotype): r.n for r in got} == dict(want) and len(got) == len(want)
+
+
+def test_overlaps_are_counted_not_made(spark):
+    i = F.col("id")
+    regions = spark.range(300000).select(i.alias("region"), F.lit(1).alias("chrom"), (i % 2000).alias("start"), (i % 2000 + 20).alias("stop"))
+    rows = spark.range(300000).select(F.lit(1).alias("chrom"), (i % 3).alias("biotype"), (i % 2000).alias("start"), (i % 2000 + 30).alias("stop"))
+    with within(spark, 60):
+        found = joins.annotate_overlaps(regions, rows, 10, 64).agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    assert found[0] == 900000 and found[2] == 71 * 50 and found[1] == 150 * 150 * sum(min(s + 30, 1999) - max(s - 40, 0) + 1 for s in range(2000))
